@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slatewise.llm.neighbours import nearest
+from slatewise.llm.ngram_join import similar_documents
 from slatewise.llm.packing import packed_sequences
 from slatewise.llm.quality import fit_rules, quality_scores
 from slatewise.llm.sharding import interleaved_shards
@@ -21,6 +22,10 @@ def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(vectors.filter(F.col("vec_id") % 50 == 0), vectors, k=5)
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_documents(table(spark, sf_dir, "documents"), percent=80)
+
+
 def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return nearest(vectors.filter(F.col("vec_id") % 100 == 0), vectors, k=10)
@@ -44,7 +49,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_top_k, op6_nearest, op7_quality, op8_token_counts, op9_sharding, op10_packing)}
+    return {f.__name__: f for f in (op2_top_k, op5_ngram_join, op6_nearest, op7_quality, op8_token_counts, op9_sharding, op10_packing)}
 
 
 OP2 = """
@@ -63,6 +68,27 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+OP5 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS s
+  FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), l AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS inter
+  FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), e AS (
+  SELECT a, b FROM l JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * inter >= 80 * (x.n + y.n - inter)
+), r AS (
+  SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a
+)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, least(d.doc_id, min(r.b)) AS component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN r ON r.a = d.doc_id
+GROUP BY d.doc_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_top_k": OP2}
+    return {"op2_top_k": OP2, "op5_ngram_join": OP5}
