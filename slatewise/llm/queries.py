@@ -12,6 +12,7 @@ from slatewise.llm.ngram_join import similar_documents
 from slatewise.llm.packing import packed_sequences
 from slatewise.llm.quality import fit_rules, quality_scores
 from slatewise.llm.sharding import interleaved_shards
+from slatewise.llm.suffix_dedup import repeat_report
 from slatewise.llm.token_counts import token_counts
 from slatewise.llm.top_k import exact_top_k, quantised
 from slatewise.session import table
@@ -22,6 +23,10 @@ def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(vectors.filter(F.col("vec_id") % 50 == 0), vectors, k=5)
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_report(table(spark, sf_dir, "documents"), window=50)
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(table(spark, sf_dir, "documents"), percent=80)
 
@@ -49,7 +54,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_top_k, op5_ngram_join, op6_nearest, op7_quality, op8_token_counts, op9_sharding, op10_packing)}
+    return {f.__name__: f for f in (op2_top_k, op4_suffix_dedup, op5_ngram_join, op6_nearest, op7_quality, op8_token_counts, op9_sharding, op10_packing)}
 
 
 OP2 = """
