@@ -3,20 +3,56 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from slatewise.llm.ngram_join import similar_documents
 from slatewise.llm.packing import packed_sequences
-from slatewise.session import table, written
+from slatewise.llm.quality import fit_rules, keep_quality
+from slatewise.llm.suffix_dedup import without_repeats
+from slatewise.session import table, workers_see, written
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents the rule ensemble scores 0.3 or more stay, as they are."""
+    return keep_quality(docs, fit_rules(docs, table(spark, sf_dir, "labels")), threshold=0.3)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by 5-word shingles at a similarity of 0.8 or more, the one of the smallest id stays.
+
+    Rows repeated under one id stay once; rows without an id stay.
+    """
+    found = similar_documents(docs, percent=80).filter("doc_id <> component_id").select(F.col("doc_id").alias("_linked")).distinct()
+    kept = docs.join(found, docs["doc_id"] == found["_linked"], "left_anti")
+    repeated = kept.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n")).filter("_n > 1").select("doc_id")
+    if repeated.isEmpty():
+        return kept
+    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each text without the byte strings of 50 or more that a smaller id has; texts with nothing left go."""
+    cut = without_repeats(docs, window=50).filter("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"), "kept_text").distinct()
+    at = (docs["doc_id"].cast("long") == cut["_id"]) & (F.xxhash64(docs["doc_id"].cast("long"), F.coalesce(docs["text"], F.lit(""))) == cut["_key"])
+    both = docs.join(cut, at, "left").filter("kept_text is null or kept_text <> ''")
+    changed = {"text": F.coalesce("kept_text", docs["text"]), "n_chars": F.when(F.col("kept_text").isNotNull(), F.length("kept_text").cast("long")).otherwise(docs["n_chars"])}
+    return both.select(*[changed.get(c, docs[c]).alias(c) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of 2048 tokens at the mixture of what is left."""
     return packed_sequences(docs, window=2048)
 
 
-STAGES = [("pack", pack)]
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("pack", pack)]
+#: The fitted rules, byte strings and tokens have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`; each stage's result is written and read again for the next."""
+    workers_see(spark)
     docs = table(spark, sf_dir, "documents")
     for n, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
