@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from slatewise.llm.ngram_join import similar_documents
 from slatewise.llm.packing import packed_sequences
 from slatewise.llm.quality import fit_rules, keep_quality
-from slatewise.llm.suffix_dedup import without_repeats
+from slatewise.llm.suffix_dedup import row_key, without_repeats
 from slatewise.session import table, workers_see, written
 
 
@@ -33,8 +33,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each text without the byte strings of 50 or more that a smaller id has; texts with nothing left go."""
-    cut = without_repeats(docs, window=50).filter("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"), "kept_text").distinct()
-    at = (docs["doc_id"].cast("long") == cut["_id"]) & (F.xxhash64(docs["doc_id"].cast("long"), F.coalesce(docs["text"], F.lit(""))) == cut["_key"])
+    cut = without_repeats(docs, window=50).filter("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"), "kept_text").dropDuplicates(["_id", "_key"])
+    at = (docs["doc_id"].cast("long") == cut["_id"]) & (row_key(docs["doc_id"], docs["text"]) == cut["_key"])
     both = docs.join(cut, at, "left").filter("kept_text is null or kept_text <> ''")
     changed = {"text": F.coalesce("kept_text", docs["text"]), "n_chars": F.when(F.col("kept_text").isNotNull(), F.length("kept_text").cast("long")).otherwise(docs["n_chars"])}
     return both.select(*[changed.get(c, docs[c]).alias(c) for c in docs.columns])
