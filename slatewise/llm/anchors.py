@@ -9,7 +9,7 @@ import numpy as np
 from slatewise.llm.arrays import U64, mix, powers, prefix_hash
 
 #: Windows of the concatenated bytes looked at together.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 
 @dataclass

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slatewise.llm.arrays import U64, text_bytes
 from slatewise.llm.components import components
 from slatewise.llm.shingles import set_hashes, shingle_sets
-from slatewise.llm.signature_tree import SignatureTree, bitmap, folded, wide_enough
+from slatewise.llm.signature_tree import SignatureTree, bitmap, wide_enough
 from slatewise.session import shuffle_partitions, workers_see, written
 
 SLICE = 4 << 20
@@ -64,7 +65,7 @@ def signatures(docs: DataFrame, percent: int, id_col: str, text_col: str) -> Dat
 
 
 def _shared_tokens(sets: DataFrame, parts: int) -> DataFrame:
-    """(v, hits, tokens): for each set its prefix hashes that another set's prefix holds too.
+    """(v, hits, token, tokens): for each set its prefix hashes that another set's prefix holds too, and the first of them.
 
     Hashes are dealt into `parts` ranges in blocks of a batch each: per range the batch's sets (each set
     once, however many copies) and 32 bits a hash. A chance meeting of those bits only adds a candidate.
@@ -122,11 +123,11 @@ def _shared_tokens(sets: DataFrame, parts: int) -> DataFrame:
         v, token = v[order], token[order]
         own, at = np.unique(v, return_index=True)
         ends = np.append(at[1:], len(v))
-        return pa.table({"v": own, "hits": ends - at, "tokens": pa.array([token[a:b].tobytes() for a, b in zip(at, ends, strict=True)], pa.binary())})
+        return pa.table({"v": own, "hits": ends - at, "token": token[at], "tokens": pa.array([token[a:b].tobytes() for a, b in zip(at, ends, strict=True)], pa.binary())})
 
     dealt = sets.select("v", "prefix").mapInArrow(deal, "part int, sets binary, counts binary, keys binary")
     met = dealt.groupBy("part").applyInArrow(meet, "home long, sets binary, tokens binary")
-    return met.groupBy("home").applyInArrow(gather, "v long, hits long, tokens binary")
+    return met.groupBy("home").applyInArrow(gather, "v long, hits long, token long, tokens binary")
 
 
 def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -134,17 +135,26 @@ def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * inter >= percent * (len(a) + len(b) - inter)
 
 
-def _tree_links(table: pa.Table, percent: int) -> pa.Table:
-    """Links that join the similar sets of one block: one fewer than sets in each component."""
+def _tree_links(table: pa.Table, percent: int, visits: bool = False) -> pa.Table:
+    """Links that join the similar sets of one block: one fewer than sets in each component.
+
+    visits: only pairs with a guest are compared, and sets of one component `c` count as linked.
+    """
     v = table.column("v").to_numpy()
     sets = [np.frombuffer(x, U64) for x in table.column("hashes").to_pylist()]
     order = sorted(range(len(v)), key=lambda i: (int(sets[i][0]), len(sets[i])))
     sizes = np.array([len(sets[i]) for i in order], np.int64)
-    width = min(1 << 14, wide_enough(int(sizes.max())))
+    width = min(1 << 15, 4 * wide_enough(int(sizes.max())))
     tree = SignatureTree(sizes, np.stack([bitmap(sets[i], width) for i in order]), percent)
     labels = np.arange(len(v))
+    guest = np.ones(len(v), bool)
+    if visits:
+        labels = np.unique(table.column("c").to_numpy(), return_inverse=True)[1][order]
+        guest = table.column("guest").to_numpy(zero_copy_only=False)[order]
     links: dict[str, list[int]] = {"a": [], "b": []}
     for i, j in tree.pairs(lambda: labels):
+        one = guest[i] | guest[j]
+        i, j = i[one], j[one]
         for x, y in zip(i.tolist(), j.tolist(), strict=True):
             if labels[x] != labels[y] and _similar(sets[order[x]], sets[order[y]], percent):
                 labels[labels == labels[y]] = labels[x]
@@ -166,8 +176,8 @@ def similar_documents(docs: DataFrame, *, percent: int = 80, id_col: str = "doc_
     2. Candidates meet in blocks by their first shared hash. A block's signature tree is joined with
        itself by dual traversal, passing by what is already linked; similar pairs link. Large
        blocks are cut, and the leaders of the parts meet again.
-    3. Shared hashes whose sets lie in several components yet are met once more: trees over bitmaps name
-       the pairs of different components that could be similar and these are compared whole.
+    3. Sets of different blocks and components that share hashes meet: the one of the lesser component
+       visits the other's block, whose tree is joined with its visitors.
     """
     spark = docs.sparkSession
     workers_see(spark)
@@ -177,9 +187,8 @@ def similar_documents(docs: DataFrame, *, percent: int = 80, id_col: str = "doc_
     vertices = named.groupBy("v", "n").agg(F.min("doc_id").alias("rep"))
     need = F.expr(f"1 + int((n * {percent} + 99) div 100 * {EXTRA} div 100)")
     shared = _shared_tokens(named, parts).join(vertices, "v").filter(F.col("hits") >= need)
-    firsts = shared.withColumn("token", F.expr("conv(hex(reverse(substring(tokens, 1, 8))), 16, 10)").cast("long"))
-    sizes = firsts.groupBy("token").agg(F.count("*").alias("met"))
-    wanted = written(firsts.join(sizes, "token").select("v", "n", "rep", "token", "met", "tokens", F.pmod(F.xxhash64("v"), F.ceil(F.col("met") / BLOCK)).alias("chunk")), "candidates")
+    sizes = shared.groupBy("token").agg(F.count("*").alias("met"))
+    wanted = written(shared.join(sizes, "token").select("v", "n", "rep", "token", "met", "tokens", F.pmod(F.xxhash64("v"), F.ceil(F.col("met") / BLOCK)).alias("chunk")), "candidates")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,7 +219,7 @@ def similar_documents(docs: DataFrame, *, percent: int = 80, id_col: str = "doc_
         more = blocks.groupBy("token", "chunk").applyInArrow(tree, "a long, b long")
         links = written(links.unionByName(more), "links")
         linked = written(components(links), "components")
-    links = links.unionByName(_late_links(sets, linked, percent))
+    links = links.unionByName(_cross_links(sets, linked, percent))
     final = components(links)
     named_by = vertices.select("v", "rep")
     least = named_by.join(final, "v").groupBy("c").agg(F.min("rep").alias("component_id"))
@@ -219,52 +228,42 @@ def similar_documents(docs: DataFrame, *, percent: int = 80, id_col: str = "doc_
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
-def _late_links(sets: DataFrame, linked: DataFrame, percent: int) -> DataFrame:
-    """Links between components of the first round, found where they share hashes."""
-    spark = sets.sparkSession
+def _cross_links(sets: DataFrame, linked: DataFrame, percent: int) -> DataFrame:
+    """Links between sets of different blocks and components.
+
+    Of two such sets the one of the lesser component visits the block of the other. A set of m hits that
+    must share `need` of them with a partner still shares one when the need - 1 most frequent are left
+    out, so those don't send it anywhere; nor does a block without sets of a size near its own.
+    """
+    step = math.log(100 / percent) * (1 + 1e-9)
+    block = F.xxhash64("token", "chunk").alias("block")
+    own = sets.select("v", "n", block, "tokens").join(linked, "v", "left").withColumn("c", F.coalesce("c", "v"))
+    weight = own.groupBy("c").agg(F.count("*").alias("size"))
+    own = own.join(weight, "c").withColumn("rank", F.struct("size", "c")).withColumn("band", F.floor(F.log("n") / step).cast("int"))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tokens = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
             take = pa.array(np.repeat(np.arange(len(tokens)), [len(x) for x in tokens]))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int64))], ["v", "token"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int64)), *(batch.column(c).take(take) for c in (2, 3, 4, 5, 6))], ["v", "token", "n", "block", "band", "size", "c"])
+
+    rows = own.select("v", "tokens", "n", "block", "band", "size", "c").mapInArrow(spread, "v long, token long, n long, block long, band int, size long, c long")
+    rows = written(rows.withColumn("rank", F.struct("size", "c")).drop("size", "c"), "hashes")
+    homes = rows.groupBy("token", "band", "block").agg(F.max("rank").alias("top"))
+    seen = rows.groupBy("token").agg(F.count("*").alias("df"), F.min("rank").alias("low"), F.max("rank").alias("high"))
+    need = F.expr(f"int((n * {percent} + 99) div 100 * {EXTRA} div 100)")
+    common = F.row_number().over(Window.partitionBy("v").orderBy(F.desc("df"), "token"))
+    rare = rows.join(seen, "token").withColumn("_at", common).filter((F.col("_at") > need) & (F.col("low") < F.col("high")))
+    going = rare.select("v", "token", F.col("block").alias("_home"), "rank", F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)])).alias("band"))
+    visits = going.join(homes, ["token", "band"]).filter("block <> _home and rank < top").select("v", "block").distinct()
+    visits = written(visits, "visits")
+
+    whole = sets.select("v", "n", block, "hashes").join(own.select("v", "c"), "v")
+    guests = visits.join(whole.drop("block"), "v").withColumn("guest", F.lit(True))
+    hosts = whole.join(visits.select("block").distinct(), "block", "left_semi").withColumn("guest", F.lit(False))
 
-    def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bits = [bitmap(h := np.frombuffer(x, U64), min(1 << 14, wide_enough(len(h)))).tobytes() for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits, pa.binary())], ["v", "n", "bits"])
-
-    own = sets.select("v", "n", "tokens").join(linked, "v", "left").withColumn("c", F.coalesce("c", "v"))
-    spread_out = own.select("v", "tokens").mapInArrow(spread, "v long, token long").join(own.select("v", "c"), "v")
-    open_ = spread_out.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("token")
-    members = written(spread_out.join(open_, "token"), "open-hashes")
-    buckets = max(1, members.count() // 20_000, shuffle_partitions(spark))
-    bits = sets.select("v", "n", "hashes").mapInArrow(maps, "v long, n long, bits binary")
-    rows = members.join(bits, "v").withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets)))
-
-    def name(table: pa.Table) -> pa.Table:
-        token, v, c, n = (table.column(x).to_numpy() for x in ("token", "v", "c", "n"))
-        raw = table.column("bits")
-        order = np.lexsort((n, c, token))
-        cuts = np.flatnonzero(np.diff(token[order])) + 1
-        out: set[tuple[int, int]] = set()
-        for group in np.split(order, cuts):
-            words = [np.frombuffer(raw[int(i)].as_py(), U64) for i in group]
-            width = min(len(x) for x in words) * 64
-            _, labels = np.unique(c[group], return_inverse=True)
-            tree = SignatureTree(n[group], np.stack([folded(x, width) for x in words]), percent)
-            for i, j in tree.pairs(lambda labels=labels: labels):
-                apart = labels[i] != labels[j]
-                out.update((min(x, y), max(x, y)) for x, y in zip(v[group][i[apart]].tolist(), v[group][j[apart]].tolist(), strict=True))
-        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
-
-    pairs = rows.groupBy("bucket").applyInArrow(name, "a long, b long").distinct()
-    left = sets.select(F.col("v").alias("a"), F.col("hashes").alias("left"))
-    right = sets.select(F.col("v").alias("b"), F.col("hashes").alias("right"))
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = [_similar(np.frombuffer(x, U64), np.frombuffer(y, U64), percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+    def meet(key: tuple, table: pa.Table) -> pa.Table:
+        return _tree_links(table, percent, visits=True)
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(verify, "a long, b long")
+    cols = ["v", "c", "guest", "block", "hashes"]
+    return guests.select(*cols).unionByName(hosts.select(*cols)).groupBy("block").applyInArrow(meet, "a long, b long")

@@ -18,14 +18,6 @@ def bitmap(s: np.ndarray, width: int) -> np.ndarray:
     return np.packbits(bits, bitorder="little").view(np.uint64)
 
 
-def folded(words: np.ndarray, width: int) -> np.ndarray:
-    """A wider bitmap as one of `width` bits."""
-    while len(words) * 64 > width:
-        half = len(words) // 2
-        words = words[:half] | words[half:]
-    return words
-
-
 def wide_enough(n: int) -> int:
     return 1 << max(6, (2 * int(n) - 1).bit_length())
 

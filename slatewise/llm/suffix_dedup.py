@@ -8,7 +8,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slatewise.llm.anchors import Anchors, anchors
@@ -18,13 +19,15 @@ from slatewise.llm.ngram_join import _shared_tokens
 from slatewise.session import shuffle_partitions, workers_see
 
 #: Bytes of text looked at together in a task.
-SLICE = 4 << 20
+SLICE = 1 << 20
 #: Suffixes that a task sorts as one run.
 RUN = 400_000
 #: Bytes of text sampled for the borders of the key ranges.
 SAMPLED = 16 << 20
-#: Windows compared at once where runs of one anchor differ.
-WINDOWS = 1 << 20
+#: Windows compared byte by byte at once where runs of one anchor differ.
+WINDOWS = 1 << 16
+#: Merged entries held before their spans are told.
+HELD = 1 << 14
 #: Ends the right part of a key; UTF-8 never holds it.
 MARK = b"\xff"
 
@@ -76,14 +79,15 @@ def repeated_spans(docs: DataFrame, *, window: int = 50, gram: int = 26) -> Data
         held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
             ids, rows = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
-            wanted = batch.column(3)
+            wanted = batch.column(3)  # null: nothing of this row is shared, or it is a copy
             for at, data, offsets in _slices(batch.column(2)):
                 a = anchors(data, offsets, window, gram)
                 token = ((a.hash >> U64(20)) & U64(0xFFFFFFFF)).astype(np.int64) << bits | (a.hash & U64(parts - 1)).astype(np.int64)
                 cut = np.searchsorted(a.row, np.arange(len(offsets)))
                 keep = np.zeros(len(token), bool)
                 for i in range(len(offsets) - 1):
-                    keep[cut[i] : cut[i + 1]] = np.isin(token[cut[i] : cut[i + 1]], np.frombuffer(wanted[at + i].as_py(), np.int64))
+                    if (own := wanted[at + i].as_py()) is not None:
+                        keep[cut[i] : cut[i + 1]] = np.isin(token[cut[i] : cut[i + 1]], np.frombuffer(own, np.int64))
                 a = a.pick(keep)
                 keys += _keys(data.tobytes(), a, window)
                 held.append((ids[at + a.row], rows[at + a.row], a.low - offsets[a.row]))
@@ -94,7 +98,8 @@ def repeated_spans(docs: DataFrame, *, window: int = 50, gram: int = 26) -> Data
             yield _coded(keys, held, borders, gram)
 
     texts = docs.select("doc_id", "row_key", "text")
-    both = texts.join(info.hint("shuffle_hash"), ["doc_id", "row_key"]).select("doc_id", "row_key", "text", "tokens")
+    # a left join here and below: both then read one and the same shuffle of the texts
+    both = texts.join(info.hint("shuffle_hash"), ["doc_id", "row_key"], "left").select("doc_id", "row_key", "text", "tokens")
     coded = both.mapInArrow(sorted_runs, "part int, common binary, sizes binary, rest binary, counts binary, ids binary, rows binary, lows binary")
 
     def merge_part(table: pa.Table) -> pa.Table:
@@ -143,16 +148,16 @@ def _coded(keys: list[bytes], held: list[tuple[np.ndarray, ...]], borders: list[
     for part, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
         if a < b:
             x, y = ends[a], ends[b]
-            values = (part, *front_code(distinct[a:b]), np.array(counts[a:b], np.uint32).tobytes(), ids[x:y].astype(np.int64).tobytes(), rows[x:y].astype(np.int64).tobytes(), lows[x:y].astype(np.int64).tobytes())
-            for c, v in zip(out, values, strict=True):
+            blocks = (*front_code(distinct[a:b]), np.array(counts[a:b], np.uint32), ids[x:y].astype(np.int64), rows[x:y].astype(np.int32), lows[x:y].astype(np.int32))
+            for c, v in zip(out, (part, *(zstandard.compress(bytes(z), 1) for z in blocks)), strict=True):
                 out[c].append(v)
     return pa.RecordBatch.from_arrays([pa.array(out["part"], pa.int32()), *(pa.array(x, pa.binary()) for c, x in out.items() if c != "part")], list(out))
 
 
 def _merged(table: pa.Table, window: int, gram: int) -> pa.Table:
     """Merge the runs of one key range and tell the spans that repeat a smaller document."""
-    cols = {c: table.column(c).to_pylist() for c in ("common", "sizes", "rest", "counts", "ids", "rows", "lows")}
-    ids, rows, lows = ([np.frombuffer(x, np.int64) for x in cols[c]] for c in ("ids", "rows", "lows"))
+    cols = {c: [zstandard.decompress(x) for x in table.column(c).to_pylist()] for c in ("common", "sizes", "rest", "counts", "ids", "rows", "lows")}
+    ids, rows, lows = ([np.frombuffer(x, kind).astype(np.int64) for x in cols[c]] for c, kind in (("ids", np.int64), ("rows", np.int32), ("lows", np.int32)))
     ends = [np.concatenate([[0], np.cumsum(np.frombuffer(x, np.uint32))]).tolist() for x in cols["counts"]]
     base = np.cumsum([0, *(len(x) for x in ids)])
     ids, rows, lows = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (ids, rows, lows))
@@ -174,7 +179,7 @@ def _merged(table: pa.Table, window: int, gram: int) -> pa.Table:
     last = b""
     for key, common, run in merge([decode(*x) for x in zip(cols["common"], cols["sizes"], cols["rest"], strict=True)]):
         if common < gram or not keys:
-            if pending >= WINDOWS // 16:
+            if pending >= HELD:
                 flush()
                 pending = 0
             group += 1
@@ -258,9 +263,14 @@ def _removed(size: int, copy: bool, spans: list[int] | None, window: int) -> lis
     return runs
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """Tells rows of one id apart by their texts (32 bits)."""
+    return F.hash(doc_id.cast("long"), F.xxhash64(F.coalesce(text, F.lit("")))).cast("long")
+
+
 def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.withColumn("row_key", F.xxhash64("doc_id", "text"))
+    return rows.withColumn("row_key", row_key(F.col("doc_id"), F.col("text")))
 
 
 def repeat_report(docs: DataFrame, *, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
