@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import CountVectorizer, Normalizer, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.recommendation import ALS, ALSModel
@@ -111,17 +113,34 @@ def fused_vectors(terms: DataFrame, factors: DataFrame, vocabulary: DataFrame, *
 def neighbours(queries: DataFrame, vectors: DataFrame, *, k: int = 20, min_score: float | None = None, blocks: int = 8, normalise: bool = False) -> DataFrame:
     """(query_id, item_id, score, rank): exact top k by dot product (of unit vectors if `normalise`), not the query itself.
 
-    Items are dealt into blocks and each block keeps k a query before the lists are merged, so no list of
-    all pairs is sorted.
+    Items are dealt into blocks; a block's matrix product with the queries keeps k a query before the
+    lists are merged, so no list of all pairs is made. Scores count to 9 digits; ties go to the smaller id.
     """
-    unit = (lambda c: S.l2_normalize(c)) if normalise else (lambda c: c)
+    unit = (lambda c: S.l2_normalize(c)) if normalise else (lambda c: c.cast("array<double>"))
     q = queries.select(F.col("item_id").alias("query_id"), unit(F.col("vec")).alias("qv"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    v = vectors.select("item_id", unit(F.col("vec")).alias("vec"), F.pmod(F.hash("item_id"), F.lit(blocks)).alias("block"))
-    scored = q.join(v, "block").filter("query_id <> item_id").select("query_id", "item_id", "block", S.dot(F.col("qv"), F.col("vec")).alias("score"))
-    if min_score is not None:
-        scored = scored.filter(F.col("score") > min_score)
-    part = F.row_number().over(Window.partitionBy("query_id", "block").orderBy(F.desc("score"), "item_id"))
-    best = scored.withColumn("_k", part).filter(F.col("_k") <= k)
+    v = vectors.select(F.col("item_id").alias("item_id"), unit(F.col("vec")).alias("vec"), F.pmod(F.hash("item_id"), F.lit(blocks)).alias("block"))
+
+    def product(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"query_id": [], "item_id": [], "score": []}).astype({"query_id": "int64", "item_id": "int64", "score": "float64"})
+        b = b.sort_values("item_id")
+        ids, right = b["item_id"].to_numpy(), np.stack(b["vec"].to_numpy()).T
+        out = []
+        for at in range(0, len(a), 256):
+            part = a.iloc[at : at + 256]
+            asked = part["query_id"].to_numpy()
+            scores = np.round(np.stack(part["qv"].to_numpy()) @ right, 9)
+            scores[asked[:, None] == ids[None, :]] = -np.inf
+            if min_score is not None:
+                scores[scores <= min_score] = -np.inf
+            order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+            rows = np.repeat(np.arange(len(part)), order.shape[1])
+            best = scores[rows, order.ravel()]
+            good = np.isfinite(best)
+            out.append(pd.DataFrame({"query_id": asked[rows][good], "item_id": ids[order.ravel()][good], "score": best[good]}))
+        return pd.concat(out)
+
+    best = q.groupBy("block").cogroup(v.groupBy("block")).applyInPandas(product, "query_id long, item_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "item_id", F.round("score", 4).alias("score"), "rank")
 
@@ -242,11 +261,8 @@ def hash_embed(texts: DataFrame, *, size: int = 384, key: str = "item_id", text:
 
 def two_tower_encode(rows: DataFrame, *, out: int = 64, seed: int = 64, key: str = "item_id", column: str = "inputs") -> DataFrame:
     """(key, vec): a fixed random projection of each input vector, negative parts cut to 0, length 1."""
-    import numpy as np
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
 
-    @pandas_udf("array<double>")
+    @F.pandas_udf("array<double>")
     def encode(x: pd.Series) -> pd.Series:
         m = np.stack(x.to_numpy()).astype(np.float64) if len(x) else np.zeros((0, 1))
         w = np.random.default_rng(seed).standard_normal((m.shape[1], out)) / np.sqrt(m.shape[1])

@@ -12,8 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
+#: Rows of an Arrow batch: whole texts go through batches, and a worker's memory grows with them.
+BATCH_ROWS = 2000
+
+
 def workers_see(spark: SparkSession) -> None:
-    """Let Python workers import this package even if only the driver's sys.path names it."""
+    """Let Python workers import this package even if only the driver's sys.path names it, and keep their batches small."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
     env = spark.sparkContext.environment
     parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in parts:
