@@ -21,7 +21,7 @@ from slatewise.session import shuffle_partitions, workers_see
 #: Bytes of text looked at together in a task.
 SLICE = 1 << 20
 #: Suffixes that a task sorts as one run.
-RUN = 400_000
+RUN = 200_000
 #: Bytes of text sampled for the borders of the key ranges.
 SAMPLED = 16 << 20
 #: Windows compared byte by byte at once where runs of one anchor differ.
