@@ -17,14 +17,15 @@ from slatewise.streaming import jobs as J
 
 
 def _events(spark, d):
-    return table(spark, d, "events").withColumn("item_id", F.get_json_object("props", "$.k").try_cast("long")).withColumn("session_id", F.col("user_id").cast("string"))
+    return table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("item_id", F.get_json_object("props", "$.k").try_cast("long")).withColumn("session_id", F.col("user_id").cast("string"))
 
 
 def _streamed(spark, d, job, mode: str = "append") -> DataFrame:
     """Run a job over the event log as a stream of files and return all it put out."""
     base = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
     _events(spark, d).repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(f"{base}/in")
-    stream = J.events_stream(spark, f"{base}/in", _events(spark, d).schema.simpleString().removeprefix("struct<").removesuffix(">"))
+    # files of one write carry no order, so those that a watermark could call late come together
+    stream = J.events_stream(spark, f"{base}/in", _events(spark, d).schema, per_trigger=4)
     out = job(stream)
     J.drain(out, lambda batch, n: batch.withColumn("_batch", F.lit(n)).write.mode("append").parquet(f"{base}/out"), f"{base}/state", mode=mode)
     return spark.read.schema(out.schema.add("_batch", "long")).parquet(f"{base}/out")

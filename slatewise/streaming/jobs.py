@@ -8,11 +8,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from slatewise.functions import scalars as S
 
 
-def events_stream(spark: SparkSession, path: str, schema: str, *, per_trigger: int = 1, fmt: str = "parquet") -> DataFrame:
+def events_stream(spark: SparkSession, path: str, schema: StructType | str, *, per_trigger: int = 1, fmt: str = "parquet") -> DataFrame:
     """The event log as a stream of files; delivery is at least once, so see `without_repeats`."""
     return spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", per_trigger).load(path)
 
