@@ -209,16 +209,21 @@ def similar_documents(docs: DataFrame, *, percent: int = 80, id_col: str = "doc_
     blocks = sets.filter("met > 1")
     links = written(blocks.groupBy("token", "chunk").applyInArrow(tree, "a long, b long"), "links")
     linked = written(components(links), "components")
-    while (blocks.agg(F.max("met")).first()[0] or 0) > BLOCK:
-        # leaders of cut blocks meet, in fewer parts each time
-        followers = linked.filter("v <> c").select("v")
-        leaders = blocks.filter(F.col("met") > BLOCK).join(followers, "v", "left_anti")
-        left = leaders.groupBy("token").agg(F.count("*").alias("now"))
-        again = leaders.join(left, "token").withColumn("chunk", F.pmod(F.xxhash64("v", F.lit(1)), F.ceil(F.col("now") / BLOCK))).withColumn("met", F.least(F.col("now"), F.col("met") - 1)).drop("now")
-        blocks = written(again, "leaders")
-        more = blocks.groupBy("token", "chunk").applyInArrow(tree, "a long, b long")
-        links = written(links.unionByName(more), "links")
+    cut = blocks.filter(F.col("met") > BLOCK)
+    before = cut.count()
+    while before:
+        # the leaders of cut blocks meet; it saves visits later, so it ends where it no longer halves them
+        leaders = cut.join(linked.filter("v <> c").select("v"), "v", "left_anti")
+        now = leaders.count()
+        if 2 * now > before:
+            break
+        met = leaders.groupBy("token").agg(F.count("*").alias("met"))
+        again = leaders.drop("met").join(met, "token").withColumn("chunk", F.pmod(F.xxhash64("v", F.lit(now)), F.ceil(F.col("met") / BLOCK)))
+        again = written(again, "leaders")
+        links = written(links.unionByName(again.groupBy("token", "chunk").applyInArrow(tree, "a long, b long")), "links")
         linked = written(components(links), "components")
+        cut = again.filter(F.col("met") > BLOCK)
+        before = cut.count()
     links = links.unionByName(_cross_links(sets, linked, percent))
     final = components(links)
     named_by = vertices.select("v", "rep")
