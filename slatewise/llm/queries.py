@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from slatewise.llm.licences import COPYRIGHT, LOWER, NOTICES, SPELLINGS, UPPER, licence_scan
 from slatewise.llm.neighbours import nearest
 from slatewise.llm.ngram_join import similar_documents
 from slatewise.llm.packing import packed_sequences
 from slatewise.llm.quality import fit_rules, quality_scores
+from slatewise.llm.sentences import decoded, encoded
 from slatewise.llm.sharding import interleaved_shards
 from slatewise.llm.suffix_dedup import repeat_report
 from slatewise.llm.token_counts import token_counts
@@ -18,6 +20,15 @@ from slatewise.llm.top_k import exact_top_k, quantised
 from slatewise.session import table
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = decoded(encoded(table(spark, sf_dir, "documents")))
+    return rows.select("doc_id", "n_bytes", "n_tokens", "ids_crc32", F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_scan(table(spark, sf_dir, "documents"))
+
+
 def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = quantised(table(spark, sf_dir, "embeddings"))
     return exact_top_k(vectors.filter(F.col("vec_id") % 50 == 0), vectors, k=5)
@@ -54,7 +65,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_top_k, op4_suffix_dedup, op5_ngram_join, op6_nearest, op7_quality, op8_token_counts, op9_sharding, op10_packing)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_top_k, op3_licences, op4_suffix_dedup, op5_ngram_join, op6_nearest, op7_quality, op8_token_counts, op9_sharding, op10_packing)}
 
 
 OP2 = """
@@ -73,6 +84,22 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+
+
+def _canonical(text: str) -> str:
+    out = f"regexp_replace(translate({text}, '{UPPER}', '{LOWER}'), '{COPYRIGHT}', '', 'g')"
+    for old, new in SPELLINGS:
+        out = f"replace({out}, '{old}', '{new}')"
+    return f"trim(regexp_replace({out}, '[^a-z0-9]+', ' ', 'g'))"
+
+
+OP3 = f"""
+WITH k AS (SELECT licence, sha256({_canonical("notice")}) AS d FROM (VALUES {", ".join(f"('{a}', '{b}')" for a, b in sorted(NOTICES.items()))}) t(licence, notice)),
+l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
+h AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT licence, ',' ORDER BY licence) AS s FROM l JOIN k ON k.d = sha256({_canonical("line")}) GROUP BY 1)
+SELECT documents.doc_id, k.licence AS text_licence, coalesce(h.n, 0) AS n_lines, coalesce(h.s, '') AS licences
+FROM documents LEFT JOIN k ON k.d = sha256({_canonical("coalesce(text, '')")}) LEFT JOIN h ON h.doc_id = documents.doc_id
+"""
 OP5 = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
@@ -96,4 +123,4 @@ GROUP BY d.doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_top_k": OP2, "op5_ngram_join": OP5}
+    return {"op2_top_k": OP2, "op3_licences": OP3, "op5_ngram_join": OP5}

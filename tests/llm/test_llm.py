@@ -238,3 +238,38 @@ def test_quality(spark, docs, nothing):
     assert quality_scores(docs, model).count() == len(_awkward()) and quality_scores(nothing, model).count() == 0
     assert keep_quality(docs, RuleEnsemble(5.0)).columns == docs.columns and keep_quality(docs, RuleEnsemble(-5.0)).count() == 0
     assert fit_rules(d, lab.filter("false")).score() is not None
+
+
+def test_sentencepiece_round_trip(docs, nothing):
+    import sentencepiece
+
+    from slatewise.llm.sentences import decoded, encoded
+
+    k = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    want = sorted(((i, len((t or "").encode()), len(ids := k.encode(t or "")), zlib.crc32(np.array(ids, "<u4").tobytes()), k.decode(ids)) for i, t, *_ in _awkward()), key=str)
+    assert sorted((tuple(r) for r in decoded(encoded(docs)).collect()), key=str) == want
+    assert encoded(nothing).count() == 0
+
+
+def test_streaming_viterbi_is_the_best_path():
+    from slatewise.llm.sentences import StreamingViterbi
+
+    r = random.Random(1)
+    pieces = {"".join(r.choice("abc") for _ in range(r.randint(1, 5))): -r.random() * 5 for _ in range(60)}
+    v = StreamingViterbi(pieces)
+    for _ in range(50):
+        s = "".join(r.choice("abcd") for _ in range(r.randint(0, 120)))
+        out = list(v.segments([s[i : i + 7] for i in range(0, len(s), 7)]))
+        best = [0.0]
+        for a in range(1, len(s) + 1):
+            best.append(max(best[b] + pieces.get(s[b:a], -100.0 if a - b == 1 else -1e18) for b in range(max(0, a - 5), a)))
+        assert "".join(out) == s and abs(sum(pieces.get(o, -100.0) for o in out) - best[-1]) < 1e-6
+
+
+def test_licences(spark, docs, nothing):
+    from slatewise.llm.licences import licence_scan
+
+    rows = [(1, "Copyright 2020 Somebody\nlicensed under the mit licence"), (2, "text\nAll rights reserved.\nLICENSED UNDER CC BY-NC 4.0\n"), (3, None), (4, ""), (2, "text\nAll rights reserved.\nLICENSED UNDER CC BY-NC 4.0\n"), (None, "All rights reserved")]
+    got = sorted((tuple(r) for r in licence_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(1, "MIT", 1, "MIT"), (2, None, 2, "CC-BY-NC-4.0,Proprietary"), (2, None, 2, "CC-BY-NC-4.0,Proprietary"), (3, None, 0, ""), (4, None, 0, ""), (None, "Proprietary", 1, "Proprietary")], key=str)
+    assert licence_scan(docs).count() == len(_awkward()) and licence_scan(nothing).count() == 0
