@@ -120,7 +120,7 @@ def item_similarity(spark, d):
 
 
 @query(f"""WITH v AS ({VECTORS}), u AS (SELECT item_id, list_transform(vec, lambda x: x / sqrt(list_dot_product(vec, vec))) AS vec FROM v), s AS (SELECT a.item_id AS query_id, b.item_id, list_dot_product(a.vec, b.vec) AS score FROM u a JOIN u b ON a.item_id <> b.item_id WHERE a.item_id % 10 = 0),
-k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, item_id) AS rank FROM s) SELECT query_id, item_id, round(score, 4) AS score, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 20""")
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, item_id) AS rank FROM s) SELECT query_id, item_id, round(round(score, 9), 4) AS score, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 20""")
 def similar_by_vector(spark, d):
     v = vectors(spark, d)
     return R.neighbours(v.filter("item_id % 10 = 0"), v, k=20, normalise=True)
@@ -137,13 +137,13 @@ def user_vector_candidates(spark, d):
 
 
 SIM = f"""v AS ({VECTORS}), u AS (SELECT item_id, list_transform(vec, lambda x: x / sqrt(list_dot_product(vec, vec))) AS vec FROM v), s AS (SELECT a.item_id AS query_id, b.item_id, list_dot_product(a.vec, b.vec) AS score FROM u a JOIN u b ON a.item_id <> b.item_id),
-sim AS (SELECT query_id, item_id, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, item_id) AS rank FROM s) WHERE rank <= 5)"""
+sim AS (SELECT query_id, item_id, round(round(score, 9), 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, item_id) AS rank FROM s) WHERE rank <= 5)"""
 
 
-@query("WITH " + SIM + """ SELECT i.user_id, sim.item_id, round(sum(score), 3) AS score FROM interactions i JOIN sim ON sim.query_id = i.item_id WHERE NOT EXISTS (SELECT 1 FROM interactions h WHERE h.user_id = i.user_id AND h.item_id = sim.item_id) GROUP BY 1, 2""")
+@query("WITH " + SIM + """ SELECT i.user_id, sim.item_id, round(sum(score), 4) AS score FROM interactions i JOIN sim ON sim.query_id = i.item_id WHERE NOT EXISTS (SELECT 1 FROM interactions h WHERE h.user_id = i.user_id AND h.item_id = sim.item_id) GROUP BY 1, 2""")
 def item_cf_scores(spark, d):
     v = vectors(spark, d)
-    return R.item_cf_scores(B.interactions(spark, d), R.neighbours(v, v, k=5, normalise=True)).withColumn("score", F.round("score", 3))
+    return R.item_cf_scores(B.interactions(spark, d), R.neighbours(v, v, k=5, normalise=True)).withColumn("score", F.round("score", 4))
 
 
 @query("""WITH c AS (SELECT user_id, item_id, CAST(rating AS DOUBLE) AS score, 'rated' AS source FROM interactions WHERE rating >= 4.5), t AS (SELECT item_id FROM items ORDER BY popularity DESC, item_id LIMIT 10), p AS (SELECT item_id FROM items ORDER BY item_id LIMIT 30), u AS (SELECT DISTINCT user_id FROM interactions ),
