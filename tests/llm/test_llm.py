@@ -273,3 +273,26 @@ def test_licences(spark, docs, nothing):
     got = sorted((tuple(r) for r in licence_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
     assert got == sorted([(1, "MIT", 1, "MIT"), (2, None, 2, "CC-BY-NC-4.0,Proprietary"), (2, None, 2, "CC-BY-NC-4.0,Proprietary"), (3, None, 0, ""), (4, None, 0, ""), (None, "Proprietary", 1, "Proprietary")], key=str)
     assert licence_scan(docs).count() == len(_awkward()) and licence_scan(nothing).count() == 0
+
+
+def test_licences_of_every_given_wording_and_whole_text(spark):
+    from pathlib import Path
+
+    import pyarrow.parquet as pq
+
+    from slatewise.llm import licences as L
+
+    texts = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"])["text"].to_pylist()
+    lines = {line for t in texts for line in (t or "").split("\n") if "licensed under" in line.lower() or "released under" in line.lower() or "rights reserved" in line.lower()}
+    want = {"Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Released under the MIT License.": "MIT", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "All rights reserved.": "Proprietary", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0"}
+    assert lines == set(want)
+    wordings = [*want.items(), ("Licensed under the GNU GPL v3.0", "GPL-3.0"), ("this work is released under the MIT licence", "MIT"), ("Licensed under the GNU General Public License v2.0", None)]
+    got = {r["doc_id"]: r for r in L.licence_scan(spark.createDataFrame([(n, w) for n, (w, _) in enumerate(wordings)], "doc_id long, text string")).collect()}
+    assert [got[n]["text_licence"] for n in range(len(wordings))] == [x for _, x in wordings]
+    assert [got[n]["n_lines"] for n in range(len(wordings))] == [int(x is not None) for _, x in wordings]
+
+    whole = {p.name.split(".txt")[0].removesuffix(".university"): p.read_text() for p in sorted((Path(L.__file__).parent / "licence_texts").glob("*.txt"))}
+    assert {"MIT", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-3.0"} <= set(whole)
+    copies = [(k, t) for k, t in whole.items()] + [("MIT", "Copyright 2021 A. Person\n\n" + whole["MIT"].split("\n\n", 2)[2]), ("Apache-2.0", whole["Apache-2.0"].split("   APPENDIX")[0]), (None, whole["MIT"] + "but not for you")]
+    found = {r["doc_id"]: r["text_licence"] for r in L.licence_scan(spark.createDataFrame([(n, t) for n, (_, t) in enumerate(copies)], "doc_id long, text string")).collect()}
+    assert [found[n] for n in range(len(copies))] == [k for k, _ in copies]
