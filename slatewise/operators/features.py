@@ -106,16 +106,34 @@ def rank_candidates(scored: DataFrame, items: DataFrame) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(order))
 
 
-def recommend_all(users: DataFrame, items: DataFrame, *, k: int = 10, blocks: int = 16) -> DataFrame:
-    """Top k of the whole catalogue per user by `user_bias` and `item_score`, block by block: each block keeps k a user."""
-    u = users.select("user_id", "user_bias", "genre_set").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    i = items.select("item_id", "item_score", "genre_list", F.pmod(F.hash("item_id"), F.lit(blocks)).alias("block"))
-    score = F.col("item_score") + F.col("user_bias") + 0.1 * S.genre_overlap(F.col("genre_list"), F.col("genre_set"))
-    rows = u.join(i, "block").select("user_id", "item_id", "block", F.round(score, 9).alias("score"))
-    part = Window.partitionBy("user_id", "block").orderBy(F.desc("score"), "item_id")
-    best = rows.withColumn("_k", F.row_number().over(part)).filter(F.col("_k") <= k)
+def recommend_all(users: DataFrame, items: DataFrame, *, k: int = 10) -> DataFrame:
+    """Top k of the whole catalogue per user by `user_bias` and `item_score`, exact, without scoring every pair.
+
+    The k-th best `item_score` is a floor: overlap only adds, 0.1 a genre, so an item below it needs so many shared genres
+    to come among a user's k. One that needs r of its m genres shares one of any m - r + 1 of them, so it is found by its
+    rarest ones. Items without a shared genre are the same for all users: the best k, and their equals to 9 digits.
+    """
+    best = items.select("item_score").orderBy(F.desc("item_score")).limit(k)  # k rows
+    floor = F.broadcast(best.agg(F.when(F.count("*") == k, F.min("item_score") - 2e-9).alias("_floor")))
+    own = items.select("item_id", "item_score", "genre_list", F.array_distinct(F.coalesce("genre_list", F.array().cast("array<string>"))).alias("_g")).crossJoin(floor)
+    equals = Window.partitionBy("_s").orderBy("item_id")
+    top = own.filter(F.col("_floor").isNull() | (F.col("item_score") >= F.col("_floor"))).withColumn("_s", F.round("item_score", 9)).withColumn("_k", F.row_number().over(equals)).filter(F.col("_k") <= k)
+    overlap = S.genre_overlap(F.col("genre_list"), F.col("genre_set"))
+    alike = users.select("user_id", "user_bias", "genre_set").crossJoin(F.broadcast(top.select("item_id", "item_score", "genre_list"))).withColumn("_o", overlap).filter("_o <= 0")
+
+    wanted = users.select("user_id", "user_bias", "genre_set", F.explode(F.array_distinct("genre_set")).alias("_genre"))
+    asked = wanted.groupBy("_genre").agg(F.count("*").alias("_n"))
+    need = F.greatest(F.lit(1), F.coalesce(F.ceil((F.col("_floor") - F.col("item_score")) / 0.1 - 1e-6), F.lit(1)))
+    keyed = own.withColumn("_most", F.size("_g") - need + 1).filter("_most > 0").select("item_id", "item_score", "genre_list", "_floor", "_most", F.explode("_g").alias("_genre")).join(asked, "_genre", "left")
+    rare = F.row_number().over(Window.partitionBy("item_id").orderBy(F.coalesce("_n", F.lit(0)), "_genre"))
+    keyed = keyed.withColumn("_r", rare).filter("_r <= _most").withColumn("_keys", F.collect_list("_genre").over(Window.partitionBy("item_id"))).filter("_n is not null")
+    # a pair is taken at the first of the item's keys that the user has
+    pairs = wanted.join(keyed, "_genre").filter(F.element_at(F.array_intersect("_keys", "genre_set"), 1) == F.col("_genre")).withColumn("_o", overlap)
+    pairs = pairs.filter(F.col("_floor").isNull() | (F.col("item_score") + 0.1 * F.col("_o") >= F.col("_floor") - 1e-9))
+
+    columns = ["user_id", "item_id", F.round(F.col("item_score") + F.col("user_bias") + 0.1 * F.col("_o"), 9).alias("score")]
     rank = Window.partitionBy("user_id").orderBy(F.desc("score"), "item_id")
-    return best.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k).select("user_id", "item_id", "score", "rank")
+    return alike.select(*columns).unionByName(pairs.select(*columns)).withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
 
 
 def mmr(slates: DataFrame, *, limit: int = 10, pool: int = 250, epsilon: float = 1e-6, cosine: bool = False) -> DataFrame:

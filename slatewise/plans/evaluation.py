@@ -125,7 +125,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, ite
 def recommend_all(spark, d):
     r, items = B.interactions(spark, d), B.items(spark, d)
     liked = A.liked_rows(r, threshold=4.5).join(C.explode_genres(items), "item_id").groupBy("user_id").agg(F.collect_set("genre").alias("genre_set"))
-    users = r.filter("user_id % 20 = 0").groupBy("user_id").agg(F.avg("rating").alias("user_bias")).join(liked, "user_id", "left").withColumn("genre_set", F.coalesce("genre_set", F.array().cast("array<string>")))
+    users = r.groupBy("user_id").agg(F.avg("rating").alias("user_bias")).join(liked, "user_id", "left").withColumn("genre_set", F.coalesce("genre_set", F.array().cast("array<string>")))
     rows = r.groupBy("item_id").agg(F.avg("rating").alias("item_score")).join(items.select("item_id", F.split("genres", r"\|").alias("genre_list")), "item_id")
     return X.recommend_all(users, rows)
 

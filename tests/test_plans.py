@@ -40,3 +40,25 @@ def test_entry_runs(spark):
 def test_registry_is_complete():
     assert set(ORACLES) <= set(QUERIES)
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_recommend_all_serves_every_user(spark, duck):
+    sql, part = ORACLES["recommend_all"], " WHERE user_id % 20 = 0"
+    assert part in sql
+    got = QUERIES["recommend_all"](spark, DIR).toPandas()
+    assert _rows(got) == _rows(duck.sql(sql.replace(part, "")).df())
+    assert _rows(got[got["user_id"] % 20 == 0]) == _rows(duck.sql(sql).df())
+
+
+def test_recommend_all_of_ties_and_few_items(spark):
+    import random
+
+    from slatewise.operators import features as X
+
+    r = random.Random(4)
+    for n, genres in ((4, "ab"), (60, "abcdefgh"), (200, "abcdefghijklmnop")):
+        users = [(u, r.choice([0.5, 3.25]), r.sample(genres, min(len(genres), r.randint(0, 5)))) for u in range(12)]
+        items = [(i, r.choice([1.0, 2.0, 2.1, 2.5, 2.7, 3.0]), [r.choice(genres) for _ in range(r.randint(1, 6))]) for i in range(n)]
+        got = X.recommend_all(spark.createDataFrame(users, "user_id long, user_bias double, genre_set array<string>"), spark.createDataFrame(items, "item_id long, item_score double, genre_list array<string>"))
+        want = [(u, i, s, k + 1) for u, b, g in users for k, (s, i) in enumerate(sorted(((round(s + b + 0.1 * len(set(x) & set(g)), 9), i) for i, s, x in items), key=lambda p: (-p[0], p[1]))[:10])]
+        assert sorted(tuple(x) for x in got.select("user_id", "item_id", "score", "rank").collect()) == sorted(want)
