@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slatewise.functions import scalars as S
-from slatewise.operators.aggregates import bucketed_psi_edges, draw
+from slatewise.operators.aggregates import bucketed_psi_edges, dense_ids, draw
 
 
 def rmse_mae(scored: DataFrame, *, label: str = "rating", pred: str = "pred") -> DataFrame:
@@ -101,6 +101,18 @@ def truth_ranks(truth: DataFrame, scored: DataFrame) -> DataFrame:
     return scored.join(t, "user_id").groupBy("user_id").agg((1 + F.count_if(beats & (F.col("item_id") != F.col("_t")))).alias("rank"))
 
 
+def shared_ranks(truth: DataFrame, pred: DataFrame) -> DataFrame:
+    """(user_id, rank) of the truth (user_id, item_id) where `pred` (item_id, pred) is one for all users: items are ranked once.
+
+    An item that `pred` lacks comes after all that it has.
+    """
+    key = F.struct((-F.col("pred")).alias("_p"), F.col("item_id").alias("_i"))
+    places = dense_ids(pred.select(key.alias("_key")), "_key").select(F.col("_key._i").alias("item_id"), (F.col("idx") + 1).alias("_at"))
+    size = pred.agg(F.count("*").alias("_n")).filter("_n > 0")  # one row, or none
+    rows = truth.select("user_id", "item_id").join(places, "item_id", "left").crossJoin(F.broadcast(size))
+    return rows.select("user_id", F.coalesce("_at", F.col("_n") + 1).alias("rank"))
+
+
 def precision_recall(scored: DataFrame, *, k: int = 10, relevant: float = 4.0) -> DataFrame:
     """Per user precision, recall and graded NDCG at k."""
     w = Window.partitionBy("user_id")

@@ -62,3 +62,20 @@ def test_recommend_all_of_ties_and_few_items(spark):
         got = X.recommend_all(spark.createDataFrame(users, "user_id long, user_bias double, genre_set array<string>"), spark.createDataFrame(items, "item_id long, item_score double, genre_list array<string>"))
         want = [(u, i, s, k + 1) for u, b, g in users for k, (s, i) in enumerate(sorted(((round(s + b + 0.1 * len(set(x) & set(g)), 9), i) for i, s, x in items), key=lambda p: (-p[0], p[1]))[:10])]
         assert sorted(tuple(x) for x in got.select("user_id", "item_id", "score", "rank").collect()) == sorted(want)
+
+
+def test_evaluate_full_ranks_every_held_out_user(spark, duck):
+    sql, part = ORACLES["evaluate_full"], " WHERE user_id % 10 = 0"
+    assert part in sql
+    got = QUERIES["evaluate_full"](spark, DIR).toPandas()
+    assert _rows(got) == _rows(duck.sql(sql.replace(part, "")).df())
+    assert _rows(got[got["user_id"] % 10 == 0]) == _rows(duck.sql(sql).df())
+
+
+def test_unscored_items_come_last(spark):
+    from slatewise.operators import evaluation as E
+
+    pred = spark.createDataFrame([(1, 5), (2, 7), (3, 5)], "item_id long, pred long")
+    truth = spark.createDataFrame([(10, 1), (11, 2), (12, 3), (13, 9)], "user_id long, item_id long")
+    assert sorted(tuple(r) for r in E.shared_ranks(truth, pred).collect()) == [(10, 2), (11, 1), (12, 3), (13, 4)]
+    assert E.shared_ranks(truth, pred.filter("false")).count() == 0
