@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from slatewise.functions import scalars as S
 from slatewise.operators import aggregates as A
 
+#: Most rows of a block of queries and of a block of items in `neighbours`.
+BLOCK_ROWS = 16_384
+
 
 def term_counts(docs: DataFrame, tokens: Column, *, key: str = "item_id") -> DataFrame:
     """(key, term, tf) postings."""
@@ -113,12 +116,14 @@ def fused_vectors(terms: DataFrame, factors: DataFrame, vocabulary: DataFrame, *
 def neighbours(queries: DataFrame, vectors: DataFrame, *, k: int = 20, min_score: float | None = None, blocks: int = 8, normalise: bool = False) -> DataFrame:
     """(query_id, item_id, score, rank): exact top k by dot product (of unit vectors if `normalise`), not the query itself.
 
-    Items are dealt into blocks; a block's matrix product with the queries keeps k a query before the
-    lists are merged, so no list of all pairs is made. Scores count to 9 digits; ties go to the smaller id.
+    Items and queries are dealt into blocks by count; the matrix product of two blocks keeps k a query before the
+    lists are merged, so no list of all pairs is made and no task holds all queries. Scores count to 9 digits; ties go to the smaller id.
     """
     unit = (lambda c: S.l2_normalize(c)) if normalise else (lambda c: c.cast("array<double>"))
-    q = queries.select(F.col("item_id").alias("query_id"), unit(F.col("vec")).alias("qv"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    v = vectors.select(F.col("item_id").alias("item_id"), unit(F.col("vec")).alias("vec"), F.pmod(F.hash("item_id"), F.lit(blocks)).alias("block"))
+    asked_blocks, blocks = max(1, -(-queries.count() // BLOCK_ROWS)), max(blocks, -(-vectors.count() // BLOCK_ROWS))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.select(F.col("item_id").alias("query_id"), unit(F.col("vec")).alias("qv"), F.pmod(F.hash("item_id"), F.lit(asked_blocks)).alias("asked_block"), every(blocks).alias("block"))
+    v = vectors.select(F.col("item_id").alias("item_id"), unit(F.col("vec")).alias("vec"), F.pmod(F.hash("item_id"), F.lit(blocks)).alias("block"), every(asked_blocks).alias("asked_block"))
 
     def product(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
@@ -140,7 +145,7 @@ def neighbours(queries: DataFrame, vectors: DataFrame, *, k: int = 20, min_score
             out.append(pd.DataFrame({"query_id": asked[rows][good], "item_id": ids[order.ravel()][good], "score": best[good]}))
         return pd.concat(out)
 
-    best = q.groupBy("block").cogroup(v.groupBy("block")).applyInPandas(product, "query_id long, item_id long, score double")
+    best = q.groupBy("block", "asked_block").cogroup(v.groupBy("block", "asked_block")).applyInPandas(product, "query_id long, item_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "item_id", F.round("score", 4).alias("score"), "rank")
 

@@ -181,7 +181,7 @@ def similarity_export(spark, d):
     from slatewise.plans.interactions import vectors
 
     v = vectors(spark, d)
-    lists = S.similarity_lists(R.neighbours(v.filter("item_id % 10 = 0"), v, k=20, normalise=True), B.items(spark, d), snapshot="2024-01-01")
+    lists = S.similarity_lists(R.neighbours(v, v, k=20, normalise=True), B.items(spark, d), snapshot="2024-01-01")
     path = f"{scratch_dir(spark)}/similar-{uuid.uuid4().hex}"
     S.export_similarities(lists, path)
     return spark.read.parquet(path).select("item_id", F.size("similar").alias("n"), "title", "expires_at")

@@ -79,3 +79,26 @@ def test_unscored_items_come_last(spark):
     truth = spark.createDataFrame([(10, 1), (11, 2), (12, 3), (13, 9)], "user_id long, item_id long")
     assert sorted(tuple(r) for r in E.shared_ranks(truth, pred).collect()) == [(10, 2), (11, 1), (12, 3), (13, 4)]
     assert E.shared_ranks(truth, pred.filter("false")).count() == 0
+
+
+def test_similarity_export_lists_every_item(spark, duck, monkeypatch):
+    import numpy as np
+
+    from slatewise.operators import retrieval as R
+    from slatewise.plans.interactions import vectors
+
+    monkeypatch.setattr(R, "BLOCK_ROWS", 200)
+    got = QUERIES["similarity_export"](spark, DIR).toPandas()
+    assert sorted(got["item_id"]) == [i for (i,) in duck.sql("select vec_id from embeddings join part on p_partkey = vec_id order by 1").fetchall()]
+    assert set(got["n"]) == {20}
+    ids, vecs = zip(*duck.sql("select vec_id, embedding from embeddings order by vec_id").fetchall(), strict=True)
+    m = np.array(vecs, float)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    lists = {}
+    v = vectors(spark, DIR)
+    for r in R.neighbours(v, v, k=20, normalise=True).orderBy("query_id", "rank").collect():
+        lists.setdefault(r["query_id"], []).append(r["score"])
+    scores = m @ m.T
+    np.fill_diagonal(scores, -9)
+    assert sorted(lists) == list(ids)
+    assert all(np.allclose(lists[i], -np.sort(-scores[n])[:20], atol=1e-4) for n, i in enumerate(ids))
