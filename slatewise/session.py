@@ -33,10 +33,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all machines share; a local one only where the session names none (tests)."""
+    """The folder all machines share; a local one only where the session names none and runs on one machine (tests)."""
     there = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if there:
         return there
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir isn't set: it must name a folder that all machines share")
     here = spark.conf.get("slatewise.scratch.dir", None)
     if not here:
         here = "file://" + tempfile.mkdtemp(prefix="slatewise-")
@@ -49,7 +51,17 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what `written` wrote for these frames; what was made of them must have been written itself."""
+    for df in frames:
+        jvm, path = df.sparkSession._jvm, df._written_at
+        path = jvm.org.apache.hadoop.fs.Path(path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
