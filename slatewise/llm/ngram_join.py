@@ -7,14 +7,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slatewise.llm.arrays import U64, text_bytes
 from slatewise.llm.components import components
-from slatewise.llm.shingles import set_hashes, shingle_sets
+from slatewise.llm.rows import row_key
+from slatewise.llm.shared_hashes import range_count, shared_counts, with_classes
+from slatewise.llm.shingles import set_name, shingle_sets
 from slatewise.llm.signature_tree import SignatureTree, bitmap, wide_enough
-from slatewise.session import shuffle_partitions, workers_see, written
+from slatewise.session import discard, workers_see, written
 
 SLICE = 4 << 20
 #: Most sets that one tree of the first round holds; larger blocks are cut and their parts linked by leaders.
@@ -37,97 +39,57 @@ def _sets(column: pa.Array) -> Iterator[list[np.ndarray]]:
         at = to
 
 
-def _signed(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
-
-
 def signatures(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n, v, v2, prefix): set size, the set's name, and its smallest hashes.
+    """(doc_id, row_key, n, v, prefix) of each row: its id, what tells it from others of the id, size of its set, the set's name, and its smallest hashes.
 
     Two sets of at least `percent` similarity share a percent of the larger one; taken in one order of
-    all hashes, each one's first n - ceil(percent of n) + m hashes then hold m common ones.
+    all hashes, each one's first n - ceil(percent of n) + m hashes then hold m common ones. A null or empty text
+    has an empty set (n 0, no prefix); repeated rows and null ids are told row by row.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, one, two, prefix = [], [], [], []
+            n, name, prefix = [], [], []
             for part in _sets(batch.column(1)):
                 for s in part:
-                    a, b = set_hashes(s)
                     n.append(len(s))
-                    one.append(a)
-                    two.append(b)
+                    name.append(set_name(s))
                     prefix.append(s[: len(s) - _ceil_share(len(s), percent) + 1 + len(s) * EXTRA // 100].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(prefix, pa.binary())], ["doc_id", "n", "v", "v2", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(name, pa.int64()), pa.array(prefix, pa.binary())], ["doc_id", "row_key", "n", "v", "prefix"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, v long, v2 long, prefix binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), row_key(F.col(id_col), F.col(text_col)).alias("row_key"))
+    return rows.mapInArrow(run, "doc_id long, row_key long, n long, v long, prefix binary")
 
 
-def _shared_tokens(sets: DataFrame, parts: int) -> DataFrame:
-    """(v, hits, token, tokens): for each set its prefix hashes that another set's prefix holds too, and the first of them.
+def join_keys(sets: DataFrame, percent: int) -> DataFrame:
+    """(v, n, token, keys, hashes): the sets (v, hashes) that may be similar to another, with the hashes that tell of it.
 
-    Hashes are dealt into `parts` ranges in blocks of a batch each: per range the batch's sets (each set
-    once, however many copies) and 32 bits a hash. A chance meeting of those bits only adds a candidate.
+    All hashes are ordered from those that fewest sets hold. Of two similar sets the first common hash is
+    among each one's first n - ceil(percent of n) + 1, so these, without what no other set holds, are
+    a set's keys, and two similar sets have one in common. A set with more hashes of its own than
+    may differ has no key and is absent. `token` is the key that most sets hold.
     """
-    parts_bits = parts.bit_length() - 1
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            v = batch.column(0).to_numpy(zero_copy_only=False)
-            _, first = np.unique(v, return_index=True)
-            held = [np.frombuffer(batch.column(1)[int(i)].as_py(), U64) for i in first]
-            owner = np.repeat(np.arange(len(first)), [len(x) for x in held])
-            tokens = np.concatenate(held) if held else np.zeros(0, U64)
-            part = (tokens & U64(parts - 1)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            part, owner = part[order], owner[order]
-            key = ((tokens[order] >> U64(20)) & U64(0xFFFFFFFF)).astype(np.uint32)
-            bounds = np.searchsorted(part, np.arange(parts + 1))
-            rows: dict[str, list] = {"part": [], "sets": [], "counts": [], "keys": []}
-            for p in range(parts):
-                a, b = bounds[p], bounds[p + 1]
-                if a < b:
-                    who, n = np.unique(owner[a:b], return_counts=True)
-                    rows["part"].append(p)
-                    rows["sets"].append(v[first[who]].tobytes())
-                    rows["counts"].append(n.astype(np.uint32).tobytes())
-                    rows["keys"].append(key[a:b].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(rows["part"], pa.int32()), *(pa.array(rows[c], pa.binary()) for c in ("sets", "counts", "keys"))], ["part", "sets", "counts", "keys"])
-
-    def meet(key: tuple, table: pa.Table) -> pa.Table:
-        part = key[0].as_py()
-        v, keys = [], []
-        for s, c, k in zip(*(table.column(x).to_pylist() for x in ("sets", "counts", "keys")), strict=True):
-            v.append(np.repeat(np.frombuffer(s, np.int64), np.frombuffer(c, np.uint32)))
-            keys.append(np.frombuffer(k, np.uint32))
-        v, keys = np.concatenate(v), np.concatenate(keys)
-        order = np.lexsort((v, keys))
-        v, keys = v[order], keys[order]
-        new = np.ones(len(v), bool)
-        new[1:] = (v[1:] != v[:-1]) | (keys[1:] != keys[:-1])
-        v, keys = v[new], keys[new]
-        _, which, n = np.unique(keys, return_inverse=True, return_counts=True)
-        shared = n[which] > 1
-        v, token = v[shared], (keys[shared].astype(np.int64) << parts_bits) | part
-        home = (v.view(U64) % U64(parts)).astype(np.int64)
-        order = np.argsort(home, kind="stable")
-        v, token, home = v[order], token[order], home[order]
-        homes, at = np.unique(home, return_index=True)
-        ends = np.append(at[1:], len(home))
-        return pa.table({"home": pa.array(homes, pa.int64()), "sets": pa.array([v[a:b].tobytes() for a, b in zip(at, ends, strict=True)], pa.binary()), "tokens": pa.array([token[a:b].tobytes() for a, b in zip(at, ends, strict=True)], pa.binary())})
-
-    def gather(table: pa.Table) -> pa.Table:
-        v, token = (np.concatenate([np.frombuffer(x, np.int64) for x in table.column(c).to_pylist()]) for c in ("sets", "tokens"))
-        order = np.lexsort((token, v))
-        v, token = v[order], token[order]
-        own, at = np.unique(v, return_index=True)
-        ends = np.append(at[1:], len(v))
-        return pa.table({"v": own, "hits": ends - at, "token": token[at], "tokens": pa.array([token[a:b].tobytes() for a, b in zip(at, ends, strict=True)], pa.binary())})
-
-    dealt = sets.select("v", "prefix").mapInArrow(deal, "part int, sets binary, counts binary, keys binary")
-    met = dealt.groupBy("part").applyInArrow(meet, "home long, sets binary, tokens binary")
-    return met.groupBy("home").applyInArrow(gather, "v long, hits long, token long, tokens binary")
+    def use(v: np.ndarray, size: np.ndarray, hashes: np.ndarray, classes: np.ndarray) -> pa.Table:
+        owner = np.repeat(np.arange(len(v)), size)
+        order = np.lexsort((hashes, classes, owner))
+        rank = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
+        chosen = order[(rank < np.repeat(size - _ceil_share(size, percent) + 1, size)) & (classes[order] > 0)]
+        who, at = np.unique(owner[chosen], return_index=True)
+        ends = np.append(at, len(chosen))[1:]
+        begin = np.append(0, np.cumsum(size))
+        keys = hashes[chosen].view(np.int64)
+        return pa.table(
+            {
+                "v": v[who],
+                "n": size[who],
+                "token": keys[ends - 1],
+                "keys": pa.array([keys[a:b].tobytes() for a, b in zip(at, ends, strict=True)], pa.binary()),
+                "hashes": pa.array([hashes[begin[i] : begin[i + 1]].tobytes() for i in who.tolist()], pa.binary()),
+            }
+        )
+
+    return with_classes(sets, range_count(sets.sparkSession), use, "v long, n long, token long, keys binary, hashes binary")
 
 
 def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -164,52 +126,59 @@ def _tree_links(table: pa.Table, percent: int, visits: bool = False) -> pa.Table
 
 
 def similar_documents(docs: DataFrame, *, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id): every row with the smallest doc_id of its linked component.
+    """(doc_id, row_key, n_shingles, component_id, cluster): every row with the smallest doc_id of its linked component.
 
     Texts are whole; a set is that of the distinct 5-word shingles (see `shingle_sets`); two documents link
     when 100 * intersection >= percent * union. A row without words is linked with nothing and is its own
     component. Equal sets are one vertex, whatever their number. Repeated rows and ids are vertices by
-    their sets; a row with a null id has a null component_id and links nothing. Further columns of `docs` are
-    ignored. An empty table gives an empty table.
+    their sets; a row with a null id has a null component_id and links nothing. `cluster` names the component also
+    where one id has several texts (null for rows in none), and `row_key` tells these apart. Further columns of `docs` are
+    ignored. An empty table gives an empty table, and so it is where nothing is shared.
 
-    1. Sets of which enough prefix hashes are found in other sets are candidates (lossless).
-    2. Candidates meet in blocks by their first shared hash. A block's signature tree is joined with
+    1. Sets of which too few of the smallest hashes are found in other sets are set aside (lossless).
+    2. The rest are ordered by how many sets hold each hash, and get their keys (`join_keys`).
+    3. Sets meet in blocks by the key that most sets hold. A block's signature tree is joined with
        itself by dual traversal, passing by what is already linked; similar pairs link. Large
        blocks are cut, and the leaders of the parts meet again.
-    3. Sets of different blocks and components that share hashes meet: the one of the lesser component
+    4. Sets of different blocks and components that have a key in common meet: the one of the lesser component
        visits the other's block, whose tree is joined with its visitors.
     """
     spark = docs.sparkSession
     workers_see(spark)
-    parts = 1 << max(2, (shuffle_partitions(spark) - 1).bit_length())
     told = written(signatures(docs, percent, id_col, text_col), "signatures")
     named = told.filter("n > 0 and doc_id is not null")
-    vertices = named.groupBy("v", "n").agg(F.min("doc_id").alias("rep"))
     need = F.expr(f"1 + int((n * {percent} + 99) div 100 * {EXTRA} div 100)")
-    shared = _shared_tokens(named, parts).join(vertices, "v").filter(F.col("hits") >= need)
-    sizes = shared.groupBy("token").agg(F.count("*").alias("met"))
-    wanted = written(shared.join(sizes, "token").select("v", "n", "rep", "token", "met", "tokens", F.pmod(F.xxhash64("v"), F.ceil(F.col("met") / BLOCK)).alias("chunk")), "candidates")
+    hits = shared_counts(named.select("v", "prefix"), range_count(spark))
+    vertices = written(named.groupBy("v", "n").agg(F.min("doc_id").alias("rep")), "vertices")
+    wanted = hits.join(vertices, "v").filter(F.col("hits") >= need).select("rep", "v", "n")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, v = 0, batch.column(0).to_pylist()
             for part in _sets(batch.column(1)):
-                rows = [i for i, s in enumerate(part) if set_hashes(s)[0] == v[at + i]]
-                take = pa.array([at + i for i in rows], pa.int64())
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in (0, 2, 3, 4, 5, 6)), pa.array([part[i].tobytes() for i in rows], pa.binary())], ["v", "n", "token", "met", "tokens", "chunk", "hashes"])
+                rows = [i for i, s in enumerate(part) if set_name(s) == v[at + i]]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([at + i for i in rows], pa.int64())), pa.array([part[i].tobytes() for i in rows], pa.binary())], ["v", "hashes"])
                 at += len(part)
 
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
-    both = texts.join(wanted, "rep").select("v", "text", "n", "token", "met", "tokens", "chunk")
-    sets = written(both.mapInArrow(whole, "v long, n long, token long, met long, tokens binary, chunk long, hashes binary"), "shingle-sets")
+    some = written(texts.join(wanted, "rep").select("v", "text").mapInArrow(whole, "v long, hashes binary"), "shingle-sets")
+    brief = written(told.select("doc_id", "row_key", "n", "v"), "rows")
+    discard(told)
+    sets = written(join_keys(some, percent), "keyed-sets")
+    discard(some)
+    met = sets.groupBy("token").agg(F.count("*").alias("met"))
+    blocks = sets.join(met.filter("met > 1"), "token", "left").withColumn("met", F.coalesce("met", F.lit(1)))
+    blocks = blocks.withColumn("chunk", F.pmod(F.xxhash64("v"), F.ceil(F.col("met") / BLOCK)))
 
     def tree(key: tuple, table: pa.Table) -> pa.Table:
         return _tree_links(table, percent)
 
-    blocks = sets.filter("met > 1")
-    links = written(blocks.groupBy("token", "chunk").applyInArrow(tree, "a long, b long"), "links")
+    placed = written(blocks, "blocks")
+    discard(sets)
+    crowded = placed.filter("met > 1")
+    links = written(crowded.groupBy("token", "chunk").applyInArrow(tree, "a long, b long"), "links")
     linked = written(components(links), "components")
-    cut = blocks.filter(F.col("met") > BLOCK)
+    cut = crowded.filter(F.col("met") > BLOCK)
     before = cut.count()
     while before:
         # the leaders of cut blocks meet; it saves visits later, so it ends where it no longer halves them
@@ -224,46 +193,45 @@ def similar_documents(docs: DataFrame, *, percent: int = 80, id_col: str = "doc_
         linked = written(components(links), "components")
         cut = again.filter(F.col("met") > BLOCK)
         before = cut.count()
-    links = links.unionByName(_cross_links(sets, linked, percent))
-    final = components(links)
-    named_by = vertices.select("v", "rep")
-    least = named_by.join(final, "v").groupBy("c").agg(F.min("rep").alias("component_id"))
-    answer = named_by.join(final.join(least, "c").select("v", "component_id"), "v", "left").groupBy("v").agg(F.min(F.coalesce("component_id", "rep")).alias("component_id"))
-    out = told.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("v")).alias("v")).join(answer, "v", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    links = links.unionByName(_cross_links(placed, linked, percent))
+    final = written(components(links), "components")
+    discard(placed)
+    named_by = vertices.join(final, "v", "left").select("v", F.coalesce("c", "v").alias("cluster"), "rep")
+    least = named_by.groupBy("cluster").agg(F.min("rep").alias("component_id"))
+    answer = written(named_by.join(least, "cluster").groupBy("v").agg(F.min("cluster").alias("cluster"), F.min("component_id").alias("component_id")), "answer")
+    discard(vertices, final)
+    v = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("v"))
+    out = brief.select("doc_id", "row_key", F.col("n").alias("n_shingles"), v.alias("v")).join(answer, "v", "left")
+    return out.select("doc_id", "row_key", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "cluster")
 
 
 def _cross_links(sets: DataFrame, linked: DataFrame, percent: int) -> DataFrame:
     """Links between sets of different blocks and components.
 
-    Of two such sets the one of the lesser component visits the block of the other. A set of m hits that
-    must share `need` of them with a partner still shares one when the need - 1 most frequent are left
-    out, so those don't send it anywhere; nor does a block without sets of a size near its own.
+    Of two such sets that have a key in common the one of the lesser component visits the block of the
+    other, unless that holds no set of a size near its own.
     """
     step = math.log(100 / percent) * (1 + 1e-9)
     block = F.xxhash64("token", "chunk").alias("block")
-    own = sets.select("v", "n", block, "tokens").join(linked, "v", "left").withColumn("c", F.coalesce("c", "v"))
+    own = sets.select("v", "n", block, "keys").join(linked, "v", "left").withColumn("c", F.coalesce("c", "v"))
     weight = own.groupBy("c").agg(F.count("*").alias("size"))
-    own = own.join(weight, "c").withColumn("rank", F.struct("size", "c")).withColumn("band", F.floor(F.log("n") / step).cast("int"))
+    own = own.join(weight, "c").withColumn("band", F.floor(F.log("n") / step).cast("int"))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
-            take = pa.array(np.repeat(np.arange(len(tokens)), [len(x) for x in tokens]))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int64)), *(batch.column(c).take(take) for c in (2, 3, 4, 5, 6))], ["v", "token", "n", "block", "band", "size", "c"])
-
-    rows = own.select("v", "tokens", "n", "block", "band", "size", "c").mapInArrow(spread, "v long, token long, n long, block long, band int, size long, c long")
-    rows = written(rows.withColumn("rank", F.struct("size", "c")).drop("size", "c"), "hashes")
-    homes = rows.groupBy("token", "band", "block").agg(F.max("rank").alias("top"))
-    seen = rows.groupBy("token").agg(F.count("*").alias("df"), F.min("rank").alias("low"), F.max("rank").alias("high"))
-    need = F.expr(f"int((n * {percent} + 99) div 100 * {EXTRA} div 100)")
-    common = F.row_number().over(Window.partitionBy("v").orderBy(F.desc("df"), "token"))
-    rare = rows.join(seen, "token").withColumn("_at", common).filter((F.col("_at") > need) & (F.col("low") < F.col("high")))
-    going = rare.select("v", "token", F.col("block").alias("_home"), "rank", F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)])).alias("band"))
-    visits = going.join(homes, ["token", "band"]).filter("block <> _home and rank < top").select("v", "block").distinct()
-    visits = written(visits, "visits")
-
-    whole = sets.select("v", "n", block, "hashes").join(own.select("v", "c"), "v")
+            keys = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
+            take = pa.array(np.repeat(np.arange(len(keys)), [len(x) for x in keys]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)), *(batch.column(c).take(take) for c in (2, 3, 4, 5))], ["v", "key", "block", "band", "size", "c"])
+
+    rows = own.select("v", "keys", "block", "band", "size", "c").mapInArrow(spread, "v long, key long, block long, band int, size long, c long")
+    rows = written(rows.withColumn("rank", F.struct("size", "c")).drop("size", "c"), "keys")
+    seen = rows.groupBy("key").agg(F.min("rank").alias("low"), F.max("rank").alias("high")).filter("low < high")
+    open_ = written(rows.join(seen, "key").drop("low"), "open-keys")
+    homes = open_.groupBy("key", "band", "block").agg(F.max("rank").alias("top"))
+    going = open_.filter("rank < high").select("v", "key", F.col("block").alias("_home"), "rank", F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)])).alias("band"))
+    visits = written(going.join(homes, ["key", "band"]).filter("block <> _home and rank < top").select("v", "block").distinct(), "visits")
+
+    whole = sets.select("v", block, "hashes").join(own.select("v", "c"), "v")
     guests = visits.join(whole.drop("block"), "v").withColumn("guest", F.lit(True))
     hosts = whole.join(visits.select("block").distinct(), "block", "left_semi").withColumn("guest", F.lit(False))
 

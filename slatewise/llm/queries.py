@@ -39,7 +39,7 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_documents(table(spark, sf_dir, "documents"), percent=80)
+    return similar_documents(table(spark, sf_dir, "documents"), percent=80).select("doc_id", "n_shingles", "component_id")
 
 
 def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

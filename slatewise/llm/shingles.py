@@ -47,7 +47,6 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> list[
     return sets
 
 
-def set_hashes(s: np.ndarray) -> tuple[int, int]:
-    """128 bits that name a set, as two signed 64-bit numbers."""
-    one, two = mix(s ^ U64(0xA5A5A5A5A5A5A5A5)), mix(s + U64(0x1234567890ABCDEF))
-    return int(one.sum(dtype=U64).astype(np.int64)), int(two.sum(dtype=U64).astype(np.int64))
+def set_name(s: np.ndarray) -> int:
+    """64 bits that name a set, as a signed number."""
+    return int(mix(s ^ U64(0xA5A5A5A5A5A5A5A5)).sum(dtype=U64).astype(np.int64))

@@ -13,10 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slatewise.llm.anchors import Anchors, anchors
-from slatewise.llm.arrays import U64, prefix_hash, ranges, span_hash, text_bytes
+from slatewise.llm.arrays import prefix_hash, ranges, span_hash, text_bytes
 from slatewise.llm.loser_tree import decode, front_code, merge
-from slatewise.llm.ngram_join import _shared_tokens
-from slatewise.session import shuffle_partitions, workers_see
+from slatewise.llm.shared_hashes import range_count, shared_tokens, tokens_of
+from slatewise.session import workers_see
 
 #: Bytes of text looked at together in a task.
 SLICE = 1 << 20
@@ -55,8 +55,7 @@ def repeated_spans(docs: DataFrame, *, window: int = 50, gram: int = 26) -> Data
     """
     spark = docs.sparkSession
     workers_see(spark)
-    parts = 1 << max(2, (shuffle_partitions(spark) - 1).bit_length())
-    bits = parts.bit_length() - 1
+    parts = range_count(spark)
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -66,7 +65,7 @@ def repeated_spans(docs: DataFrame, *, window: int = 50, gram: int = 26) -> Data
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(offsets) - 1), pa.array([a.hash[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["v", "prefix"])
 
     known = docs.filter("doc_id is not null").withColumn("v", F.xxhash64("text"))
-    shared = _shared_tokens(known.select("v", "text").mapInArrow(hashes, "v long, prefix binary"), parts)
+    shared = shared_tokens(known.select("v", "text").mapInArrow(hashes, "v long, prefix binary"), parts)
     # equal texts: one of the smallest id stands for all
     each = known.select("doc_id", "row_key", "v", F.sha2("text", 256).alias("sha"), F.octet_length("text").cast("long").alias("size"))
     firsts = each.groupBy("sha").agg(F.min("doc_id").alias("first"))
@@ -82,7 +81,7 @@ def repeated_spans(docs: DataFrame, *, window: int = 50, gram: int = 26) -> Data
             wanted = batch.column(3)  # null: nothing of this row is shared, or it is a copy
             for at, data, offsets in _slices(batch.column(2)):
                 a = anchors(data, offsets, window, gram)
-                token = ((a.hash >> U64(20)) & U64(0xFFFFFFFF)).astype(np.int64) << bits | (a.hash & U64(parts - 1)).astype(np.int64)
+                token = tokens_of(a.hash, parts)
                 cut = np.searchsorted(a.row, np.arange(len(offsets)))
                 keep = np.zeros(len(token), bool)
                 for i in range(len(offsets) - 1):
