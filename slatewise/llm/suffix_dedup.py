@@ -9,14 +9,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slatewise.llm.anchors import Anchors, anchors
 from slatewise.llm.arrays import prefix_hash, ranges, span_hash, text_bytes
 from slatewise.llm.loser_tree import decode, front_code, merge
+from slatewise.llm.rows import row_key
 from slatewise.llm.shared_hashes import range_count, shared_tokens, tokens_of
-from slatewise.session import workers_see
+from slatewise.session import workers_see, written
 
 #: Bytes of text looked at together in a task.
 SLICE = 1 << 20
@@ -28,6 +29,8 @@ SAMPLED = 16 << 20
 WINDOWS = 1 << 16
 #: Merged entries held before their spans are told.
 HELD = 1 << 14
+#: Column of a carried row that tells whether its text is null.
+_NULL = "_text_is_null"
 #: Ends the right part of a key; UTF-8 never holds it.
 MARK = b"\xff"
 
@@ -48,10 +51,10 @@ def _keys(raw: bytes, a: Anchors, window: int) -> list[bytes]:
 
 
 def repeated_spans(docs: DataFrame, *, window: int = 50, gram: int = 26) -> DataFrame:
-    """(doc_id, row_key, copy, spans): for each row of (doc_id, row_key, text) what repeats an earlier document.
+    """(doc_id, row_key, text, row, copy, spans): for each row of (doc_id, row_key, text, row) what repeats an earlier document.
 
     `spans` are start << 24 | length of byte spans covered by `window`-byte strings that also start in a
-    document with a smaller id; `copy` marks rows whose whole text does. See `without_repeats`.
+    document with a smaller id; `copy` marks rows whose whole text does. `row` is carried along. See `without_repeats`.
     """
     spark = docs.sparkSession
     workers_see(spark)
@@ -68,9 +71,10 @@ def repeated_spans(docs: DataFrame, *, window: int = 50, gram: int = 26) -> Data
     shared = shared_tokens(known.select("v", "text").mapInArrow(hashes, "v long, prefix binary"), parts)
     # equal texts: one of the smallest id stands for all
     each = known.select("doc_id", "row_key", "v", F.sha2("text", 256).alias("sha"), F.octet_length("text").cast("long").alias("size"))
-    firsts = each.groupBy("sha").agg(F.min("doc_id").alias("first"))
-    marked = each.join(firsts, "sha").select("doc_id", "row_key", "v", (F.col("first") < F.col("doc_id")).alias("copy"))
-    info = marked.filter("not copy").join(shared.select("v", "tokens"), "v").select("doc_id", "row_key", "tokens")
+    # written, so that a hot text's rows are a plain join's, which Spark can split
+    firsts = written(each.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "first-copies")
+    marked = each.join(firsts, "sha", "left").select("doc_id", "row_key", "v", F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False)).alias("copy"))
+    info = marked.filter("not copy").dropDuplicates(["doc_id", "row_key"]).join(shared.select("v", "tokens"), "v").select("doc_id", "row_key", "tokens")
     borders = _borders(known, each.agg(F.sum("size")).first()[0] or 0, parts, window, gram)
 
     def sorted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,16 +100,16 @@ def repeated_spans(docs: DataFrame, *, window: int = 50, gram: int = 26) -> Data
         if keys:
             yield _coded(keys, held, borders, gram)
 
-    texts = docs.select("doc_id", "row_key", "text")
-    # a left join here and below: both then read one and the same shuffle of the texts
-    both = texts.join(info.hint("shuffle_hash"), ["doc_id", "row_key"], "left").select("doc_id", "row_key", "text", "tokens")
+    texts = docs.select("doc_id", "row_key", "text", "row")
+    # a left join of all columns here and below: both then read one and the same shuffle of the texts
+    both = texts.join(info.hint("shuffle_hash"), ["doc_id", "row_key"], "left").select("doc_id", "row_key", "text", "tokens", "row")
     coded = both.mapInArrow(sorted_runs, "part int, common binary, sizes binary, rest binary, counts binary, ids binary, rows binary, lows binary")
 
     def merge_part(table: pa.Table) -> pa.Table:
         return _merged(table, window, gram)
 
     spans = coded.groupBy("part").applyInArrow(merge_part, "doc_id long, row_key long, span long")
-    spans = spans.groupBy("doc_id", "row_key").agg(F.collect_list("span").alias("spans"))
+    spans = spans.groupBy("doc_id", "row_key").agg(F.collect_set("span").alias("spans"))
     out = texts.join(marked.select("doc_id", "row_key", "copy").distinct().hint("shuffle_hash"), ["doc_id", "row_key"], "left")
     return out.join(spans.hint("shuffle_hash"), ["doc_id", "row_key"], "left")
 
@@ -262,13 +266,9 @@ def _removed(size: int, copy: bool, spans: list[int] | None, window: int) -> lis
     return runs
 
 
-def row_key(doc_id: Column, text: Column) -> Column:
-    """Tells rows of one id apart by their texts (32 bits)."""
-    return F.hash(doc_id.cast("long"), F.xxhash64(F.coalesce(text, F.lit("")))).cast("long")
-
-
-def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def _prepared(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) -> DataFrame:
+    row = F.struct(*carry) if carry else F.lit(0)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), row.alias("row"))
     return rows.withColumn("row_key", row_key(F.col("doc_id"), F.col("text")))
 
 
@@ -290,18 +290,19 @@ def repeat_report(docs: DataFrame, *, window: int = 50, id_col: str = "doc_id",
                     out[c].append(x)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.string() if c == "kept_sha256" else pa.int64()) for c, x in out.items())], ["doc_id", *out])
 
-    found = repeated_spans(_prepared(docs, id_col, text_col), window=window)
+    found = repeated_spans(_prepared(docs, id_col, text_col, []), window=window)
     return found.select("doc_id", "text", "copy", "spans").mapInArrow(report, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, *, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, row_key, kept_text, n_removed): each row's text without what it repeats of smaller ids.
+    """The rows of `docs`, all columns, each text without what it repeats of smaller ids; and n_removed, the bytes that went.
 
     A byte goes if a `window`-byte string of UTF-8 that covers it also starts in a document with a
     smaller id; strings never cross documents and are judged on the input. Where a removed run begins or ends inside
-    a character, that character stays whole, so the text stays valid. A null text is empty. Rows
+    a character, that character stays whole, so the text stays valid. A null text has nothing to lose and stays null. Rows
     with a null id keep their text and take nothing from others; rows repeated under one id take
-    nothing from each other. Further columns are ignored. An empty table gives an empty table.
+    nothing from each other. Further columns come along, whatever their names; one named n_removed is replaced.
+    An empty table gives an empty table.
 
     1. Of each window one gram is chosen by its bytes alone (an anchor); windows whose anchor no other
        text has are unique and need no sorting (lossless). Equal texts are sorted once.
@@ -314,7 +315,7 @@ def without_repeats(docs: DataFrame, *, window: int = 50, id_col: str = "doc_id"
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, removed = [], []
-            for text, copy, spans in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)), strict=True):
+            for text, copy, spans in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
                 raw = text.encode()
                 kept, at = [], 0
                 for a, b in _removed(len(raw), bool(copy), spans, window):
@@ -327,7 +328,12 @@ def without_repeats(docs: DataFrame, *, window: int = 50, id_col: str = "doc_id"
                 kept.append(raw[at:])
                 texts.append(b"".join(kept).decode())
                 removed.append(len(raw) - sum(map(len, kept)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(removed, pa.int64())], ["doc_id", "row_key", "kept_text", "n_removed"])
-
-    found = repeated_spans(_prepared(docs, id_col, text_col), window=window)
-    return found.select("doc_id", "row_key", "text", "copy", "spans").mapInArrow(cut, "doc_id long, row_key long, kept_text string, n_removed long")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(removed, pa.int64())], ["row", "kept", "n_removed"])
+
+    names = [c for c in docs.columns if c != "n_removed"]
+    others = [c for c in names if c != text_col]
+    carried = _prepared(docs.withColumn(_NULL, F.col(text_col).isNull()), id_col, text_col, [*others, _NULL])
+    kind = carried.schema["row"].dataType.simpleString()
+    found = repeated_spans(carried, window=window).select("row", "text", "copy", "spans").mapInArrow(cut, f"row {kind}, kept string, n_removed long")
+    text = F.when(~F.col("row")[_NULL], F.col("kept"))
+    return found.select(*[(text if c == text_col else F.col("row")[c]).alias(c) for c in names], "n_removed")

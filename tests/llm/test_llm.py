@@ -109,11 +109,43 @@ def test_suffix_dedup(docs, nothing):
     got = sorted((tuple(r) for r in repeat_report(docs).collect()), key=str)
     assert got == _brute_repeats(_awkward())
     assert any(r[2] for r in got)
-    kept = {r["doc_id"]: r["kept_text"] for r in without_repeats(docs).collect()}
-    assert kept[0] == "" and len(kept) == len({x[0] for x in _awkward()})
+    cut = without_repeats(docs)
+    assert cut.columns == [*docs.columns, "n_removed"]
+    kept = cut.collect()
+    assert sorted((r["doc_id"], r["n_removed"]) for r in kept if r["doc_id"] is not None) == sorted((i, n) for i, _, n, *_ in got if i is not None)
+    assert {r["doc_id"]: r["text"] for r in kept}[0] is None and len(kept) == len(_awkward())
     assert repeat_report(nothing).count() == 0
 
 
+def _unrelated():
+    r = random.Random(12)
+    return [(i, " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(80))) for i in range(6)]
+
+
+@pytest.mark.parametrize("parts", ["3", "200", "2000"])
+def test_tables_that_share_nothing(spark, parts):
+    rows = _unrelated()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        for some in ([rows, rows[:1], [rows[0], (9, rows[0][1]), rows[1]]] if parts == "3" else [rows]):
+            df = spark.createDataFrame(some, "doc_id long, text string")
+            assert sorted((tuple(r) for r in similar_documents(df).select("doc_id", "n_shingles", "component_id").collect()), key=str) == _brute_classes(some)
+            assert sorted((tuple(r) for r in repeat_report(df).collect()), key=str) == _brute_repeats(some)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_many_equal_rows_and_clashing_names(spark):
+    text = _unrelated()[0][1]
+    rows = [(5, text)] * 40 + [(3, text)] * 40 + [(7, text + " and more of it")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as row", "1 as row_key", "2L as n_removed", "'y' as spans", "'z' as copy", "9 as v", "8 as cluster")
+    assert sorted((tuple(r) for r in repeat_report(df).collect()), key=str) == _brute_repeats(rows)
+    assert sorted((tuple(r) for r in similar_documents(df).select("doc_id", "n_shingles", "component_id").collect()), key=str) == _brute_classes(rows)
+    cut = without_repeats(df)
+    assert set(cut.columns) == set(df.columns) and cut.filter("row = 'x' and row_key = 1 and spans = 'y' and copy = 'z'").count() == 81
+
+
 def test_loser_tree_merges_in_order():
     r = random.Random(5)
     runs = [sorted({bytes(r.choice(b"ab") for _ in range(r.randint(1, 9))) for _ in range(40)}) for _ in range(5)] + [[]]
@@ -151,7 +183,7 @@ def _brute_classes(rows):
 
 
 def test_ngram_join(docs, nothing):
-    got = sorted((tuple(r) for r in similar_documents(docs).collect()), key=str)
+    got = sorted((tuple(r) for r in similar_documents(docs).select("doc_id", "n_shingles", "component_id").collect()), key=str)
     assert got == _brute_classes(_awkward())
     assert any(i is not None and i != c for i, _, c in got)
     assert similar_documents(nothing).count() == 0
@@ -169,10 +201,54 @@ def test_ngram_join_of_a_large_group_in_cut_blocks(spark, monkeypatch):
         for _ in range(i % 4):
             w[r.randrange(120)] = "e%d" % r.randrange(10**6)
         rows.append((i, " ".join(w)))
-    got = sorted((tuple(x) for x in similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    got = sorted((tuple(x) for x in similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id").collect()), key=str)
+    assert got == _brute_classes(rows)
+
+
+def test_ngram_join_over_blocks_and_borderline_pairs(spark, monkeypatch):
+    from slatewise.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    r = random.Random(21)
+    rows = []
+    for g in range(6):
+        base = ["w%d" % r.randrange(10**6) for _ in range(r.choice([30, 60, 150]))]
+        for _ in range(14):
+            w = list(base)
+            for _ in range(r.randint(0, len(w) // 12)):
+                w[r.randrange(len(w))] = "e%d" % r.randrange(10**6)
+            a = r.randint(0, len(w) // 8)
+            rows.append((len(rows), " ".join(w[a:])))
+    passage = ["p%d" % i for i in range(60)]
+    rows += [(len(rows) + i, " ".join(passage + ["q%d" % r.randrange(10**6) for _ in range(40)])) for i in range(30)]
+    got = sorted((tuple(x) for x in similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id").collect()), key=str)
     assert got == _brute_classes(rows)
 
 
+def test_frequency_classes_hold_one_order(spark):
+    import pyarrow as pa
+    from slatewise.llm.shared_hashes import frequency_class, with_classes
+
+    r = random.Random(2)
+    sets = {i - 4: sorted({r.choice([r.getrandbits(63), r.randrange(1 << 40, (1 << 40) + 60)]) for _ in range(30)}) for i in range(9)}
+    df = {h: sum(h in s for s in sets.values()) for s in sets.values() for h in s}
+
+    def use(v, size, hashes, classes):
+        ends = np.append(0, np.cumsum(size))
+        return pa.table({"v": v, "h": [hashes[a:b].astype(np.int64) for a, b in zip(ends[:-1], ends[1:], strict=True)], "c": [classes[a:b].astype(np.int64) for a, b in zip(ends[:-1], ends[1:], strict=True)]})
+
+    frame = spark.createDataFrame([(v, np.array(s, np.uint64).tobytes()) for v, s in sets.items()] * 2, "v long, hashes binary").repartition(3)
+    got = {x["v"]: dict(zip(x["h"], x["c"], strict=True)) for x in with_classes(frame, 8, use, "v long, h array<long>, c array<long>").collect()}
+    # keys are 32 bits of a hash and its range: small neighbours share theirs, and count together
+    key = lambda h: (h >> 20 & 0xFFFFFFFF, h & 7)
+    seen = {}
+    for v, s in sets.items():
+        for h in s:
+            seen.setdefault(key(h), set()).add(v)
+    assert got == {v: {h: int(frequency_class(np.array([len(seen[key(h)])]))[0]) for h in s} for v, s in sets.items()}
+    assert all(df[h] <= len(seen[key(h)]) for h in df)
+
+
 def test_token_counts(docs, nothing):
     k = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     want = sorted(((i, len((t or "").encode()), n := len(k.encode(t or "", add_special_tokens=False).ids), n > 512) for i, t, *_ in _awkward()), key=str)
