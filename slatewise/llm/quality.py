@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
@@ -44,10 +45,10 @@ class Rule:
 
     bounds: tuple[tuple[str, bool, float], ...]
 
-    def column(self) -> Column:
+    def column(self, of: Callable[[str], Column] = F.col) -> Column:
         held = F.lit(True)
         for name, upper, value in self.bounds:
-            held = held & (F.col(name) <= value if upper else F.col(name) > value)
+            held = held & (of(name) <= value if upper else of(name) > value)
         return held
 
 
@@ -58,11 +59,11 @@ class RuleEnsemble:
     intercept: float
     weights: dict[Rule, float] = field(default_factory=dict)
 
-    def score(self) -> Column:
-        """The score as an expression over columns named as `statistics` names them."""
+    def score(self, of: Callable[[str], Column] = F.col) -> Column:
+        """The score as an expression over the statistics that `of` gives by the names that `statistics` uses."""
         total = F.lit(self.intercept)
         for rule, weight in self.weights.items():
-            total = total + F.when(rule.column(), F.lit(weight)).otherwise(F.lit(0.0))
+            total = total + F.when(rule.column(of), F.lit(weight)).otherwise(F.lit(0.0))
         return 1 / (1 + F.exp(-total))
 
 
@@ -105,7 +106,7 @@ def fit_rules(docs: DataFrame, labels: DataFrame, *, max_rows: int = 20_000, tre
     texts = docs.select(own.alias("_id"), F.col(text_col).alias("_text")).filter("_text is not null")
     rows = texts.join(F.broadcast(taught), "_id")  # at most max_rows ids and labels
     stats = statistics(F.col("_text"))
-    rows = rows.select("label", *[c.alias(n) for n, c in stats.items()]).coalesce(8).persist()
+    rows = rows.repartition(8).select("label", *[c.alias(n) for n, c in stats.items()]).persist()
     try:
         kinds = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
         if len(kinds) < 2:
@@ -137,8 +138,10 @@ def quality_scores(docs: DataFrame, model: RuleEnsemble, *, threshold: float = 0
 
 
 def keep_quality(docs: DataFrame, model: RuleEnsemble, *, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The rows of `docs`, columns unchanged, whose text scores at least `threshold`."""
-    names = docs.columns
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    scored = docs.select(F.struct("*").alias("_row"), *[c.alias(n) for n, c in statistics(text).items()])
-    return scored.filter(model.score() >= threshold).select(*[F.col("_row").getField(n).alias(n) for n in names])
+    """The rows of `docs`, columns unchanged, whose text scores at least `threshold`.
+
+    A null text is scored as an empty one. Repeated rows and null ids are judged row by row, alike. An empty table stays empty.
+    The statistics are one array's only element: a filter on plain columns would have each made anew for every rule.
+    """
+    stats = F.array(F.struct(*[c.alias(n) for n, c in statistics(F.coalesce(F.col(text_col), F.lit(""))).items()]))
+    return docs.filter(F.exists(stats, lambda s: model.score(s.getField) >= threshold))
