@@ -74,19 +74,23 @@ def nearest(queries: DataFrame, candidates: DataFrame, *, k: int = 10, dims: int
         tree = Tree(points)
         low, high = (np.array(x).reshape(-1, dims) for x in (tree.low, tree.high))
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for q in range(len(asked)):
-            gap = np.maximum(np.maximum(low - starts[q], starts[q] - high), 0)
-            far = np.einsum("ij,ij->i", gap, gap).tolist()
-            heap = [(far[0], 0)]
+
+        def far(nodes: tuple[int, ...], start: np.ndarray) -> list[float]:
+            """Squared projected distances from the start to the nodes' boxes."""
+            gap = np.maximum(np.maximum(low[nodes,] - start, start - high[nodes,]), 0)
+            return (gap * gap).sum(1).tolist()
+
+        for q in range(len(asked) if len(ids) else 0):
+            heap = [(far((0,), starts[q])[0], 0)]
             rows, dist = np.zeros(0, np.int64), np.zeros(0)
             while heap:
                 ahead, node = heapq.heappop(heap)
                 if len(rows) == k and (dist[-1] == 0 or chi_square(ahead / dist[-1], dims) >= confidence) and ahead > 0:
                     break
-                left, right = tree.children[node]
-                if left >= 0:
-                    heapq.heappush(heap, (far[left], left))
-                    heapq.heappush(heap, (far[right], right))
+                below = tree.children[node]
+                if below[0] >= 0:  # a box's distance is taken when what holds it is opened
+                    for box in zip(far(below, starts[q]), below, strict=True):
+                        heapq.heappush(heap, box)
                     continue
                 new = tree.rows[node]
                 new = new[ids[new] != query_ids[q]]

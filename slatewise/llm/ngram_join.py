@@ -18,7 +18,8 @@ from slatewise.llm.shingles import set_name, shingle_sets
 from slatewise.llm.signature_tree import SignatureTree, bitmap, wide_enough
 from slatewise.session import discard, workers_see, written
 
-SLICE = 4 << 20
+#: Bytes of text looked at together in a task.
+SLICE = 1 << 20
 #: Most sets that one tree of the first round holds; larger blocks are cut and their parts linked by leaders.
 BLOCK = 1024
 #: Share of a set (percent) that its prefix holds beyond the least prefix, so that chance meetings can be told.

@@ -17,20 +17,23 @@ from slatewise.llm.tokenization import Units, encode_lowered
 from slatewise.session import workers_see, written
 
 #: Bytes of text encoded at once in a task.
-SLICE = 4 << 20
-PIECES = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
+SLICE = 1 << 20
+#: Tokens that a queue sends at once, where it divides the window.
+QUANTUM = 256
+#: Most queues; the sources beyond the largest share the last one.
+MOST_QUEUES = 4096
+PIECES = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string, deficit double"
 
 
 class Schedule:
     """Deficit round-robin over source queues, in a form that can start at any window.
 
-    In every window each queue earns credit in proportion to its weight and sends as many whole
-    tokens as its credit covers; the places left over go to the queues with the largest deficit
-    for their weight, and what is over or under stays on the queue's account. Serving in the order
-    of (tokens sent + 1/2) / weight does just that, and it makes the account after any number of
-    places a function of that number alone. So each partition computes the deficits its first
-    window starts with, and no partition waits for another. An empty queue earns nothing and the
-    others share its places.
+    A queue's account earns its weight per unit of time and pays one for each quantum that it sends; it sends as soon as it
+    is owed half a quantum, so accounts stay within half a quantum of nothing, and are carried from window to
+    window. Quantum k (from 0) of a queue thus goes at time (k + 1/2) / weight, ties by the order of queues, which makes
+    the accounts after any number of quanta a function of that number alone. So each partition computes the deficits its
+    first window starts with, and no partition waits for another. An empty queue earns nothing and
+    the others share its places. Totals and places count quanta here.
     """
 
     def __init__(self, totals: np.ndarray, weights: np.ndarray):
@@ -38,8 +41,11 @@ class Schedule:
         self.end = float(np.max(self.totals / self.weights, initial=0)) + 1
 
     def _served(self, t: np.ndarray) -> np.ndarray:
-        """Tokens of each queue (columns) whose turn comes before each time (rows)."""
-        return np.clip(np.floor(np.multiply.outer(t, self.weights) + 0.5), 0, self.totals).astype(np.int64)
+        """Quanta of each queue (columns) whose turn has come by each time (rows)."""
+        t, k = t[:, None], np.floor(np.multiply.outer(t, self.weights) + 0.5)
+        k -= (k - 0.5) / self.weights > t  # turns are at (k + 1/2) / weight as rounded, so ties stay ties
+        k += (k + 0.5) / self.weights <= t
+        return np.clip(k, 0, self.totals).astype(np.int64)
 
     def sent(self, places: np.ndarray) -> np.ndarray:
         """Tokens each queue (columns) has sent when so many places (rows) are filled."""
@@ -97,77 +103,107 @@ def _tokens(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str,
     return rows.mapInArrow(encode, f"doc_id {dict(docs.dtypes)[id_col]}, source string, n long, ids binary")
 
 
-def packed_sequences(docs: DataFrame, *, tokenizer: str | None = None, window: int = 2048, end_id: int = 1, weights: dict[str, float] | None = None, seed: int = 10, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source): one row per piece.
+def packed_sequences(docs: DataFrame, *, tokenizer: str | None = None, window: int = 2048, quantum: int = QUANTUM, end_id: int = 1, weights: dict[str, float] | None = None, seed: int = 10, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source, deficit): one row per piece.
 
     A document is its ids and one end id. Each source is a queue of its documents in a seeded
-    order. Every sequence of `window` places takes tokens from the queues by deficit round-robin
-    (`Schedule`) towards `weights` (a share per source; by default the corpus's own shares), so
-    each sequence holds the target mixture as long as the queues last, and only the last sequence
-    can be short. A document that doesn't fit goes on in the next sequence; every id lies in exactly
-    one piece, and offsets in a sequence are gapless from 0.
+    order. Every sequence of `window` places takes quanta of `quantum` tokens (all of the window's where that doesn't divide it,
+    one) from the queues by deficit round-robin (`Schedule`) towards `weights` (a share per source; by default the corpus's own
+    shares), so each sequence holds the target mixture to a quantum, and what it owes a source is carried into the next:
+    `deficit` is the tokens that the piece's source was owed as its sequence began. What a queue holds beyond its whole quanta
+    comes at the end, queue after queue; only the last sequence can be short. A document that doesn't fit goes on in the next
+    place of its queue; every id lies in exactly one piece, and offsets in a sequence are gapless from 0.
 
     A null text is empty and yields its end id alone. A null source counts as the empty one. Sources
-    missing from `weights` get a weight of one token in a million. Repeated rows and null ids are
-    packed row by row. Further columns of `docs` are ignored. An empty table gives an empty table.
+    missing from `weights` get a weight of one token in a million. Sources beyond the MOST_QUEUES largest share a queue.
+    Repeated rows and null ids are packed row by row. Further columns of `docs` are ignored. An empty table gives an empty table.
 
     The ids are written once to the shared folder. Token totals are summed per run of each queue's
     order (one row per run), so a hot source is never sorted or summed in one task; the driver sees
-    one total per source.
+    one total per queue.
     """
     spark = docs.sparkSession
     workers_see(spark)
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
     kind = dict(docs.dtypes)[id_col]
+    quantum = quantum if window % quantum == 0 else 1
     tokens = written(_tokens(docs, path, end_id, id_col, text_col, source_col), "packing-ids")
     key = _key(seed, "doc_id")
-    total = tokens.count()
+    total, all_tokens = tokens.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     groups = max(1, min(MOST_GROUPS, total // GROUP_ROWS))
-    rows = tokens.withColumn("key", key % F.lit(1 << 30)).withColumn("part", F.floor(F.col("key") * groups / F.lit(1 << 30)).cast("long"))
-    sums = rows.groupBy("source", "part").agg(F.sum("n").alias("_n"))
-    upto = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("source", "part", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_start"))
-    mixture = {r["source"]: r["n"] for r in sums.groupBy("source").agg(F.sum("_n").alias("n")).collect()}
-    names = sorted(mixture)
-    totals = np.array([mixture[s] for s in names], np.int64)
-    shares = totals if weights is None else np.array([weights.get(s, 0) for s in names], np.float64)
-    shares = np.maximum(shares, shares.sum() * 1e-6 if len(names) else 0)
-    within = Window.partitionBy("source", "part").orderBy("key", "doc_id", "n", "ids").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("_before", F.coalesce(F.sum("n").over(within), F.lit(0))).join(starts, ["source", "part"])
-    placed = placed.select("doc_id", "source", "n", "ids", (F.col("_start") + F.col("_before")).alias("at"))
+    largest = tokens.groupBy("source").agg(F.sum("n").alias("_n")).orderBy(F.desc("_n"), "source").limit(MOST_QUEUES - 1).collect()
+    held = sorted((r["source"], r["_n"]) for r in largest)
+    rest = all_tokens - sum(n for _, n in held)
+    totals = np.array([n for _, n in held] + [rest] * (rest > 0), np.int64)
+    shares = totals.astype(np.float64) if weights is None else np.array([weights.get(s, 0) for s, _ in held] + [0.0] * (rest > 0), np.float64)
+    shares = np.maximum(shares, shares.sum() * 1e-6 if len(totals) else 0)
+    queues = F.broadcast(spark.createDataFrame([(s, i) for i, (s, _) in enumerate(held)], "source string, queue int"))  # MOST_QUEUES rows at most
+    rows = tokens.join(queues, "source", "left").withColumn("queue", F.coalesce("queue", F.lit(len(held))))
+    rows = rows.withColumn("key", key % F.lit(1 << 30)).withColumn("part", F.floor(F.col("key") * groups / F.lit(1 << 30)).cast("long"))
+    sums = rows.groupBy("queue", "part").agg(F.sum("n").alias("_n"))
+    upto = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("queue", "part", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_start"))
+    within = Window.partitionBy("queue", "part").orderBy("key", "doc_id", "n", "source", "ids").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("_before", F.coalesce(F.sum("n").over(within), F.lit(0))).join(starts, ["queue", "part"])
+    placed = placed.select("doc_id", "source", "queue", "n", "ids", (F.col("_start") + F.col("_before")).alias("at"))
     width = 2 if Units.of(path, lower=True).kind.itemsize == 2 else 4
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plan = Schedule(totals, shares)
-        index = {s: i for i, s in enumerate(names)}
+        plan = Schedule(totals // quantum, shares)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            source = np.array([index[s] for s in batch.column(1).to_pylist()], np.int64)
-            n, at = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (2, 4))
-            ids = [np.frombuffer(x, f"<u{width}").astype("<u4").tobytes() for x in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays(_pieces(plan, batch.column(0), batch.column(1), source, n, at, ids, window), ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"])
+            queue, n, at = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (2, 3, 5))
+            ids = [np.frombuffer(x, f"<u{width}").astype("<u4").tobytes() for x in batch.column(4).to_pylist()]
+            doc, *told = _pieces(plan, totals, queue, n, at, window, quantum)
+            start, length = told[0], told[1]
+            crc = np.fromiter((zlib.crc32(ids[d][4 * a : 4 * (a + k)]) for d, a, k in zip(doc.tolist(), start.tolist(), length.tolist(), strict=True)), np.int64, len(doc))
+            take = pa.array(doc)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), *map(pa.array, (start, length, crc, n[doc], told[2], told[3])), batch.column(1).take(take), pa.array(told[4])], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source", "deficit"])
 
     return placed.mapInArrow(cut, PIECES.format(id=kind))
 
 
-def _pieces(plan: Schedule, doc_id: pa.Array, name: pa.Array, source: np.ndarray, n: np.ndarray, at: np.ndarray, ids: list[bytes], window: int) -> list[pa.Array]:
-    """Cut documents, given by their place in their queue, at the windows' borders."""
-    first, last = plan.window_of(source, at, window), plan.window_of(source, at + n - 1, window)
-    all_places = int(plan.totals.sum())
+def _pieces(plan: Schedule, totals: np.ndarray, queue: np.ndarray, n: np.ndarray, at: np.ndarray, window: int, quantum: int) -> tuple[np.ndarray, ...]:
+    """Documents, given by their place in their queue, cut at the windows' borders: (document, start, length, sequence, offset, deficit)."""
+    whole = plan.totals * quantum  # tokens of each queue that go by whole quanta
+    per, quanta = window // quantum, int(plan.totals.sum())
+    end = np.minimum(at + n, whole[queue])
+    some = np.flatnonzero(end > at)
+    first, last = (plan.window_of(queue[some], x // quantum, per) for x in (at[some], end[some] - 1))
     count = last - first + 1
-    doc = np.repeat(np.arange(len(n)), count)
-    seq = ranges(first, count)
+    doc, seq = np.repeat(some, count), ranges(first, count)
     wins, inverse = np.unique(seq, return_inverse=True)
-    sent = plan.sent(wins * window)
-    served = plan.sent(np.minimum((wins + 1) * window, all_places)) - sent
+    sent = plan.sent(wins * per)
+    served = plan.sent(np.minimum((wins + 1) * per, quanta)) - sent
     lead = np.cumsum(served, 1) - served  # places of earlier queues in the window
-    src = source[doc]
-    begin = np.maximum(at[doc], sent[inverse, src])
-    stop = np.minimum(at[doc] + n[doc], (sent + served)[inverse, src])
-    some = stop > begin
-    doc, seq, src, begin, stop, inverse = (x[some] for x in (doc, seq, src, begin, stop, inverse))
-    start, length = begin - at[doc], stop - begin
-    crc = np.fromiter((zlib.crc32(ids[d][4 * a : 4 * (a + k)]) for d, a, k in zip(doc.tolist(), start.tolist(), length.tolist(), strict=True)), np.int64, len(doc))
-    offset = lead[inverse, src] + begin - sent[inverse, src]
-    return [doc_id.take(pa.array(doc)), *map(pa.array, (start, length, crc, n[doc], seq, offset)), name.take(pa.array(doc))]
+    q = queue[doc]
+    begin = np.maximum(at[doc], sent[inverse, q] * quantum)
+    stop = np.minimum(end[doc], (sent + served)[inverse, q] * quantum)
+    held = stop > begin
+    doc, seq, q, begin, stop, inverse = (x[held] for x in (doc, seq, q, begin, stop, inverse))
+    offset = lead[inverse, q] * quantum + begin - sent[inverse, q] * quantum
+    share = plan.weights / plan.weights.sum() if len(plan.weights) else plan.weights
+    deficit = share[q] * (wins[inverse] * window) - sent[inverse, q] * quantum
+    # what is over of each queue stands one after another behind the whole quanta
+    over = totals - whole
+    place = quanta * quantum + np.cumsum(over) - over
+    tail = np.flatnonzero(at + n > whole[queue])
+    at_first = np.maximum(at[tail], whole[queue[tail]])
+    from_ = place[queue[tail]] + at_first - whole[queue[tail]]
+    to = from_ + at[tail] + n[tail] - at_first
+    count = (to - 1) // window - from_ // window + 1
+    t_seq = ranges(from_ // window, count)
+    back = np.repeat(np.arange(len(tail)), count)
+    t_begin, t_stop = np.maximum(from_[back], t_seq * window), np.minimum(to[back], (t_seq + 1) * window)
+    t_doc = tail[back]
+    t_start = t_begin - from_[back] + at_first[back] - at[t_doc]
+    t_deficit = share[queue[t_doc]] * (t_seq * window) - whole[queue[t_doc]]
+    return (
+        np.concatenate([doc, t_doc]),
+        np.concatenate([begin - at[doc], t_start]),
+        np.concatenate([stop - begin, t_stop - t_begin]),
+        np.concatenate([seq, t_seq]),
+        np.concatenate([offset, t_begin - t_seq * window]),
+        np.concatenate([deficit, t_deficit]),
+    )

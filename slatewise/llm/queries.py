@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slatewise.llm.licences import COPYRIGHT, LOWER, NOTICES, SPELLINGS, UPPER, licence_scan
+from slatewise.llm.licences import COPYRIGHT, LEADS, LOWER, SPELLINGS, UPPER, VERSIONS, canonical_text, known_texts, licence_scan
 from slatewise.llm.neighbours import nearest
 from slatewise.llm.ngram_join import similar_documents
 from slatewise.llm.packing import packed_sequences
 from slatewise.llm.quality import fit_rules, quality_scores
-from slatewise.llm.sentences import decoded, encoded
+from slatewise.llm.sentences import round_trip
 from slatewise.llm.sharding import interleaved_shards
 from slatewise.llm.suffix_dedup import repeat_report
 from slatewise.llm.token_counts import token_counts
@@ -21,7 +22,7 @@ from slatewise.session import table
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = decoded(encoded(table(spark, sf_dir, "documents")))
+    rows = round_trip(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_bytes", "n_tokens", "ids_crc32", F.sha2("text", 256).alias("decoded_sha256"))
 
 
@@ -85,16 +86,24 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
-
 def _canonical(text: str) -> str:
     out = f"regexp_replace(translate({text}, '{UPPER}', '{LOWER}'), '{COPYRIGHT}', '', 'g')"
-    for old, new in SPELLINGS:
-        out = f"replace({out}, '{old}', '{new}')"
-    return f"trim(regexp_replace({out}, '[^a-z0-9]+', ' ', 'g'))"
+    out = f"' ' || regexp_replace({out}, '[^a-z0-9]+', '  ', 'g') || ' '"
+    for old, new in SPELLINGS + LEADS:
+        a, b = ("  ".join(x.split()) for x in (old, new))
+        out = f"replace({out}, ' {a} ', ' {b} ')"
+    for pattern, new in VERSIONS:
+        out = f"regexp_replace({out}, '{pattern}', '{new}', 'g')"
+    return f"trim(regexp_replace({out}, ' +', ' ', 'g'))"
+
+
+def _known() -> str:
+    forms = {f: n for f, n in sorted(((canonical_text(t), n) for n, t in known_texts()), reverse=True) if f}
+    return ", ".join(f"('{n}', '{hashlib.sha256(f.encode()).hexdigest()}')" for f, n in sorted(forms.items()))
 
 
 OP3 = f"""
-WITH k AS (SELECT licence, sha256({_canonical("notice")}) AS d FROM (VALUES {", ".join(f"('{a}', '{b}')" for a, b in sorted(NOTICES.items()))}) t(licence, notice)),
+WITH k AS (SELECT * FROM (VALUES {_known()}) t(licence, d)),
 l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
 h AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT licence, ',' ORDER BY licence) AS s FROM l JOIN k ON k.d = sha256({_canonical("line")}) GROUP BY 1)
 SELECT documents.doc_id, k.licence AS text_licence, coalesce(h.n, 0) AS n_lines, coalesce(h.s, '') AS licences

@@ -31,7 +31,7 @@ def ranked(rows: DataFrame, by: list[str], group: str, order: list, name: str) -
 
 
 def interleaved_shards(docs: DataFrame, *, shards: int = 16, seed: int = 9, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for each row of `docs`.
+    """(doc_id, size, text_crc32, law, shard, slot, grown_shard, group_id) for each row of `docs`.
 
     Rows of each source are shuffled by a seeded hash and ranked; row r of n has the fraction
     (2r - 1) / 2n. Sorting all rows by that fraction interleaves the sources in proportion, and
@@ -41,11 +41,12 @@ def interleaved_shards(docs: DataFrame, *, shards: int = 16, seed: int = 9, id_c
     size is the UTF-8 bytes of the text plus 1 (null text: 1) and text_crc32 is that of the bytes.
     A null source counts as the empty one. Ties of the hash fall to id, size and checksum, and rows
     alike in all of these are interchangeable; null ids sort first. Further columns of `docs` are
-    ignored. An empty table gives an empty table. Law `rows` keeps no equal texts together: a group
-    larger than a shard could not be.
+    ignored. An empty table gives an empty table. `group_id` is one for equal texts (64 hash bits). A group is spread like any
+    other rows, in the mixture's proportion: law `rows` with exact counts and the mixture in each shard
+    leaves no room to hold copies together, and a group larger than a shard could not be.
     """
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("group_id"))
     total = docs.count()
     groups = max(1, min(MOST_GROUPS, total // GROUP_ROWS))
     rows = rows.withColumn("key", _key(seed, "doc_id"))
@@ -59,4 +60,4 @@ def interleaved_shards(docs: DataFrame, *, shards: int = 16, seed: int = 9, id_c
     rows = ranked(rows, ["all"], "run", ["fraction", "source", "rank"], "place").withColumn("place", F.col("place") - 1)
     exact = F.expr(f"place * {shards} div {max(total, 1)}")
     first = F.expr(f"(shard * {max(total, 1)} + {shards - 1}) div {shards}")
-    return rows.withColumn("shard", exact.cast("int")).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("place") - first).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return rows.withColumn("shard", exact.cast("int")).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("place") - first).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "group_id")

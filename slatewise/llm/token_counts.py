@@ -22,7 +22,8 @@ def token_counts(docs: DataFrame, *, tokenizer: str | None = None, pattern: str
 
     The count is that of the byte-level tokenizer file without begin, end or padding; special
     strings inside a text count as the library's default has it, one token. Texts reach Python in
-    Arrow batches, are regrouped by bytes, and only counts go back. A null or empty text has 0
+    Arrow batches, long ones are cut at safe boundaries, the pieces are regrouped into batches of equal bytes for the
+    library, and only counts go back. A run without such a boundary is counted as a stream. A null or empty text has 0
     tokens; repeated rows and null ids are counted row by row; further columns of `docs` are
     ignored, whatever their names; an empty table gives an empty table.
 
@@ -39,7 +40,7 @@ def token_counts(docs: DataFrame, *, tokenizer: str | None = None, pattern: str
             for row, text in enumerate(batch.column(1)):
                 for piece in safe_pieces(text.as_py() or "", PIECE):
                     held.append((row, piece))
-                    size += len(piece)
+                    size += len(piece.encode()) if len(piece) > 64 else len(piece)
                     if size >= BATCH_BYTES:
                         for r, c in counts.count_batch(held):
                             n[r] += c

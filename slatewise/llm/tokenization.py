@@ -12,15 +12,17 @@ import json
 import re
 
 import numpy as np
+import regex
 import tiktoken
 from tokenizers import Tokenizer
 
 from slatewise.llm.arrays import prefix_hash, ranges, span_hash
+from slatewise.llm.sentences import StreamingMerges
 
 #: Unicode white space, as the tokenizer library's patterns read it.
 WHITE = "\t-\r \x85\xa0  -     　"
 #: Units that a worker remembers before it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 200_000
 #: Bytes of text given to the library in one batch.
 BATCH_BYTES = 1 << 20
 
@@ -146,11 +148,12 @@ class Units:
 
 #: Texts of these characters alone: every library reads their classes alike.
 _familiar = re.compile("[^\x00-ɏ‐-‧€]")
-_cut = re.compile(f"[^{WHITE}](?=[{WHITE}])")
+#: Between a word and the white space after it; and, as a pre-token holds letters or numbers but never both, between an ASCII letter and a digit.
+_cut = re.compile(f"[^{WHITE}](?=[{WHITE}])|[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z])")
 
 
 def safe_pieces(text: str, limit: int) -> list[str]:
-    """The text in pieces of about `limit` characters, cut only between a word and the white space after it."""
+    """The text in pieces of about `limit` characters, cut only where no pre-token reaches across; one may be longer than that."""
     pieces, at = [], 0
     while len(text) - at > limit and (m := _cut.search(text, at + limit)):
         pieces.append(text[at : m.end()])
@@ -160,31 +163,64 @@ def safe_pieces(text: str, limit: int) -> list[str]:
 
 
 class Counts:
-    """Token counts of whole texts for a byte-level vocabulary without word ends."""
+    """Token counts of whole texts for a byte-level vocabulary without word ends.
 
-    _kept: dict[str, Counts] = {}
+    A run longer than `limit` without a safe boundary goes through the merges as a stream of bytes, whose
+    window moves on wherever all ways to encode it meet.
+    """
+
+    _kept: dict[tuple[str, str], Counts] = {}
 
-    def __init__(self, path: str, pattern: str):
-        self.units = Units.of(path, lower=False)
+    def __init__(self, path: str, pattern: str, limit: int = 1 << 16):
+        self.units, self.limit = Units.of(path, lower=False), limit
         special = {t.content: i for i, t in self.units.tokenizer.get_added_tokens_decoder().items()}
         ranks = self.units.encoding._mergeable_ranks
         top = max(ranks.values())
         self.fast = tiktoken.Encoding("counts", pat_str=pattern, mergeable_ranks=ranks, special_tokens={t: top + 1 + n for n, t in enumerate(special)})
+        self.special = re.compile("|".join(f"({re.escape(t)})" for t in special)) if special else None
+        self.pattern = regex.compile(pattern)
+        self.stream: StreamingMerges | None = None
 
     @classmethod
     def of(cls, path: str, pattern: str) -> Counts:
-        if path not in cls._kept:
-            cls._kept[path] = cls(path, pattern)
-        return cls._kept[path]
-
-    def count(self, piece: str) -> int:
-        if _familiar.search(piece):
-            return len(self.units.encode(piece)) // self.units.kind.itemsize
-        return len(self.fast.encode(piece, allowed_special="all"))
+        if (path, pattern) not in cls._kept:
+            cls._kept[path, pattern] = cls(path, pattern)
+        return cls._kept[path, pattern]
+
+    def _long(self, piece: str) -> int:
+        """A piece that has no safe boundary within its limit, pre-token by pre-token."""
+        n, at = 0, 0
+        for m in [*(self.special.finditer(piece) if self.special else ()), None]:
+            end = m.start() if m else len(piece)
+            for token in self.pattern.finditer(piece, at, end):
+                own = token[0].encode()
+                if len(own) <= self.limit:
+                    n += len(self.units.merge(own))
+                else:
+                    if self.stream is None:
+                        self.stream = StreamingMerges({t.decode("latin-1"): -float(r) for t, r in self.units.encoding._mergeable_ranks.items()})
+                    n += sum(1 for _ in self.stream.segments(own[i : i + self.limit].decode("latin-1") for i in range(0, len(own), self.limit)))
+            if m:
+                n, at = n + 1, m.end()
+        return n
 
     def count_batch(self, held: list[tuple[int, str]]) -> list[tuple[int, int]]:
-        """Counts of (row, piece) pairs, as (row, count)."""
-        return [(row, self.count(piece)) for row, piece in held]
+        """Counts of (row, piece) pairs, as (row, count): familiar texts in one batch of the merge library, others by their units learned in one batch."""
+        out, plain, other = [], [], []
+        for row, piece in held:
+            if len(piece) > 2 * self.limit:
+                out.append((row, self._long(piece)))
+            else:
+                (other if _familiar.search(piece) else plain).append((row, piece))
+        out += [(row, len(x)) for (row, _), x in zip(plain, self.fast.encode_batch([p for _, p in plain], num_threads=1, allowed_special="all"), strict=True)]
+        split = [(row, self.units.split(p)) for row, p in other]
+        missing = {u for _, own in split for u in own}.difference(self.units.ids)
+        if missing and len(self.units.ids) + len(missing) > REMEMBERED:
+            self.units.ids.clear()
+            missing = {u for _, own in split for u in own}
+        self.units.learn(missing)
+        size = self.units.kind.itemsize
+        return out + [(row, sum(len(self.units.ids[u]) for u in own) // size) for row, own in split]
 
 
 #: Classes of bytes in texts of ASCII and the letters of Latin-1: 0 other, 1 letter, 2 digit, 3 white space.

@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 from tokenizers import Tokenizer  # noqa: E402
@@ -256,12 +257,43 @@ def test_token_counts(docs, nothing):
     assert token_counts(nothing).count() == 0
 
 
+def test_token_counts_of_runs_without_white_space(spark, monkeypatch):
+    from slatewise.llm import token_counts as T
+    from slatewise.llm.tokenization import Counts
+
+    k = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a" * 5000, "ab1" * 3000, "日本語" * 900, "-=" * 2000, "x" * 700 + "<|endoftext|>" + "don't" * 600, "é" * 3000 + " b", "12" * 4000 + "'s", "the" * 2000 + "\n" + "q" * 3]
+    counts = Counts(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, limit=100)
+    want = [len(k.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert [n for _, n in sorted(counts.count_batch(list(enumerate(texts))))] == want
+    monkeypatch.setattr(T, "PIECE", 50)
+    rows = [(n, t) for n, t in enumerate(texts)]
+    assert [r["n_tokens"] for r in token_counts(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()] == want
+    a, b = Counts.of(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN), Counts.of(public_tokenizers.path("byte_bpe_50k.json"), r"\S+|\s+")
+    assert a is not b
+
+
 def test_sharding(docs, nothing):
     got = interleaved_shards(docs, shards=5).collect()
     assert sorted(((r["doc_id"], r["size"], r["text_crc32"]) for r in got), key=str) == sorted(((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, *_ in _awkward()), key=str)
     counts = [sorted(r["slot"] for r in got if r["shard"] == s) for s in range(5)]
     assert all(c == list(range(len(c))) for c in counts) and max(map(len, counts)) - min(map(len, counts)) <= 1
     assert interleaved_shards(nothing).count() == 0
+    # every shard has each source's share, to one row of its own at each cut and what the other sources' cuts shift
+    source, total = {}, {}
+    for i, t, _, s, *_ in _awkward():
+        source[i, len((t or "").encode()) + 1] = s or ""
+        total[s or ""] = total.get(s or "", 0) + 1
+    by = {}
+    for r in got:
+        key = r["shard"], source[r["doc_id"], r["size"]]
+        by[key] = by.get(key, 0) + 1
+    assert all(abs(by.get((k, s), 0) - n / 5) <= 1 + len(total) * n / len(got) for s, n in total.items() for k in range(5))
+    text = {(i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())): t or "" for i, t, *_ in _awkward()}
+    named = {}
+    for r in got:
+        named.setdefault(r["group_id"], set()).add(text[r["doc_id"], r["size"], r["text_crc32"]])
+    assert all(len(x) == 1 for x in named.values()) and len(named) == len(set(text.values()))
 
 
 def test_packing(docs, nothing):
@@ -290,6 +322,56 @@ def test_packing(docs, nothing):
     assert packed_sequences(nothing).count() == 0
 
 
+@pytest.mark.parametrize("quantum", [1, 16])
+def test_packing_is_deficit_round_robin(spark, docs, monkeypatch, quantum):
+    """Every window holds what a plain simulation of the queues' accounts sends in it."""
+    from slatewise.llm import packing
+
+    monkeypatch.setattr(packing, "GROUP_ROWS", 4)
+    weights = {"hot": 5.0, "s0": 1.0, "": 2.0, "s3": 0.25}
+    got = packed_sequences(docs, window=64, quantum=quantum, weights=weights).collect()
+    totals, sent_in = {}, {}
+    for r in got:
+        totals[r["source"]] = totals.get(r["source"], 0) + r["length"]
+        sent_in[r["sequence_id"], r["source"]] = sent_in.get((r["sequence_id"], r["source"]), 0) + r["length"]
+    names = sorted(totals)
+    w = np.array([weights.get(s, 0.0) for s in names])
+    w = np.maximum(w, w.sum() * 1e-6)
+    left = {s: totals[s] // quantum for s in names}
+    sent, want, places = dict.fromkeys(names, 0), {}, 0
+    while any(left.values()):
+        # each account earns until one is owed half a quantum
+        s = min((s for s in names if left[s]), key=lambda s: ((sent[s] + 0.5) / w[names.index(s)], names.index(s)))
+        left[s] -= 1
+        sent[s] += 1
+        want[places // 64, s] = want.get((places // 64, s), 0) + quantum
+        places += quantum
+    for s in names:
+        for _ in range(totals[s] % quantum):
+            want[places // 64, s] = want.get((places // 64, s), 0) + 1
+            places += 1
+    assert sent_in == want
+    share = w / w.sum()
+    for r in got:
+        before = sum(n for (k, s), n in want.items() if s == r["source"] and k < r["sequence_id"])
+        assert abs(r["deficit"] - (share[names.index(r["source"])] * 64 * r["sequence_id"] - before)) < 1e-6 or before == totals[r["source"]] // quantum * quantum
+
+
+def test_packing_with_more_sources_than_queues(spark, docs, monkeypatch):
+    from slatewise.llm import packing
+
+    want = {(r["doc_id"], r["doc_tokens"]): 0 for r in packed_sequences(docs, window=64).collect()}
+    monkeypatch.setattr(packing, "MOST_QUEUES", 3)
+    got = packed_sequences(docs, window=64).collect()
+    assert {(r["doc_id"], r["doc_tokens"]) for r in got} == set(want)
+    by = {}
+    for r in got:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for k, own in by.items():
+        ends = np.cumsum([n for _, n in sorted(own)])
+        assert [o for o, _ in sorted(own)] == [0, *ends[:-1]] and (ends[-1] == 64 or k == max(by))
+
+
 def test_schedule_holds_the_mixture():
     plan = Schedule(np.array([1000, 300, 7, 40_000]), np.array([5.0, 1.0, 0.01, 3.0]))
     places = np.arange(0, 41_308, 64)
@@ -316,6 +398,39 @@ def test_quality(spark, docs, nothing):
     assert fit_rules(d, lab.filter("false")).score() is not None
 
 
+def test_compiled_rules_equal_rules_by_hand(spark, docs):
+    import math
+    import re
+
+    from slatewise.llm.quality import Rule
+
+    def by_hand(t):
+        n = max(len(t), 1)
+        words, lines = re.split(r"[ \t\n\x0b\f\r]+", t), t.split("\n")
+        share = lambda p: (len(t) - len(re.sub(p, "", t))) / n
+        return {"log_length": math.log1p(n), "digits": share("[0-9]+"), "stops": t.count(".") / n, "commas": t.count(",") / n, "word_length": n / len(words), "distinct_words": len(set(words)) / len(words), "distinct_lines": len(set(lines)) / len(lines), "breaks": t.count("\n") / n}
+
+    rules = {Rule((("word_length", True, 6.2),)): 1.25, Rule((("distinct_words", False, 0.5), ("log_length", True, 6.0))): -2.0, Rule((("digits", False, 0.05), ("commas", False, 0.01))): 0.75, Rule((("log_length", False, 5.5), ("log_length", True, 7.0))): 0.5}
+    model = RuleEnsemble(-0.3, rules)
+    got = sorted(((str(r["doc_id"]), round(r["score"], 9)) for r in quality_scores(docs, model).collect()))
+    want = []
+    for i, t, *_ in _awkward():
+        x = by_hand(t or "")
+        z = -0.3 + sum(w for r, w in rules.items() if all(x[n] <= v if upper else x[n] > v for n, upper, v in r.bounds))
+        want.append((str(i), round(1 / (1 + math.exp(-z)), 9)))
+    assert got == sorted(want)
+    kept = sorted(str(r["doc_id"]) for r in keep_quality(docs, model, threshold=0.5).collect())
+    assert kept == sorted(i for i, s in want if s >= 0.5)
+
+
+def test_tree_paths_become_rules():
+    from slatewise.llm.quality import Rule, tree_rules
+
+    told = "Forest\n  Tree 0 (weight 1.0):\n    If (feature 0 <= 0.5)\n     If (feature 1 <= 2.0)\n      Predict: 0.0\n     Else (feature 1 > 2.0)\n      Predict: 1.0\n    Else (feature 0 > 0.5)\n     Predict: 1.0\n"
+    a, b, c, d = (("x", True, 0.5),), (("x", True, 0.5), ("y", True, 2.0)), (("x", True, 0.5), ("y", False, 2.0)), (("x", False, 0.5),)
+    assert tree_rules(told, ["x", "y"]) == [Rule(a), Rule(b), Rule(c), Rule(d)]
+
+
 def test_sentencepiece_round_trip(docs, nothing):
     import sentencepiece
 
@@ -327,6 +442,24 @@ def test_sentencepiece_round_trip(docs, nothing):
     assert encoded(nothing).count() == 0
 
 
+def test_streams_of_merges_equal_the_library():
+    from slatewise.llm.sentences import Codec
+
+    c = Codec.of(public_tokenizers.path("piece_bpe_32k.model"))
+    r = random.Random(7)
+    words = [c.library.id_to_piece(r.randrange(300, 32000)).replace("▁", " ") for _ in range(500)]
+    texts = ["a" * 9000, "日本語のテキスト" * 300, " " * 37, "x" + " " * 19 + "y", "  a  b   c ", "\t\t\n\n x", "▁a▁ b", "-" * 100, "\x00a\x00", "<s>hi</s> <0x41>", "1234567890" * 90]
+    texts += ["".join(r.choice("abcdest n  ▁\n.é日-=0") for _ in range(r.randint(1, 60))) for _ in range(600)]
+    texts += ["".join(r.choice(words) for _ in range(r.randint(1, 40))) for _ in range(400)]
+    for t in texts:
+        assert c.encode(t) == c.library.encode(t), t[:80]
+    # the window: what is held never grows with the text
+    most = 0
+    for n, _ in enumerate(c.paths.segments("ab日" * 5000 for _ in range(3))):
+        most = max(most, len(c.paths.links))
+    assert n > 1000 and most <= 8 * c.paths.longest
+
+
 def test_streaming_viterbi_is_the_best_path():
     from slatewise.llm.sentences import StreamingViterbi
 
@@ -362,10 +495,11 @@ def test_licences_of_every_given_wording_and_whole_text(spark):
     lines = {line for t in texts for line in (t or "").split("\n") if "licensed under" in line.lower() or "released under" in line.lower() or "rights reserved" in line.lower()}
     want = {"Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Released under the MIT License.": "MIT", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "All rights reserved.": "Proprietary", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0"}
     assert lines == set(want)
-    wordings = [*want.items(), ("Licensed under the GNU GPL v3.0", "GPL-3.0"), ("this work is released under the MIT licence", "MIT"), ("Licensed under the GNU General Public License v2.0", None)]
+    wordings = [*want.items(), ("Licensed under the GNU GPL v3.0", "GPL-3.0"), ("this work is released under the MIT licence", "MIT"), ("Licensed under the GNU General Public License v2.0", None), ("Licensed under Creative  Commons\nAttribution 4.0", "CC-BY-4.0"), ("licensed under the apache license, version\t2.0", "Apache-2.0"), ("SPDX-License-Identifier: MIT", "MIT"), ("all conversion 3 rights reserved", None)]
     got = {r["doc_id"]: r for r in L.licence_scan(spark.createDataFrame([(n, w) for n, (w, _) in enumerate(wordings)], "doc_id long, text string")).collect()}
     assert [got[n]["text_licence"] for n in range(len(wordings))] == [x for _, x in wordings]
-    assert [got[n]["n_lines"] for n in range(len(wordings))] == [int(x is not None) for _, x in wordings]
+    assert [got[n]["n_lines"] for n in range(len(wordings))] == [int(x is not None and "\n" not in w) for w, x in wordings]
+    assert all(L.canonical_text(w) == r["c"] for w, r in zip([w for w, _ in wordings] + ["a Licence\n(c) me\nlicence"], spark.createDataFrame([(n, w) for n, w in enumerate([w for w, _ in wordings] + ["a Licence\n(c) me\nlicence"])], "n long, t string").select("n", L.canonical(F.col("t"))[0].alias("c")).orderBy("n").collect(), strict=True))
 
     whole = {p.name.split(".txt")[0].removesuffix(".university"): p.read_text() for p in sorted((Path(L.__file__).parent / "licence_texts").glob("*.txt"))}
     assert {"MIT", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-3.0"} <= set(whole)
