@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
+#: Environment of Python workers: arrays that are freed go back to the system, so that a worker that waits holds little.
+WORKER_MEMORY = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "1048576", "MALLOC_ARENA_MAX": "2"}
 #: Rows of an Arrow batch: whole texts go through batches, and a worker's memory grows with them.
-BATCH_ROWS = 2000
+BATCH_ROWS = 1000
 
 
 def workers_see(spark: SparkSession) -> None:
@@ -22,6 +24,8 @@ def workers_see(spark: SparkSession) -> None:
     if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
         spark.conf.set(rows, str(BATCH_ROWS))
     env = spark.sparkContext.environment
+    for name, value in WORKER_MEMORY.items():
+        env.setdefault(name, value)
     parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in parts:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *parts])
