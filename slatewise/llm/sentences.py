@@ -17,8 +17,8 @@ from slatewise.session import workers_see
 
 #: Characters given to the stream at once.
 STEP = 1 << 12
-#: Units and pairs of pieces that a worker remembers before it lets the older half go, and the longest unit that it remembers.
-REMEMBERED, SHORT = 300_000, 48
+#: Units that a worker remembers before it lets the older half go, pairs of pieces, and the longest unit that it remembers.
+REMEMBERED, PAIRS, SHORT = 800_000, 300_000, 48
 #: The mark that stands for a space.
 SPACE = "▁"
 #: A space between two words: pieces of the model begin with the space's mark or hold nothing but marks, so none reaches across.
@@ -145,7 +145,7 @@ class StreamingMerges(StreamingPaths):
 
     def _border(self, piece: str) -> tuple[list, list] | None:
         if piece not in self.borders:
-            if len(self.borders) > REMEMBERED:
+            if len(self.borders) > PAIRS:
                 self.borders.clear()
             self.borders[piece] = self._grown(piece)
         return self.borders[piece]
@@ -153,7 +153,7 @@ class StreamingMerges(StreamingPaths):
     def _beside(self, left: str, right: str) -> bool:
         """Do the merges of left + right end in just these two?"""
         if (known := self.pairs.get((left, right))) is None:
-            if len(self.pairs) > REMEMBERED:
+            if len(self.pairs) > PAIRS:
                 self.pairs.clear()
             known = self.pairs[left, right] = self._apart(self._border(left), self._border(right))
         return known
@@ -239,13 +239,17 @@ class Codec:
                 out.append(known)
         return out
 
-    def _units(self, text: str) -> Iterator[str]:
+    def _units(self, text: str) -> list[str]:
         """Units with the space before them."""
-        for part in [text] if "  " not in text and SPACE not in text and text[0] != " " != text[-1] else _gap.split(text):
-            if not self.runs or "  " in part or SPACE in part or part[0] == " " or part[-1] == " ":
-                yield from (" " + x for x in _gap.split(part))
+        if self.runs and "  " not in text and SPACE not in text and text[0] != " " != text[-1]:
+            return _run.findall(" " + text)
+        out: list[str] = []
+        for part in _gap.split(text):
+            if not self.runs or " " in part or SPACE in part:
+                out.append(" " + part)
             else:
-                yield from _run.findall(" " + part)
+                out += _run.findall(" " + part)
+        return out
 
     def _learned(self, unit: str) -> list[int]:
         marked = unit.replace(" ", SPACE)
@@ -261,8 +265,13 @@ class Codec:
         if not text:
             return []
         out: list[int] = []
+        known = self.units
         for unit in self._units(text):
-            out += self.units[unit] if unit in self.units else self._learned(unit)
+            ids = known.get(unit)
+            if ids is None:
+                ids = self._learned(unit)
+                known = self.units
+            out += ids
         return out
 
 
