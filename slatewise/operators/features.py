@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from slatewise.functions import scalars as S
 
-RANKING = ["popularity", "vote_average", "vote_count", "bayes", "year", "decay", "overlap", "affinity", "activity", "bias", "retrieval_score"]
+RANKING = ["popularity", "vote_average", "bayes", "overlap", "affinity", "year", "decay", "activity", "bias", "retrieval_score", "cb_score"]
 
 
 def item_meta(items: DataFrame, stats: DataFrame, *, ref_year: int = 2024) -> DataFrame:
@@ -25,15 +25,41 @@ def item_meta(items: DataFrame, stats: DataFrame, *, ref_year: int = 2024) -> Da
     return rows.select("item_id", pop.alias("popularity"), mean.alias("vote_average"), votes.alias("vote_count"), S.bayesian_rating(votes, mean).alias("bayes"), year.cast("double").alias("year"), S.recency_decay(year, ref_year=ref_year).alias("decay"), F.split("genres", r"\|").alias("genre_list"))
 
 
-def ranking_features(pairs: DataFrame, meta: DataFrame, profiles: DataFrame) -> DataFrame:
-    """The 11 features of each (user_id, item_id[, retrieval_score]) pair; one function for training and scoring."""
-    rows = pairs if "retrieval_score" in pairs.columns else pairs.withColumn("retrieval_score", F.lit(0.0))
+def _with_vector(rows: DataFrame, name: str) -> DataFrame:
+    """`als_vec` under another name; null where there is none."""
+    if "als_vec" in rows.columns:
+        return rows.withColumnRenamed("als_vec", name)
+    return rows.withColumn(name, F.lit(None).cast("array<double>"))
+
+
+def ranking_features(pairs: DataFrame, meta: DataFrame, profiles: DataFrame, *, ref_year: int = 2024) -> DataFrame:
+    """The 11 features of each (user_id, item_id[, retrieval_score]) pair; one function for training and scoring.
+
+    retrieval_score is the pair's own; where that is absent, the product of the two sides' `als_vec`, if both have one; else 0.
+    cb_score is the genre affinity. An unknown item has popularity 1, vote 5 and year 2010, an unknown user activity 1 and bias 0.
+    """
+    keep = [c for c in pairs.columns if c != "retrieval_score"]
+    meta, profiles = _with_vector(meta, "_item_vec"), _with_vector(profiles, "_user_vec")
+    rows = pairs if "retrieval_score" in pairs.columns else pairs.withColumn("retrieval_score", F.lit(None).cast("double"))
     rows = rows.join(meta, "item_id", "left").join(profiles, "user_id", "left")
     empty = F.array().cast("array<string>")
     mine, its = F.coalesce("genre_set", empty), F.coalesce("genre_list", empty)
-    rows = rows.withColumn("overlap", S.genre_overlap(its, mine).cast("double")).withColumn("affinity", S.genre_affinity(its, mine))
-    keep = [c for c in pairs.columns if c != "retrieval_score"]
-    return rows.select(*keep, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in RANKING])
+    product = S.dot(F.col("_item_vec").cast("array<double>"), F.col("_user_vec").cast("array<double>"))
+    year = F.coalesce(F.col("year").cast("double"), F.lit(2010.0))
+    made = {
+        "popularity": F.coalesce(F.col("popularity").cast("double"), F.lit(1.0)),
+        "vote_average": F.coalesce(F.col("vote_average").cast("double"), F.lit(5.0)),
+        "bayes": F.coalesce(F.col("bayes").cast("double"), F.col("vote_average").cast("double"), F.lit(5.0)),
+        "overlap": S.genre_overlap(its, mine).cast("double"),
+        "affinity": S.genre_affinity(its, mine),
+        "year": year,
+        "decay": F.coalesce(F.col("decay").cast("double"), S.recency_decay(year, ref_year=ref_year)),
+        "activity": F.coalesce(F.col("activity").cast("double"), F.lit(1.0)),
+        "bias": F.coalesce(F.col("bias").cast("double"), F.lit(0.0)),
+        "retrieval_score": F.coalesce(F.col("retrieval_score").cast("double"), product, F.lit(0.0)),
+        "cb_score": S.genre_affinity(its, mine),
+    }
+    return rows.select(*keep, *[made[c].cast("double").alias(c) for c in RANKING])
 
 
 def ranking_train_set(positives: DataFrame, negatives: DataFrame, meta: DataFrame, profiles: DataFrame, *, least: int = 2) -> DataFrame:
@@ -73,11 +99,14 @@ def movie_features(items: DataFrame, vocabulary: list[str]) -> DataFrame:
     genres = S.parse_list(F.col("genres"))
     year = S.release_year(F.col("release_date"), F.col("title"))
     cast = S.parse_list(F.col("cast"))
-    return items.select("item_id", year.alias("year"), F.coalesce(S.release_month(F.col("release_date")), F.lit(0)).alias("month"), S.release_decade(year).alias("decade"), F.size(genres).alias("n_genres"), F.size(cast).alias("n_cast"), F.length("title").alias("overview_len"), S.first_or_unknown(S.parse_list(F.col("director"))).alias("primary_director"), S.first_or_unknown(cast).alias("primary_actor"), *S.multi_hot(genres, vocabulary))
+    return items.select("item_id", year.alias("year"), F.coalesce(S.release_month(F.col("release_date")), F.lit(0)).alias("month"), S.release_decade(year).alias("decade"), F.size(genres).alias("n_genres"), F.size(cast).alias("n_cast"), F.length(F.coalesce(F.col("overview" if "overview" in items.columns else "title"), F.lit(""))).alias("overview_len"), S.first_or_unknown(S.parse_list(F.col("director"))).alias("primary_director"), S.first_or_unknown(cast).alias("primary_actor"), *S.multi_hot(genres, vocabulary))
 
 
 def rating_dataset(ratings: DataFrame, item_features: DataFrame, user_features: DataFrame, preferences: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """Ratings with both sides' features, the year's distance and the preference-weighted genre match; repeated pairs are refused by `check`."""
+    """Ratings with both sides' features, the year's distance and the preference-weighted genre match.
+
+    A rating stays a row each, so a pair rated twice is two rows; sides with a repeated key would multiply them.
+    """
     rows = ratings.join(item_features, "item_id", "left").join(user_features, "user_id", "left").join(preferences, "user_id", "left")
     flags, prefs = (F.array(*[F.coalesce(F.col(f"{p}_{g}").cast("double"), F.lit(0.0)) for g in vocabulary]) for p in ("genre", "pref"))
     return rows.withColumn("year_match", S.year_match(F.col("year"), F.col("mean_year"))).withColumn("genre_match_score", S.genre_match(flags, prefs))
@@ -136,14 +165,16 @@ def recommend_all(users: DataFrame, items: DataFrame, *, k: int = 10) -> DataFra
     return alike.select(*columns).unionByName(pairs.select(*columns)).withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
 
 
-def mmr(slates: DataFrame, *, limit: int = 10, pool: int = 250, epsilon: float = 1e-6, cosine: bool = False) -> DataFrame:
+def mmr(slates: DataFrame, *, limit: int = 10, pool: int | None = 250, epsilon: float = 1e-6, cosine: bool = False) -> DataFrame:
     """(slate_id, item_id, rank): greedy trade of relevance against likeness to what is chosen.
 
-    slates: (slate_id, item_id, genres, score, lambda), at most `pool` best rows of each, so a group is small. Likeness is the
+    slates: (slate_id, item_id, genres, score, lambda); the `pool` best rows of each are the candidates, which is the feature
+    (a re-ranking of a short list) and keeps a group small; None takes them all. Likeness is the
     Jaccard of genres, or the cosine of their indicator vectors. The first of equals in (score, item) order wins.
     """
     order = Window.partitionBy("slate_id").orderBy(F.desc("score"), "item_id")
-    rows = slates.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= pool)
+    rows = slates.withColumn("_r", F.row_number().over(order))
+    rows = rows if pool is None else rows.filter(F.col("_r") <= pool)
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_r")

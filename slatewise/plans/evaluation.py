@@ -10,7 +10,7 @@ from slatewise.operators import catalogue as C
 from slatewise.operators import evaluation as E
 from slatewise.operators import features as X
 from slatewise.operators import sampling as G
-from slatewise.plans.interactions import WORDS
+from slatewise.plans.interactions import WORDS, vectors
 from slatewise.plans.registry import query
 from slatewise.plans.retrieval import TFIDF, _genre_terms, _index, _train_test
 from slatewise.session import table
@@ -26,16 +26,19 @@ def _scored(spark, d):
 
 
 def _meta(spark, d, train):
-    return X.item_meta(B.items(spark, d), A.item_stats(train))
+    meta = X.item_meta(B.items(spark, d), A.item_stats(train))
+    return meta.join(vectors(spark, d).select("item_id", F.col("vec").alias("als_vec")), "item_id", "left")
 
 
 def _profiles(spark, d, train):
-    return A.user_profile(train, C.explode_genres(B.items(spark, d)))
+    taste = A.mean_vectors(train, vectors(spark, d)).select("user_id", F.col("vec").alias("als_vec"))
+    return A.user_profile(train, C.explode_genres(B.items(spark, d))).join(taste, "user_id", "left")
 
 
 META = """st AS (SELECT item_id, count(*) AS n, avg(rating) AS m FROM train GROUP BY 1), meta AS (SELECT i.item_id, coalesce(CAST(n AS DOUBLE), 1.0) AS popularity, coalesce(m, 5.0) AS vote_average, coalesce(CAST(n AS DOUBLE), 10.0) AS vote_count, string_split(genres, '|') AS gl, CAST(coalesce(TRY_CAST(substr(release_date, 1, 4) AS INTEGER), 2010) AS DOUBLE) AS year FROM items i LEFT JOIN st ON st.item_id = i.item_id),
 gm AS (SELECT avg(rating) AS m FROM train ), ub AS (SELECT user_id, count(*) AS n, avg(rating) AS m FROM train GROUP BY 1), ug AS (SELECT user_id, list(DISTINCT genre) AS gs FROM train t JOIN genre_rows g ON g.item_id = t.item_id WHERE rating >= 3.0 GROUP BY 1),
-feat AS (SELECT l.user_id, l.item_id, popularity, vote_average, vote_count, (vote_count * vote_average + 125.0) / (vote_count + 25.0) AS bayes, year, exp(-ln(2) / 15 * greatest(0, 2024 - year)) AS decay, CAST(len(list_intersect(gl, coalesce(gs, []))) AS DOUBLE) AS overlap, len(list_intersect(gl, coalesce(gs, []))) / greatest(len(coalesce(gs, [])), 1) AS affinity, coalesce(ln(1 + ub.n), 0.0) AS activity, coalesce(ub.m - gm.m, 0.0) AS bias, 0.0 AS retrieval_score FROM last_one l JOIN meta ON meta.item_id = l.item_id CROSS JOIN gm LEFT JOIN ub ON ub.user_id = l.user_id LEFT JOIN ug ON ug.user_id = l.user_id)"""
+rs AS (SELECT l.user_id, l.item_id, avg(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(h.embedding AS DOUBLE[]))) AS s FROM last_one l JOIN embeddings e ON e.vec_id = l.item_id JOIN train t ON t.user_id = l.user_id AND t.rating >= 3.0 JOIN embeddings h ON h.vec_id = t.item_id GROUP BY 1, 2),
+feat AS (SELECT l.user_id, l.item_id, popularity, vote_average, vote_count, (vote_count * vote_average + 125.0) / (vote_count + 25.0) AS bayes, year, exp(-ln(2) / 15 * greatest(0, 2024 - year)) AS decay, CAST(len(list_intersect(gl, coalesce(gs, []))) AS DOUBLE) AS overlap, len(list_intersect(gl, coalesce(gs, []))) / greatest(len(coalesce(gs, [])), 1) AS affinity, coalesce(ln(1 + ub.n), 1.0) AS activity, coalesce(ub.m - gm.m, 0.0) AS bias, coalesce(rs.s, 0.0) AS retrieval_score, len(list_intersect(gl, coalesce(gs, []))) / greatest(len(coalesce(gs, [])), 1) AS cb_score FROM last_one l JOIN meta ON meta.item_id = l.item_id CROSS JOIN gm LEFT JOIN ub ON ub.user_id = l.user_id LEFT JOIN ug ON ug.user_id = l.user_id LEFT JOIN rs ON rs.user_id = l.user_id AND rs.item_id = l.item_id)"""
 
 
 @query("WITH " + META + " SELECT user_id, item_id, " + ", ".join(f"round({c}, 6) AS {c}" for c in X.RANKING) + " FROM feat")
@@ -119,7 +122,7 @@ def rank_candidates(spark, d):
     return X.rank_candidates(rows, items).select("user_id", "item_id", "rank")
 
 
-@query("""WITH us AS (SELECT user_id, avg(rating) AS b, count(*) AS n FROM interactions WHERE user_id % 20 = 0 GROUP BY 1), it AS (SELECT item_id, avg(rating) AS s FROM interactions GROUP BY 1),
+@query("""WITH us AS (SELECT user_id, avg(rating) AS b, count(*) AS n FROM interactions GROUP BY 1), it AS (SELECT item_id, avg(rating) AS s FROM interactions GROUP BY 1),
 ug AS (SELECT user_id, list(DISTINCT genre) AS gs FROM interactions t JOIN genre_rows g ON g.item_id = t.item_id WHERE rating >= 4.5 GROUP BY 1), al AS (SELECT us.user_id, it.item_id, round(s + b + 0.1 * len(list_intersect(string_split(i.genres, '|'), coalesce(gs, []))), 9) AS score FROM us CROSS JOIN it JOIN items i ON i.item_id = it.item_id LEFT JOIN ug ON ug.user_id = us.user_id),
 k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM al) SELECT user_id, item_id, score, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 10""")
 def recommend_all(spark, d):
@@ -234,7 +237,7 @@ def evaluate_99(spark, d):
     return E.evaluate_loo(pools.join(train.groupBy("item_id").agg(F.avg("rating").alias("pred")), "item_id", "left").fillna({"pred": 0.0}))
 
 
-@query("WITH p AS (SELECT item_id, count(*) AS pred FROM train GROUP BY 1), u AS (SELECT DISTINCT user_id FROM last_one WHERE user_id % 10 = 0) SELECT l.user_id, 1 + count(*) FILTER (s.item_id <> l.item_id AND (s.pred > coalesce(q.pred, 0) OR (s.pred = coalesce(q.pred, 0) AND s.item_id < l.item_id))) AS rank FROM last_one l JOIN u ON u.user_id = l.user_id LEFT JOIN p q ON q.item_id = l.item_id CROSS JOIN p s GROUP BY l.user_id")
+@query("WITH p AS (SELECT item_id, count(*) AS pred FROM train GROUP BY 1), u AS (SELECT DISTINCT user_id FROM last_one) SELECT l.user_id, 1 + count(*) FILTER (s.item_id <> l.item_id AND (s.pred > coalesce(q.pred, 0) OR (s.pred = coalesce(q.pred, 0) AND s.item_id < l.item_id))) AS rank FROM last_one l JOIN u ON u.user_id = l.user_id LEFT JOIN p q ON q.item_id = l.item_id CROSS JOIN p s GROUP BY l.user_id")
 def evaluate_full(spark, d):
     train, test = _train_test(spark, d)
     pred = train.groupBy("item_id").agg(F.count("*").alias("pred"))

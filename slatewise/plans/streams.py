@@ -137,16 +137,60 @@ def link_titles(spark, d):
     return V.link_titles(mentions, titles)
 
 
-@query("""SELECT conv_id * 1000 + turn AS message_id, TRY_CAST(nullif(regexp_extract(lower(text), '(?:after|newer than|since) (\\d{4})', 1), '') AS INTEGER) AS newer_than, regexp_matches(lower(text), '\\b(more|another|else)\\b') AS more FROM conversations""")
+def _sql_any(words):
+    return "(" + " OR ".join(f"contains(t, {_lit(w)})" for w in words) + ")"
+
+
+def _lit(text):
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _sql_named(words, test):
+    return "list_filter([" + ", ".join(f"CASE WHEN {test(w)} THEN {_lit(g)} END" for w, g in words.items()) + "], lambda x: x IS NOT NULL)"
+
+
+_RATED = r"(?:(?:above|over|>=?)\s*([0-9](?:\.[0-9])?)|([0-9](?:\.[0-9])?)\s*\+)"
+
+
+@query(rf"""WITH l AS (SELECT conv_id * 1000 + turn AS message_id, trim(lower(coalesce(text, ''))) AS t FROM conversations),
+h AS (SELECT *, {_sql_any(V.CRITIQUES)} AS c, {_sql_any(V.EXCLUSIONS)} AS e, {_sql_named(V.CRITIQUE_HINTS, lambda w: f"contains(t, {_lit(w)})")} AS n FROM l),
+x AS (SELECT *, CASE WHEN c THEN CASE WHEN e THEN array_to_string(list_sort(list_distinct(n)), '|') ELSE '' END END AS exclude_genres, CASE WHEN c THEN coalesce(TRY_CAST(nullif(regexp_extract(t, '{_RATED}', 1), '') AS DOUBLE), TRY_CAST(nullif(regexp_extract(t, '{_RATED}', 2), '') AS DOUBLE)) END AS min_rating,
+CASE WHEN c THEN coalesce(TRY_CAST(nullif(regexp_extract(t, '\b(19\d\d|20\d\d)\b', 1), '') AS INTEGER), CASE WHEN contains(t, 'newer') OR contains(t, 'mới hơn') THEN 2015 END) END AS newer_than FROM h),
+y AS (SELECT *, CASE WHEN exclude_genres = '' THEN n[1] END AS genre, CASE WHEN c AND newer_than IS NULL AND (contains(t, 'older') OR contains(t, 'cũ hơn') OR contains(t, 'classic')) THEN 2005 END AS older_than FROM x)
+SELECT message_id, c AS is_critique, exclude_genres, genre, min_rating, newer_than, older_than, c AND genre IS NULL AND exclude_genres = '' AND min_rating IS NULL AND newer_than IS NULL AND older_than IS NULL AS diverse FROM y""")
 def parse_critique(spark, d):
-    return V.parse_critique(_messages(spark, d)).select("message_id", "newer_than", "more")
+    return V.parse_critique(_messages(spark, d)).select("message_id", "is_critique", F.array_join("exclude_genres", "|").alias("exclude_genres"), "genre", "min_rating", "newer_than", "older_than", "diverse")
+
+
+def _sql_word(pattern):
+    """\\b of every alphabet, as this SQL's \\b knows ASCII alone: by a text with a space at both ends and an edge that is no letter, digit or _."""
+    return _lit(pattern.replace("\\b", r"(?:^|$|[^\pL\pN_])"))
+
+
+def _sql_like(patterns):
+    return "(" + " OR ".join(f"regexp_matches(t, {_sql_word(p)})" for p in patterns) + ")"
+
+
+def _sql_first(pattern):
+    return f"nullif(regexp_extract(t, {_sql_word(pattern)}, 1), '')"
+
+
+_EARLY = "intent IN ('general_qa', 'more_recommendations', 'movie_detail', 'similar', 'personalized', 'followup', 'fallback')"
 
 
-@query("""WITH l AS (SELECT conv_id * 1000 + turn AS message_id, lower(text) AS t FROM conversations)
-SELECT message_id, CASE WHEN trim(t) = '' THEN 'empty' WHEN regexp_matches(t, '\\b(recommend|suggest)') THEN 'recommend' WHEN regexp_matches(t, '\\b(who|when|what|how many)\\b') THEN 'question' WHEN regexp_matches(t, '\\b(more|another)\\b') THEN 'more' WHEN regexp_matches(t, '\\b(the|and|of)\\b') THEN 'search' ELSE 'chat' END AS intent,
-CASE WHEN regexp_matches(t, '[àâçéèêëîôûù]') THEN 'fr' WHEN regexp_matches(t, '[äöüß]') THEN 'de' WHEN regexp_matches(t, '[áíóúñ¿¡]') THEN 'es' ELSE 'en' END AS language FROM l""")
+@query(rf"""WITH l AS (SELECT conv_id * 1000 + turn AS message_id, trim(lower(coalesce(text, ''))) AS t FROM conversations),
+f AS (SELECT *, CASE WHEN regexp_matches(t, '[{V.VI_LETTERS}]') OR regexp_matches(t, {_sql_word(chr(92) + "b(?:" + "|".join(V.VI_WORDS) + ")" + chr(92) + "b")}) THEN 'vi' ELSE 'en' END AS language,
+trim(regexp_replace(trim(coalesce({", ".join(map(_sql_first, V.DETAIL))})), '\s+(?:đi|nhé|ạ|cho tôi|nào)$', '')) AS d0, trim(coalesce({", ".join(map(_sql_first, V.SIMILAR))})) AS sim, trim({_sql_first(V.DIRECTOR)}) AS dir,
+trim(CASE WHEN regexp_matches(t, {_sql_word(V.ACTOR)}) THEN {_sql_first(V.ACTOR)} WHEN contains(t, 'có') AND NOT contains(t, 'có thể') THEN {_sql_first(V.WITH_ACTOR)} END) AS a0,
+{_sql_first(V.YEAR)} AS yr, TRY_CAST({_sql_first(V.RATING)} AS DOUBLE) AS mr, {_sql_named(V.GENRE_WORDS, lambda w: f"regexp_matches(t, {_lit('(?:^|[^' + chr(92) + 'pL' + chr(92) + 'pN])' + w + '(?:$|[^' + chr(92) + 'pL' + chr(92) + 'pN])')})")} AS g0 FROM l),
+g AS (SELECT *, CASE WHEN d0 <> '' AND d0 NOT IN ('gì', 'nào') THEN d0 END AS det, CASE WHEN a0 <> '' AND a0 NOT IN ('gì', 'thể', 'nào', 'gì không') THEN a0 END AS act FROM f),
+k AS (SELECT *, (yr IS NOT NULL)::INT + (dir IS NOT NULL)::INT + (act IS NOT NULL)::INT + (len(g0) > 0)::INT + (mr IS NOT NULL)::INT AS n FROM g),
+i AS (SELECT *, CASE WHEN {_sql_like(V.GREETING)} THEN 'general_qa' WHEN {_sql_like(V.MORE)} THEN 'more_recommendations' WHEN det IS NOT NULL THEN 'movie_detail' WHEN sim IS NOT NULL THEN 'similar' WHEN {_sql_like(V.COUNTS)} THEN 'sql_query'
+WHEN n = 1 THEN CASE WHEN yr IS NOT NULL THEN 'year' WHEN dir IS NOT NULL THEN 'director' WHEN act IS NOT NULL THEN 'actor' WHEN len(g0) > 0 THEN 'genre' ELSE 'rating' END WHEN n > 1 THEN 'search_filter' WHEN {_sql_any(V.WISHES)} THEN 'personalized' WHEN {_sql_any(V.POINTERS)} THEN 'followup' ELSE 'fallback' END AS intent FROM k),
+o AS (SELECT DISTINCT message_id, unnest(g0) AS g FROM i WHERE NOT ({_EARLY}) AND intent <> 'sql_query')
+SELECT message_id, intent, language, CASE intent WHEN 'movie_detail' THEN det WHEN 'similar' THEN sim END AS target_title, coalesce((SELECT string_agg(g, '|' ORDER BY g) FROM o WHERE o.message_id = i.message_id), '') AS genres, CASE WHEN NOT ({_EARLY}) THEN dir END AS director, CASE WHEN NOT ({_EARLY}) THEN act END AS actor, CASE WHEN NOT ({_EARLY}) THEN yr END AS year, CASE WHEN NOT ({_EARLY}) THEN mr END AS min_rating FROM i""")
 def detect_intent(spark, d):
-    return V.detect_intent(_messages(spark, d)).select("message_id", "intent", "language")
+    return V.detect_intent(_messages(spark, d)).select("message_id", "intent", "language", "target_title", F.array_join(F.array_sort("genres"), "|").alias("genres"), "director", "actor", "year", "min_rating")
 
 
 # ---- files

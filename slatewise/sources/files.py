@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import logging
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from slatewise.functions import scalars as S
 
+log = logging.getLogger(__name__)
 RENAMED = {"userid": "user_id", "userId": "user_id", "movieid": "item_id", "movieId": "item_id", "timestamp": "ts", "tmdbId": "tmdb_id", "imdbId": "imdb_id"}
 NO_GENRES = "(no genres listed)"
 
@@ -30,14 +35,24 @@ def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_catalogue_jdbc(spark: SparkSession, url: str, table: str, *, properties: dict[str, str] | None = None, column: str = "item_id", bounds: tuple[int, int] = (0, 1_000_000), parts: int = 16, fallback: list[str] = ()) -> DataFrame:
-    """Catalogue from a database in ranges of ids, else from the first readable file; refused without genres unless it has just three columns."""
+    """Catalogue from a database in ranges of ids, else from the first readable file; refused without genres unless it has just three columns.
+
+    Only an error of the connection or its driver leads to the files, and it is logged; with no file that can be read it is raised.
+    """
     try:
         rows = spark.read.jdbc(url, table, column=column, lowerBound=bounds[0], upperBound=bounds[1], numPartitions=parts, properties=properties or {})
         rows.schema
-    except Exception:
-        if not fallback:
+    except Py4JJavaError as e:
+        log.warning("the catalogue's database can't be read: %s", e.java_exception)
+        rows = None
+        for path in fallback:
+            try:
+                rows = read_catalogue(spark, path)
+                break
+            except AnalysisException as missing:
+                log.warning("%s can't be read: %s", path, missing)
+        if rows is None:
             raise
-        rows = read_catalogue(spark, fallback[0])
     if "genres" not in rows.columns and len(rows.columns) != 3:
         raise ValueError("a catalogue needs genres")
     return rows

@@ -50,3 +50,31 @@ def test_misspelt_title_links(spark):
     mentions = spark.createDataFrame([(1, "Inceptoin")], "message_id long, mention string")
     titles = spark.createDataFrame([(1, "Inception"), (2, "Interstellar")], "item_id long, title string")
     assert [r["item_id"] for r in V.link_titles(mentions, titles, cutoff=0.5).collect()] == [1]
+
+
+def test_critiques_and_intents(spark):
+    rows = [(1, "funnier please"), (2, "không thích kinh dị"), (3, "newer and over 7.5"), (4, "more"), (5, "hello there"), (6, "tell me about Heat"), (7, "movies like 'Alien'"), (8, "phim hành động năm 2015"), (9, "the book and the cover"), (10, None), (11, "suggest something"), (12, "directed by Nolan"), (13, "how many movies are there"), (14, "show me more"), (15, "another before 1999"), (16, "the second one")]
+    m = spark.createDataFrame(rows, "message_id long, text string")
+    c = {r["message_id"]: r for r in V.parse_critique(m).collect()}
+    assert (c[1]["genre"], c[1]["diverse"]) == ("Comedy", False)
+    assert c[2]["exclude_genres"] == ["Horror"] and c[2]["genre"] is None
+    assert (c[3]["min_rating"], c[3]["newer_than"]) == (7.5, 2015)
+    assert c[4]["diverse"] and c[15]["newer_than"] == 1999 and not c[9]["is_critique"] and c[9]["genre"] is None and not c[10]["is_critique"]
+    i = {r["message_id"]: r for r in V.detect_intent(m).collect()}
+    assert [i[n]["intent"] for n in (5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 16)] == ["general_qa", "movie_detail", "similar", "search_filter", "fallback", "fallback", "personalized", "director", "sql_query", "more_recommendations", "followup"]
+    assert (i[6]["target_title"], i[7]["target_title"], i[12]["director"], i[8]["year"], i[8]["genres"]) == ("heat", "alien", "nolan", "2015", ["Action"])
+    assert i[8]["language"] == i[2]["language"] == "vi" and i[9]["language"] == "en"
+
+
+def test_ranking_features_of_known_and_unknown_sides(spark):
+    pairs = spark.createDataFrame([(1, 10), (1, 99), (9, 10)], "user_id long, item_id long")
+    meta = spark.createDataFrame([(10, 7.0, 4.0, 4.5, 2009.0, 0.5, ["A", "B"], [1.0, 2.0])], "item_id long, popularity double, vote_average double, bayes double, year double, decay double, genre_list array<string>, als_vec array<double>")
+    profiles = spark.createDataFrame([(1, 2.0, 0.25, ["A", "C"], [0.5, 0.25])], "user_id long, activity double, bias double, genre_set array<string>, als_vec array<double>")
+    got = {(r["user_id"], r["item_id"]): r for r in X.ranking_features(pairs, meta, profiles).collect()}
+    r = got[1, 10]
+    assert (r["overlap"], r["affinity"], r["cb_score"], r["retrieval_score"], r["activity"], r["bias"]) == (1.0, 0.5, 0.5, 1.0, 2.0, 0.25)
+    r = got[1, 99]
+    assert (r["popularity"], r["vote_average"], r["bayes"], r["year"], r["retrieval_score"]) == (1.0, 5.0, 5.0, 2010.0, 0.0) and math.isclose(r["decay"], 2 ** (-14 / 15))
+    assert (got[9, 10]["activity"], got[9, 10]["bias"], got[9, 10]["cb_score"]) == (1.0, 0.0, 0.0)
+    asked = pairs.selectExpr("*", "if(item_id = 10, 0.75D, null) as retrieval_score")
+    assert {(x["user_id"], x["item_id"]): x["retrieval_score"] for x in X.ranking_features(asked, meta.drop("als_vec"), profiles).collect()}[1, 10] == 0.75
