@@ -13,7 +13,7 @@ ROOT = str(Path(__file__).resolve().parent.parent)
 
 
 #: Environment of Python workers: arrays that are freed go back to the system, so that a worker that waits holds little.
-WORKER_MEMORY = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "1048576", "MALLOC_ARENA_MAX": "2"}
+WORKER_MEMORY = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_MMAP_THRESHOLD_": "4194304", "MALLOC_TRIM_THRESHOLD_": "33554432", "MALLOC_ARENA_MAX": "2"}
 #: Rows of an Arrow batch: whole texts go through batches, and a worker's memory grows with them.
 BATCH_ROWS = 1000
 
