@@ -17,7 +17,7 @@ from slatewise.llm.tokenization import Units, encode_lowered
 from slatewise.session import workers_see, written
 
 #: Bytes of text encoded at once in a task.
-SLICE = 1 << 20
+SLICE = 1 << 18
 #: Tokens that a queue sends at once, where it divides the window.
 QUANTUM = 256
 #: Most queues; the sources beyond the largest share the last one.
