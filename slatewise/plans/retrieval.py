@@ -258,8 +258,8 @@ def history_source(spark, d):
 
 # ---- sampling
 
-DRAWN = """ix AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS idx FROM items ), wn AS (SELECT user_id, {n} AS n FROM {users}), dr AS (SELECT user_id, unnest(range(1, n * 4 + 5)) AS j, n FROM wn), di AS (SELECT dr.user_id, dr.j, dr.n, ix.item_id FROM dr JOIN ix ON ix.idx = """ + HEX.format("concat_ws('|', dr.user_id, dr.j, '42')") + """ % (SELECT count(*) FROM items )),
-nw AS (SELECT user_id, item_id, any_value(n) AS n, min(j) AS j FROM di WHERE NOT EXISTS (SELECT 1 FROM {seen} s WHERE s.user_id = di.user_id AND s.item_id = di.item_id) GROUP BY 1, 2), ng AS (SELECT user_id, item_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY j) AS k FROM nw) WHERE k <= n)"""
+DRAWN = """ix AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS idx FROM items ), wn AS (SELECT user_id, {n} AS n FROM {users}), dr AS (SELECT user_id, unnest(range(1, n * 4 + 5)) AS j, n FROM wn), du AS (SELECT user_id, j, n, """ + HEX.format("concat_ws('|', user_id, j, '42')") + """ % (SELECT count(*) FROM items ) AS idx FROM dr),
+nw AS (SELECT user_id, item_id, any_value(n) AS n, min(j) AS j FROM du JOIN ix ON ix.idx = du.idx GROUP BY 1, 2), un AS (SELECT nw.* FROM nw ANTI JOIN {seen} s ON s.user_id = nw.user_id AND s.item_id = nw.item_id), ng AS (SELECT user_id, item_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY j) AS k FROM un) WHERE k <= n)"""
 
 
 def _index(spark, d):
@@ -284,7 +284,11 @@ def pool_99(spark, d):
     return G.negative_pools(test, train, _index(spark, d), exclude="truth")
 
 
-@query()
+@query("WITH wn AS (SELECT user_id, CAST(greatest(1, floor(count(*) / 2)) AS BIGINT) AS n, CAST(floor(greatest(1, floor(count(*) / 2)) * 0.5) AS BIGINT) AS h FROM interactions GROUP BY 1), ct AS (SELECT item_id, count(*) AS n, CAST(sum(count(*)) OVER (ORDER BY item_id) AS BIGINT) AS hi FROM interactions GROUP BY 1), hd AS (SELECT user_id, h, unnest(range(1, h * 4 + 1)) AS j FROM wn), hu AS (SELECT user_id, h, j, " + HEX.format("concat_ws('|', user_id, j, '43')") + """ % (SELECT max(hi) FROM ct) AS u FROM hd),
+hw AS (SELECT hu.user_id, ct.item_id, any_value(h) AS h, min(j) AS j FROM hu JOIN ct ON u < hi AND u >= hi - n GROUP BY 1, 2), hk AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY j) AS k FROM hw WHERE (user_id, item_id) NOT IN (SELECT (user_id, item_id) FROM interactions )), hn AS (SELECT user_id, item_id FROM hk WHERE k <= h),
+sn AS (SELECT user_id, item_id FROM interactions UNION ALL SELECT user_id, item_id FROM hn), lf AS (SELECT wn.user_id, least(any_value(wn.n) - count(hn.item_id), (SELECT count(*) FROM items ) - (SELECT count(*) FROM sn WHERE sn.user_id = wn.user_id)) AS n FROM wn LEFT JOIN hn ON hn.user_id = wn.user_id GROUP BY wn.user_id),
+ix AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS idx FROM items ), dr AS (SELECT user_id, n, unnest(range(1, n * 16 + 17)) AS j FROM lf WHERE n > 0), du AS (SELECT user_id, n, j, """ + HEX.format("concat_ws('|', user_id, j, '42')") + """ % (SELECT count(*) FROM items ) AS idx FROM dr), dw AS (SELECT user_id, item_id, any_value(n) AS n, min(j) AS j FROM du JOIN ix ON ix.idx = du.idx GROUP BY 1, 2),
+dk AS (SELECT dw.*, row_number() OVER (PARTITION BY dw.user_id ORDER BY j) AS k FROM dw ANTI JOIN sn ON sn.user_id = dw.user_id AND sn.item_id = dw.item_id) SELECT user_id, item_id FROM dk WHERE k <= n UNION ALL SELECT user_id, item_id FROM hn""")
 def weighted_negatives(spark, d):
     r = B.interactions(spark, d)
     counts = r.groupBy("item_id").agg(F.count("*").alias("n")).join(_index(spark, d), "item_id")
