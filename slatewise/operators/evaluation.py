@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import sys
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slatewise.functions import scalars as S
-from slatewise.operators.aggregates import bucketed_psi_edges, dense_ids, draw
+from slatewise.operators.aggregates import bucketed_psi_edges, dense_ids, draw, paired_scores
+from slatewise.operators.retrieval import item_cf_scores
+
+MAX_DOUBLE = sys.float_info.max
 
 
 def rmse_mae(scored: DataFrame, *, label: str = "rating", pred: str = "pred") -> DataFrame:
@@ -48,7 +53,7 @@ def bootstrap_ci(per_user: DataFrame, metric: str, *, n: int = 200, alpha: float
 
 def paired_delta(a: DataFrame, b: DataFrame, metric: str, *, n: int = 200, alpha: float = 0.05, seed: int = 42) -> DataFrame:
     """Interval of the mean difference a - b over common users; significant if 0 is outside."""
-    both = a.select("user_id", F.col(metric).alias("_a")).join(b.select("user_id", F.col(metric).alias("_b")), "user_id").select("user_id", (F.col("_a") - F.col("_b")).alias("delta"))
+    both = paired_scores(a, b, metric).select("user_id", (F.col("a") - F.col("b")).alias("delta"))
     return bootstrap_ci(both, "delta", n=n, alpha=alpha, seed=seed).withColumn("significant", (F.col("low") > 0) | (F.col("high") < 0))
 
 
@@ -94,6 +99,20 @@ def evaluate_loo(pools: DataFrame, *, k: int = 10) -> DataFrame:
     return r.agg(F.avg(inside.cast("double")).alias("hr"), F.avg(F.when(inside, 1 / F.log2(F.col("_r") + 1)).otherwise(0.0)).alias("ndcg"), F.avg(F.when(inside, 1 / F.col("_r")).otherwise(0.0)).alias("mrr"), F.count("*").alias("n_users"))
 
 
+def evaluate_item_cf(train: DataFrame, truth: DataFrame, similar: DataFrame, *, k: int = 10) -> DataFrame:
+    """HR and NDCG at k of each user's hidden item (user_id, item_id) in the list of summed similarities to the rest of their items.
+
+    Users without other items or without candidates aren't evaluated; with none at all both are 0. Equal sums (to 9 digits) go to the
+    smaller id. `similar` is (query_id, item_id, score), short lists.
+    """
+    scores = item_cf_scores(train, similar).withColumn("score", F.round("score", 9))
+    best = scores.withColumn("_r", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("score"), "item_id"))).filter(F.col("_r") <= k)
+    found = best.groupBy("user_id").agg(F.collect_list(F.struct("item_id", "_r")).alias("_top"))
+    rank = F.try_element_at(F.map_from_entries("_top"), F.col("item_id"))
+    gain = truth.select("user_id", "item_id").join(found, "user_id").select(rank.isNotNull().cast("double").alias("_hit"), F.coalesce(1 / F.log2(rank + 1), F.lit(0.0)).alias("_g"))
+    return gain.agg(F.coalesce(F.avg("_hit"), F.lit(0.0)).alias("hr"), F.coalesce(F.avg("_g"), F.lit(0.0)).alias("ndcg"), F.count("*").alias("n_users"))
+
+
 def truth_ranks(truth: DataFrame, scored: DataFrame) -> DataFrame:
     """(user_id, rank): 1 + how many rows of `scored` beat the truth (user_id, item_id, pred), without storing or sorting them."""
     t = truth.select("user_id", F.col("item_id").alias("_t"), F.col("pred").alias("_p"))
@@ -202,6 +221,25 @@ def table_parity(a: DataFrame, b: DataFrame, key: str, columns: list[str], *, to
     return rows.withColumn("ok", F.col("mismatch") <= allowed)
 
 
+def train_serve_parity(trained: DataFrame, served: DataFrame, keys: list[str], columns: list[str], *, finite: tuple[str, ...] = ("retrieval_score",), tolerance: float = 1e-6) -> DataFrame:
+    """(column_name, n_rows, n_breaches, ok): feature rows of the training path against those of the serving path.
+
+    Every row served is compared with the training row of its keys: a value further off than `tolerance`, a null on one side or a
+    missing training row is a breach. Columns in `finite` come by other channels on each side, so they must only be finite on both.
+    """
+    left = trained.select(*keys, *[F.col(c).cast("double").alias(f"_t_{c}") for c in columns], F.lit(True).alias("_known"))
+    both = served.select(*keys, *[F.col(c).cast("double").alias(f"_s_{c}") for c in columns]).join(left, keys, "left")
+
+    def fine(c: str) -> Column:
+        a, b = F.col(f"_t_{c}"), F.col(f"_s_{c}")
+        if c in finite:
+            return F.abs(a).between(0, MAX_DOUBLE) & F.abs(b).between(0, MAX_DOUBLE)
+        return (F.abs(a - b) <= tolerance) | (a.isNull() & b.isNull() & F.col("_known").isNotNull())
+
+    told = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), (~F.coalesce(fine(c), F.lit(False))).alias("bad")) for c in columns]))
+    return both.select(told.alias("_x")).groupBy("_x.column_name").agg(F.count("*").alias("n_rows"), F.count_if("_x.bad").alias("n_breaches")).withColumn("ok", F.col("n_breaches") == 0)
+
+
 def check_threads(comments: DataFrame) -> DataFrame:
     """Comments without text, with an unknown parent, or under a parent of another item."""
     parents = comments.select(F.col("comment_id").alias("parent_id"), F.col("item_id").alias("_item"))

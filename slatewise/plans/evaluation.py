@@ -9,11 +9,12 @@ from slatewise.operators import aggregates as A
 from slatewise.operators import catalogue as C
 from slatewise.operators import evaluation as E
 from slatewise.operators import features as X
+from slatewise.operators import retrieval as R
 from slatewise.operators import sampling as G
 from slatewise.plans.interactions import WORDS, vectors
 from slatewise.plans.registry import query
-from slatewise.plans.retrieval import TFIDF, _genre_terms, _index, _train_test
-from slatewise.session import table
+from slatewise.plans.retrieval import SIM, TFIDF, _genre_terms, _index, _train_test
+from slatewise.session import table, written
 from slatewise.sources import binding as B
 
 #: A prediction that any engine can compute: the rating moved by a hash of the pair.
@@ -237,6 +238,30 @@ def evaluate_99(spark, d):
     return E.evaluate_loo(pools.join(train.groupBy("item_id").agg(F.avg("rating").alias("pred")), "item_id", "left").fillna({"pred": 0.0}))
 
 
+@query("WITH " + SIM + """, cf AS (SELECT t.user_id, sim.item_id, round(sum(score), 9) AS score FROM train t JOIN sim ON sim.query_id = t.item_id ANTI JOIN train h ON h.user_id = t.user_id AND h.item_id = sim.item_id GROUP BY 1, 2), rk AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS r FROM cf),
+ev AS (SELECT l.user_id, rk.r FROM last_one l JOIN (SELECT DISTINCT user_id FROM cf) c ON c.user_id = l.user_id LEFT JOIN rk ON rk.user_id = l.user_id AND rk.item_id = l.item_id AND r <= 10)
+SELECT round(coalesce(avg(CASE WHEN r IS NULL THEN 0.0 ELSE 1.0 END), 0.0), 6) AS hr, round(coalesce(avg(CASE WHEN r IS NULL THEN 0.0 ELSE 1 / log2(r + 1) END), 0.0), 6) AS ndcg, count(*) AS n_users FROM ev""")
+def evaluate_item_cf(spark, d):
+    train, test = _train_test(spark, d)
+    v = vectors(spark, d)
+    row = E.evaluate_item_cf(train, test, R.neighbours(v, v, k=5, normalise=True))
+    return row.select(F.round("hr", 6).alias("hr"), F.round("ndcg", 6).alias("ndcg"), "n_users")
+
+
+#: What a cold user's features come to; the other features are the item's alone.
+_COLD = {"overlap": "0.0", "affinity": "0.0", "activity": "1.0", "bias": "0.0", "cb_score": "0.0"}
+
+
+@query("WITH " + META + " " + " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) AS n_rows, count(*) FILTER ({f'user_id % 5 = 0 AND abs({c} - {_COLD[c]}) > 1e-6' if c in _COLD else 'NOT isfinite(retrieval_score)' if c == 'retrieval_score' else 'false'}) AS n_breaches, count(*) FILTER ({f'user_id % 5 = 0 AND abs({c} - {_COLD[c]}) > 1e-6' if c in _COLD else 'false'}) = 0 AS ok FROM feat" for c in X.RANKING))
+def train_serve_parity(spark, d):
+    """Serving reads stored tables, one user in five isn't in its profiles yet: those rows are the breaches."""
+    train, test = _train_test(spark, d)
+    pairs, meta, profiles = test.select("user_id", "item_id"), _meta(spark, d, train), _profiles(spark, d, train)
+    trained = X.ranking_features(pairs, meta, profiles)
+    served = X.ranking_features(pairs.withColumn("retrieval_score", F.lit(0.5)), written(meta, "serving-items"), written(profiles.filter("user_id % 5 <> 0"), "serving-users"))
+    return E.train_serve_parity(trained, served, ["user_id", "item_id"], X.RANKING)
+
+
 @query("WITH p AS (SELECT item_id, count(*) AS pred FROM train GROUP BY 1), u AS (SELECT DISTINCT user_id FROM last_one) SELECT l.user_id, 1 + count(*) FILTER (s.item_id <> l.item_id AND (s.pred > coalesce(q.pred, 0) OR (s.pred = coalesce(q.pred, 0) AND s.item_id < l.item_id))) AS rank FROM last_one l JOIN u ON u.user_id = l.user_id LEFT JOIN p q ON q.item_id = l.item_id CROSS JOIN p s GROUP BY l.user_id")
 def evaluate_full(spark, d):
     train, test = _train_test(spark, d)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from slatewise.operators import aggregates as A
 from slatewise.operators import conversation as V
 from slatewise.plans.registry import query
+from slatewise.plans.retrieval import MD5
 from slatewise.session import scratch_dir, table
 from slatewise.sources import binding as B
 from slatewise.sources import files as S
@@ -240,6 +241,57 @@ def vector_upsert(spark, d):
     return S.upsert_vectors(v, new).select("item_id", F.col("vec")[0].alias("first"))
 
 
+_WORDS_MD5 = """t AS (SELECT item_id, unnest(list_filter(string_split_regex(lower(text), '\\W+'), lambda x: x <> '')) AS t FROM txt), b AS (SELECT item_id, """ + MD5 + " AS pos, count(*) AS c FROM t GROUP BY 1, 2)"
+
+
+@query("WITH txt AS (SELECT item_id, CASE WHEN item_id % 3 = 0 THEN title ELSE title || ' ' || director END AS text FROM items ), " + _WORDS_MD5 + " SELECT item_id, pos, round(c / sqrt(sum(c * c) OVER (PARTITION BY item_id)), 9) AS x FROM b")
+def backfilled_vectors(spark, d):
+    """All texts are encoded and stored, then a third of them once more with other texts; what is stored in the end."""
+    path = f"{scratch_dir(spark)}/vectors-{uuid.uuid4().hex}"
+    items = B.items(spark, d)
+    S.backfill_vectors(items.select("item_id", F.concat_ws(" ", "title", "director").alias("text")), path)
+    S.backfill_vectors(items.filter("item_id % 3 = 0").select("item_id", F.col("title").alias("text")), path)
+    rows = S.stored_vectors(spark, path)[0].select("item_id", F.posexplode("vec").alias("pos", "x"))
+    return rows.filter("x <> 0").select("item_id", F.col("pos").cast("long").alias("pos"), F.round("x", 9).alias("x"))
+
+
+@query("SELECT item_id, CASE WHEN item_id % 4 > 0 THEN item_id * 7 END AS tmdb_id FROM items ")
+def links_round_trip(spark, d):
+    """Ids written as decimal numbers, as dumps have them, and one in four that is none."""
+    path = f"{scratch_dir(spark)}/links-{uuid.uuid4().hex}"
+    ids = F.when(F.col("item_id") % 4 > 0, F.concat((F.col("item_id") * 7).cast("string"), F.lit(".0"))).otherwise("unknown")
+    B.items(spark, d).select(F.col("item_id").alias("movieId"), ids.alias("tmdbId")).write.csv(path, header=True)
+    return S.read_links(spark, path)
+
+
+@query("SELECT conv_id AS user_id, CAST(turn AS BIGINT) AS item_id, nullif(text, '') AS tag, conv_id * 60 + turn AS ts FROM conversations")
+def tags_round_trip(spark, d):
+    path = f"{scratch_dir(spark)}/tags-{uuid.uuid4().hex}"
+    rows = table(spark, d, "conversations").select(F.col("conv_id").alias("userId"), F.col("turn").alias("movieId"), F.col("text").alias("tag"), (F.col("conv_id") * 60 + F.col("turn")).alias("timestamp"))
+    rows.write.csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return S.read_tags(spark, path)
+
+
+@query("SELECT event_id, user_id, event_type, CASE WHEN event_id % 10 > 0 THEN CAST(floor(epoch(ts)) AS BIGINT) END AS ts FROM events")
+def click_log_round_trip(spark, d):
+    """Times written as text; one in ten can't be read."""
+    path = f"{scratch_dir(spark)}/clicks-{uuid.uuid4().hex}"
+    at = F.when(F.col("event_id") % 10 > 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).otherwise("soon")
+    _events(spark, d).select("event_id", F.col("user_id").alias("userid"), F.col("item_id").alias("movieid"), "event_type", at.alias("ts")).write.csv(path, header=True)
+    return S.read_click_log(spark, path).select(F.col("event_id").cast("long").alias("event_id"), "user_id", "event_type", "ts")
+
+
+@query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE event_id % 2 = 0 OR ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY GROUP BY 1")
+def written_events(spark, d):
+    """Half of the events appended as they are, the other half with a retention of seven days before the last event."""
+    path = f"{scratch_dir(spark)}/events-{uuid.uuid4().hex}"
+    rows = _events(spark, d)
+    last = rows.agg(F.max("ts")).first()[0]  # one value
+    J.write_events(rows.filter("event_id % 2 = 0"), path)
+    J.write_events(rows.filter("event_id % 2 <> 0"), path, keep_days=7, now=F.lit(last))
+    return spark.read.parquet(path).groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
 @query("SELECT user_id, item_id, rating, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, item_id DESC, rating DESC) AS rn FROM interactions WHERE ts >= 820000000 AND ts < 900000000) WHERE rn = 1")
 def materialized_features(spark, d):
     return S.materialize_features(B.interactions(spark, d), key="user_id", start=820_000_000, end=900_000_000)

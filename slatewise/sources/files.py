@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from slatewise.functions import scalars as S
+from slatewise.operators.retrieval import hash_embed
 
 log = logging.getLogger(__name__)
 RENAMED = {"userid": "user_id", "userId": "user_id", "movieid": "item_id", "movieId": "item_id", "timestamp": "ts", "tmdbId": "tmdb_id", "imdbId": "imdb_id"}
@@ -100,6 +101,31 @@ def upsert_vectors(stored: DataFrame, new: DataFrame) -> DataFrame:
     return both.withColumn("_k", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("_new")))).filter("_k = 1").drop("_k", "_new")
 
 
+def backfill_vectors(items: DataFrame, path: str, *, size: int = 384, limit: int | None = None) -> None:
+    """Encode the texts of the catalogue (item_id, text), or of its first `limit` ids, and put the vectors over those stored at `path`.
+
+    A text without a word has the zero vector. New vectors are written beside the stored ones and then take their place's name as a
+    new version, `path/version=n`; `stored_vectors` reads the latest, so a job that dies half-way leaves the old version whole.
+    """
+    spark = items.sparkSession
+    chosen = items if limit is None else items.orderBy("item_id").limit(limit)
+    parts = hash_embed(chosen, size=size).groupBy("item_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("pos").cast("int").alias("pos"), "x"))).alias("_m"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at(F.col("_m"), i), F.lit(0.0)))
+    zeros = F.array_repeat(F.lit(0.0), size)
+    new = chosen.select("item_id").join(parts.select("item_id", dense.alias("vec")), "item_id", "left").select("item_id", F.coalesce("vec", zeros).alias("vec"))
+    stored, version = stored_vectors(spark, path)
+    (new if stored is None else upsert_vectors(stored, new)).write.parquet(f"{path}/version={version + 1}")
+
+
+def stored_vectors(spark: SparkSession, path: str) -> tuple[DataFrame | None, int]:
+    """The latest whole version of the vectors at `path` and its number; none and 0 where nothing is stored."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    whole = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(place, "version=*/_SUCCESS")) or []
+    version = max((int(f.getPath().getParent().getName().split("=")[1]) for f in whole), default=0)
+    return (spark.read.parquet(f"{path}/version={version}") if version else None), version
+
+
 def materialize_features(rows: DataFrame, *, key: str, start: int, end: int, ts: str = "ts") -> DataFrame:
     """The latest row per entity with a time within [start, end)."""
     inside = rows.filter(F.col(ts).between(start, end - 1))

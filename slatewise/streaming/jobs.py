@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
@@ -92,9 +92,9 @@ def quantile_alert(metrics: DataFrame, column: str, *, length: str, limit: float
     return out.select(F.col("window.start").alias("window_start"), *keys, "p", (F.col("p") > limit).alias("alert"))
 
 
-def write_events(rows: DataFrame, path: str, *, keep_days: int | None = None) -> None:
-    """Append events; retention is by time."""
-    kept = rows if keep_days is None else rows.filter(F.col("ts") >= F.current_timestamp() - F.make_interval(days=F.lit(keep_days)))
+def write_events(rows: DataFrame, path: str, *, keep_days: int | None = None, now: Column | None = None) -> None:
+    """Append events; retention is by time, counted back from `now` (the current time)."""
+    kept = rows if keep_days is None else rows.filter(F.col("ts") >= (F.current_timestamp() if now is None else now) - F.make_interval(days=F.lit(keep_days)))
     kept.write.mode("append").parquet(path)
 
 
