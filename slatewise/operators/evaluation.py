@@ -37,10 +37,13 @@ def ranking_metrics(scored: DataFrame, *, k: int = 10, relevant: float = 4.0) ->
     return row.crossJoin(users).select("hr", "ndcg", "mrr", "n_users", (F.col("_all") - F.col("n_users")).alias("n_skipped"))  # one row each
 
 
+#: The distribution of Poisson(1) at 0, 1, ..., 6.
+POISSON_EDGES = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.999916758850712]
+
+
 def _poisson(u):
     """Poisson(1) draw from a uniform number."""
-    edges = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.999916758850712]
-    return sum(((u >= e).cast("int") for e in edges), F.lit(0))
+    return sum(((u >= e).cast("int") for e in POISSON_EDGES), F.lit(0))
 
 
 def bootstrap_ci(per_user: DataFrame, metric: str, *, n: int = 200, alpha: float = 0.05, seed: int = 42) -> DataFrame:

@@ -78,9 +78,9 @@ def latest_page(spark, d):
     return C.page_of(B.items(spark, d), order="release_date")
 
 
-@query("WITH r AS (SELECT * FROM items WHERE popularity < 950.0 OR (popularity = 950.0 AND item_id < 100) ORDER BY popularity DESC, item_id DESC LIMIT 20) SELECT * FROM r")
+@query("WITH r AS (SELECT * FROM items WHERE popularity < 950.0 OR (popularity = 950.0 AND item_id < 100) ORDER BY popularity DESC, item_id DESC LIMIT 21), k AS (SELECT *, row_number() OVER (ORDER BY popularity DESC, item_id DESC) AS rn, count(*) OVER () AS n FROM r) SELECT * EXCLUDE (rn, n), CASE WHEN rn = 20 AND n > 20 THEN base64(encode(CAST(popularity AS VARCHAR) || '|' || CAST(item_id AS VARCHAR))) END AS next_cursor FROM k WHERE rn <= 20")
 def trending_after(spark, d):
-    return C.page_after(B.items(spark, d), 950.0, 100).drop("next_cursor")
+    return C.page_after(B.items(spark, d), 950.0, 100)
 
 
 @query("SELECT count(*) AS n FROM items ")
@@ -250,6 +250,32 @@ def keyset_cursor(spark, d):
     return coded.select(F.col("item_id"), value, back.alias("cursor_ok")).select("item_id", "cursor_ok")
 
 
-@query("""SELECT page_id, len(list_filter(list_transform(string_split_regex(html, '[,|;]'), lambda x: trim(x)), lambda x: x <> '')) AS n FROM pages WHERE NOT starts_with(trim(html), '[')""")
+@query("""SELECT page_id, len(list_filter(list_transform(string_split_regex(CASE WHEN starts_with(trim(html), '[') THEN regexp_replace(trim(html), '[\\[\\]]', '', 'g') ELSE html END, '[,|;]'), lambda x: trim(x)), lambda x: x <> '')) AS n FROM pages""")
 def parse_lists(spark, d):
-    return table(spark, d, "pages").filter(~F.trim("html").startswith("[")).select("page_id", F.size(S.parse_list(F.col("html"))).cast("long").alias("n"))
+    return table(spark, d, "pages").select("page_id", F.size(S.parse_list(F.col("html"))).cast("long").alias("n"))
+
+
+@query("SELECT item_id, CASE WHEN item_id % 5 = 4 THEN '' ELSE array_to_string(list_filter(string_split(genres, '|'), lambda x: x <> ''), ';') END AS names FROM items ")
+def parse_list_forms(spark, d):
+    """The same lists as JSON, with single quotes, in bare brackets and parted by bars; one in five a null word."""
+    parts = F.filter(F.split("genres", r"\|"), lambda x: x != "")
+    form = F.col("item_id") % 5
+    quoted = F.concat(F.lit("['"), F.array_join(parts, "', '"), F.lit("']"))
+    text = F.when(form == 0, F.to_json(parts)).when(form == 1, quoted).when(form == 2, F.concat(F.lit("["), F.array_join(parts, "; "), F.lit("]"))).when(form == 3, F.col("genres")).otherwise("NaN")
+    return B.items(spark, d).select("item_id", F.array_join(S.parse_list(text), ";").alias("names"))
+
+
+@query("SELECT item_id, string_agg(actor, '|' ORDER BY cast_order) AS names FROM item_actors GROUP BY 1")
+def extract_names(spark, d):
+    """Casts written as JSON objects or, for every other item, as JSON strings."""
+    cast = B.item_actors(spark, d).groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("cast_order", F.col("actor").alias("name")))).alias("cast"))
+    text = F.when(F.col("item_id") % 2 == 0, F.to_json("cast")).otherwise(F.to_json(F.transform("cast", lambda x: x["name"])))
+    return cast.select("item_id", F.array_join(S.extract_names(text), "|").alias("names"))
+
+
+@query("SELECT item_id, CASE WHEN item_id % 3 = 0 THEN TRY_CAST(substr(release_date, 1, 4) AS INTEGER) END AS year FROM items ")
+def title_year(spark, d):
+    """Titles that end in the year, have it inside, or lack it."""
+    year = F.coalesce(F.substring("release_date", 1, 4), F.lit("none"))
+    title = F.when(F.col("item_id") % 3 == 0, F.concat("title", F.lit(" ("), year, F.lit(") "))).when(F.col("item_id") % 3 == 1, F.concat(F.lit("("), year, F.lit(") "), "title")).otherwise(F.col("title"))
+    return B.items(spark, d).select("item_id", S.title_year(title).alias("year"))

@@ -11,9 +11,9 @@ from slatewise.operators import evaluation as E
 from slatewise.operators import features as X
 from slatewise.operators import retrieval as R
 from slatewise.operators import sampling as G
-from slatewise.plans.interactions import WORDS, vectors
+from slatewise.plans.interactions import HEX, WORDS, vectors
 from slatewise.plans.registry import query
-from slatewise.plans.retrieval import SIM, TFIDF, _genre_terms, _index, _train_test
+from slatewise.plans.retrieval import DRAWN, SIM, TFIDF, _genre_terms, _index, _train_test
 from slatewise.session import table, written
 from slatewise.sources import binding as B
 
@@ -197,16 +197,27 @@ def ranking_metrics(spark, d):
     return E.ranking_metrics(_scored(spark, d)).select(*[F.round(c, 6).alias(c) for c in ("hr", "ndcg", "mrr")], "n_users", "n_skipped")
 
 
-@query()
+#: A second model of the same pairs, as its own tables of per-user scores.
+PER_B = PER.removeprefix("WITH ").replace("sc AS", "scb AS").replace("FROM sc)", "FROM scb)").replace(PRED, PRED + " - item_id % 3").replace("rk AS", "rkb AS").replace("FROM rk", "FROM rkb").replace("pu AS", "pub AS").replace("FROM pu)", "FROM pub)").replace("per AS", "perb AS")
+#: The Poisson bootstrap of column m of `base`: a user's weight in a replica is the number of edges its hash passes.
+BOOT = "rp AS (SELECT m, rep, len(list_filter(" + str(E.POISSON_EDGES) + ", lambda e: e <= u)) AS w FROM (SELECT m, rep, " + HEX.format("concat_ws('|', user_id, rep, '42')") + " / 281474976710656.0::DOUBLE AS u FROM (SELECT user_id, m, unnest(range(1, 1001)) AS rep FROM base))), bt AS (SELECT sum(w * m) / sum(w) AS v FROM rp GROUP BY rep), ci AS (SELECT (SELECT avg(m) FROM base) AS mean, quantile_cont(v, 0.025) AS low, quantile_cont(v, 0.975) AS high FROM bt)"
+_ROUNDED = "round(mean, 6) AS mean, round(low, 6) AS low, round(high, 6) AS high"
+
+
+def _rounded(row):
+    return row.withColumns({c: F.round(c, 6) for c in ("mean", "low", "high")})
+
+
+@query(PER + ", base AS (SELECT user_id, ndcg AS m FROM per), " + BOOT + f" SELECT {_ROUNDED} FROM ci")
 def bootstrap_interval(spark, d):
-    return E.bootstrap_ci(E.per_user_scores(_scored(spark, d)), "ndcg", n=100)
+    return _rounded(E.bootstrap_ci(E.per_user_scores(_scored(spark, d)), "ndcg", n=1000))
 
 
-@query()
+@query(PER + ", " + PER_B + ", base AS (SELECT per.user_id, per.ndcg - perb.ndcg AS m FROM per JOIN perb ON perb.user_id = per.user_id), " + BOOT + f" SELECT {_ROUNDED}, low > 0 OR high < 0 AS significant, CASE WHEN NOT (low > 0 OR high < 0) THEN 'tie' WHEN mean > 0 THEN 'a' ELSE 'b' END AS winner FROM ci")
 def paired_models(spark, d):
     a = E.per_user_scores(_scored(spark, d))
     b = E.per_user_scores(_scored(spark, d).withColumn("pred", F.col("pred") - (F.col("item_id") % 3)))
-    return E.choose_model(E.paired_delta(a, b, "ndcg", n=100))
+    return _rounded(E.choose_model(E.paired_delta(a, b, "ndcg", n=1000)))
 
 
 TOP = "WITH " + SCORED + ", top AS (SELECT t.*, genres FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY pred DESC, item_id) AS r FROM sc) t JOIN items i ON i.item_id = t.item_id WHERE r <= 10)"
@@ -231,11 +242,13 @@ def beyond_accuracy(spark, d):
     return row.select(F.round("diversity", 6).alias("diversity"), F.round("novelty", 6).alias("novelty"), "coverage")
 
 
-@query()
+@query("WITH " + DRAWN.format(n="99", users="last_one ", seen="last_one") + """, pl AS (SELECT user_id, item_id, true AS is_truth FROM last_one UNION ALL SELECT user_id, item_id, false FROM ng), pr AS (SELECT item_id, avg(rating) AS pred FROM train GROUP BY 1), rk AS (SELECT is_truth, row_number() OVER (PARTITION BY user_id ORDER BY coalesce(pred, 0.0) DESC, pl.item_id) AS r FROM pl LEFT JOIN pr ON pr.item_id = pl.item_id)
+SELECT round(avg(CASE WHEN r <= 10 THEN 1.0 ELSE 0.0 END), 6) AS hr, round(avg(CASE WHEN r <= 10 THEN 1 / log2(r + 1) ELSE 0.0 END), 6) AS ndcg, round(avg(CASE WHEN r <= 10 THEN 1 / r ELSE 0.0 END), 6) AS mrr, count(*) AS n_users FROM rk WHERE is_truth""")
 def evaluate_99(spark, d):
     train, test = _train_test(spark, d)
     pools = G.negative_pools(test, train, _index(spark, d), exclude="truth")
-    return E.evaluate_loo(pools.join(train.groupBy("item_id").agg(F.avg("rating").alias("pred")), "item_id", "left").fillna({"pred": 0.0}))
+    row = E.evaluate_loo(pools.join(train.groupBy("item_id").agg(F.avg("rating").alias("pred")), "item_id", "left").fillna({"pred": 0.0}))
+    return row.withColumns({c: F.round(c, 6) for c in ("hr", "ndcg", "mrr")})
 
 
 @query("WITH " + SIM + """, cf AS (SELECT t.user_id, sim.item_id, round(sum(score), 9) AS score FROM train t JOIN sim ON sim.query_id = t.item_id ANTI JOIN train h ON h.user_id = t.user_id AND h.item_id = sim.item_id GROUP BY 1, 2), rk AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS r FROM cf),
@@ -294,10 +307,14 @@ def quality_gate(spark, d):
     return E.quality_gate(metrics, rules)
 
 
-@query("WITH " + SCORED + " SELECT sqrt(avg((rating - pred) * (rating - pred))) * 0 + 1 <= 0 AS passed FROM sc")
+@query(PER + ", " + PER_B + """, ms AS (SELECT (SELECT sqrt(avg((rating - pred) * (rating - pred))) FROM sc) AS r, (SELECT avg(ndcg) FROM per) AS n, (SELECT sqrt(avg((rating - pred) * (rating - pred))) FROM scb) AS rb, (SELECT avg(ndcg) FROM perb) AS nb)
+SELECT 'a' AS candidate, r <= rb * 0.995 AND n >= nb * 0.997 AS passed FROM ms UNION ALL SELECT 'b', rb <= r * 0.995 AND nb >= n * 0.997 FROM ms UNION ALL SELECT 'same', r <= r * 0.995 AND n >= n * 0.997 FROM ms""")
 def gate_vs_incumbent(spark, d):
-    m = E.rmse_mae(_scored(spark, d)).select("rmse", F.lit(0.5).alias("ndcg"))
-    return E.gate_vs_incumbent(m, m).select("passed")
+    """Each of two models against the other, and one against itself."""
+    scored = _scored(spark, d)
+    a, b = (written(E.rmse_mae(x).crossJoin(E.ranking_metrics(x)), "metrics") for x in (scored, scored.withColumn("pred", F.col("pred") - (F.col("item_id") % 3))))
+    told = [E.gate_vs_incumbent(x, y).select(F.lit(n).alias("candidate"), "passed") for n, x, y in (("a", a, b), ("b", b, a), ("same", a, a))]
+    return told[0].unionByName(told[1]).unionByName(told[2])
 
 
 # ---- checks
@@ -308,9 +325,13 @@ def check_items(spark, d):
     return E.check_items(B.items(spark, d))
 
 
-@query("SELECT count(*) AS n, count(*) FILTER (rating < 0.5 OR rating > 5.0) AS out_of_bounds, 0::BIGINT AS null_ids, count(ts) AS with_ts, 0::BIGINT AS repeated_pairs, true AS ok FROM interactions ")
+@query("""WITH bad AS (SELECT CASE WHEN user_id % 13 > 0 THEN user_id END AS user_id, item_id, CASE WHEN item_id % 11 = 0 THEN rating + 5 WHEN item_id % 11 > 1 THEN rating END AS rating, CASE WHEN user_id % 7 > 0 THEN ts END AS ts FROM interactions UNION ALL SELECT user_id, item_id, rating, ts FROM interactions WHERE user_id % 17 = 0)
+SELECT count(*) AS n, count(*) FILTER (rating IS NULL OR rating < 0.5 OR rating > 5.0) AS out_of_bounds, count(*) FILTER (user_id IS NULL OR item_id IS NULL) AS null_ids, count(ts) AS with_ts, (SELECT count(*) FROM (SELECT 1 FROM bad GROUP BY user_id, item_id HAVING count(*) > 1)) AS repeated_pairs, false AS ok FROM bad""")
 def check_ratings(spark, d):
-    return E.check_ratings(B.interactions(spark, d))
+    """Over ratings that have every fault: values beyond the bounds or missing, no user, no time, repeated pairs."""
+    r = B.interactions(spark, d)
+    bad = r.select(F.when(F.col("user_id") % 13 > 0, F.col("user_id")).alias("user_id"), "item_id", F.when(F.col("item_id") % 11 == 0, F.col("rating") + 5).when(F.col("item_id") % 11 > 1, F.col("rating")).alias("rating"), F.when(F.col("user_id") % 7 > 0, F.col("ts")).alias("ts"))
+    return E.check_ratings(bad.unionByName(r.filter("user_id % 17 = 0")))
 
 
 @query("SELECT count(*) AS n_orphans, (SELECT string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) FROM (SELECT DISTINCT item_id FROM log WHERE item_id NOT IN (SELECT item_id FROM items WHERE item_id % 9 > 0) ORDER BY 1 LIMIT 5)) AS examples FROM log WHERE item_id NOT IN (SELECT item_id FROM items WHERE item_id % 9 > 0)")
@@ -341,9 +362,10 @@ def check_threads(spark, d):
     return E.check_threads(B.comments(spark, d))
 
 
-@query("SELECT 'director' AS column_name, count(DISTINCT director) AS n, true AS ok FROM items UNION ALL SELECT 'genres', count(DISTINCT genres), true FROM items ")
+@query("SELECT 'director' AS column_name, count(DISTINCT director) AS n, true AS ok FROM items UNION ALL SELECT 'genres', count(DISTINCT genres), true FROM items UNION ALL SELECT 'tagline', count(DISTINCT CASE WHEN item_id < 0 THEN title END), count(CASE WHEN item_id < 0 THEN title END) > 0 FROM items ")
 def check_vocabulary(spark, d):
-    return E.check_vocabulary(B.items(spark, d), ["director", "genres"])
+    rows = B.items(spark, d).withColumn("tagline", F.when(F.col("item_id") < 0, F.col("title")))
+    return E.check_vocabulary(rows, ["director", "genres", "tagline"])
 
 
 @query("SELECT 'score' AS column_name, 0.0 AS mismatch, true AS ok")

@@ -41,26 +41,33 @@ def trending_windows(spark, d):
     return J.trending_now(_events(spark, d)).select(F.unix_timestamp("window_start").alias("window_start"), "item_id", F.round("score", 4).alias("score"))
 
 
-@query()
+@query(f"""WITH e AS (SELECT date_trunc('hour', ts) AS h, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS item_id, {WEIGHT} AS w FROM events), x AS (SELECT h - to_hours(CAST(k AS INTEGER)) AS s, item_id, w FROM e CROSS JOIN range(0, 24) t(k))
+SELECT CAST(epoch(s) AS BIGINT) AS window_start, item_id, CAST(round(sum(w), 4) AS DOUBLE) AS score FROM x WHERE s + INTERVAL 24 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY 1, 2""")
 def trending_stream(spark, d):
     return _streamed(spark, d, J.trending_now).select(F.unix_timestamp("window_start").alias("window_start"), "item_id", F.round("score", 4).alias("score"))
 
 
-@query()
+def _joined_ids(rows):
+    last = rows.groupBy("session_id").agg(F.max_by("ids", "_batch").alias("ids"))
+    return last.select("session_id", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
+
+
+_NEWEST = "row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, item_id DESC) AS rn FROM (SELECT CAST(user_id AS VARCHAR) AS session_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS item_id, ts FROM events)"
+
+
+@query(f"SELECT session_id, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY rn) AS ids FROM (SELECT *, {_NEWEST}) WHERE rn <= 50 GROUP BY 1")
 def recent_items_stream(spark, d):
-    rows = _streamed(spark, d, J.recent_items, mode="update")
-    return rows.groupBy("session_id").agg(F.max_by("ids", "_batch").alias("ids"))
+    return _joined_ids(_streamed(spark, d, J.recent_items, mode="update"))
 
 
-@query()
+@query(f"WITH o AS (SELECT session_id, item_id, min(rn) AS rn FROM (SELECT *, {_NEWEST}) GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY rn) AS k FROM o) SELECT session_id, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY k) AS ids FROM k WHERE k <= 20 GROUP BY 1")
 def session_items_stream(spark, d):
-    rows = _streamed(spark, d, lambda s: J.recent_items(s, n=20, idle="10 minutes", distinct=True), mode="update")
-    return rows.groupBy("session_id").agg(F.max_by("ids", "_batch").alias("ids"))
+    return _joined_ids(_streamed(spark, d, lambda s: J.recent_items(s, n=20, idle="10 minutes", distinct=True), mode="update"))
 
 
 @query("SELECT count(DISTINCT event_id) AS n FROM events")
 def repeats_dropped_stream(spark, d):
-    return _streamed(spark, d, lambda s: J.without_repeats(s.unionByName(s)).select("event_id")).agg(F.countDistinct("event_id").alias("n"))
+    return _streamed(spark, d, lambda s: J.without_repeats(s.unionByName(s)).select("event_id")).agg(F.count("*").alias("n"))
 
 
 @query("""SELECT user_id, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY rn) AS ids FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, item_id DESC) AS rn FROM log ) WHERE rn <= 50 GROUP BY 1""")
