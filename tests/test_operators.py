@@ -78,3 +78,58 @@ def test_ranking_features_of_known_and_unknown_sides(spark):
     assert (got[9, 10]["activity"], got[9, 10]["bias"], got[9, 10]["cb_score"]) == (1.0, 0.0, 0.0)
     asked = pairs.selectExpr("*", "if(item_id = 10, 0.75D, null) as retrieval_score")
     assert {(x["user_id"], x["item_id"]): x["retrieval_score"] for x in X.ranking_features(asked, meta.drop("als_vec"), profiles).collect()}[1, 10] == 0.75
+
+
+def test_popularity_draws_follow_the_counts(spark, monkeypatch):
+    monkeypatch.setattr(G, "BLOCK_ITEMS", 3)
+    counts = [900, 1, 1, 50, 7, 0, 41]
+    popularity = spark.createDataFrame([(n, 10 + n, c) for n, c in enumerate(counts)], "idx long, item_id long, n long")
+    ranges = {r["item_id"]: (r["lo"], r["hi"]) for r in G.popularity_ranges(popularity)[0].collect()}
+    assert ranges == {10: (0, 900), 11: (900, 901), 12: (901, 902), 13: (902, 952), 14: (952, 959), 16: (959, 1000)}
+    users = spark.createDataFrame([(u, 100) for u in range(20)], "user_id long, n_draws int")
+    drawn = G.weighted_draws(users, popularity, seed=1)
+    got = {r["item_id"]: r["count"] for r in drawn.groupBy("item_id").count().collect()}
+    assert sum(got.values()) == 2000 and 15 not in got and 1700 < got[10] < 1900
+    assert G.weighted_draws(users, popularity.limit(0), seed=1).count() == 0
+
+
+def test_negatives_of_users_who_have_seen_nearly_all(spark):
+    index = spark.createDataFrame([(n, n) for n in range(200)], "idx long, item_id long")
+    seen = spark.createDataFrame([(1, n) for n in range(198)] + [(2, n) for n in range(5)] + [(3, n) for n in range(200)], "user_id long, item_id long")
+    wanted = spark.createDataFrame([(1, 5), (2, 8), (3, 4)], "user_id long, n int")
+    got = {}
+    for r in G.sample_negatives(wanted, seen, index).collect():
+        got.setdefault(r["user_id"], []).append(r["item_id"])
+    assert sorted(got[1]) == [198, 199] and len(set(got[2])) == len(got[2]) == 8 and min(got[2]) >= 5 and 3 not in got
+
+
+def test_train_serve_parity_counts_breaches(spark):
+    schema = "user_id long, item_id long, a double, b double, retrieval_score double"
+    trained = spark.createDataFrame([(1, 1, 1.0, 2.0, 0.5), (1, 2, 1.0, None, 0.5), (2, 1, 1.0, 2.0, 0.5)], schema)
+    served = spark.createDataFrame([(1, 1, 1.0 + 1e-8, 2.1, 9.0), (1, 2, 1.0, None, float("nan")), (2, 1, None, 2.0, float("inf")), (9, 9, 1.0, 2.0, 0.5)], schema)
+    told = {r["column_name"]: (r["n_rows"], r["n_breaches"], r["ok"]) for r in E.train_serve_parity(trained, served, ["user_id", "item_id"], ["a", "b", "retrieval_score"]).collect()}
+    assert told == {"a": (4, 2, False), "b": (4, 2, False), "retrieval_score": (4, 3, False)}
+    assert all(r["ok"] for r in E.train_serve_parity(trained, trained, ["user_id", "item_id"], ["a", "b", "retrieval_score"]).collect())
+
+
+def test_item_cf_is_evaluated_for_users_with_candidates(spark):
+    similar = spark.createDataFrame([(1, 2, 0.9), (1, 3, 0.9), (4, 3, 0.5), (1, 4, 0.1)], "query_id long, item_id long, score double")
+    train = spark.createDataFrame([(7, 1), (7, 4), (8, 1), (9, 5)], "user_id long, item_id long")
+    truth = spark.createDataFrame([(7, 2), (8, 6), (9, 1), (10, 1)], "user_id long, item_id long")
+    r = E.evaluate_item_cf(train, truth, similar).first()
+    assert (r["hr"], r["n_users"]) == (0.5, 2) and math.isclose(r["ndcg"], 0.5 / math.log2(3))
+    r = E.evaluate_item_cf(train, truth, similar.limit(0)).first()
+    assert (r["hr"], r["ndcg"], r["n_users"]) == (0.0, 0.0, 0)
+
+
+def test_vectors_are_backfilled_in_versions(spark, tmp_path):
+    from slatewise.sources import files as S
+
+    path = f"file://{tmp_path}/vectors"
+    assert S.stored_vectors(spark, path) == (None, 0)
+    items = spark.createDataFrame([(1, "one two"), (2, ""), (3, None)], "item_id long, text string")
+    S.backfill_vectors(items, path, size=8)
+    S.backfill_vectors(items.withColumn("text", F.lit("three")), path, size=8, limit=1)
+    rows, version = S.stored_vectors(spark, path)
+    got = {r["item_id"]: r["vec"] for r in rows.collect()}
+    assert version == 2 and all(len(v) == 8 for v in got.values()) and sum(got[1]) == 1.0 and sum(got[2]) == sum(got[3]) == 0.0
