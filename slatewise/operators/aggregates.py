@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slatewise.functions import scalars as S
+from slatewise.session import written
 
 
 def item_stats(train: DataFrame, items: DataFrame | None = None) -> DataFrame:
@@ -204,14 +205,13 @@ def top_k(scored: DataFrame, k: int, *, key: str = "user_id", score: str = "scor
 
 
 def dense_ids(rows: DataFrame, column: str, *, name: str = "idx") -> DataFrame:
-    """Distinct values with gapless ids from 0 in value order, by counting ranges rather than one global window."""
+    """Distinct values with gapless ids from 0 in value order: values are cut into ranges, written once, and numbered within each."""
     values = rows.select(column).filter(F.col(column).isNotNull()).distinct()
-    cut = values.repartitionByRange(column).select(column, F.spark_partition_id().alias("_p"))
-    sizes = cut.groupBy("_p").agg(F.count("*").alias("_n"), F.min(column).alias("_low"))
-    starts = sizes.select(F.col("_low"), F.coalesce(F.sum("_n").over(Window.orderBy("_low").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"), F.lead("_low").over(Window.orderBy("_low")).alias("_high"))  # a row per partition
-    placed = values.join(F.broadcast(starts), (F.col(column) >= F.col("_low")) & (F.col("_high").isNull() | (F.col(column) < F.col("_high"))))
-    rank = F.row_number().over(Window.partitionBy("_low").orderBy(column)) - 1
-    return placed.select(column, (F.col("_start") + rank).cast("long").alias(name))
+    cut = written(values.repartitionByRange(column).select(column, F.spark_partition_id().alias("_p")), "dense-ids")
+    before = F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    starts = cut.groupBy("_p").agg(F.count("*").alias("_n")).select("_p", F.coalesce(before, F.lit(0)).alias("_start"))  # a row per partition
+    rank = F.row_number().over(Window.partitionBy("_p").orderBy(column)) - 1
+    return cut.join(F.broadcast(starts), "_p").select(column, (F.col("_start") + rank).cast("long").alias(name))
 
 
 def random_split(rows: DataFrame, *, share: float = 0.2, seed: int = 42, keys: tuple[str, ...] = ("user_id", "item_id")) -> DataFrame:
@@ -259,17 +259,21 @@ def rating_features(ratings: DataFrame, item_features: DataFrame, user_features:
     return ratings.join(item_features, "item_id", "left").join(user_features, "user_id", "left")
 
 
-def co_rated(ratings: DataFrame, *, on: str = "item_id", of: str = "user_id", cap: int | None = None) -> DataFrame:
+def co_rated(ratings: DataFrame, *, on: str = "item_id", of: str = "user_id", cap: int | None = None, asked: DataFrame | None = None, block: int = 4096) -> DataFrame:
     """Sums over what two users (or items) share: (a, b, n, dot, sum_a, sum_b, sq_a, sq_b), a < b.
 
-    `cap` leaves out keys with more rows than that, whose pairs say little; None keeps all.
+    `cap` leaves out keys with more rows than that, whose pairs say little; None keeps all. With `asked` (a column
+    named as `of`) only those are `a`, and b is anyone else. Rows of a key are dealt into blocks of about `block` rows and
+    each two blocks meet apart, so one task never holds all pairs of a hot key.
     """
-    rows = ratings
-    if cap is not None:
-        rows = rows.withColumn("_n", F.count("*").over(Window.partitionBy(on))).filter(F.col("_n") <= cap).drop("_n")
-    left = rows.select(on, F.col(of).alias("a"), F.col("rating").alias("x"))
-    right = rows.select(on, F.col(of).alias("b"), F.col("rating").alias("y"))
-    both = left.join(right, on).filter("a < b")
+    sizes = ratings.groupBy(on).agg(F.count("*").alias("_n"))
+    sizes = (sizes if cap is None else sizes.filter(F.col("_n") <= cap)).select(on, F.ceil(F.col("_n") / block).cast("int").alias("_s"))
+    rows = ratings.select(on, of, "rating").join(sizes, on).withColumn("_at", F.pmod(F.hash(of), F.col("_s")))
+    every = F.explode(F.sequence(F.lit(0), F.col("_s") - 1))
+    left = rows if asked is None else rows.join(asked.select(of).distinct(), of, "left_semi")
+    left = left.select(on, F.col("_at").alias("_i"), every.alias("_j"), F.col(of).alias("a"), F.col("rating").alias("x"))
+    right = rows.select(on, F.col("_at").alias("_j"), every.alias("_i"), F.col(of).alias("b"), F.col("rating").alias("y"))
+    both = left.join(right, [on, "_i", "_j"]).filter("a < b" if asked is None else "a <> b")
     return both.groupBy("a", "b").agg(F.count("*").alias("n"), F.sum(F.col("x") * F.col("y")).alias("dot"), F.sum("x").alias("sum_a"), F.sum("y").alias("sum_b"), F.sum(F.col("x") * F.col("x")).alias("sq_a"), F.sum(F.col("y") * F.col("y")).alias("sq_b"))
 
 

@@ -30,11 +30,17 @@ WISHES = ["recommend", "suggest", "for me", "what to watch", "gợi ý", "cho t
 POINTERS = ["first", "second", "third", "thứ nhất", "thứ hai", "bộ đó", "phim đó"]
 
 
-def extract_mentions(messages: DataFrame, *, key: str = "message_id", text: str = "text", most: int = 10, words: int = 5) -> DataFrame:
-    """(key, mentions): quoted spans, then capitalised phrases of at most `words` words, each once, at most `most`."""
-    quoted = F.regexp_extract_all(text, F.lit(r'"([^"]+)"'), 1)
-    phrase = F.regexp_extract_all(text, F.lit(rf"\b([A-Z][A-Za-z0-9]+(?: [A-Z][A-Za-z0-9]+){{0,{words - 1}}})"), 1)
-    return messages.select(key, F.slice(F.array_distinct(F.concat(quoted, phrase)), 1, most).alias("mentions"))
+#: A quoted span, and a capitalised phrase of one to five words.
+QUOTED = r"""['"“”]([^'"“”]{2,80})['"“”]"""
+PHRASE = r"\b[A-ZÀ-Þ][\w'’-]*(?:\s+[A-ZÀ-Þ0-9][\w'’-]*){0,4}\b"
+
+
+def extract_mentions(messages: DataFrame, *, key: str = "message_id", text: str = "text", most: int = 10, shortest: int = 3) -> DataFrame:
+    """(key, mentions): quoted spans, then capitalised phrases of at least `shortest` letters, each once, at most `most`; no text, none."""
+    quoted = F.filter(F.transform(F.regexp_extract_all(text, F.lit(QUOTED), 1), F.trim), lambda x: x != "")
+    phrases = F.filter(F.regexp_extract_all(text, F.lit("(?U)" + PHRASE), 0), lambda x: F.length(x) >= shortest)
+    found = F.slice(F.array_distinct(F.concat(quoted, phrases)), 1, most)
+    return messages.select(key, F.coalesce(found, F.array().cast("array<string>")).alias("mentions"))
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -47,8 +53,9 @@ def trigrams(text: Column) -> Column:
 
 
 def link_titles(mentions: DataFrame, titles: DataFrame, *, cutoff: float = 0.6) -> DataFrame:
-    """(message_id, mention, item_id, score): exact lower-case title, else the closest that shares trigrams; one per mention.
+    """(message_id, mention, item_id, score): exact lower-case title, else the closest that shares trigrams.
 
+    A mention links one item at most; of a message's mentions of one item the closest stays, ties to the smaller text.
     mentions: (message_id, mention); titles: (item_id, title). Distinct mentions meet distinct titles only.
     """
     m = mentions.select(F.lower("mention").alias("m")).distinct()
@@ -58,7 +65,9 @@ def link_titles(mentions: DataFrame, titles: DataFrame, *, cutoff: float = 0.6)
     a, b = rest.select("m", F.explode(trigrams(F.col("m"))).alias("g")), t.select("t", "item_id", F.explode(trigrams(F.col("t"))).alias("g"))
     near = a.join(b, "g").select("m", "t", "item_id").distinct().withColumn("score", similarity(F.col("m"), F.col("t"))).filter(F.col("score") >= cutoff)
     best = near.withColumn("_k", F.row_number().over(Window.partitionBy("m").orderBy(F.desc("score"), "item_id"))).filter("_k = 1").select("m", "item_id", "score")
-    return mentions.join(exact.unionByName(best), F.lower("mention") == F.col("m")).select("message_id", "mention", "item_id", F.round("score", 4).alias("score"))
+    rows = mentions.join(exact.unionByName(best), F.lower("mention") == F.col("m")).select("message_id", "mention", "item_id", F.round("score", 4).alias("score"))
+    first = F.min_by(F.struct("mention", "score"), F.struct(-F.col("score"), F.col("mention"))).alias("_first")
+    return rows.groupBy("message_id", "item_id").agg(first).select("message_id", "_first.mention", "item_id", "_first.score")
 
 
 def _holds(text: Column, words: list[str]) -> Column:

@@ -179,20 +179,25 @@ def rank_fusion(*channels: DataFrame, k: int = 60) -> DataFrame:
     return out.groupBy("user_id", "item_id").agg(F.sum("_s").alias("score"))
 
 
-def knn_predict(ratings: DataFrame, asked: DataFrame, *, k: int = 40, pearson: bool = False, least: int = 1) -> DataFrame:
-    """User-based KNN with means: user mean + weighted mean of the centred ratings of the k most similar raters."""
-    pairs = A.co_rated(ratings).filter(F.col("n") >= least)
+def knn_predict(ratings: DataFrame, asked: DataFrame, *, k: int = 40, pearson: bool = False, least: int = 1, by: str = "user") -> DataFrame:
+    """KNN with means: user mean + weighted mean of the centred ratings of the k most similar raters of the item.
+
+    `by="item"` takes the items' means and the most similar items that the user rated. Similarities count to 9 digits; ties go to the smaller id.
+    """
+    if by == "item":
+        turned = [F.col("item_id").alias("user_id"), F.col("user_id").alias("item_id")]
+        return knn_predict(ratings.select(*turned, "rating"), asked.select(*turned), k=k, pearson=pearson, least=least).select(*turned, "pred")
+    pairs = A.co_rated(ratings, asked=asked).filter(F.col("n") >= least)
     n = F.col("n")
     if pearson:
         top = n * F.col("dot") - F.col("sum_a") * F.col("sum_b")
         low = F.sqrt(n * F.col("sq_a") - F.col("sum_a") * F.col("sum_a")) * F.sqrt(n * F.col("sq_b") - F.col("sum_b") * F.col("sum_b"))
     else:
         top, low = F.col("dot"), F.sqrt("sq_a") * F.sqrt("sq_b")
-    sims = pairs.select("a", "b", F.when(low == 0, 0.0).otherwise(top / low).alias("sim"))
-    both = sims.select(F.col("a").alias("user_id"), F.col("b").alias("other"), "sim").unionByName(sims.select(F.col("b").alias("user_id"), F.col("a").alias("other"), "sim"))
+    sims = pairs.select(F.col("a").alias("user_id"), F.col("b").alias("other"), F.when(low == 0, 0.0).otherwise(F.round(top / low, 9)).alias("sim"))
     means = ratings.groupBy("user_id").agg(F.avg("rating").alias("mean"))
     centred = ratings.join(means, "user_id").select(F.col("user_id").alias("other"), "item_id", (F.col("rating") - F.col("mean")).alias("dev"))
-    rows = asked.select("user_id", "item_id").join(both, "user_id").join(centred, ["other", "item_id"])
+    rows = asked.select("user_id", "item_id").join(sims, "user_id").join(centred, ["other", "item_id"])
     rank = F.row_number().over(Window.partitionBy("user_id", "item_id").orderBy(F.desc("sim"), "other"))
     near = rows.withColumn("_k", rank).filter((F.col("_k") <= k) & (F.col("sim") > 0)).groupBy("user_id", "item_id").agg((F.sum(F.col("sim") * F.col("dev")) / F.sum("sim")).alias("_d"))
     return asked.select("user_id", "item_id").join(means, "user_id", "left").join(near, ["user_id", "item_id"], "left").select("user_id", "item_id", (F.col("mean") + F.coalesce("_d", F.lit(0.0))).alias("pred"))

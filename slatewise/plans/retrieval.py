@@ -165,10 +165,13 @@ def rank_fusion(spark, d):
     return R.rank_fusion(a, b).withColumn("score", F.round("score", 9))
 
 
-KNN = """WITH p AS (SELECT a.user_id AS a, b.user_id AS b, {sim} AS sim FROM train a JOIN train b ON a.item_id = b.item_id AND a.user_id <> b.user_id GROUP BY 1, 2), mu AS (SELECT user_id, avg(rating) AS m FROM train GROUP BY 1),
-n AS (SELECT q.user_id, q.item_id, p.sim, r.rating - mu.m AS dev, row_number() OVER (PARTITION BY q.user_id, q.item_id ORDER BY round(sim, 9) DESC, p.b) AS k FROM last_one q JOIN p ON p.a = q.user_id JOIN train r ON r.user_id = p.b AND r.item_id = q.item_id JOIN mu ON mu.user_id = p.b),
+KNN = """WITH p AS (SELECT a.{u} AS a, b.{u} AS b, round({sim}, 9) AS sim FROM train a JOIN train b ON a.{i} = b.{i} AND a.{u} <> b.{u} GROUP BY 1, 2 HAVING count(*) >= {least}), mu AS (SELECT {u}, avg(rating) AS m FROM train GROUP BY 1),
+n AS (SELECT q.user_id, q.item_id, p.sim, r.rating - mu.m AS dev, row_number() OVER (PARTITION BY q.user_id, q.item_id ORDER BY sim DESC, p.b) AS k FROM last_one q JOIN p ON p.a = q.{u} JOIN train r ON r.{u} = p.b AND r.{i} = q.{i} JOIN mu ON mu.{u} = p.b),
 g AS (SELECT user_id, item_id, sum(sim * dev) / sum(sim) AS d FROM n WHERE k <= 40 AND sim > 0 GROUP BY 1, 2)
-SELECT q.user_id, q.item_id, round(m + coalesce(d, 0.0), 5) AS pred FROM last_one q LEFT JOIN mu ON mu.user_id = q.user_id LEFT JOIN g ON g.user_id = q.user_id AND g.item_id = q.item_id"""
+SELECT q.user_id, q.item_id, round(m + coalesce(d, 0.0), 5) AS pred FROM last_one q LEFT JOIN mu ON mu.{u} = q.{u} LEFT JOIN g ON g.user_id = q.user_id AND g.item_id = q.item_id"""
+COSINE = "sum(a.rating * b.rating) / (sqrt(sum(a.rating * a.rating)) * sqrt(sum(b.rating * b.rating)))"
+PEARSON = "coalesce((count(*) * sum(a.rating * b.rating) - sum(a.rating) * sum(b.rating)) / nullif(sqrt(count(*) * sum(a.rating * a.rating) - sum(a.rating) * sum(a.rating)) * sqrt(count(*) * sum(b.rating * b.rating) - sum(b.rating) * sum(b.rating)), 0), 0.0)"
+BY_USER, BY_ITEM = {"u": "user_id", "i": "item_id"}, {"u": "item_id", "i": "user_id"}
 
 
 def _train_test(spark, d):
@@ -176,16 +179,28 @@ def _train_test(spark, d):
     return rows.filter("not is_test").drop("is_test"), rows.filter("is_test").drop("is_test")
 
 
-@query(KNN.format(sim="sum(a.rating * b.rating) / (sqrt(sum(a.rating * a.rating)) * sqrt(sum(b.rating * b.rating)))"))
+@query(KNN.format(sim=COSINE, least=1, **BY_USER))
 def knn_cosine(spark, d):
     train, test = _train_test(spark, d)
     return R.knn_predict(train, test).withColumn("pred", F.round("pred", 5))
 
 
-@query()
+@query(KNN.format(sim=PEARSON, least=2, **BY_USER))
 def knn_pearson(spark, d):
     train, test = _train_test(spark, d)
-    return R.knn_predict(train, test, pearson=True, least=2)
+    return R.knn_predict(train, test, pearson=True, least=2).withColumn("pred", F.round("pred", 5))
+
+
+@query(KNN.format(sim=COSINE, least=1, **BY_ITEM))
+def knn_items_cosine(spark, d):
+    train, test = _train_test(spark, d)
+    return R.knn_predict(train, test, by="item").withColumn("pred", F.round("pred", 5))
+
+
+@query(KNN.format(sim=PEARSON, least=2, **BY_ITEM))
+def knn_items_pearson(spark, d):
+    train, test = _train_test(spark, d)
+    return R.knn_predict(train, test, pearson=True, least=2, by="item").withColumn("pred", F.round("pred", 5))
 
 
 @query()

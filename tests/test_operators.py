@@ -5,6 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 from slatewise.functions import scalars as S
+from slatewise.operators import aggregates as A
 from slatewise.operators import conversation as V
 from slatewise.operators import evaluation as E
 from slatewise.operators import features as X
@@ -133,3 +134,72 @@ def test_vectors_are_backfilled_in_versions(spark, tmp_path):
     rows, version = S.stored_vectors(spark, path)
     got = {r["item_id"]: r["vec"] for r in rows.collect()}
     assert version == 2 and all(len(v) == 8 for v in got.values()) and sum(got[1]) == 1.0 and sum(got[2]) == sum(got[3]) == 0.0
+
+
+def test_mentions_of_quotes_accents_and_short_words(spark):
+    rows = [(1, "Have you seen “Amélie” or 'Up'? I liked Élite Squad 2, The Lord Of The Rings Again and X"), (2, None), (3, ""), (4, " ".join(f"Film{i}," for i in range(12)))]
+    got = {r["message_id"]: r["mentions"] for r in V.extract_mentions(spark.createDataFrame(rows, "message_id long, text string")).collect()}
+    assert got[1] == ["Amélie", "Up", "Have", "Élite Squad 2", "The Lord Of The Rings", "Again"]
+    assert got[2] == got[3] == [] and got[4] == [f"Film{i}" for i in range(10)]
+
+
+def test_title_links_against_brute_force(spark):
+    import random
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    def grams(t):
+        t = f"  {t} "
+        return {t[i : i + 3] for i in range(len(t) - 2)}
+
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("aeéBt") for _ in range(r.randint(3, 7)))
+    titles = [(i, word()) for i in range(60)]
+    mentions = [(i % 20, word()) for i in range(80)] + [(1, titles[0][1].upper())]
+    want = {}
+    for message, mention in mentions:
+        m = mention.lower()
+        exact = [i for i, t in titles if t.lower() == m]
+        if exact:
+            best = (-1.0, min(exact))
+        else:
+            near = [(edits(m, t.lower()) / max(len(m), len(t)) - 1, i) for i, t in titles if grams(m) & grams(t.lower())]
+            best = min([x for x in near if -x[0] >= 0.6], default=None)
+        if best:
+            key = (message, best[1])
+            want[key] = min(want.get(key, (1, "")), (round(best[0], 4), mention))
+    got = V.link_titles(spark.createDataFrame(mentions, "message_id long, mention string"), spark.createDataFrame(titles, "item_id long, title string")).collect()
+    assert {(x["message_id"], x["item_id"]): (-x["score"], x["mention"]) for x in got} == want and len(got) == len(want)
+
+
+def test_co_ratings_in_blocks(spark):
+    import random
+
+    r = random.Random(6)
+    rows = [(u, i, r.randint(1, 10) / 2) for u in range(30) for i in range(4) if i == 0 or r.random() < 0.5]
+    want = {}
+    for u, i, x in rows:
+        for v, j, y in rows:
+            if i == j and u < v:
+                n, dot = want.get((u, v), (0, 0.0))
+                want[u, v] = (n + 1, dot + x * y)
+    ratings = spark.createDataFrame(rows, "user_id long, item_id long, rating double")
+    asked = spark.createDataFrame([(3,), (9,), (9,), (99,)], "user_id long")
+    for block in (2, 4096):
+        assert {(x["a"], x["b"]): (x["n"], x["dot"]) for x in A.co_rated(ratings, block=block).collect()} == want
+        some = {(x["a"], x["b"]): (x["n"], x["dot"]) for x in A.co_rated(ratings, asked=asked, block=block).collect()}
+        assert some == {(a, b): want[min(a, b), max(a, b)] for a in (3, 9) for b in range(30) if (min(a, b), max(a, b)) in want}
+
+
+def test_dense_ids_of_many_ranges(spark):
+    rows = spark.range(500).selectExpr("concat('k', lpad(id * 7919 % 211, 4, '0')) AS k").union(spark.sql("SELECT CAST(NULL AS STRING)"))
+    got = [(x["k"], x["idx"]) for x in A.dense_ids(rows, "k").orderBy("idx").collect()]
+    assert got == [(f"k{i:04}", i) for i in range(211)]
+    assert A.dense_ids(rows.filter("k < 'a'"), "k").count() == 0
