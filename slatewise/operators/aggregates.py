@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slatewise.functions import scalars as S
+from slatewise.operators.quantiles import exact_quantiles
 from slatewise.session import written
 
 
@@ -77,9 +78,11 @@ def funnel(events: DataFrame, stages: tuple[str, ...] = ("view", "click", "signu
 
 
 def rating_summary(ratings: DataFrame, column: str = "rating") -> DataFrame:
-    quart = F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    row = ratings.agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"), quart.alias("_q"), F.max(column).alias("max"))
-    return row.select("n", "mean", "std", "min", F.col("_q")[0].alias("q25"), F.col("_q")[1].alias("q50"), F.col("_q")[2].alias("q75"), "max")
+    """n, mean, std, min, quartiles and max of a column as one row; the quartiles are exact."""
+    row = ratings.agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"), F.max(column).alias("max"))
+    quart = exact_quantiles(ratings, column, [0.25, 0.5, 0.75]).select("q")
+    row = row.join(F.broadcast(quart), F.lit(True), "left")  # one row each
+    return row.select("n", "mean", "std", "min", *[F.get("q", F.lit(i)).alias(f"q{25 * (i + 1)}") for i in range(3)], "max")
 
 
 def counts_by(rows: DataFrame, *keys: str, name: str = "n") -> DataFrame:
@@ -297,7 +300,7 @@ def intersect_items(recommended: DataFrame, items: DataFrame) -> DataFrame:
 def bucketed_psi_edges(expected: DataFrame, column: str, buckets: int = 10) -> DataFrame:
     """Distinct quantiles of a column as one row with an array."""
     at = [i / buckets for i in range(buckets + 1)]
-    return expected.agg(F.array_sort(F.array_distinct(F.percentile(column, F.array(*map(F.lit, at))))).alias("edges"))
+    return exact_quantiles(expected, column, at).select(F.array_sort(F.array_distinct("q")).alias("edges"))
 
 
 def genre_entropy(history: DataFrame, genres: DataFrame, *, vocabulary: int, low: float = 0.4, high: float = 0.9, default: float = 0.7) -> DataFrame:

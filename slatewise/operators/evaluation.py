@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slatewise.functions import scalars as S
-from slatewise.operators.aggregates import bucketed_psi_edges, dense_ids, draw, paired_scores
+from slatewise.operators.aggregates import dense_ids, draw, paired_scores
 from slatewise.operators.retrieval import item_cf_scores
+from slatewise.operators.quantiles import exact_quantiles
+from slatewise.session import written
 
 MAX_DOUBLE = sys.float_info.max
 
@@ -146,7 +148,10 @@ def precision_recall(scored: DataFrame, *, k: int = 10, relevant: float = 4.0) -
 
 
 def latency_stats(rows: DataFrame, column: str = "ms", *keys: str) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.avg(column).alias("mean"), F.percentile(column, F.lit(0.5)).alias("p50"), F.percentile(column, F.lit(0.95)).alias("p95"))
+    """Mean, median and 95th percentile, exact, by `keys`, which hold no nulls."""
+    stats = exact_quantiles(rows, column, [0.5, 0.95], list(keys)).select(*keys, F.col("q")[0].alias("p50"), F.col("q")[1].alias("p95"))
+    means = rows.groupBy(*keys).agg(F.avg(column).alias("mean"))
+    return (means.join(stats, list(keys), "left") if keys else means.join(F.broadcast(stats), F.lit(True), "left")).select(*keys, "mean", "p50", "p95")
 
 
 def quality_gate(metrics: DataFrame, rules: DataFrame) -> DataFrame:
@@ -185,31 +190,38 @@ def check_references(rows: DataFrame, items: DataFrame, *, examples: int = 5) ->
     return bad.agg(F.count("*").alias("n_orphans")).crossJoin(few)
 
 
-def psi(expected: DataFrame, actual: DataFrame, column: str, *, buckets: int = 10, epsilon: float = 1e-4) -> DataFrame:
-    """Population stability over distinct quantile bins of the expected side; values outside count in the denominator only."""
-    edges = bucketed_psi_edges(expected, column, buckets)
+def psi(expected: DataFrame, actual: DataFrame, columns: list[str], *, buckets: int = 10, epsilon: float = 1e-4) -> DataFrame:
+    """(column_name, psi): population stability over distinct quantile bins of the expected side; values outside count in the denominator only.
+
+    All columns go in one pass of each side. A column without expected values, or with one alone, has 0.
+    """
+    melt = lambda rows: rows.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("_x")) for c in columns])))
+    at = [i / buckets for i in range(buckets + 1)]
+    named = actual.sparkSession.createDataFrame([(c,) for c in columns], "column_name string")
+    edges = exact_quantiles(melt(expected), "_x", at, ["column_name"]).select("column_name", F.array_sort(F.array_distinct("q")).alias("edges"))
+    edges = written(named.join(edges, "column_name", "left").withColumn("edges", F.coalesce("edges", F.array().cast("array<double>"))), "drift-edges")  # a row a column
 
     def shares(rows: DataFrame, name: str) -> DataFrame:
-        binned = rows.select(F.col(column).alias("_x")).filter("_x is not null").crossJoin(F.broadcast(edges))  # one row of edges
+        binned = melt(rows).filter("_x is not null").join(F.broadcast(edges), "column_name")
         last = F.size("edges") - 1
-        place = F.when(F.col("_x") == F.element_at("edges", -1), last).otherwise(F.size(F.filter("edges", lambda e: e <= F.col("_x"))))
-        inside = (F.col("_x") >= F.element_at("edges", 1)) & (F.col("_x") <= F.element_at("edges", -1))
-        counts = binned.select(F.when(inside, place).alias("bin")).groupBy("bin").agg(F.count("*").alias("_c"))
-        total = counts.agg(F.sum("_c").alias("_t"))
-        return counts.filter("bin is not null").crossJoin(F.broadcast(total)).select("bin", (F.col("_c") / F.col("_t")).alias(name))
-
-    bins = edges.select(F.size("edges").alias("_n"), F.explode(F.when(F.size("edges") > 1, F.sequence(F.lit(1), F.size("edges") - 1)).otherwise(F.array().cast("array<int>"))).alias("bin"))
-    rows = bins.join(shares(expected, "e"), "bin", "left").join(shares(actual, "a"), "bin", "left")
+        place = F.when(F.col("_x") == F.try_element_at("edges", F.lit(-1)), last).otherwise(F.size(F.filter("edges", lambda e: e <= F.col("_x"))))
+        inside = (F.col("_x") >= F.try_element_at("edges", F.lit(1))) & (F.col("_x") <= F.try_element_at("edges", F.lit(-1)))
+        counts = binned.select("column_name", F.when(inside, place).alias("bin")).groupBy("column_name", "bin").agg(F.count("*").alias("_c"))
+        total = F.sum("_c").over(Window.partitionBy("column_name"))
+        return counts.select("column_name", "bin", (F.col("_c") / total).alias(name)).filter("bin is not null")
+
+    bins = edges.select("column_name", F.explode_outer(F.when(F.size("edges") > 1, F.sequence(F.lit(1), F.size("edges") - 1))).alias("bin"))
+    rows = bins.join(shares(expected, "e"), ["column_name", "bin"], "left").join(shares(actual, "a"), ["column_name", "bin"], "left")
     e, a = (F.greatest(F.coalesce(c, F.lit(0.0)), F.lit(epsilon)) for c in ("e", "a"))
-    return rows.agg(F.coalesce(F.sum((a - e) * F.log(a / e)), F.lit(0.0)).alias("psi"))
+    return rows.groupBy("column_name").agg(F.sum((a - e) * F.log(a / e)).alias("psi"))
 
 
 def drift_report(expected: DataFrame, actual: DataFrame, columns: list[str], *, alert: float = 0.25, moderate: float = 0.1) -> DataFrame:
-    out = None
-    for c in columns:
-        row = psi(expected, actual, c).select(F.lit(c).alias("column_name"), "psi").crossJoin(actual.agg(F.avg(F.col(c).isNull().cast("double")).alias("null_rate")))
-        out = row if out is None else out.unionByName(row)
+    """(column_name, psi, null_rate, status, null_alert) of each column."""
+    rates = actual.agg(*[F.avg(F.col(c).isNull().cast("double")).alias(c) for c in columns])
+    rates = rates.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("null_rate")) for c in columns])))
     status = F.when(F.col("psi") > alert, "DRIFT_ALERT").when(F.col("psi") >= moderate, "MODERATE").otherwise("PASS")
+    out = psi(expected, actual, columns).join(F.broadcast(rates), "column_name")  # a row a column
     return out.withColumn("status", status).withColumn("null_alert", F.col("null_rate") > 0.05)
 
 

@@ -93,10 +93,10 @@ def items_by_director(spark, d):
     return B.items(spark, d).groupBy("director").agg(F.count("*").alias("n"), F.max("popularity").alias("best"))
 
 
-@query("WITH v AS (SELECT item_id, avg(rating) AS m, count(*) AS n FROM interactions GROUP BY 1) SELECT i.item_id, title, m, n FROM items i JOIN v ON v.item_id = i.item_id WHERE substr(release_date, 1, 4) = '1998' AND n >= 2 ORDER BY m DESC, i.item_id LIMIT 10")
+@query("WITH v AS (SELECT item_id, avg(rating) AS m, count(*) AS n FROM interactions GROUP BY 1) SELECT i.item_id, title, m, n FROM items i JOIN v ON v.item_id = i.item_id WHERE substr(release_date, 1, 4) = '1995' AND n >= 2 ORDER BY m DESC, i.item_id LIMIT 10")
 def top_rated_in_year(spark, d):
     v = B.interactions(spark, d).groupBy("item_id").agg(F.avg("rating").alias("m"), F.count("*").alias("n"))
-    rows = B.items(spark, d).join(v, "item_id").filter((F.substring("release_date", 1, 4) == "1998") & (F.col("n") >= 2))
+    rows = B.items(spark, d).join(v, "item_id").filter((F.substring("release_date", 1, 4) == "1995") & (F.col("n") >= 2))
     return rows.select("item_id", "title", "m", "n").orderBy(F.desc("m"), "item_id").limit(10)
 
 
