@@ -20,8 +20,10 @@ from slatewise.session import workers_see, written
 SLICE = 1 << 18
 #: Tokens that a queue sends at once, where it divides the window.
 QUANTUM = 256
-#: Most queues; the sources beyond the largest share the last one.
+#: Most queues, unless a call asks for others.
 MOST_QUEUES = 4096
+#: Quanta times queues that are compared at once in a task.
+CHUNK = 1 << 18
 PIECES = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string, deficit double"
 
 
@@ -68,18 +70,33 @@ class Schedule:
         before = np.cumsum(b - a, 1) - (b - a)  # turns at the same time go by the order of queues
         return a + np.clip((places - a.sum(1))[:, None] - before, 0, b - a)
 
-    def window_of(self, queue: np.ndarray, token: np.ndarray, window: int) -> np.ndarray:
-        """The window that the queue's token of this number goes to."""
-        end = int(self.totals.sum())
-        found = self._served((token + 0.5) / self.weights[queue]).sum(1) // window  # within a few places
-        todo = np.arange(len(token))
-        while len(todo):
-            w, q, t = found[todo], queue[todo], token[todo]
-            step = (self.sent(np.minimum((w + 1) * window, end))[np.arange(len(todo)), q] <= t).astype(np.int64)
-            step -= self.sent(np.minimum(w * window, end))[np.arange(len(todo)), q] > t
-            found[todo] += step
-            todo = todo[step != 0]
-        return found
+    def places(self, queue: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """The place of quantum k of each queue among all quanta: how many go before it, by time and then by the order of queues.
+
+        Each quantum is compared with every queue that sends any, some CHUNK at a time, and with no window in which its own queue sends nothing.
+        """
+        some = np.flatnonzero(self.totals)
+        weights, totals = self.weights[some], self.totals[some]
+        out = np.empty(len(k), np.int64)
+        step = max(1, CHUNK // max(1, len(some)))
+        for at in range(0, len(k), step):
+            own = np.searchsorted(some, queue[at : at + step])[:, None]
+            t = ((k[at : at + step] + 0.5) / self.weights[queue[at : at + step]])[:, None]
+            n = np.floor(t * weights + 0.5)
+            n -= (n - 0.5) / weights > t  # turns are at (k + 1/2) / weight as rounded, so ties stay ties
+            n += (n + 0.5) / weights <= t
+            n -= (np.arange(len(some)) >= own) & ((n - 0.5) / weights == t)  # a later queue's turn at the same time comes later
+            out[at : at + step] = np.clip(n, 0, totals).sum(1)
+        return out
+
+    def sent_before(self, queue: np.ndarray, k: np.ndarray, place: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """How many quanta of its queue go before place `first`, for quanta k that are at `place`, at or after it."""
+        low, high = np.maximum(k - (place - first), 0), k.copy()
+        while len(todo := np.flatnonzero(low < high)):
+            mid = (low[todo] + high[todo]) // 2
+            after = self.places(queue[todo], mid) >= first[todo]
+            high[todo[after]], low[todo[~after]] = mid[after], mid[~after] + 1
+        return low
 
 
 def _tokens(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
@@ -103,19 +120,20 @@ def _tokens(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str,
     return rows.mapInArrow(encode, f"doc_id {dict(docs.dtypes)[id_col]}, source string, n long, ids binary")
 
 
-def packed_sequences(docs: DataFrame, *, tokenizer: str | None = None, window: int = 2048, quantum: int = QUANTUM, end_id: int = 1, weights: dict[str, float] | None = None, seed: int = 10, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def packed_sequences(docs: DataFrame, *, tokenizer: str | None = None, window: int = 2048, quantum: int = QUANTUM, end_id: int = 1, weights: dict[str, float] | None = None, most_queues: int | None = MOST_QUEUES, seed: int = 10, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source, deficit): one row per piece.
 
     A document is its ids and one end id. Each source is a queue of its documents in a seeded
-    order. Every sequence of `window` places takes quanta of `quantum` tokens (all of the window's where that doesn't divide it,
-    one) from the queues by deficit round-robin (`Schedule`) towards `weights` (a share per source; by default the corpus's own
+    order. Every sequence of `window` places takes quanta of `quantum` tokens (or the largest divisor of the window below it)
+    from the queues by deficit round-robin (`Schedule`) towards `weights` (a share per source; by default the corpus's own
     shares), so each sequence holds the target mixture to a quantum, and what it owes a source is carried into the next:
     `deficit` is the tokens that the piece's source was owed as its sequence began. What a queue holds beyond its whole quanta
     comes at the end, queue after queue; only the last sequence can be short. A document that doesn't fit goes on in the next
     place of its queue; every id lies in exactly one piece, and offsets in a sequence are gapless from 0.
 
     A null text is empty and yields its end id alone. A null source counts as the empty one. Sources
-    missing from `weights` get a weight of one token in a million. Sources beyond the MOST_QUEUES largest share a queue.
+    missing from `weights` get a weight of one token in a million. With None for `most_queues` every source has a queue of its own, and the driver
+    and each task hold a total of each; with a number, the sources beyond the largest share the last queue, which has their common weight.
     Repeated rows and null ids are packed row by row. Further columns of `docs` are ignored. An empty table gives an empty table.
 
     The ids are written once to the shared folder. Token totals are summed per run of each queue's
@@ -126,18 +144,22 @@ def packed_sequences(docs: DataFrame, *, tokenizer: str | None = None, window: i
     workers_see(spark)
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
     kind = dict(docs.dtypes)[id_col]
-    quantum = quantum if window % quantum == 0 else 1
+    quantum = next(x for x in range(min(quantum, window), 0, -1) if window % x == 0)
     tokens = written(_tokens(docs, path, end_id, id_col, text_col, source_col), "packing-ids")
     key = _key(seed, "doc_id")
     total, all_tokens = tokens.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     groups = max(1, min(MOST_GROUPS, total // GROUP_ROWS))
-    largest = tokens.groupBy("source").agg(F.sum("n").alias("_n")).orderBy(F.desc("_n"), "source").limit(MOST_QUEUES - 1).collect()
+    largest = tokens.groupBy("source").agg(F.sum("n").alias("_n"))
+    if most_queues is not None:
+        largest = largest.orderBy(F.desc("_n"), "source").limit(most_queues - 1)
+    largest = largest.collect()  # a total for each queue
     held = sorted((r["source"], r["_n"]) for r in largest)
     rest = all_tokens - sum(n for _, n in held)
     totals = np.array([n for _, n in held] + [rest] * (rest > 0), np.int64)
     shares = totals.astype(np.float64) if weights is None else np.array([weights.get(s, 0) for s, _ in held] + [0.0] * (rest > 0), np.float64)
     shares = np.maximum(shares, shares.sum() * 1e-6 if len(totals) else 0)
-    queues = F.broadcast(spark.createDataFrame([(s, i) for i, (s, _) in enumerate(held)], "source string, queue int"))  # MOST_QUEUES rows at most
+    queues = spark.createDataFrame([(s, i) for i, (s, _) in enumerate(held)], "source string, queue int")
+    queues = F.broadcast(queues) if most_queues is not None else queues  # most_queues rows
     rows = tokens.join(queues, "source", "left").withColumn("queue", F.coalesce("queue", F.lit(len(held))))
     rows = rows.withColumn("key", key % F.lit(1 << 30)).withColumn("part", F.floor(F.col("key") * groups / F.lit(1 << 30)).cast("long"))
     sums = rows.groupBy("queue", "part").agg(F.sum("n").alias("_n"))
@@ -170,21 +192,20 @@ def _pieces(plan: Schedule, totals: np.ndarray, queue: np.ndarray, n: np.ndarray
     per, quanta = window // quantum, int(plan.totals.sum())
     end = np.minimum(at + n, whole[queue])
     some = np.flatnonzero(end > at)
-    first, last = (plan.window_of(queue[some], x // quantum, per) for x in (at[some], end[some] - 1))
-    count = last - first + 1
-    doc, seq = np.repeat(some, count), ranges(first, count)
-    wins, inverse = np.unique(seq, return_inverse=True)
-    sent = plan.sent(wins * per)
-    served = plan.sent(np.minimum((wins + 1) * per, quanta)) - sent
-    lead = np.cumsum(served, 1) - served  # places of earlier queues in the window
-    q = queue[doc]
-    begin = np.maximum(at[doc], sent[inverse, q] * quantum)
-    stop = np.minimum(end[doc], (sent + served)[inverse, q] * quantum)
-    held = stop > begin
-    doc, seq, q, begin, stop, inverse = (x[held] for x in (doc, seq, q, begin, stop, inverse))
-    offset = lead[inverse, q] * quantum + begin - sent[inverse, q] * quantum
+    k0 = at[some] // quantum
+    count = (end[some] - 1) // quantum - k0 + 1
+    doc, k = np.repeat(some, count), ranges(k0, count)
+    place = plan.places(queue[doc], k)
+    begin, stop = np.maximum(at[doc], k * quantum), np.minimum(end[doc], (k + 1) * quantum)
+    # quanta of one document that stand side by side in a window are one piece
+    first = np.ones(len(doc), bool)
+    first[1:] = (doc[1:] != doc[:-1]) | (place[1:] != place[:-1] + 1) | (place[1:] % per == 0)
+    last = np.append(first[1:], True)[: len(first)]
+    doc, k, place, begin, stop = doc[first], k[first], place[first], begin[first], stop[last]
+    q, seq = queue[doc], place // per
+    offset = place % per * quantum + begin - k * quantum
     share = plan.weights / plan.weights.sum() if len(plan.weights) else plan.weights
-    deficit = share[q] * (wins[inverse] * window) - sent[inverse, q] * quantum
+    deficit = share[q] * (seq * window) - plan.sent_before(q, k, place, seq * per) * quantum
     # what is over of each queue stands one after another behind the whole quanta
     over = totals - whole
     place = quanta * quantum + np.cumsum(over) - over

@@ -361,8 +361,11 @@ def test_packing_with_more_sources_than_queues(spark, docs, monkeypatch):
     from slatewise.llm import packing
 
     want = {(r["doc_id"], r["doc_tokens"]): 0 for r in packed_sequences(docs, window=64).collect()}
-    monkeypatch.setattr(packing, "MOST_QUEUES", 3)
-    got = packed_sequences(docs, window=64).collect()
+    monkeypatch.setattr(packing, "CHUNK", 50)
+    got = packed_sequences(docs, window=64, most_queues=3).collect()
+    every = packed_sequences(docs, window=64, most_queues=None).collect()
+    plain = lambda rows: sorted(map(str, rows))
+    assert {r["sequence_id"] for r in got} == {r["sequence_id"] for r in every} and plain(every) == plain(packed_sequences(docs, window=64).collect())
     assert {(r["doc_id"], r["doc_tokens"]) for r in got} == set(want)
     by = {}
     for r in got:
@@ -372,6 +375,50 @@ def test_packing_with_more_sources_than_queues(spark, docs, monkeypatch):
         assert [o for o, _ in sorted(own)] == [0, *ends[:-1]] and (ends[-1] == 64 or k == max(by))
 
 
+@pytest.mark.parametrize("queues", [100, 1000, 4096])
+def test_packing_of_many_queues(queues):
+    """Places and deficits equal a merged order of all quanta; cost follows the quanta of the documents, not windows x queues."""
+    import time
+    import tracemalloc
+
+    from slatewise.llm.packing import _pieces
+
+    r = np.random.default_rng(queues)
+    totals = r.integers(0, 60_000, queues)
+    totals[:3] = [3_000_000, 256, 255]
+    weights = np.maximum(totals, 1).astype(float)
+    plan = Schedule(totals // 256, weights)
+    queue = np.concatenate([np.zeros(60, np.int64), r.integers(0, queues, 140)])
+    at = (totals[queue] * r.random(200) * 0.9).astype(np.int64)
+    n = np.minimum(2000, totals[queue] - at)
+    queue, at, n = queue[n > 0], at[n > 0], n[n > 0]
+    tracemalloc.start()
+    began = time.process_time()
+    doc, start, length, seq, offset, deficit = _pieces(plan, totals, queue, n, at, 2048, 256)
+    took, peak = time.process_time() - began, tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert took < 10 and peak < 500 << 20
+    assert np.bincount(doc, length).astype(int).tolist() == n.tolist()
+    times = np.concatenate([(np.arange(t // 256) + 0.5) / w for t, w in zip(totals, weights, strict=True)])
+    owner, number = np.repeat(np.arange(queues), totals // 256), np.concatenate([np.arange(t // 256) for t in totals])
+    order = np.lexsort((owner, times))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    begin = np.cumsum(totals // 256) - totals // 256
+    whole = totals // 256 * 256
+    window_of, sent = place // 8, {}
+    for d, a, m, s, o, x in zip(doc, start, length, seq, offset, deficit, strict=True):
+        q = queue[d]
+        for token in (at[d] + a, at[d] + a + m - 1):
+            if token < whole[q]:
+                p = place[begin[q] + token // 256]
+                assert p // 8 == s and p % 8 * 256 + token % 256 == o + token - at[d] - a
+        if at[d] + a < whole[q]:
+            own = window_of[begin[q] : begin[q] + totals[q] // 256]
+            assert abs(x - (weights[q] / weights.sum() * 2048 * s - np.searchsorted(own, s) * 256)) < 1e-6
+    assert len(number) == len(times)
+
+
 def test_schedule_holds_the_mixture():
     plan = Schedule(np.array([1000, 300, 7, 40_000]), np.array([5.0, 1.0, 0.01, 3.0]))
     places = np.arange(0, 41_308, 64)
