@@ -8,11 +8,13 @@ import numpy as np
 
 
 def front_code(keys: list[bytes]) -> tuple[bytes, bytes, bytes]:
-    """(common prefix lengths, lengths of the rest, the rests) of sorted keys of at most 255 bytes."""
+    """(common prefix lengths, lengths of the rest, the rests) of sorted keys; lengths have 16 bits, longer keys are refused."""
     n = len(keys)
     if not n:
         return b"", b"", b""
     sizes = np.fromiter(map(len, keys), np.int64, n)
+    if sizes.max() > 0xFFFF:
+        raise ValueError(f"a key of {sizes.max()} bytes is longer than 65535")
     wide = int(sizes.max()) + 1
     grid = np.zeros((n, wide), np.uint8)
     flat = np.frombuffer(b"".join(keys), np.uint8)
@@ -25,13 +27,13 @@ def front_code(keys: list[bytes]) -> tuple[bytes, bytes, bytes]:
         same[:, -1] = False
         common[1:] = np.minimum(np.argmin(same, axis=1), np.minimum(sizes[1:], sizes[:-1]))
     rest = flat[at >= np.repeat(common, sizes)]
-    return common.astype(np.uint8).tobytes(), (sizes - common).astype(np.uint8).tobytes(), rest.tobytes()
+    return common.astype("<u2").tobytes(), (sizes - common).astype("<u2").tobytes(), rest.tobytes()
 
 
 def decode(common: bytes, sizes: bytes, rest: bytes) -> Iterator[tuple[bytes, int]]:
     """(key, length of the prefix shared with the key before)."""
     key, at = b"", 0
-    for c, n in zip(common, sizes, strict=True):
+    for c, n in zip(np.frombuffer(common, "<u2").tolist(), np.frombuffer(sizes, "<u2").tolist(), strict=True):
         key = key[:c] + rest[at : at + n]
         at += n
         yield key, c

@@ -375,6 +375,39 @@ def test_packing_with_more_sources_than_queues(spark, docs, monkeypatch):
         assert [o for o, _ in sorted(own)] == [0, *ends[:-1]] and (ends[-1] == 64 or k == max(by))
 
 
+@pytest.mark.parametrize("window", [27, 140, 150, 200, 300])
+def test_repeats_of_any_window(spark, window):
+    r = random.Random(window)
+    word = lambda: "".join(r.choice("abé") for _ in range(r.randint(1, 4)))
+    passages = [" ".join(word() for _ in range(n)) for n in (20, 60, 90, 150, 300)] + ["ab" * 400, "x" * 500]
+    texts = ["".join(r.choice([r.choice(passages), " ".join(word() for _ in range(r.randint(1, 40)))])[r.randint(0, 9) :] + " " for _ in range(r.randint(0, 5))) for _ in range(60)] + [None, passages[4], passages[4]]
+    rows = [(i * 7 % 101, t) for i, t in enumerate(texts)]
+    got = {x["doc_id"]: x for x in repeat_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), window=window).collect()}
+    first: dict[bytes, int] = {}
+    for i, t in rows:
+        b = (t or "").encode()
+        for p in range(len(b) - window + 1):
+            first[b[p : p + window]] = min(i, first.get(b[p : p + window], i))
+    removed = 0
+    for i, t in rows:
+        b = (t or "").encode()
+        out = np.zeros(len(b), bool)
+        for p in range(len(b) - window + 1):
+            if first[b[p : p + window]] < i:
+                out[p : p + window] = True
+        removed += int(out.sum())
+        assert got[i]["n_removed"] == out.sum() and got[i]["kept_sha256"] == hashlib.sha256(bytes(x for x, gone in zip(b, out, strict=True) if not gone)).hexdigest()
+        assert got[i]["n_spans"] == (np.diff(np.append(0, out.astype(int))) == 1).sum()
+    assert removed > 1000
+
+
+def test_keys_beyond_a_byte_are_front_coded():
+    keys = sorted([b"a" * 300, b"a" * 256 + b"b" * 300, b"a" * 255, b"", b"b" * 65_535])
+    assert [k for k, _ in decode(*front_code(keys))] == keys
+    with pytest.raises(ValueError):
+        front_code([b"a" * 65_536])
+
+
 @pytest.mark.parametrize("queues", [100, 1000, 4096])
 def test_packing_of_many_queues(queues):
     """Places and deficits equal a merged order of all quanta; cost follows the quanta of the documents, not windows x queues."""
