@@ -9,9 +9,11 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from slatewise.session import written
+
 #: A token: a number, a word, "at least", or one other mark.
 TOKEN = r"[0-9]+\.[0-9]+|[\p{L}\p{M}\p{N}_]+|>=|[^\s\p{L}\p{M}\p{N}_]"
 #: Marks that end a span.
@@ -97,25 +99,59 @@ def similarity(a: Column, b: Column) -> Column:
     return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
 
 
-def trigrams(text: Column) -> Column:
-    padded = F.concat(F.lit("  "), text, F.lit(" "))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - 2, F.lit(1))), lambda i: F.substr(padded, i, F.lit(3))))
+def _segment(length: Column, edits: Column, i: Column) -> tuple[Column, Column]:
+    """Start (from 0) and width of segment i of the edits + 1 nearly equal ones that a title is cut into."""
+    start = F.floor(i * length / (edits + 1)).cast("int")
+    return start, F.floor((i + 1) * length / (edits + 1)).cast("int") - start
 
 
-def link_titles(mentions: DataFrame, titles: DataFrame, *, cutoff: float = 0.6) -> DataFrame:
-    """(message_id, mention, item_id, score): exact lower-case title, else the closest that shares trigrams.
+def title_candidates(mentions: DataFrame, titles: DataFrame, *, cutoff: float) -> DataFrame:
+    """(m, t, item_id, edits): at least once every pair of texts whose similarity is `cutoff` or more, and few others.
 
-    A mention links one item at most; of a message's mentions of one item the closest stays, ties to the smaller text.
-    mentions: (message_id, mention); titles: (item_id, title). Distinct mentions meet distinct titles only.
+    mentions: (m); titles: (t, item_id). The longer of two texts bounds the edits between them. A title is cut into one segment
+    more than that bound, so one segment comes back whole in the mention, and near its own place: before segment i lie at most i
+    edits, behind it at most the rest. Segments are met by an equi-join on what bound, length and number they have.
+    """
+    most = lambda length: F.floor((1 - cutoff) * length + 1e-9).cast("int")
+    key = lambda text, at, width: F.xxhash64("length", "edits", "i", F.substr(text, at + 1, width))
+    t = titles.withColumn("length", F.length("t"))
+    t = t.withColumn("edits", F.explode(F.sequence(most(F.col("length")), most(F.floor(F.col("length") / cutoff + 1e-9)))))
+    t = t.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("edits"))))
+    start, width = _segment(F.col("length"), F.col("edits"), F.col("i"))
+    index = t.select("t", "item_id", key(F.col("t"), start, width).alias("key"))
+
+    own = F.length("m")
+    m = mentions.select("m", F.explode(F.sequence(F.ceil(cutoff * own - 1e-9).cast("int"), F.floor(own / cutoff + 1e-9).cast("int"))).alias("length"))
+    m = m.join(titles.select(F.length("t").alias("length")).distinct(), "length")
+    m = m.withColumn("edits", most(F.greatest(own, F.col("length")))).filter(F.abs(own - F.col("length")) <= F.col("edits"))
+    m = m.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("edits"))))
+    start, width = _segment(F.col("length"), F.col("edits"), F.col("i"))
+    longer, behind = own - F.col("length"), F.col("edits") - F.col("i")
+    low = F.greatest(F.lit(0), start - F.col("i"), start + longer - behind)
+    high = F.least(own - width, start + F.col("i"), start + longer + behind)
+    m = m.withColumn("width", width).withColumn("places", F.when(low <= high, F.sequence(low, high)))
+    keys = F.array_distinct(F.transform("places", lambda at: key(F.col("m"), at, F.col("width"))))
+    return m.select("m", "edits", F.explode(keys).alias("key")).join(index, "key").select("m", "t", "item_id", "edits")
+
+
+def link_titles(mentions: DataFrame, titles: DataFrame, *, cutoff: float = 0.6, firm: float = 0.85) -> DataFrame:
+    """(message_id, mention, item_id, score): exact lower-case title, else the closest whose similarity reaches the cutoff.
+
+    A mention links one item at most, ties to the smaller item; of a message's mentions of one item the closest stays, ties to
+    the smaller text. mentions: (message_id, mention); titles: (item_id, title); nulls link nothing. Distinct mentions meet
+    distinct titles only, and those that a title is `firm` for never look further: few edits are cheap to search, many are not.
     """
+    if not 0 < cutoff <= 1:
+        raise ValueError("the cutoff lies in (0, 1]")
     m = mentions.select(F.lower("mention").alias("m")).distinct()
     t = titles.groupBy(F.lower("title").alias("t")).agg(F.min("item_id").alias("item_id"))
-    exact = m.join(t, F.col("m") == F.col("t")).select("m", "item_id", F.lit(1.0).alias("score"))
-    rest = m.join(exact.select("m"), "m", "left_anti")
-    a, b = rest.select("m", F.explode(trigrams(F.col("m"))).alias("g")), t.select("t", "item_id", F.explode(trigrams(F.col("t"))).alias("g"))
-    near = a.join(b, "g").select("m", "t", "item_id").distinct().withColumn("score", similarity(F.col("m"), F.col("t"))).filter(F.col("score") >= cutoff)
-    best = near.withColumn("_k", F.row_number().over(Window.partitionBy("m").orderBy(F.desc("score"), "item_id"))).filter("_k = 1").select("m", "item_id", "score")
-    rows = mentions.join(exact.unionByName(best), F.lower("mention") == F.col("m")).select("message_id", "mention", "item_id", F.round("score", 4).alias("score"))
+    found = m.join(t, F.col("m") == F.col("t")).select("m", "item_id", F.lit(1.0).alias("score"))
+    for rung in sorted({max(cutoff, firm), cutoff}, reverse=True):
+        rest = m.join(found.select("m"), "m", "left_anti")
+        near = title_candidates(rest, t, cutoff=rung).filter("levenshtein(m, t, edits) >= 0").withColumn("score", similarity(F.col("m"), F.col("t"))).filter(F.col("score") >= rung)
+        best = near.groupBy("m").agg(F.min_by(F.struct("item_id", "score"), F.struct(-F.col("score"), F.col("item_id"))).alias("_best"))
+        found = written(found.unionByName(best.select("m", "_best.*")), "links")
+    rows = mentions.join(found, F.lower("mention") == F.col("m")).select("message_id", "mention", "item_id", F.round("score", 4).alias("score"))
     first = F.min_by(F.struct("mention", "score"), F.struct(-F.col("score"), F.col("mention"))).alias("_first")
     return rows.groupBy("message_id", "item_id").agg(first).select("message_id", "_first.mention", "item_id", "_first.score")
 

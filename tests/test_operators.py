@@ -155,10 +155,6 @@ def test_title_links_against_brute_force(spark):
             row = new
         return row[-1]
 
-    def grams(t):
-        t = f"  {t} "
-        return {t[i : i + 3] for i in range(len(t) - 2)}
-
     r = random.Random(5)
     word = lambda: "".join(r.choice("aeéBt") for _ in range(r.randint(3, 7)))
     titles = [(i, word()) for i in range(60)]
@@ -170,13 +166,30 @@ def test_title_links_against_brute_force(spark):
         if exact:
             best = (-1.0, min(exact))
         else:
-            near = [(edits(m, t.lower()) / max(len(m), len(t)) - 1, i) for i, t in titles if grams(m) & grams(t.lower())]
+            near = [(edits(m, t.lower()) / max(len(m), len(t)) - 1, i) for i, t in titles]
             best = min([x for x in near if -x[0] >= 0.6], default=None)
         if best:
             key = (message, best[1])
             want[key] = min(want.get(key, (1, "")), (round(best[0], 4), mention))
-    got = V.link_titles(spark.createDataFrame(mentions, "message_id long, mention string"), spark.createDataFrame(titles, "item_id long, title string")).collect()
-    assert {(x["message_id"], x["item_id"]): (-x["score"], x["mention"]) for x in got} == want and len(got) == len(want)
+    ms, ts = spark.createDataFrame([*mentions, (3, None), (4, "")], "message_id long, mention string"), spark.createDataFrame([*titles, (99, None)], "item_id long, title string")
+    for firm in (0.6, 0.85):
+        got = V.link_titles(ms, ts, firm=firm).collect()
+        assert {(x["message_id"], x["item_id"]): (-x["score"], x["mention"]) for x in got} == want and len(got) == len(want)
+
+
+def test_title_candidates_hold_every_near_pair_and_few_others(spark):
+    import random
+
+    r = random.Random(8)
+    texts = ["".join(r.choice("abcdefghij ") for _ in range(r.randint(1, 24))) for _ in range(150)]
+    texts += ["".join(c if r.random() < 0.8 else r.choice(["", "x", c + "y"]) for c in t) for t in texts[:100]]
+    m = spark.createDataFrame([(t,) for t in set(texts)], "m string")
+    t = m.select(F.col("m").alias("t"), F.lit(1).alias("item_id"))
+    for cutoff in (0.5, 0.7, 0.9):
+        near = {tuple(x) for x in m.crossJoin(t).filter(V.similarity(F.col("m"), F.col("t")) >= cutoff).select("m", "t").collect()}
+        met = {tuple(x) for x in V.title_candidates(m, t, cutoff=cutoff).select("m", "t").distinct().collect()}
+        assert near <= met
+    assert len(met) < len(set(texts)) ** 2 / 50
 
 
 def test_co_ratings_in_blocks(spark):
