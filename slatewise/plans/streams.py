@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -297,6 +298,53 @@ def click_log_round_trip(spark, d):
     return S.read_click_log(spark, path).select(F.col("event_id").cast("long").alias("event_id"), "user_id", "event_type", "ts")
 
 
+@query("""WITH r AS (SELECT event_id AS request_id, user_id, ts, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE event_type = 'view'), s AS (SELECT request_id, user_id, ts, p AS position, (k + p) % 100 AS item_id FROM r CROSS JOIN range(0, 10) t(p)), c AS (SELECT event_id AS click_id, user_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS item_id, ts FROM events WHERE event_type = 'click' AND event_id % 10 <> 0)
+SELECT request_id, position, s.item_id, click_id FROM s LEFT JOIN c ON s.user_id = c.user_id AND s.item_id = c.item_id AND c.ts >= s.ts AND c.ts <= s.ts + INTERVAL 2 DAY""")
+def clicks_of_requests(spark, d):
+    """Views as requests of ten items each, clicks as a second stream; one click in ten comes days too late, and many showings have none."""
+    base = f"{scratch_dir(spark)}/requests-{uuid.uuid4().hex}"
+    rows = _events(spark, d)
+    requests = rows.filter("event_type = 'view'").select(F.col("event_id").alias("request_id"), "user_id", F.lit("list").alias("source"), "ts", F.transform(F.sequence(F.lit(0), F.lit(9)), lambda p: (F.col("item_id") + p) % 100).alias("items"))
+    clicks = rows.filter("event_type = 'click'").select(F.col("event_id").alias("click_id"), "user_id", "item_id", "ts")
+    late = F.col("click_id") % 10 == 0
+    # what a user of no other rows did, a month on, moves both watermarks past everything
+    idle = rows.agg((F.max("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts"))
+    nobody = F.lit(-1).cast("long")
+    quiet = idle.select(nobody.alias("request_id"), nobody.alias("user_id"), F.lit("list").alias("source"), "ts", F.array(nobody).alias("items"))
+    still = idle.select(nobody.alias("click_id"), nobody.alias("user_id"), (nobody - 1).alias("item_id"), "ts")
+    schema = {"requests": requests.schema, "clicks": clicks.schema}
+    for asked, clicked in ((requests, clicks.filter(~late)), (quiet, still), (quiet, clicks.filter(late))):
+        asked.write.mode("append").parquet(f"{base}/requests")
+        clicked.write.mode("append").parquet(f"{base}/clicks")
+        left, right = (J.events_stream(spark, f"{base}/{side}", schema[side], per_trigger=1000) for side in ("requests", "clicks"))
+        J.drain(J.matched_clicks(left, right, within="2 DAYS"), lambda batch, n: J.commit_batch(batch, n, f"{base}/out"), f"{base}/state")
+    out = J.committed_rows(spark, f"{base}/out", "request_id long, source string, ts timestamp, position int, item_id long, click_id long, clicked_at timestamp")
+    return out.filter("request_id >= 0").select("request_id", F.col("position").cast("long").alias("position"), "item_id", "click_id")
+
+
+@query("SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS n_ids, round(sum(value), 4) AS total FROM events GROUP BY 1")
+def committed_events(spark, d):
+    """The log as a stream whose sink fails once after it wrote a batch and before that is acknowledged; a second run takes up there."""
+    base = f"{scratch_dir(spark)}/committed-{uuid.uuid4().hex}"
+    rows = _events(spark, d)
+    rows.repartition(4).write.parquet(f"{base}/in")
+    lost: list[int] = []
+
+    def sink(batch: DataFrame, n: int) -> None:
+        J.commit_batch(batch, n, f"{base}/out")
+        if n == 1 and not lost:
+            lost.append(n)
+            raise RuntimeError("the acknowledgement is lost")
+
+    stream = J.events_stream(spark, f"{base}/in", rows.schema, per_trigger=2)
+    try:
+        J.drain(stream, sink, f"{base}/state")
+    except StreamingQueryException:
+        J.drain(stream, sink, f"{base}/state")
+    out = J.committed_rows(spark, f"{base}/out", rows.schema)
+    return out.groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("n_ids"), F.round(F.sum("value"), 4).alias("total"))
+
+
 @query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE event_id % 2 = 0 OR ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY GROUP BY 1")
 def written_events(spark, d):
     """Half of the events appended as they are, the other half with a retention of seven days before the last event."""

@@ -6,11 +6,12 @@ import logging
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from slatewise.functions import scalars as S
 from slatewise.operators.retrieval import hash_embed
+from slatewise.session import discard, written
 
 log = logging.getLogger(__name__)
 RENAMED = {"userid": "user_id", "userId": "user_id", "movieid": "item_id", "movieId": "item_id", "timestamp": "ts", "tmdbId": "tmdb_id", "imdbId": "imdb_id"}
@@ -92,38 +93,88 @@ def export_similarities(lists: DataFrame, path: str) -> None:
     lists.write.mode("append").partitionBy("snapshot").parquet(path)
 
 
-def upsert_vectors(stored: DataFrame, new: DataFrame) -> DataFrame:
-    """Stored vectors with the new ones over them; rows of another length than the stored ones are an error when the result is computed."""
-    size = stored.agg(F.max(F.size("vec")).alias("_size"))  # one row
+def upsert_vectors(stored: DataFrame, new: DataFrame, *, size: int | None = None) -> DataFrame:
+    """Stored vectors with the new ones over them; rows of another length than the stored ones (or than `size`) are an error when the result is computed.
+
+    A null vector is such an error too; of an id's repeated new vectors the greatest stays.
+    """
+    if size is None:
+        checked = new.crossJoin(F.broadcast(stored.agg(F.max(F.size("vec")).alias("_size"))))  # one row
+    else:
+        checked = new.withColumn("_size", F.lit(size))
     fits = F.col("_size").isNull() | (F.size("vec") == F.col("_size"))
-    checked = new.crossJoin(F.broadcast(size)).withColumn("vec", F.when(fits, F.col("vec")).otherwise(F.raise_error(F.lit("vector size differs")).cast("array<double>"))).drop("_size")
+    checked = checked.withColumn("vec", F.when(fits, F.col("vec")).otherwise(F.raise_error(F.lit("vector size differs")).cast("array<double>"))).drop("_size")
     both = stored.withColumn("_new", F.lit(0)).unionByName(checked.withColumn("_new", F.lit(1)))
-    return both.withColumn("_k", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("_new")))).filter("_k = 1").drop("_k", "_new")
+    return both.withColumn("_k", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("_new"), F.desc("vec")))).filter("_k = 1").drop("_k", "_new")
 
 
-def backfill_vectors(items: DataFrame, path: str, *, size: int = 384, limit: int | None = None) -> None:
+def backfill_vectors(items: DataFrame, path: str, *, size: int = 384, limit: int | None = None, buckets: int = 64) -> None:
     """Encode the texts of the catalogue (item_id, text), or of its first `limit` ids, and put the vectors over those stored at `path`.
 
-    A text without a word has the zero vector. New vectors are written beside the stored ones and then take their place's name as a
-    new version, `path/version=n`; `stored_vectors` reads the latest, so a job that dies half-way leaves the old version whole.
+    A text without a word has the zero vector. See `write_vectors` for what is rewritten and what a lost job leaves.
     """
-    spark = items.sparkSession
     chosen = items if limit is None else items.orderBy("item_id").limit(limit)
     parts = hash_embed(chosen, size=size).groupBy("item_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("pos").cast("int").alias("pos"), "x"))).alias("_m"))
     dense = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at(F.col("_m"), i), F.lit(0.0)))
     zeros = F.array_repeat(F.lit(0.0), size)
     new = chosen.select("item_id").join(parts.select("item_id", dense.alias("vec")), "item_id", "left").select("item_id", F.coalesce("vec", zeros).alias("vec"))
-    stored, version = stored_vectors(spark, path)
-    (new if stored is None else upsert_vectors(stored, new)).write.parquet(f"{path}/version={version + 1}")
+    write_vectors(new, path, buckets=buckets)
+
+
+def write_vectors(new: DataFrame, path: str, *, buckets: int = 64) -> int:
+    """Put the vectors (item_id, vec) over those stored at `path` and return the version that holds them.
+
+    Ids lie in buckets, whose number the first version fixes. A version is a manifest, `path/manifest=n`, that names for each
+    bucket the version whose files hold it: only buckets with new ids are read and written again, under `path/data=n`, the others
+    keep their files. The manifest comes last, so readers see whole versions and a job that dies leaves the old one. A vector of
+    another size than the stored ones fails the write. No new row, no new version. One job writes at a time.
+    """
+    spark = new.sparkSession
+    held, version = _manifest(spark, path)
+    buckets = held[0]["buckets"] if held else buckets
+    rows = written(new.select(F.col("item_id").cast("long").alias("item_id"), F.col("vec").cast("array<double>").alias("vec"), F.pmod(F.xxhash64(F.col("item_id").cast("long")), F.lit(buckets)).cast("int").alias("bucket")), "new-vectors")
+    touched = {r["bucket"]: r["size"] for r in rows.groupBy("bucket").agg(F.max(F.size("vec")).alias("size")).collect()}  # a row a bucket
+    if not touched:
+        discard(rows)
+        return version
+    size = held[0]["size"] if held else max(n or 0 for n in touched.values())
+    where = {r["bucket"]: r["version"] for r in held}
+    old = _bucket_rows(spark, path, {b: where[b] for b in touched if b in where}).withColumn("bucket", F.pmod(F.xxhash64("item_id"), F.lit(buckets)).cast("int"))
+    merged = upsert_vectors(old, rows, size=size)
+    merged.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/data={version + 1}")
+    lines = [(b, v, buckets, size) for b, v in sorted((where | dict.fromkeys(touched, version + 1)).items())]
+    spark.createDataFrame(lines, MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest={version + 1}")
+    discard(rows)
+    return version + 1
 
 
 def stored_vectors(spark: SparkSession, path: str) -> tuple[DataFrame | None, int]:
     """The latest whole version of the vectors at `path` and its number; none and 0 where nothing is stored."""
+    held, version = _manifest(spark, path)
+    return (_bucket_rows(spark, path, {r["bucket"]: r["version"] for r in held}) if held else None), version
+
+
+#: Lines of a manifest of stored vectors, at most one a bucket.
+MANIFEST = "bucket int, version int, buckets int, size int"
+
+
+def _manifest(spark: SparkSession, path: str) -> tuple[list[Row], int]:
+    version = max((int(f.rsplit("=", 1)[1]) for f in whole_folders(spark, path, "manifest=*")), default=0)
+    return (spark.read.schema(MANIFEST).parquet(f"{path}/manifest={version}").collect() if version else []), version
+
+
+def _bucket_rows(spark: SparkSession, path: str, where: dict[int, int]) -> DataFrame:
+    schema = "item_id long, vec array<double>"
+    folders = [f"{path}/data={v}/bucket={b}" for b, v in sorted(where.items())]
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+
+
+def whole_folders(spark: SparkSession, path: str, pattern: str) -> list[str]:
+    """Folders below `path` that meet the pattern and whose write has ended."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
-    whole = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(place, "version=*/_SUCCESS")) or []
-    version = max((int(f.getPath().getParent().getName().split("=")[1]) for f in whole), default=0)
-    return (spark.read.parquet(f"{path}/version={version}") if version else None), version
+    marks = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(place, f"{pattern}/_SUCCESS")) or []
+    return [f.getPath().getParent().toString() for f in marks]
 
 
 def materialize_features(rows: DataFrame, *, key: str, start: int, end: int, ts: str = "ts") -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from slatewise.functions import scalars as S
+from slatewise.sources import files
 
 
 def events_stream(spark: SparkSession, path: str, schema: StructType | str, *, per_trigger: int = 1, fmt: str = "parquet") -> DataFrame:
@@ -73,6 +74,20 @@ def click_through(impressions: DataFrame, *, length: str = "1 hour") -> DataFram
     return rows.select(F.col("window.start").alias("window_start"), "source", "position", "impressions", "clicks", F.when(F.col("impressions") == 0, 0.0).otherwise(F.col("clicks") / F.col("impressions")).alias("ctr"))
 
 
+def matched_clicks(requests: DataFrame, clicks: DataFrame, *, within: str = "30 minutes", delay: str = "1 hour") -> DataFrame:
+    """(request_id, source, ts, position, item_id, click_id, clicked_at): each item of each request's list with the clicks that followed it.
+
+    requests: (request_id, user_id, source, ts, items); clicks: (click_id, user_id, item_id, ts). A click belongs to every showing
+    of its item to its user at most `within` before it; a showing that no click followed comes once with nulls, as soon as the
+    watermark of both streams has passed its time. Clicks later than `delay` are dropped, so state is bounded by time alone.
+    Positions count from 0; a null or empty list shows nothing, and a null user or item is never matched (such clicks don't move the watermark). Batch frames work alike.
+    """
+    shown = requests.withWatermark("ts", delay).select("request_id", "user_id", "source", "ts", F.posexplode("items").alias("position", "item_id"))
+    after = clicks.withColumnsRenamed({"user_id": "_user", "item_id": "_item", "ts": "clicked_at"}).withWatermark("clicked_at", delay).select("click_id", "_user", "_item", "clicked_at")
+    same = F.expr(f"user_id = _user AND item_id = _item AND clicked_at >= ts AND clicked_at <= ts + INTERVAL {within}")
+    return shown.join(after, same, "left_outer").select("request_id", "source", "ts", "position", "item_id", "click_id", "clicked_at")
+
+
 def share_alert(metrics: DataFrame, hit: str, *, length: str, limit: float, keys: tuple[str, ...] = (), exclude: tuple[str, ...] = (), slide: str | None = None) -> DataFrame:
     """Windows with the share of rows that meet `hit` (an SQL condition), by keys, and whether it is over the limit."""
     rows = metrics if not exclude else metrics.filter(~F.col(keys[0]).isin(*exclude))
@@ -98,6 +113,27 @@ def write_events(rows: DataFrame, path: str, *, keep_days: int | None = None, no
     kept.write.mode("append").parquet(path)
 
 
+def commit_batch(rows: DataFrame, n: int, path: str, *, query: str = "events") -> None:
+    """Put batch `n` of a stream under its query and number, as a new attempt; the attempt counts once all its files are there.
+
+    A batch that comes again after a failure, whether it died half-way or only its acknowledgement was lost, takes the place of
+    its earlier attempts, and readers see one whole attempt or the other. One run of a query writes at a time.
+    """
+    there = files.whole_folders(rows.sparkSession, path, f"query={query}/batch={n}/attempt=*")
+    attempt = 1 + max((int(f.rsplit("=", 1)[1]) for f in there), default=0)
+    rows.write.mode("overwrite").parquet(f"{path}/query={query}/batch={n}/attempt={attempt}")
+
+
+def committed_rows(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """The rows of every batch that `commit_batch` put at `path`, each batch by its latest whole attempt."""
+    latest: dict[str, int] = {}
+    for f in files.whole_folders(spark, path, "query=*/batch=*/attempt=*"):
+        batch, attempt = f.rsplit("/attempt=", 1)
+        latest[batch] = max(latest.get(batch, 0), int(attempt))
+    reader = spark.read.schema(schema)
+    return reader.parquet(*[f"{b}/attempt={a}" for b, a in sorted(latest.items())]) if latest else spark.createDataFrame([], schema)
+
+
 def drain(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, *, mode: str = "append") -> None:
     """Run a stream over what is there, each batch to the sink, acknowledged by the checkpoint after it."""
     query = stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
