@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from slatewise.functions import scalars as S
@@ -48,6 +48,82 @@ def search(wide: DataFrame, *, text: str | None = None, genre: str | None = None
     return found.orderBy(F.desc("popularity"), "item_id").limit(limit)
 
 
+def search_ids(items: DataFrame, genres: DataFrame, actors: DataFrame, tags: DataFrame, *, text: str | None = None, genre: str | None = None, year: str | None = None, status: str | None = None, today: str = "2024-01-01", limit: int = 20) -> DataFrame:
+    """(item_id, popularity) of what `search` finds, by the narrow tables: no list is put together for an item that isn't shown.
+
+    The text lies within one name, so a bar, which only joined lists have, matches nothing in a list.
+    """
+    found = items
+    if text:
+        own = F.coalesce(S.contains_text(F.col("title"), text), F.lit(False)) | F.coalesce(S.contains_text(F.col("director"), text), F.lit(False))
+        listed = None
+        for junction, column in ((genres, "genre"), (actors, "actor"), (tags, "tag")):
+            hits = junction.filter(S.contains_text(F.col(column), text)).select("item_id")
+            listed = hits if listed is None else listed.unionByName(hits)
+        found = found.join(listed.distinct().withColumn("_listed", F.lit(True)), "item_id", "left").filter(own | F.col("_listed").isNotNull())
+    if genre:
+        found = found.join(genres.filter(S.contains_text(F.col("genre"), genre)).select("item_id").distinct(), "item_id", "left_semi")
+    if year:
+        found = found.filter(S.year_bucket(F.col("release_date"), year))
+    if status:
+        found = found.filter(S.status(F.col("release_date"), status, today))
+    return found.select("item_id", "popularity").orderBy(F.desc("popularity"), "item_id").limit(limit)
+
+
+def shown(wide: DataFrame, ids: DataFrame) -> DataFrame:
+    """The wide rows of a page of ids in the page's order; the page goes to the driver, so that its ids are literals in every scan."""
+    page = [r["item_id"] for r in ids.select("item_id").collect()]  # at most a page's limit
+    return wide.filter(F.col("item_id").isin(*page)).orderBy(F.desc("popularity"), "item_id")
+
+
+GRAM = 3
+
+
+def _bucket(value: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(value), F.lit(buckets)).cast("int")
+
+
+def write_search_index(items: DataFrame, genres: DataFrame, actors: DataFrame, tags: DataFrame, path: str, *, buckets: int = 32) -> None:
+    """An index of all names in lower case: `grams` (gram, name) tells which names hold a run of three characters, `holders` (name, item_id, popularity) whose names they are.
+
+    Both lie in folders by the hash of what they are asked for, and in its order within a file; their number is part of the tables'
+    names, so that an index asked with another number isn't found instead of read wrongly. Null names are in no index.
+    """
+    spark = items.sparkSession
+    named = [items.select("item_id", "title"), items.select("item_id", "director"), *(j.select("item_id", c) for j, c in ((genres, "genre"), (actors, "actor"), (tags, "tag")))]
+    rows = None
+    for n in named:
+        n = n.toDF("item_id", "name").select("item_id", F.lower("name").alias("name"))
+        rows = n if rows is None else rows.unionByName(n)
+    holders = rows.filter("name is not null").distinct().join(items.select("item_id", "popularity"), "item_id").select("name", "item_id", "popularity", _bucket(F.col("name"), buckets).alias("bucket"))
+    holders.hint("rebalance", "bucket").sortWithinPartitions("bucket", "name").write.partitionBy("bucket").parquet(f"{path}/holders-{buckets}")
+    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("name") - (GRAM - 1)), lambda at: F.substr("name", at, F.lit(GRAM))))
+    names = spark.read.parquet(f"{path}/holders-{buckets}").select("name").distinct().filter(F.length("name") >= GRAM)
+    grams = names.select(F.explode(runs).alias("gram"), "name").withColumn("bucket", _bucket(F.col("gram"), buckets))
+    grams.hint("rebalance", "bucket").sortWithinPartitions("bucket", "gram").write.partitionBy("bucket").parquet(f"{path}/grams-{buckets}")
+
+
+def names_with(spark: SparkSession, path: str, text: str, *, buckets: int = 32) -> DataFrame:
+    """(name): the indexed names that hold the text. Only the folders of its own runs are read; a text too short for a run reads the names."""
+    text = text.lower()
+    if len(text) < GRAM:
+        names = spark.read.parquet(f"{path}/holders-{buckets}").select("name").distinct()
+    else:
+        runs = sorted({text[i : i + GRAM] for i in range(len(text) - GRAM + 1)})
+        asked = F.lit(False)
+        for run in runs:
+            asked = asked | ((F.col("bucket") == _bucket(F.lit(run), buckets)) & (F.col("gram") == run))
+        names = spark.read.parquet(f"{path}/grams-{buckets}").filter(asked).groupBy("name").agg(F.count("*").alias("n")).filter(F.col("n") == len(runs)).select("name")
+    return names.filter(F.contains("name", F.lit(text)))
+
+
+def search_index(spark: SparkSession, path: str, text: str, *, limit: int = 20, buckets: int = 32) -> DataFrame:
+    """(item_id, popularity) as `search_ids` finds them for a text, from the index alone."""
+    names = names_with(spark, path, text, buckets=buckets).withColumn("bucket", _bucket(F.col("name"), buckets))
+    holders = spark.read.parquet(f"{path}/holders-{buckets}").join(names, ["bucket", "name"])
+    return holders.select("item_id", "popularity").distinct().orderBy(F.desc("popularity"), "item_id").limit(limit)
+
+
 def _some(column: str, needle: str) -> Column:
     return F.exists(F.split(column, r"\|"), lambda x: S.contains_text(x, needle))
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from slatewise.functions import scalars as S
 from slatewise.operators import catalogue as C
 from slatewise.plans.registry import query
-from slatewise.session import table
+from slatewise.session import scratch_dir, table
 from slatewise.sources import binding as B
 
 
@@ -50,12 +53,28 @@ def catalogue_summary(spark, d):
 
 @query(WIDE + "SELECT * FROM wide WHERE contains(lower(title), 'red') OR contains(lower(director), 'red') OR contains(lower(genres), 'red') OR contains(lower(actors), 'red') OR contains(lower(tags), 'red') ORDER BY popularity DESC, item_id LIMIT 20")
 def search_text(spark, d):
-    return C.search(_wide(spark, d), text="RED", limit=20)
+    return C.shown(_wide(spark, d), C.search_ids(*_parts(spark, d), text="RED", limit=20))
+
+
+_NEEDLES = ["RED", "Supplier#00000000", "small r", "o", "no such name"]
+
+
+@query("WITH n AS (SELECT unnest(['red', 'supplier#00000000', 'small r', 'o', 'no such name']) AS needle), h AS (SELECT item_id, lower(title) AS name FROM items UNION ALL SELECT item_id, lower(director) FROM items UNION ALL SELECT item_id, lower(genre) FROM genre_rows UNION ALL SELECT item_id, lower(actor) FROM item_actors UNION ALL SELECT item_id, lower(unnest(string_split(title, ' '))) FROM items ), f AS (SELECT DISTINCT needle, item_id FROM n JOIN h ON contains(name, needle)), r AS (SELECT needle, f.item_id, row_number() OVER (PARTITION BY needle ORDER BY popularity DESC, f.item_id) AS rank FROM f JOIN items i ON i.item_id = f.item_id) SELECT * FROM r WHERE rank <= 20")
+def search_by_index(spark, d):
+    """An index of the catalogue's names is written, then asked for long, short and unknown texts."""
+    path = f"{scratch_dir(spark)}/search-{uuid.uuid4().hex}"
+    C.write_search_index(*_parts(spark, d), path)
+    out = None
+    for needle in _NEEDLES:
+        rank = F.row_number().over(Window.orderBy(F.desc("popularity"), "item_id")).cast("long")  # 20 rows
+        rows = C.search_index(spark, path, needle).select(F.lit(needle.lower()).alias("needle"), "item_id", rank.alias("rank"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @query(WIDE + "SELECT * FROM wide WHERE len(list_filter(string_split(genres, '|'), lambda g: contains(lower(g), 'eco'))) > 0 AND substr(release_date, 1, 4) >= '1990' AND substr(release_date, 1, 4) <= '1999' AND release_date <> '' AND release_date <= '1998-06-01' ORDER BY popularity DESC, item_id LIMIT 25")
 def search_genre_year_status(spark, d):
-    return C.search(_wide(spark, d), genre="eco", year="1990-1999", status="released", today="1998-06-01", limit=25)
+    return C.shown(_wide(spark, d), C.search_ids(*_parts(spark, d), genre="eco", year="1990-1999", status="released", today="1998-06-01", limit=25))
 
 
 @query(WIDE + "SELECT * FROM wide WHERE contains(lower(actors), 'supplier') AND len(list_filter(string_split(genres, '|'), lambda g: contains(lower(g), 'red'))) > 0 AND len(list_filter(string_split(genres, '|'), lambda g: contains(lower(g), 'wid'))) > 0 AND vote_average >= 2.0 ORDER BY popularity DESC, item_id LIMIT 30")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from slatewise.functions import scalars as S
 from slatewise.operators import aggregates as A
+from slatewise.operators import catalogue as C
 from slatewise.operators import conversation as V
 from slatewise.operators import evaluation as E
 from slatewise.operators import features as X
@@ -216,3 +217,18 @@ def test_dense_ids_of_many_ranges(spark):
     got = [(x["k"], x["idx"]) for x in A.dense_ids(rows, "k").orderBy("idx").collect()]
     assert got == [(f"k{i:04}", i) for i in range(211)]
     assert A.dense_ids(rows.filter("k < 'a'"), "k").count() == 0
+
+
+def test_search_index_reads_what_it_is_asked_for(spark, tmp_path):
+    items = spark.createDataFrame([(1, "Red Heat", "Hill", 3.0), (2, "Heat", None, None), (3, None, "Mann", 9.0), (4, "ab", "Ré", 9.0), (5, "x", "y", 1.0)], "item_id long, title string, director string, popularity double")
+    genres = spark.createDataFrame([(1, "Action"), (3, "Crime|Action"), (5, None)], "item_id long, genre string")
+    actors = spark.createDataFrame([(2, "Al Pacino"), (3, "Red Buttons"), (9, "Red Nobody")], "item_id long, actor string")
+    tags = spark.createDataFrame([(5, "HEATED red heat")], "item_id long, tag string")
+    path = f"file://{tmp_path}/index"
+    C.write_search_index(items, genres, actors, tags, path, buckets=64)
+    for text, want in (("heat", [1, 5, 2]), ("RED", [3, 1, 5]), ("red heat", [1, 5]), ("ré", [4]), ("x", [5]), ("acti", [3, 1]), ("heart", []), ("a|b", []), ("pacino", [2])):
+        assert [r["item_id"] for r in C.search_index(spark, path, text, buckets=64).collect()] == want, text
+        assert [r["item_id"] for r in C.search_ids(items, genres, actors, tags, text=text).collect()] == want, text
+    assert [r["item_id"] for r in C.search_index(spark, path, "e", limit=2, buckets=64).collect()] == [3, 1]
+    plan = C.names_with(spark, path, "pacino", buckets=64)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "bucket#" in plan.split("PartitionFilters: [")[1].split("]")[0]
