@@ -165,11 +165,11 @@ def recommend_all(users: DataFrame, items: DataFrame, *, k: int = 10) -> DataFra
     return alike.select(*columns).unionByName(pairs.select(*columns)).withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
 
 
-def mmr(slates: DataFrame, *, limit: int = 10, pool: int | None = 250, epsilon: float = 1e-6, cosine: bool = False) -> DataFrame:
+def mmr(slates: DataFrame, *, limit: int = 10, pool: int | None = None, epsilon: float = 1e-6, cosine: bool = False) -> DataFrame:
     """(slate_id, item_id, rank): greedy trade of relevance against likeness to what is chosen.
 
-    slates: (slate_id, item_id, genres, score, lambda); the `pool` best rows of each are the candidates, which is the feature
-    (a re-ranking of a short list) and keeps a group small; None takes them all. Likeness is the
+    slates: (slate_id, item_id, genres, score, lambda), one short list each; `pool` keeps its best rows only, None takes
+    them all. Likeness is the
     Jaccard of genres, or the cosine of their indicator vectors. The first of equals in (score, item) order wins.
     """
     order = Window.partitionBy("slate_id").orderBy(F.desc("score"), "item_id")

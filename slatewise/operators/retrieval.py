@@ -156,17 +156,42 @@ def item_cf_scores(history: DataFrame, similar: DataFrame) -> DataFrame:
     return A.exclude_seen(rows.groupBy("user_id", "item_id").agg(F.sum("score").alias("score")), history)
 
 
-def candidates_with_floor(channels: list[DataFrame], trending: DataFrame, popular_items: DataFrame, requests: DataFrame, *, trending_score: float = 0.3, popular_score: float = 0.2, least: int = 20, fill: int = 30) -> DataFrame:
+def candidates_with_floor(channels: list[DataFrame], trending: DataFrame, popular_items: DataFrame, requests: DataFrame, *, trending_score: float = 0.3, popular_score: float = 0.2, least: int = 20, fill: int = 30, barred: DataFrame | None = None) -> DataFrame:
     """Channels (user_id, item_id, score, source) united, trending items added where absent, popular ones where a request has few.
 
-    trending, popular_items: short lists of item_id in order, one for all requests.
+    trending, popular_items: short lists of item_id in order, one for all requests. Pairs (user_id, item_id) in `barred` come from nowhere.
     """
-    base = A.union_channels(*channels)
+    allowed = lambda rows: rows if barred is None else rows.join(barred.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
+    base = allowed(A.union_channels(*channels))
     trend = requests.select("user_id").distinct().crossJoin(F.broadcast(trending.select("item_id"))).withColumn("score", F.lit(trending_score)).withColumn("source", F.lit("trending"))
+    trend = allowed(trend)
     rows = base.unionByName(trend.join(base, ["user_id", "item_id"], "left_anti"))
     few = requests.select("user_id").distinct().join(rows.groupBy("user_id").agg(F.count("*").alias("_n")), "user_id", "left").filter(F.coalesce("_n", F.lit(0)) < least)
     pop = few.select("user_id").crossJoin(F.broadcast(popular_items.limit(fill).select("item_id"))).withColumn("score", F.lit(popular_score)).withColumn("source", F.lit("popular"))
-    return rows.unionByName(pop.join(rows, ["user_id", "item_id"], "left_anti"))
+    return rows.unionByName(allowed(pop).join(rows, ["user_id", "item_id"], "left_anti"))
+
+
+def candidates_similar(requests: DataFrame, stored: DataFrame, near: DataFrame, trending: DataFrame, popular_items: DataFrame, *, stored_score: float = 0.5, least: int = 20, fill: int = 30) -> DataFrame:
+    """Candidates (user_id, item_id, score, source) of requests (user_id, asked_id) for items like one: its stored list and its neighbours by vector, the higher score of both, trending ones, popular ones where few; never the item itself.
+
+    stored, near: (query_id, item_id, score); a stored row without a score has `stored_score`. `user_id` names the request.
+    """
+    asked = requests.select("user_id", F.col("asked_id").alias("query_id"))
+    listed = asked.join(stored, "query_id").select("user_id", "item_id", F.coalesce("score", F.lit(stored_score)).alias("score"), F.lit("list").alias("source"))
+    vector = asked.join(near, "query_id").select("user_id", "item_id", "score", F.lit("vector").alias("source"))
+    return candidates_with_floor([listed, vector], trending, popular_items, requests, least=least, fill=fill, barred=asked.withColumnRenamed("query_id", "item_id"))
+
+
+def candidates_personalised(requests: DataFrame, liked: DataFrame, near_user: DataFrame, stored: DataFrame, trending: DataFrame, popular_items: DataFrame, *, stored_score: float = 0.4, first: int = 5, of_each: int = 20, least: int = 30, fill: int = 50) -> DataFrame:
+    """Candidates (user_id, item_id, score, source) of users: near their vector, the heads of the stored lists of their first liked items, trending ones, popular ones where few; none of them liked.
+
+    liked: (user_id, item_id, place), places from 1; near_user: (user_id, item_id, score); stored: (query_id, item_id, score, rank).
+    Users of `requests` who like nothing have trending and popular items.
+    """
+    vector = near_user.select("user_id", "item_id", "score", F.lit("user_vector").alias("source"))
+    heads = stored.filter(F.col("rank") <= of_each).select("query_id", F.col("item_id").alias("_like"), "score")
+    listed = liked.filter(F.col("place") <= first).join(heads, F.col("item_id") == F.col("query_id")).select("user_id", F.col("_like").alias("item_id"), F.coalesce("score", F.lit(stored_score)).alias("score"), F.lit("list").alias("source"))
+    return candidates_with_floor([vector, listed], trending, popular_items, requests, least=least, fill=fill, barred=liked)
 
 
 def rank_fusion(*channels: DataFrame, k: int = 60) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from slatewise.functions import scalars as S
@@ -157,6 +158,49 @@ def candidates_with_floor(spark, d):
     return R.candidates_with_floor([rated], trending, pop, r)
 
 
+def _short_lists(spark, d, fill):
+    items = B.items(spark, d)
+    return items.orderBy(F.desc("popularity"), "item_id").limit(31).select("item_id"), items.orderBy("item_id").limit(fill).select("item_id")
+
+
+_FLOOR = """t AS (SELECT item_id FROM items ORDER BY popularity DESC, item_id LIMIT 31), p AS (SELECT item_id FROM items ORDER BY item_id LIMIT {fill}), c AS (SELECT user_id, item_id, max(score) AS score, min_by(source, struct_pack(s := -score, n := source)) AS source FROM ch ANTI JOIN barred USING (user_id, item_id) GROUP BY 1, 2),
+b AS (SELECT * FROM c UNION ALL SELECT q.user_id, t.item_id, 0.3, 'trending' FROM rq q CROSS JOIN t WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.user_id = q.user_id AND c.item_id = t.item_id) AND NOT EXISTS (SELECT 1 FROM barred x WHERE x.user_id = q.user_id AND x.item_id = t.item_id)), few AS (SELECT q.user_id FROM rq q LEFT JOIN b ON b.user_id = q.user_id GROUP BY 1 HAVING count(b.item_id) < {least})
+SELECT user_id, item_id, CAST(score AS DOUBLE) AS score, source FROM b UNION ALL SELECT few.user_id, p.item_id, 0.2, 'popular' FROM few CROSS JOIN p WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.user_id = few.user_id AND b.item_id = p.item_id) AND NOT EXISTS (SELECT 1 FROM barred x WHERE x.user_id = few.user_id AND x.item_id = p.item_id)"""
+_STORED = "st AS (SELECT a.item_id AS query_id, b.item_id, CASE WHEN b.item_id % 2 = 0 THEN least(b.popularity / 2000, 1.0) END AS score, row_number() OVER (PARTITION BY a.item_id ORDER BY b.popularity DESC, b.item_id) AS rank FROM items a JOIN items b ON a.director = b.director AND a.item_id <> b.item_id AND b.item_id <= a.item_id + 300 AND b.item_id >= a.item_id - 300)"
+
+
+def _stored(spark, d):
+    """A stored list an item: those of its director with ids near its own, every second without a score."""
+    items = B.items(spark, d)
+    a, b = items.select(F.col("item_id").alias("query_id"), "director"), items.select("item_id", "director", "popularity")
+    pairs = a.join(b, "director").filter("query_id <> item_id and abs(query_id - item_id) <= 300")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("popularity"), "item_id"))
+    return pairs.select("query_id", "item_id", F.when(F.col("item_id") % 2 == 0, F.least(F.col("popularity") / 2000, F.lit(1.0))).alias("score"), rank.alias("rank"))
+
+
+@query("WITH " + SIM + ", " + _STORED + ", rq AS (SELECT item_id AS user_id, item_id AS asked FROM items WHERE item_id % 3 = 0), barred AS (SELECT user_id, asked AS item_id FROM rq), ch AS (SELECT user_id, st.item_id, coalesce(st.score, 0.5) AS score, 'list' AS source FROM rq JOIN st ON st.query_id = asked UNION ALL SELECT user_id, sim.item_id, sim.score, 'vector' FROM rq JOIN sim ON sim.query_id = asked), " + _FLOOR.format(fill=30, least=40))
+def candidates_similar(spark, d):
+    """Requests for every third item; a floor of 40, so that some requests, not all, are filled up."""
+    v = vectors(spark, d)
+    requests = B.items(spark, d).filter("item_id % 3 = 0").select(F.col("item_id").alias("user_id"), F.col("item_id").alias("asked_id"))
+    return R.candidates_similar(requests, _stored(spark, d), R.neighbours(v, v, k=5, normalise=True), *_short_lists(spark, d, 30), least=40)
+
+
+@query(f"WITH v AS ({VECTORS}), " + "u AS (SELECT item_id, list_transform(vec, lambda x: x / sqrt(list_dot_product(vec, vec))) AS vec FROM v), " + _STORED + """, rq AS (SELECT user_id FROM users ), barred AS (SELECT user_id, item_id FROM interactions WHERE rating >= 3.0),
+h AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, item_id DESC) AS rn FROM interactions WHERE rating >= 3.0) WHERE rn <= 20), w AS (SELECT user_id, vec, CASE WHEN n > 1 THEN exp(-0.6 * (rn - 1) / (n - 1)) ELSE exp(-0.6) END AS w FROM h JOIN v ON v.item_id = h.item_id),
+e AS (SELECT user_id, w, unnest(vec) AS x, generate_subscripts(vec, 1) AS p FROM w), uv AS (SELECT user_id, list(x ORDER BY p) AS q FROM (SELECT user_id, p, sum(w * x) AS x FROM e GROUP BY 1, 2) GROUP BY 1), sc AS (SELECT user_id, item_id, round(list_dot_product(q, vec) / sqrt(list_dot_product(q, q)), 9) AS score FROM uv CROSS JOIN u),
+nu AS (SELECT user_id, item_id, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS k FROM sc) WHERE k <= 40),
+ch AS (SELECT user_id, item_id, score, 'user_vector' AS source FROM nu UNION ALL SELECT h.user_id, st.item_id, coalesce(st.score, 0.4), 'list' FROM h JOIN st ON st.query_id = h.item_id WHERE h.n - h.rn < 5 AND st.rank <= 20), """ + _FLOOR.format(fill=50, least=30))
+def candidates_personalised(spark, d):
+    v = vectors(spark, d)
+    liked = A.liked_rows(B.interactions(spark, d), threshold=3.0)
+    near = R.neighbours(A.recency_weighted_vector(liked, v).withColumnRenamed("user_id", "item_id").withColumn("item_id", -F.col("item_id") - 1), v, k=40, normalise=True)
+    near = near.select((-F.col("query_id") - 1).alias("user_id"), "item_id", "score")
+    newest = A.last_n(liked, 20).withColumn("place", F.count("*").over(Window.partitionBy("user_id")) - F.col("_rn") + 1)  # the oldest of them first
+    places = liked.select("user_id", "item_id").join(newest.select("user_id", "item_id", "place"), ["user_id", "item_id"], "left")
+    return R.candidates_personalised(B.users(spark, d).select("user_id"), places, near, _stored(spark, d), *_short_lists(spark, d, 50))
+
+
 @query("""WITH a AS (SELECT user_id, item_id, 1 / (60 + row_number() OVER (PARTITION BY user_id ORDER BY rating DESC, item_id)) AS s FROM interactions ), b AS (SELECT user_id, item_id, 1 / (60 + row_number() OVER (PARTITION BY user_id ORDER BY v DESC, item_id)) AS s FROM (SELECT user_id, item_id, max(value) AS v FROM log GROUP BY 1, 2))
 SELECT user_id, item_id, round(sum(s), 9) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1, 2""")
 def rank_fusion(spark, d):

@@ -232,3 +232,21 @@ def test_search_index_reads_what_it_is_asked_for(spark, tmp_path):
     assert [r["item_id"] for r in C.search_index(spark, path, "e", limit=2, buckets=64).collect()] == [3, 1]
     plan = C.names_with(spark, path, "pacino", buckets=64)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in plan and "bucket#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_candidate_channels_of_requests(spark):
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "item_id long")
+    stored = spark.createDataFrame([(1, 2, None, 1), (1, 3, 0.9, 2), (1, 1, 0.8, 3), (5, 6, None, 21)], "query_id long, item_id long, score double, rank int")
+    near = spark.createDataFrame([(1, 2, 0.7), (1, 3, 0.1)], "query_id long, item_id long, score double")
+    asked = spark.createDataFrame([(100, 1), (200, 5), (300, 77)], "user_id long, asked_id long")
+    got = {(r["user_id"], r["item_id"]): (r["score"], r["source"]) for r in R.candidates_similar(asked, stored, near, ids(3, 9, 5), ids(1, 5, 8, 9), least=4, fill=3).collect()}
+    assert {i: v for (u, i), v in got.items() if u == 100} == {2: (0.7, "vector"), 3: (0.9, "list"), 9: (0.3, "trending"), 5: (0.3, "trending")}
+    assert {i: v for (u, i), v in got.items() if u == 200} == {6: (0.5, "list"), 3: (0.3, "trending"), 9: (0.3, "trending"), 1: (0.2, "popular"), 8: (0.2, "popular")}
+    assert {i for (u, i) in got if u == 300} == {3, 9, 5, 1, 8}
+    liked = spark.createDataFrame([(100, 1, 1), (100, 9, 2), (200, 5, 1)], "user_id long, item_id long, place int")
+    vector = spark.createDataFrame([(100, 9, 0.99), (100, 2, 0.2)], "user_id long, item_id long, score double")
+    users = spark.createDataFrame([(100,), (200,), (300,)], "user_id long")
+    got = {(r["user_id"], r["item_id"]): (r["score"], r["source"]) for r in R.candidates_personalised(users, liked, vector, stored, ids(3, 9), ids(5, 7), least=3).collect()}
+    assert {i: v for (u, i), v in got.items() if u == 100} == {2: (0.4, "list"), 3: (0.9, "list"), 5: (0.2, "popular"), 7: (0.2, "popular")}
+    assert {i: v for (u, i), v in got.items() if u == 200} == {3: (0.3, "trending"), 9: (0.3, "trending"), 7: (0.2, "popular")}
+    assert {i for (u, i) in got if u == 300} == {3, 9, 5, 7}
