@@ -143,8 +143,9 @@ def link_titles(mentions: DataFrame, titles: DataFrame, *, cutoff: float = 0.6,
     """
     if not 0 < cutoff <= 1:
         raise ValueError("the cutoff lies in (0, 1]")
+    mentions = written(mentions.select("message_id", "mention"), "mentions")  # each rung reads them, their texts are read once
     m = mentions.select(F.lower("mention").alias("m")).distinct()
-    t = titles.groupBy(F.lower("title").alias("t")).agg(F.min("item_id").alias("item_id"))
+    t = written(titles.groupBy(F.lower("title").alias("t")).agg(F.min("item_id").alias("item_id")), "titles")
     found = m.join(t, F.col("m") == F.col("t")).select("m", "item_id", F.lit(1.0).alias("score"))
     for rung in sorted({max(cutoff, firm), cutoff}, reverse=True):
         rest = m.join(found.select("m"), "m", "left_anti")
