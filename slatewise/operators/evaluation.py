@@ -104,6 +104,29 @@ def evaluate_loo(pools: DataFrame, *, k: int = 10) -> DataFrame:
     return r.agg(F.avg(inside.cast("double")).alias("hr"), F.avg(F.when(inside, 1 / F.log2(F.col("_r") + 1)).otherwise(0.0)).alias("ndcg"), F.avg(F.when(inside, 1 / F.col("_r")).otherwise(0.0)).alias("mrr"), F.count("*").alias("n_users"))
 
 
+def evaluate_pools(pools: DataFrame, items: DataFrame, *, k: int = 10, n: int = 1000, waits: DataFrame | None = None) -> DataFrame:
+    """One row on pools (user_id, item_id, is_truth, pred), of one true item a user: hr, ndcg, mrr and n_users as `evaluate_loo`
+    has them, ild (mean of the users' lists of k), coverage (share of the catalogue that some list holds), ndcg_low and ndcg_high
+    (a bootstrap over users with n replicas), and with `waits` (one column ms) wait_mean and wait_p95.
+
+    items: (item_id, genres). Items outside the catalogue count for neither diversity nor coverage; without pools all but n_users are null or 0.
+    """
+    rank = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("pred"), "item_id"))
+    ranked = written(pools.select("user_id", "item_id", "is_truth", rank.alias("_r")).filter((F.col("_r") <= k) | F.col("is_truth")), "ranked-pools")
+    truth = ranked.filter("is_truth")
+    inside = F.col("_r") <= k
+    per = truth.select("user_id", inside.cast("double").alias("hit"), F.when(inside, 1 / F.log2(F.col("_r") + 1)).otherwise(0.0).alias("ndcg"), F.when(inside, 1 / F.col("_r")).otherwise(0.0).alias("rr"))
+    row = per.agg(F.avg("hit").alias("hr"), F.avg("ndcg").alias("ndcg"), F.avg("rr").alias("mrr"), F.count("*").alias("n_users"))
+    slates = ranked.filter(inside).join(items.select("item_id", F.coalesce("genres", F.lit("")).alias("genres")), "item_id")
+    spread = intra_list_diversity(slates).agg(F.avg("ild").alias("ild"))
+    covered = slates.agg(F.countDistinct("item_id").alias("_c")).crossJoin(items.agg(F.greatest(F.count("*"), F.lit(1)).alias("_n"))).select((F.col("_c") / F.col("_n")).alias("coverage"))
+    interval = bootstrap_ci(per, "ndcg", n=n).select(F.col("low").alias("ndcg_low"), F.col("high").alias("ndcg_high"))
+    row = row.crossJoin(spread).crossJoin(covered).crossJoin(interval)  # one row each
+    if waits is not None:
+        row = row.crossJoin(latency_stats(waits, "ms").select(F.col("mean").alias("wait_mean"), F.col("p95").alias("wait_p95")))
+    return row
+
+
 def evaluate_item_cf(train: DataFrame, truth: DataFrame, similar: DataFrame, *, k: int = 10) -> DataFrame:
     """HR and NDCG at k of each user's hidden item (user_id, item_id) in the list of summed similarities to the rest of their items.
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -11,6 +14,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slatewise.functions import scalars as S
+from slatewise.operators import aggregates as A
+from slatewise.operators import retrieval as R
+from slatewise.session import written
 
 RANKING = ["popularity", "vote_average", "bayes", "overlap", "affinity", "year", "decay", "activity", "bias", "retrieval_score", "cb_score"]
 
@@ -165,36 +171,69 @@ def recommend_all(users: DataFrame, items: DataFrame, *, k: int = 10) -> DataFra
     return alike.select(*columns).unionByName(pairs.select(*columns)).withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
 
 
-def mmr(slates: DataFrame, *, limit: int = 10, pool: int | None = None, epsilon: float = 1e-6, cosine: bool = False) -> DataFrame:
+def mmr(slates: DataFrame, *, limit: int = 10, pool: int | None = None, epsilon: float = 1e-6, terms: DataFrame | None = None) -> DataFrame:
     """(slate_id, item_id, rank): greedy trade of relevance against likeness to what is chosen.
 
     slates: (slate_id, item_id, genres, score, lambda), one short list each; `pool` keeps its best rows only, None takes
-    them all. Likeness is the
-    Jaccard of genres, or the cosine of their indicator vectors. The first of equals in (score, item) order wins.
+    them all. Likeness is the Jaccard of genres, or with `terms` (item_id, term, weight; rows of length 1, few terms an
+    item) their cosine, which is 0 for items without terms. Values count to 9 digits; the first of equals in
+    (score, item) order wins.
     """
     order = Window.partitionBy("slate_id").orderBy(F.desc("score"), "item_id")
-    rows = slates.withColumn("_r", F.row_number().over(order))
+    rows = slates.select("slate_id", "item_id", "genres", "score", "lambda").withColumn("_r", F.row_number().over(order))
     rows = rows if pool is None else rows.filter(F.col("_r") <= pool)
+    if terms is None:
+        rows = rows.withColumn("_t", F.array_distinct(F.split("genres", r"\|"))).withColumn("_w", F.lit(None).cast("array<double>"))
+    else:
+        lists = terms.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("term", "weight"))).alias("_l"))
+        rows = rows.join(lists, "item_id", "left").withColumns({"_t": F.coalesce(F.col("_l.term"), F.array().cast("array<string>")), "_w": F.coalesce(F.col("_l.weight"), F.array().cast("array<double>"))})
+
+    jaccard = terms is None  # a frame can't go to the tasks
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_r")
         lam, score = float(pdf["lambda"].iloc[0]), pdf["score"].to_numpy(float)
         low, high = score.min(), score.max()
-        rel = [1.0 if high == low else (s - low) / (high - low + epsilon) for s in score]
-        sets = [frozenset(g.split("|")) for g in pdf["genres"]]
-        like = [0.0] * len(sets)
-        left, chosen = list(range(len(sets))), []
-        while left and len(chosen) < limit:
-            best = max(left, key=lambda i: (lam * rel[i] - (1 - lam) * like[i] if chosen else rel[i], -i))
-            left.remove(best)
+        rel = np.ones(len(score)) if high == low else (score - low) / (high - low + epsilon)
+        # items as rows of a matrix over the slate's own terms
+        at = {t: n for n, t in enumerate(sorted({t for ts in pdf["_t"] for t in ts}))}
+        m = np.zeros((len(pdf), len(at)))
+        for n, (ts, ws) in enumerate(zip(pdf["_t"], pdf["_w"], strict=True)):
+            m[n, [at[t] for t in ts]] = 1.0 if ws is None else ws
+        size = m.sum(axis=1)
+        like, free, chosen = np.zeros(len(pdf)), np.ones(len(pdf), dtype=bool), []
+        while free.any() and len(chosen) < limit:
+            value = np.round(lam * rel - (1 - lam) * like, 9) if chosen else rel
+            best = int(np.argmax(np.where(free, value, -np.inf)))
+            free[best] = False
             chosen.append(best)
-            for i in left:
-                common = len(sets[i] & sets[best])
-                size = (len(sets[i]) * len(sets[best])) ** 0.5 if cosine else len(sets[i] | sets[best])
-                like[i] = max(like[i], common / size)
+            common = m @ m[best]
+            if jaccard:
+                either = size + size[best] - common
+                common = common / np.where(either == 0, 1, either)
+            like = np.maximum(like, common)
         return pd.DataFrame({"slate_id": pdf["slate_id"].iloc[0], "item_id": pdf["item_id"].to_numpy()[chosen], "rank": range(1, len(chosen) + 1)})
 
-    return rows.groupBy("slate_id").applyInPandas(pick, "slate_id long, item_id long, rank int")
+    return rows.drop("_l").groupBy("slate_id").applyInPandas(pick, "slate_id long, item_id long, rank int")
+
+
+def recommend(channels: list[DataFrame], users: DataFrame, history: DataFrame, popular_items: DataFrame, items: DataFrame, score: Callable[[DataFrame], DataFrame], weights: DataFrame, terms: DataFrame, *, pool: int = 250, limit: int = 10, default_weight: float = 0.7) -> DataFrame:
+    """(user_id, item_id, rank, source): retrieval channels fused, ranked and re-ranked into a slate for every user.
+
+    channels: (user_id, item_id, score) each, fused by reciprocal ranks, of which the best `pool` stay. A user whom no
+    channel serves has `popular_items` (item_id, a short list), without what is in their history; one who has seen all of
+    those has no slate. `score` adds a `score` column to (user_id, item_id, source) rows, so that any ranker fits.
+    Items that the catalogue lacks are left out. weights: (user_id, lambda).
+    """
+    fused = A.top_k(R.rank_fusion(*channels), pool).select("user_id", "item_id", F.lit("retrieved").alias("source"))
+    fused = written(fused.join(items.select("item_id"), "item_id", "left_semi").select("user_id", "item_id", "source"), "fused")
+    bare = users.select("user_id").distinct().join(fused.select("user_id").distinct(), "user_id", "left_anti")
+    fall_back = A.exclude_seen(bare.crossJoin(F.broadcast(popular_items.select("item_id"))), history).select("user_id", "item_id", F.lit("popular").alias("source"))
+    candidates = written(score(fused.unionByName(fall_back)).select("user_id", "item_id", "source", F.col("score").cast("double").alias("score")), "candidates")
+    slates = candidates.join(items.select("item_id", "genres"), "item_id").join(weights, "user_id", "left")
+    slates = slates.select(F.col("user_id").alias("slate_id"), "item_id", F.coalesce("genres", F.lit("")).alias("genres"), "score", F.coalesce("lambda", F.lit(default_weight)).alias("lambda"))
+    best = mmr(slates, limit=limit, epsilon=0.0, terms=terms).withColumnRenamed("slate_id", "user_id")
+    return best.join(candidates.select("user_id", "item_id", "source"), ["user_id", "item_id"])
 
 
 def tune(train: DataFrame, valid: DataFrame, *, columns: list[str], depths: tuple[int, ...] = (2, 4), label: str = "rating") -> DataFrame:

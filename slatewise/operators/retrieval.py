@@ -294,18 +294,70 @@ def hash_embed(texts: DataFrame, *, size: int = 384, key: str = "item_id", text:
     return rows.select(key, "pos", (F.col("_c") / length).alias("x"))
 
 
-def two_tower_encode(rows: DataFrame, *, out: int = 64, seed: int = 64, key: str = "item_id", column: str = "inputs") -> DataFrame:
-    """(key, vec): a fixed random projection of each input vector, negative parts cut to 0, length 1."""
+def _tower_tail(genres: DataFrame, scalars: DataFrame, vocabulary: list[str], key: str, size: int) -> DataFrame:
+    """(key, pos, x) of genre shares (key, genre, x) behind the content, and of two scalars (key, first, second) behind those."""
+    places = genres.sparkSession.createDataFrame([(g, size + n) for n, g in enumerate(vocabulary)], "genre string, pos long")
+    flags = genres.join(F.broadcast(places), "genre").select(key, "pos", "x")  # one row a word of the vocabulary
+    pair = F.map_from_arrays(F.array(F.lit(size + len(vocabulary)).cast("long"), F.lit(size + len(vocabulary) + 1).cast("long")), F.array("first", "second"))
+    return flags.unionByName(scalars.select(key, F.explode(pair).alias("pos", "x")).filter("x <> 0"))
+
+
+def item_tower_inputs(content: DataFrame, genres: DataFrame, scalars: DataFrame, vocabulary: list[str], *, size: int = 384) -> DataFrame:
+    """(item_id, pos, x) without zeros: content, a flag a genre of the vocabulary, ln(1 + popularity), vote / 10.
+
+    content: (item_id, pos, x), places from `size` on are cut; genres: (item_id, genre); scalars: (item_id, popularity,
+    vote_average), one row an item. A null popularity counts as 0, a null vote as 5; an item that has neither content nor genres has its scalars.
+    """
+    pop = F.log1p(F.greatest(F.lit(0.0), F.coalesce(F.col("popularity").cast("double"), F.lit(0.0))))
+    vote = F.coalesce(F.col("vote_average").cast("double"), F.lit(5.0)) / 10
+    flags = genres.select("item_id", "genre").distinct().withColumn("x", F.lit(1.0))
+    head = content.filter((F.col("pos") < size) & (F.col("x") != 0)).select("item_id", F.col("pos").cast("long").alias("pos"), F.col("x").cast("double").alias("x"))
+    return head.unionByName(_tower_tail(flags, scalars.select("item_id", pop.alias("first"), vote.alias("second")), vocabulary, "item_id", size))
+
+
+def user_tower_inputs(liked: DataFrame, content: DataFrame, genres: DataFrame, scalars: DataFrame, vocabulary: list[str], *, size: int = 384, last: int = 20, slope: float = -0.5) -> DataFrame:
+    """(user_id, pos, x) without zeros: newest liked items' content by recency, shares of genres, ln(1 + activity), bias.
+
+    liked: (user_id, item_id, ts); the newest `last` with content are weighed by exp(linspace(slope, 0)), scaled to sum 1, oldest
+    first. Shares count all liked items' genres within the vocabulary. scalars: (user_id, activity, bias), one row a user;
+    a null activity counts as 1, a null bias as 0. A user who likes nothing has the scalars only.
+    """
+    head = content.filter((F.col("pos") < size) & (F.col("x") != 0)).select("item_id", F.col("pos").cast("long").alias("pos"), F.col("x").cast("double").alias("x"))
+    rows = A.last_n(liked.join(content.select("item_id").distinct(), "item_id", "left_semi"), last)
+    size_of = F.count("*").over(Window.partitionBy("user_id"))
+    rows = rows.withColumn("_n", size_of).withColumn("_w", F.exp(F.when(F.col("_n") > 1, slope * (F.col("_rn") - 1) / (F.col("_n") - 1)).otherwise(0.0)))
+    rows = rows.withColumn("_w", F.col("_w") / F.sum("_w").over(Window.partitionBy("user_id")))
+    mixed = rows.select("user_id", "item_id", "_w").join(head, "item_id").groupBy("user_id", "pos").agg(F.sum(F.col("_w") * F.col("x")).alias("x"))
+    known = genres.select("item_id", "genre").distinct().filter(F.col("genre").isin(*vocabulary))
+    counts = liked.select("user_id", "item_id").join(known, "item_id").groupBy("user_id", "genre").agg(F.count("*").alias("_c"))
+    shares = counts.select("user_id", "genre", (F.col("_c") / F.sum("_c").over(Window.partitionBy("user_id"))).alias("x"))
+    activity = F.log1p(F.greatest(F.lit(0.0), F.coalesce(F.col("activity").cast("double"), F.lit(1.0))))
+    tail = scalars.select("user_id", activity.alias("first"), F.coalesce(F.col("bias").cast("double"), F.lit(0.0)).alias("second"))
+    return mixed.unionByName(_tower_tail(shares, tail, vocabulary, "user_id", size))
+
+
+def tower_weights(width: int, out: int, seed: int) -> np.ndarray:
+    """The fixed random projection of one tower."""
+    return np.random.default_rng(seed).standard_normal((width, out)) / np.sqrt(width)
+
+
+def two_tower_encode(inputs: DataFrame, *, width: int, out: int = 64, seed: int = 64, key: str = "item_id") -> DataFrame:
+    """(key, vec): inputs (key, pos, x) under a fixed random projection from `width` to `out`, negative parts cut to 0, length 1.
+
+    Give each tower a seed of its own. A vector that the projection makes all negative stays zero.
+    """
+    rows = inputs.groupBy(key).agg(F.collect_list("pos").alias("_pos"), F.collect_list("x").alias("_x"))  # at most `width` places
 
     @F.pandas_udf("array<double>")
-    def encode(x: pd.Series) -> pd.Series:
-        m = np.stack(x.to_numpy()).astype(np.float64) if len(x) else np.zeros((0, 1))
-        w = np.random.default_rng(seed).standard_normal((m.shape[1], out)) / np.sqrt(m.shape[1])
-        y = np.maximum(m @ w, 0)
-        n = np.linalg.norm(y, axis=1, keepdims=True)
-        return pd.Series(list(y / np.where(n == 0, 1, n)))
-
-    return rows.select(key, encode(F.col(column)).alias("vec"))
+    def encode(places: pd.Series, values: pd.Series) -> pd.Series:
+        m = np.zeros((len(places), width))
+        for n, (at, x) in enumerate(zip(places, values, strict=True)):
+            m[n, at] = x
+        y = np.maximum(m @ tower_weights(width, out, seed), 0)
+        length = np.linalg.norm(y, axis=1, keepdims=True)
+        return pd.Series(list(y / np.where(length == 0, 1, length)))
+
+    return rows.select(key, encode("_pos", "_x").alias("vec"))
 
 
 def cold_features(asked: DataFrame, features: DataFrame, priors: dict[str, float], *, key: str) -> DataFrame:

@@ -141,32 +141,48 @@ def _mmr_input(spark, d):
     return _scored(spark, d).join(items, "item_id").join(weight, "user_id").select(F.col("user_id").alias("slate_id"), "item_id", "genres", F.col("pred").alias("score"), "lambda")
 
 
-@query()
+#: Greedy re-ranking as a recursion over ranks: a slate's state is the list of what it has chosen.
+MMR = """, gn AS (SELECT i.user_id, genre, count(*) AS c FROM interactions i JOIN genre_rows g ON g.item_id = i.item_id GROUP BY 1, 2), gp AS (SELECT user_id, c / sum(c) OVER (PARTITION BY user_id) AS p FROM gn),
+lm AS (SELECT user_id, 0.9 - 0.5 * least(1.0, -sum(p * log2(p)) / log2(19)) AS lam FROM gp GROUP BY 1),
+cd AS (SELECT sc.user_id AS slate_id, sc.item_id, lam, {x} AS x, row_number() OVER (PARTITION BY sc.user_id ORDER BY pred DESC, sc.item_id) AS ord, CASE WHEN max(pred) OVER w = min(pred) OVER w THEN 1.0 ELSE (pred - min(pred) OVER w) / (max(pred) OVER w - min(pred) OVER w + {epsilon}) END AS rel
+FROM sc JOIN lm ON lm.user_id = sc.user_id JOIN {source} s ON s.item_id = sc.item_id WINDOW w AS (PARTITION BY sc.user_id))
+SELECT slate_id, item_id, CAST(rank AS INTEGER) AS rank FROM (WITH RECURSIVE st AS (SELECT slate_id, 1 AS rank, item_id, [item_id] AS chosen, [x] AS xs FROM cd WHERE ord = 1
+UNION ALL SELECT slate_id, rank + 1, w.item_id, list_append(chosen, w.item_id), list_append(xs, w.x) FROM (SELECT st.slate_id, st.rank, st.chosen, st.xs, min({{'v': -round(lam * rel - (1 - lam) * list_max(list_transform(st.xs, lambda y: {like})), 9), 'ord': ord, 'item_id': cd.item_id, 'x': cd.x}}) AS w
+FROM st JOIN cd ON cd.slate_id = st.slate_id WHERE st.rank < 10 AND NOT list_contains(st.chosen, cd.item_id) GROUP BY 1, 2, 3, 4)) SELECT * FROM st)"""
+_JACCARD = MMR.format(x="string_split(genres, '|')", epsilon="1e-6", source="items", like="len(list_intersect(y, cd.x)) / len(list_distinct(list_concat(y, cd.x)))")
+_COSINE = MMR.format(x="v", epsilon="0.0", source="dv", like="list_dot_product(y, cd.x)")
+DENSE = ", dv AS (SELECT i.item_id, list(coalesce(weight, 0.0) ORDER BY per.term) AS v FROM items i CROSS JOIN per LEFT JOIN terms ON terms.item_id = i.item_id AND terms.term = per.term GROUP BY 1)"
+
+
+@query("WITH " + SCORED + _JACCARD)
 def mmr_slates(spark, d):
     return X.mmr(_mmr_input(spark, d), limit=10)
 
 
-@query()
+@query("WITH " + SCORED + ", " + TFIDF + DENSE + _COSINE)
 def mmr_cosine_slates(spark, d):
-    return X.mmr(_mmr_input(spark, d), limit=10, epsilon=0.0, cosine=True)
+    return X.mmr(_mmr_input(spark, d), limit=10, epsilon=0.0, terms=_genre_terms(spark, d))
 
 
 @query()
 def recommend_end_to_end(spark, d):
-    from slatewise.operators import retrieval as R
-
-    r, items = B.interactions(spark, d), B.items(spark, d)
+    """Words and factors, 100 each, the best 250 of both ranked by boosted trees, slates of 10 by genre weights."""
+    items = B.items(spark, d)
     train, _ = _train_test(spark, d)
+    train = written(train, "train")
     tokens = R.term_counts(items, R.genre_tokens(F.col("genres")))
     index = R.bm25_fit(tokens, items.agg(F.count("*").alias("n")))
-    words = R.bm25_candidates(A.liked_rows(train, threshold=3.5), tokens, index, train, B.users(spark, d).select("user_id"), n=50)
-    model = R.fit_als(train, rank=8, iterations=2)
-    fused = R.rank_fusion(words, R.als_candidates(model, train, train, n=50))
-    best = A.top_k(fused, 250)
+    users = B.users(spark, d).select("user_id")
+    words = R.bm25_candidates(A.liked_rows(train, threshold=3.5), tokens, index, train, users, n=100)
+    factors = R.als_candidates(R.fit_als(train, rank=8, iterations=2), train, train, n=100)
+    meta, profiles = _meta(spark, d, train), _profiles(spark, d, train)
+    ranker = X.fit_ranker(_train_set(spark, d), iterations=4, depth=3)
+
+    def score(rows):
+        return ranker.transform(X.ranking_features(rows, meta, profiles)).withColumn("score", F.round("prediction", 9))
+
     weight = A.genre_entropy(train, C.explode_genres(items), vocabulary=19)
-    slates = best.join(items.select("item_id", "genres"), "item_id").join(weight, "user_id", "left").select(F.col("user_id").alias("slate_id"), "item_id", "genres", "score", F.coalesce("lambda", F.lit(0.7)).alias("lambda"))
-    del r
-    return X.mmr(slates, limit=10, cosine=True)
+    return X.recommend([words, factors], users, train, R.popular(train, 100), items, score, weight, _genre_terms(spark, d))
 
 
 @query()
@@ -309,13 +325,18 @@ def beyond_accuracy(spark, d):
     return row.select(F.round("diversity", 6).alias("diversity"), F.round("novelty", 6).alias("novelty"), "coverage")
 
 
-@query("WITH " + DRAWN.format(n="99", users="last_one ", seen="last_one") + """, pl AS (SELECT user_id, item_id, true AS is_truth FROM last_one UNION ALL SELECT user_id, item_id, false FROM ng), pr AS (SELECT item_id, avg(rating) AS pred FROM train GROUP BY 1), rk AS (SELECT is_truth, row_number() OVER (PARTITION BY user_id ORDER BY coalesce(pred, 0.0) DESC, pl.item_id) AS r FROM pl LEFT JOIN pr ON pr.item_id = pl.item_id)
-SELECT round(avg(CASE WHEN r <= 10 THEN 1.0 ELSE 0.0 END), 6) AS hr, round(avg(CASE WHEN r <= 10 THEN 1 / log2(r + 1) ELSE 0.0 END), 6) AS ndcg, round(avg(CASE WHEN r <= 10 THEN 1 / r ELSE 0.0 END), 6) AS mrr, count(*) AS n_users FROM rk WHERE is_truth""")
+@query("WITH " + DRAWN.format(n="99", users="last_one ", seen="last_one") + """, pl AS (SELECT user_id, item_id, true AS is_truth FROM last_one UNION ALL SELECT user_id, item_id, false FROM ng), pr AS (SELECT item_id, avg(rating) AS pred FROM train GROUP BY 1), rk AS (SELECT user_id, pl.item_id, is_truth, row_number() OVER (PARTITION BY user_id ORDER BY coalesce(pred, 0.0) DESC, pl.item_id) AS r FROM pl LEFT JOIN pr ON pr.item_id = pl.item_id),
+tp AS (SELECT rk.user_id, rk.item_id, string_split(genres, '|') AS g FROM rk JOIN items i ON i.item_id = rk.item_id WHERE r <= 10), pd AS (SELECT a.user_id, avg(1 - len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g)))) AS v FROM tp a JOIN tp b ON b.user_id = a.user_id AND b.item_id > a.item_id GROUP BY 1), il AS (SELECT u.user_id, coalesce(v, 0.0) AS ild FROM (SELECT DISTINCT user_id FROM tp) u LEFT JOIN pd ON pd.user_id = u.user_id),
+base AS (SELECT user_id, CASE WHEN r <= 10 THEN 1 / log2(r + 1) ELSE 0.0 END AS m FROM rk WHERE is_truth), """ + BOOT + """
+SELECT round(avg(CASE WHEN r <= 10 THEN 1.0 ELSE 0.0 END), 6) AS hr, round(avg(CASE WHEN r <= 10 THEN 1 / log2(r + 1) ELSE 0.0 END), 6) AS ndcg, round(avg(CASE WHEN r <= 10 THEN 1 / r ELSE 0.0 END), 6) AS mrr, count(*) AS n_users, (SELECT round(avg(ild), 6) FROM il) AS ild, (SELECT count(DISTINCT item_id) FROM tp) / (SELECT count(*) FROM items ) AS coverage,
+(SELECT round(low, 6) FROM ci) AS ndcg_low, (SELECT round(high, 6) FROM ci) AS ndcg_high, (SELECT round(avg(value), 6) FROM log ) AS wait_mean, (SELECT round(quantile_cont(value, 0.95), 6) FROM log ) AS wait_p95 FROM rk WHERE is_truth""")
 def evaluate_99(spark, d):
+    """The true item among 99 drawn ones, by the items' mean ratings; the log's values stand for waits."""
     train, test = _train_test(spark, d)
     pools = G.negative_pools(test, train, _index(spark, d), exclude="truth")
-    row = E.evaluate_loo(pools.join(train.groupBy("item_id").agg(F.avg("rating").alias("pred")), "item_id", "left").fillna({"pred": 0.0}))
-    return row.withColumns({c: F.round(c, 6) for c in ("hr", "ndcg", "mrr")})
+    scored = pools.join(train.groupBy("item_id").agg(F.avg("rating").alias("pred")), "item_id", "left").fillna({"pred": 0.0})
+    row = E.evaluate_pools(scored, B.items(spark, d), waits=B.events(spark, d).select(F.col("value").alias("ms")))
+    return row.withColumns({c: F.round(c, 6) for c in row.columns if c not in ("n_users", "coverage")})
 
 
 @query("WITH " + SIM + """, cf AS (SELECT t.user_id, sim.item_id, round(sum(score), 9) AS score FROM train t JOIN sim ON sim.query_id = t.item_id ANTI JOIN train h ON h.user_id = t.user_id AND h.item_id = sim.item_id GROUP BY 1, 2), rk AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS r FROM cf),

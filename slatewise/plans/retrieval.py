@@ -10,9 +10,9 @@ from slatewise.operators import aggregates as A
 from slatewise.operators import catalogue as C
 from slatewise.operators import retrieval as R
 from slatewise.operators import sampling as G
-from slatewise.plans.interactions import HEX, VECTORS, vectors
+from slatewise.plans.interactions import HEX, VECTORS, WORDS, vectors
 from slatewise.plans.registry import query
-from slatewise.session import table
+from slatewise.session import table, written
 from slatewise.sources import binding as B
 
 
@@ -294,10 +294,58 @@ def hash_embed(spark, d):
     return R.hash_embed(rows).withColumn("x", F.round("x", 9))
 
 
+#: Vocabulary of the towers: the catalogue's words, with six that no item has.
+TOWER_WORDS = [*WORDS, "LARGE", "MEDIUM", "PROMO", "STANDARD", "anvil", "blue", "gizmo", "comedy", "drama", "horror", "western", "musical", "war"]
+_WIDTH = 384 + len(TOWER_WORDS) + 2
+_PLACES = "(SELECT unnest([" + ", ".join(f"'{w}'" for w in TOWER_WORDS) + f"]) AS genre, unnest(range(384, {_WIDTH - 2})) AS pos)"
+CONTENT = f"""tk AS (SELECT item_id, unnest(list_filter(string_split_regex(lower(title || ' ' || director), '\\W+'), lambda x: x <> '')) AS t FROM items ), bk AS (SELECT item_id, {MD5} AS pos, count(*) AS c FROM tk GROUP BY 1, 2), ct AS (SELECT item_id, pos, c / sqrt(sum(c * c) OVER (PARTITION BY item_id)) AS x FROM bk), pl AS {_PLACES}"""
+ITEM_SIDE = CONTENT + """, st AS (SELECT item_id, count(*) AS n, avg(rating) AS m FROM train GROUP BY 1), ins AS (SELECT * FROM ct UNION ALL SELECT DISTINCT g.item_id, pos, 1.0 FROM genre_rows g JOIN pl ON pl.genre = g.genre
+UNION ALL SELECT i.item_id, 403, ln(1 + n) FROM items i JOIN st ON st.item_id = i.item_id UNION ALL SELECT i.item_id, 404, coalesce(m, 5.0) / 10 FROM items i LEFT JOIN st ON st.item_id = i.item_id)"""
+
+
+def _content(spark, d):
+    return R.hash_embed(B.items(spark, d).select("item_id", F.concat_ws(" ", "title", "director").alias("text")))
+
+
+def _item_side(spark, d, train):
+    stats = train.groupBy("item_id").agg(F.count("*").alias("popularity"), F.avg("rating").alias("vote_average"))
+    items = B.items(spark, d)
+    return R.item_tower_inputs(_content(spark, d), C.explode_genres(items), items.select("item_id").join(stats, "item_id", "left"), TOWER_WORDS)
+
+
+def _user_side(spark, d, train):
+    stats = train.groupBy("user_id").agg(F.count("*").alias("activity"), (F.avg("rating") - 3.5).alias("bias"))
+    scalars = B.users(spark, d).select("user_id").join(stats, "user_id", "left")
+    return R.user_tower_inputs(A.liked_rows(train, threshold=3.0), _content(spark, d), C.explode_genres(B.items(spark, d)), scalars, TOWER_WORDS)
+
+
+@query("WITH " + ITEM_SIDE + " SELECT item_id, pos, round(x, 6) AS x FROM ins")
+def item_tower_inputs(spark, d):
+    return _item_side(spark, d, _train_test(spark, d)[0]).withColumn("x", F.round("x", 6))
+
+
+@query("WITH " + CONTENT + """, h AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, item_id DESC) AS rn FROM train WHERE rating >= 3.0 AND item_id IN (SELECT item_id FROM ct)), k AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM h WHERE rn <= 20),
+w AS (SELECT user_id, item_id, CASE WHEN n > 1 THEN exp(-0.5 * (rn - 1) / (n - 1)) ELSE 1.0 END AS w FROM k), t AS (SELECT user_id, sum(w) AS t FROM w GROUP BY 1), gc AS (SELECT user_id, pos, count(*) AS c FROM train i JOIN (SELECT DISTINCT item_id, genre FROM genre_rows ) g ON g.item_id = i.item_id JOIN pl ON pl.genre = g.genre WHERE rating >= 3.0 GROUP BY 1, 2),
+us AS (SELECT u.user_id, ln(1 + coalesce(n, 1)) AS a, coalesce(m - 3.5, 0.0) AS b FROM users u LEFT JOIN (SELECT user_id AS uu, count(*) AS n, avg(rating) AS m FROM train GROUP BY 1) s ON uu = u.user_id)
+SELECT w.user_id, pos, round(sum(w / t * x), 6) AS x FROM w JOIN t ON t.user_id = w.user_id JOIN ct ON ct.item_id = w.item_id GROUP BY 1, 2 UNION ALL SELECT user_id, pos, round(c / sum(c) OVER (PARTITION BY user_id), 6) FROM gc UNION ALL SELECT user_id, 403, round(a, 6) FROM us UNION ALL SELECT user_id, 404, round(b, 6) FROM us WHERE b <> 0""")
+def user_tower_inputs(spark, d):
+    return _user_side(spark, d, _train_test(spark, d)[0]).withColumn("x", F.round("x", 6))
+
+
 @query()
 def two_tower_encode(spark, d):
-    v = vectors(spark, d).select("item_id", F.col("vec").alias("inputs"))
-    return R.two_tower_encode(v)
+    return R.two_tower_encode(_item_side(spark, d, _train_test(spark, d)[0]), width=_WIDTH)
+
+
+@query()
+def two_tower_candidates(spark, d):
+    """Each user's 20 nearest items by both towers, none of them liked."""
+    train = written(_train_test(spark, d)[0], "train")
+    items = R.two_tower_encode(_item_side(spark, d, train), width=_WIDTH)
+    users = R.two_tower_encode(_user_side(spark, d, train), width=_WIDTH, seed=65, key="user_id")
+    near = R.neighbours(users.select((-F.col("user_id") - 1).alias("item_id"), "vec"), items, k=40)
+    found = near.select((-F.col("query_id") - 1).alias("user_id"), "item_id", "score")
+    return A.top_k(A.exclude_seen(found, A.liked_rows(train, threshold=3.0)), 20).select("user_id", "item_id", "score", "rank")
 
 
 @query("SELECT user_id, coalesce(m, 3.5) AS mean, coalesce(CAST(n AS DOUBLE), 0.0) AS cnt FROM (SELECT DISTINCT user_id FROM log ) l LEFT JOIN (SELECT user_id AS uu, avg(rating) AS m, count(*) AS n FROM interactions GROUP BY 1) f ON f.uu = l.user_id + 1400")

@@ -250,3 +250,67 @@ def test_candidate_channels_of_requests(spark):
     assert {i: v for (u, i), v in got.items() if u == 100} == {2: (0.4, "list"), 3: (0.9, "list"), 5: (0.2, "popular"), 7: (0.2, "popular")}
     assert {i: v for (u, i), v in got.items() if u == 200} == {3: (0.3, "trending"), 9: (0.3, "trending"), 7: (0.2, "popular")}
     assert {i for (u, i) in got if u == 300} == {3, 9, 5, 7}
+
+
+def test_rerank_by_term_weights_equals_plain_search(spark):
+    import random
+
+    import numpy as np
+
+    r = random.Random(7)
+    terms, slates, want = {}, [], []
+    for i in range(12):
+        w = {t: r.random() for t in r.sample("abcdef", r.randint(0, 4))}
+        n = sum(x * x for x in w.values()) ** 0.5
+        terms[i] = {t: x / n for t, x in w.items()}
+    for s in range(6):
+        lam = [0.4, 0.7, 0.9][s % 3]
+        rows = sorted(((i, r.choice([1.0, 2.0, 2.5, 4.0])) for i in r.sample(range(12), r.choice([1, 3, 12]))), key=lambda p: (-p[1], p[0]))
+        slates += [(s, i, "", v, lam) for i, v in rows]
+        low, high = rows[-1][1], rows[0][1]
+        rel = {i: (v - low) / (high - low) if high > low else 1.0 for i, v in rows}
+        like = lambda i, j: sum(x * terms[j].get(t, 0.0) for t, x in terms[i].items())
+        chosen = [rows[0][0]]
+        while len(chosen) < min(5, len(rows)):
+            left = [i for i, _ in rows if i not in chosen]
+            chosen.append(left[int(np.argmax([round(lam * rel[i] - (1 - lam) * max(like(i, j) for j in chosen), 9) for i in left]))])
+        want += [(s, i, n) for n, i in enumerate(chosen, 1)]
+    weights = spark.createDataFrame([(i, t, x) for i, w in terms.items() for t, x in w.items()], "item_id long, term string, weight double")
+    frame = spark.createDataFrame(slates, "slate_id long, item_id long, genres string, score double, `lambda` double")
+    assert sorted(tuple(x) for x in X.mmr(frame, limit=5, epsilon=0.0, terms=weights).collect()) == sorted(want)
+
+
+def test_recommend_serves_users_without_channels(spark):
+
+    pairs = "user_id long, item_id long, score double"
+    a = spark.createDataFrame([(1, 10, 3.0), (1, 11, 2.0), (1, 99, 1.0)], pairs)
+    b = spark.createDataFrame([(1, 12, 3.0)], pairs)
+    items = spark.createDataFrame([(i, "x|y") for i in (10, 11, 12, 13)], "item_id long, genres string")
+    history = spark.createDataFrame([(2, 13), (3, 13), (3, 12)], "user_id long, item_id long")
+    users, best = spark.createDataFrame([(1,), (2,), (3,)], "user_id long"), spark.createDataFrame([(13,), (12,)], "item_id long")
+    terms = spark.createDataFrame([(10, "x", 1.0)], "item_id long, term string, weight double")
+    weights = spark.createDataFrame([(1, 0.5)], "user_id long, `lambda` double")
+    got = X.recommend([a, b], users, history, best, items, lambda rows: rows.withColumn("score", F.col("item_id").cast("double")), weights, terms, limit=2)
+    # item 99 isn't in the catalogue; user 2 has seen 13, user 3 all that is popular
+    assert sorted(tuple(x) for x in got.select("user_id", "item_id", "rank", "source").collect()) == [(1, 11, 2, "retrieved"), (1, 12, 1, "retrieved"), (2, 12, 1, "popular")]
+
+
+def test_towers_of_users_and_items(spark):
+    import numpy as np
+
+    content = spark.createDataFrame([(1, 0, 1.0), (2, 1, 1.0), (3, 9, 1.0)], "item_id long, pos long, x double")
+    genres = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (2, "zz"), (4, "a")], "item_id long, genre string")
+    scalars = spark.createDataFrame([(1, 3.0, 8.0), (2, None, None)], "item_id long, popularity double, vote_average double")
+    inputs = R.item_tower_inputs(content, genres, scalars, ["a", "b"], size=4)
+    got = {(x["item_id"], x["pos"]): round(x["x"], 9) for x in inputs.collect()}
+    assert got == {(1, 0): 1.0, (1, 4): 1.0, (1, 6): round(np.log(4), 9), (1, 7): 0.8, (2, 1): 1.0, (2, 5): 1.0, (2, 7): 0.5, (4, 4): 1.0}
+    vec = {x["item_id"]: np.array(x["vec"]) for x in R.two_tower_encode(inputs, width=8, out=3, seed=5).collect()}
+    for i in (1, 2, 4):
+        dense = np.array([got.get((i, p), 0.0) for p in range(8)])
+        y = np.maximum(dense @ R.tower_weights(8, 3, 5), 0)
+        assert np.allclose(vec[i], y / (np.linalg.norm(y) or 1), atol=1e-8)
+    liked = spark.createDataFrame([(7, 1, 10), (7, 2, 20), (7, 4, 30)], "user_id long, item_id long, ts long")
+    users = spark.createDataFrame([(7, 3.0, -0.5), (8, None, None)], "user_id long, activity double, bias double")
+    got = {(x["user_id"], x["pos"]): round(x["x"], 6) for x in R.user_tower_inputs(liked, content, genres, users, ["a", "b"], size=4).collect()}
+    old = np.exp(-0.5) / (1 + np.exp(-0.5))
+    assert got == {(7, 0): round(old, 6), (7, 1): round(1 - old, 6), (7, 4): round(2 / 3, 6), (7, 5): round(1 / 3, 6), (7, 6): round(np.log(4), 6), (7, 7): -0.5, (8, 6): round(np.log(2), 6)}

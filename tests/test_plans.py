@@ -9,7 +9,7 @@ from slatewise.plans.registry import ORACLES, QUERIES
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: A spread over the modules; bench.py and the driver run the rest.
-CHECKED = "wide_catalogue search_text search_by_index search_genre_year_status trending_after flatten_catalogue refine_slates watchlist_state comment_likes item_stats user_profile funnel rating_summary leave_one_out time_split dense_ids random_split min_max union_channels tfidf_genres rank_fusion hash_embed pointwise_negatives per_user_scores ranking_metrics intra_list_diversity drift_report table_parity check_threads fallback_rate detect_intent parse_critique ranking_features ratings_round_trip weighted_negatives pool_99 evaluate_item_cf train_serve_parity backfilled_vectors clicks_of_requests committed_events links_round_trip tags_round_trip click_log_round_trip written_events paired_models check_ratings gate_vs_incumbent trending_stream session_items_stream parse_list_forms extract_names title_year extract_mentions knn_pearson knn_items_cosine candidates_similar candidates_personalised candidates_with_floor".split()
+CHECKED = "mmr_cosine_slates item_tower_inputs user_tower_inputs evaluate_99 wide_catalogue search_text search_by_index search_genre_year_status trending_after flatten_catalogue refine_slates watchlist_state comment_likes item_stats user_profile funnel rating_summary leave_one_out time_split dense_ids random_split min_max union_channels tfidf_genres rank_fusion hash_embed pointwise_negatives per_user_scores ranking_metrics intra_list_diversity drift_report table_parity check_threads fallback_rate detect_intent parse_critique ranking_features ratings_round_trip weighted_negatives pool_99 evaluate_item_cf train_serve_parity backfilled_vectors clicks_of_requests committed_events links_round_trip tags_round_trip click_log_round_trip written_events paired_models check_ratings gate_vs_incumbent trending_stream session_items_stream parse_list_forms extract_names title_year extract_mentions knn_pearson knn_items_cosine candidates_similar candidates_personalised candidates_with_floor".split()
 
 
 @pytest.fixture(scope="module")
