@@ -100,22 +100,51 @@ def fit_pairwise(train: DataFrame, *, columns: list[str] | None = None, pairs: i
     return LogisticRegression(labelCol="win", weightCol="w", fitIntercept=False, maxIter=20, regParam=0.01).fit(ready)
 
 
+#: The columns of a rating data set beside its genre flags, first those that are categories.
+CATEGORIES = ["item_id", "user_id", "primary_director", "primary_actor"]
+NUMBERS = ["popularity", "vote_average", "vote_count", "adult", "year", "month", "decade", "n_genres", "n_cast", "n_keywords", "overview_len", "user_mean", "user_std", "user_count", "mean_popularity", "mean_vote_average", "mean_year", "year_match", "genre_match_score"]
+
+
 def movie_features(items: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """Year, month, decade, list sizes, text length, primary names and genre flags of flat items."""
-    genres = S.parse_list(F.col("genres"))
+    """Year, month, decade, list sizes, text length, primary names, counts and genre flags of flat items.
+
+    `overview`, `cast`, `keywords`, `adult`, `popularity`, `vote_average` and `vote_count` may be absent: an absent list is
+    empty, an absent overview is the title, absent numbers are null, and what isn't said to be for adults isn't.
+    """
+    has = lambda c, otherwise: F.col(c) if c in items.columns else otherwise
+    none = F.lit(None).cast("string")
+    genres, cast, keywords = S.parse_list(F.col("genres")), S.parse_list(has("cast", none)), S.parse_list(has("keywords", none))
     year = S.release_year(F.col("release_date"), F.col("title"))
-    cast = S.parse_list(F.col("cast"))
-    return items.select("item_id", year.alias("year"), F.coalesce(S.release_month(F.col("release_date")), F.lit(0)).alias("month"), S.release_decade(year).alias("decade"), F.size(genres).alias("n_genres"), F.size(cast).alias("n_cast"), F.length(F.coalesce(F.col("overview" if "overview" in items.columns else "title"), F.lit(""))).alias("overview_len"), S.first_or_unknown(S.parse_list(F.col("director"))).alias("primary_director"), S.first_or_unknown(cast).alias("primary_actor"), *S.multi_hot(genres, vocabulary))
+    numbers = [has(c, none).try_cast("double").alias(c) for c in ("popularity", "vote_average", "vote_count")]
+    sizes = [F.size(genres).alias("n_genres"), F.size(cast).alias("n_cast"), F.size(keywords).alias("n_keywords"), F.length(F.coalesce(has("overview", F.col("title")), F.lit(""))).alias("overview_len")]
+    names = [S.first_or_unknown(S.parse_list(F.col("director"))).alias("primary_director"), S.first_or_unknown(cast).alias("primary_actor")]
+    return items.select("item_id", *numbers, S.parse_bool(has("adult", none)).cast("int").alias("adult"), year.alias("year"), F.coalesce(S.release_month(F.col("release_date")), F.lit(0)).alias("month"), S.release_decade(year).alias("decade"), *sizes, *names, *S.multi_hot(genres, vocabulary))
+
+
+def _once(rows: DataFrame, *key: str) -> None:
+    """Refuse rows whose key comes twice."""
+    twice = rows.groupBy(*key).agg(F.count("*").alias("_n")).filter("_n > 1").select(*key).first()
+    if twice is not None:
+        raise ValueError(f"{', '.join(key)} {tuple(twice)} comes more than once")
 
 
 def rating_dataset(ratings: DataFrame, item_features: DataFrame, user_features: DataFrame, preferences: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """Ratings with both sides' features, the year's distance and the preference-weighted genre match.
+    """`rating` with CATEGORIES, NUMBERS and genre flags: both sides' features, the year's distance and the preference-weighted genre match.
 
-    A rating stays a row each, so a pair rated twice is two rows; sides with a repeated key would multiply them.
+    A pair, an item or a user that comes more than once would multiply rows, and a column that two sides have would be
+    ambiguous: both raise ValueError. An item or user without features has nulls, and 0 as genre match.
     """
-    rows = ratings.join(item_features, "item_id", "left").join(user_features, "user_id", "left").join(preferences, "user_id", "left")
+    sides = [item_features.drop("item_id"), user_features.drop("user_id"), preferences.drop("user_id"), ratings.select("rating")]
+    names = [c for side in sides for c in side.columns]
+    clashing = sorted({c for c in names if names.count(c) > 1})
+    if clashing:
+        raise ValueError(f"columns of more than one side: {clashing}")
+    for rows, key in ((ratings, ["user_id", "item_id"]), (item_features, ["item_id"]), (user_features, ["user_id"]), (preferences, ["user_id"])):
+        _once(rows, *key)
+    rows = ratings.select("user_id", "item_id", "rating").join(item_features, "item_id", "left").join(user_features, "user_id", "left").join(preferences, "user_id", "left")
     flags, prefs = (F.array(*[F.coalesce(F.col(f"{p}_{g}").cast("double"), F.lit(0.0)) for g in vocabulary]) for p in ("genre", "pref"))
-    return rows.withColumn("year_match", S.year_match(F.col("year"), F.col("mean_year"))).withColumn("genre_match_score", S.genre_match(flags, prefs))
+    rows = rows.withColumn("year_match", S.year_match(F.col("year"), F.col("mean_year"))).withColumn("genre_match_score", S.genre_match(flags, prefs))
+    return rows.select("rating", *CATEGORIES, *NUMBERS, *[f"genre_{g}" for g in vocabulary])
 
 
 def freeze_vocabulary(train: DataFrame, columns: list[str]) -> PipelineModel:

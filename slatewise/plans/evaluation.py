@@ -82,19 +82,35 @@ def ranker_importance(spark, d):
     return X.feature_importance(X.fit_ranker(rows, iterations=2, depth=3), rows)
 
 
-@query("SELECT item_id, CAST(coalesce(TRY_CAST(substr(release_date, 1, 4) AS INTEGER), 2010) AS INTEGER) AS year, CAST(coalesce(month(TRY_CAST(release_date AS DATE)), 0) AS INTEGER) AS month, CAST(len(string_split(genres, '|')) AS INTEGER) AS n_genres, CAST(length(title) AS INTEGER) AS overview_len, director AS primary_director, " + ", ".join(f"CAST(list_contains(string_split(genres, '|'), '{g}') AS INTEGER) AS genre_{g}" for g in WORDS) + " FROM items ")
+_FLAGS = ", ".join(f"CAST(list_contains(string_split(genres, '|'), '{g}') AS INTEGER) AS genre_{g}" for g in WORDS)
+#: Items with actors in order, words of the title as keywords, a text, and a flag in words; no actor is known of some.
+MOVIES = """ac AS (SELECT item_id, min_by(actor, cast_order) AS actor, count(*) AS n FROM item_actors WHERE item_id % 9 > 0 GROUP BY 1), vs AS (SELECT item_id, avg(rating) AS m, count(*) AS n FROM interactions GROUP BY 1),
+mv AS (SELECT i.item_id, popularity, m AS vote_average, CAST(vs.n AS DOUBLE) AS vote_count, CAST(item_id_flag AS INTEGER) AS adult, CAST(coalesce(TRY_CAST(substr(release_date, 1, 4) AS INTEGER), 2010) AS INTEGER) AS year, CAST(coalesce(month(TRY_CAST(release_date AS DATE)), 0) AS INTEGER) AS month, CAST(floor(coalesce(TRY_CAST(substr(release_date, 1, 4) AS INTEGER), 2010) / 10) * 10 AS INTEGER) AS decade,
+CAST(len(string_split(genres, '|')) AS INTEGER) AS n_genres, CAST(coalesce(ac.n, 0) AS INTEGER) AS n_cast, CAST(len(string_split(title, ' ')) AS INTEGER) AS n_keywords, CAST(length(title || ' by ' || director) AS INTEGER) AS overview_len, director AS primary_director, coalesce(actor, '<unknown>') AS primary_actor, """ + _FLAGS + """
+FROM (SELECT *, item_id % 50 = 0 AS item_id_flag FROM items ) i LEFT JOIN ac ON ac.item_id = i.item_id LEFT JOIN vs ON vs.item_id = i.item_id)"""
+
+
+def _movies(spark, d):
+    actors = B.item_actors(spark, d).filter("item_id % 9 > 0").groupBy("item_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cast_order", "actor"))), lambda x: x["actor"]), "|").alias("cast"))
+    votes = B.interactions(spark, d).groupBy("item_id").agg(F.avg("rating").alias("vote_average"), F.count("*").alias("vote_count"))
+    rows = B.items(spark, d).join(actors, "item_id", "left").join(votes, "item_id", "left")
+    adult = F.when(F.col("item_id") % 50 == 0, F.lit(" True")).when(F.col("item_id") % 2 == 0, F.lit("no"))
+    return rows.withColumns({"overview": F.concat_ws(" by ", "title", "director"), "keywords": F.replace("title", F.lit(" "), F.lit(";")), "adult": adult})
+
+
+@query("WITH " + MOVIES + " SELECT * REPLACE (round(vote_average, 6) AS vote_average) FROM mv")
 def movie_features(spark, d):
-    rows = X.movie_features(B.items(spark, d).withColumn("cast", F.lit("")), WORDS)
-    return rows.select("item_id", "year", "month", "n_genres", "overview_len", "primary_director", *[f"genre_{g}" for g in WORDS])
+    return X.movie_features(_movies(spark, d), WORDS).withColumn("vote_average", F.round("vote_average", 6))
 
 
-@query("WITH p AS (SELECT user_id, " + ", ".join(f"avg(CASE WHEN list_contains(string_split(genres, '|'), '{g}') THEN rating ELSE 0.0 END) AS pref_{g}" for g in WORDS) + " FROM interactions i JOIN items t ON t.item_id = i.item_id GROUP BY 1) SELECT i.user_id, i.item_id, round(" + " + ".join(f"CASE WHEN list_contains(string_split(genres, '|'), '{g}') THEN pref_{g} ELSE 0.0 END" for g in WORDS) + ", 6) AS genre_match_score FROM interactions i JOIN items t ON t.item_id = i.item_id JOIN p ON p.user_id = i.user_id")
+@query("WITH " + MOVIES + ", us AS (SELECT i.user_id, avg(rating) AS user_mean, coalesce(stddev_samp(rating), 0.0) AS user_std, count(*) AS user_count, avg(popularity) AS mean_popularity, avg(vote_average) AS mean_vote_average, avg(year) AS mean_year, " + ", ".join(f"avg(genre_{g} * rating) AS pref_{g}" for g in WORDS) + " FROM interactions i JOIN mv ON mv.item_id = i.item_id GROUP BY 1)\nSELECT rating, i.item_id, i.user_id, primary_director, primary_actor, popularity, round(vote_average, 5) AS vote_average, vote_count, adult, year, month, decade, n_genres, n_cast, n_keywords, overview_len, round(user_mean, 5) AS user_mean, round(user_std, 5) AS user_std, user_count, round(mean_popularity * user_count, 2) / user_count AS mean_popularity, round(mean_vote_average, 5) AS mean_vote_average, round(mean_year, 5) AS mean_year, round(abs(year - mean_year), 5) AS year_match, round(" + " + ".join(f"genre_{g} * pref_{g}" for g in WORDS) + ", 5) AS genre_match_score, " + ", ".join(f"genre_{g}" for g in WORDS) + " FROM interactions i JOIN mv ON mv.item_id = i.item_id JOIN us ON us.user_id = i.user_id")
 def rating_dataset(spark, d):
-    r, items = B.interactions(spark, d), B.items(spark, d)
-    feats = X.movie_features(items.withColumn("cast", F.lit("")), WORDS)
-    users = A.user_features(r, feats.select("item_id", "year", F.lit(0.0).alias("popularity"), F.lit(0.0).alias("vote_average")))
-    rows = X.rating_dataset(r, feats, users, A.genre_preference(r, items, WORDS), WORDS)
-    return rows.select("user_id", "item_id", F.round("genre_match_score", 6).alias("genre_match_score"))
+    r = B.interactions(spark, d)
+    feats = written(X.movie_features(_movies(spark, d), WORDS), "movie-features")
+    users = A.user_features(r, feats.select("item_id", "popularity", "vote_average", "year"))
+    rows = X.rating_dataset(r, feats, users, A.genre_preference(r, B.items(spark, d), WORDS), WORDS)
+    fine = {c: F.round(c, 5) for c in ("vote_average", "user_mean", "user_std", "mean_vote_average", "mean_year", "year_match", "genre_match_score")}
+    return rows.withColumns({**fine, "mean_popularity": F.round(F.col("mean_popularity") * F.col("user_count"), 2) / F.col("user_count")})
 
 
 @query()

@@ -2,6 +2,7 @@
 
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from slatewise.functions import scalars as S
@@ -314,3 +315,21 @@ def test_towers_of_users_and_items(spark):
     got = {(x["user_id"], x["pos"]): round(x["x"], 6) for x in R.user_tower_inputs(liked, content, genres, users, ["a", "b"], size=4).collect()}
     old = np.exp(-0.5) / (1 + np.exp(-0.5))
     assert got == {(7, 0): round(old, 6), (7, 1): round(1 - old, 6), (7, 4): round(2 / 3, 6), (7, 5): round(1 / 3, 6), (7, 6): round(np.log(4), 6), (7, 7): -0.5, (8, 6): round(np.log(2), 6)}
+
+
+def test_rating_dataset_refuses_repeats_and_clashes(spark):
+    items = spark.createDataFrame([(1, "A (1999)", "a|b", "D", None, "x"), (2, None, None, None, "2001-05-06", None)], "item_id long, title string, genres string, director string, release_date string, cast string")
+    feats = X.movie_features(items, ["a", "c"])
+    got = {r["item_id"]: r for r in feats.collect()}
+    assert (got[1]["year"], got[1]["decade"], got[1]["n_genres"], got[1]["n_cast"], got[1]["n_keywords"], got[1]["adult"], got[1]["primary_actor"], got[1]["genre_a"], got[1]["genre_c"]) == (1999, 1990, 2, 1, 0, 0, "x", 1, 0)
+    assert (got[2]["year"], got[2]["month"], got[2]["overview_len"], got[2]["primary_director"], got[2]["popularity"]) == (2001, 5, 0, "<unknown>", None)
+    pairs = spark.createDataFrame([(7, 1, 4.0), (7, 2, 3.0), (8, 3, 2.0)], "user_id long, item_id long, rating double")
+    users = A.user_features(pairs, feats.select("item_id", "popularity", "vote_average", "year"))
+    prefs = spark.createDataFrame([(7, 2.0, 1.0)], "user_id long, pref_a double, pref_c double")
+    rows = X.rating_dataset(pairs, feats, users, prefs, ["a", "c"])
+    assert rows.columns == ["rating", *X.CATEGORIES, *X.NUMBERS, "genre_a", "genre_c"]
+    told = {(r["user_id"], r["item_id"]): (r["year_match"], r["genre_match_score"]) for r in rows.collect()}
+    assert told == {(7, 1): (1.0, 2.0), (7, 2): (1.0, 0.0), (8, 3): (None, 0.0)}
+    for bad in ((pairs.union(pairs.limit(1)), feats, users), (pairs, feats.union(feats), users), (pairs, feats, users.union(users)), (pairs, feats, users.withColumn("year", F.lit(1)))):
+        with pytest.raises(ValueError):
+            X.rating_dataset(*bad, prefs, ["a", "c"])
