@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from slatewise.functions import scalars as S
+from slatewise.operators import aggregates as A
 
 
 def string_agg(name: str) -> Column:
@@ -171,9 +172,9 @@ def explode_genres(items: DataFrame) -> DataFrame:
 
 
 def build_dimension(values: DataFrame, column: str) -> DataFrame:
-    """Distinct trimmed names with ids by name order; a dimension is small, its ids need one order."""
-    names = values.select(F.trim(column).alias("name")).filter("name <> ''").distinct()
-    return names.select((F.row_number().over(Window.orderBy("name"))).cast("long").alias("id"), "name")
+    """Distinct trimmed names with ids from 1 by name order, numbered within ranges of names."""
+    names = values.select(F.trim(column).alias("name")).filter("name <> ''")
+    return A.dense_ids(names, "name").select((F.col("idx") + 1).alias("id"), "name")
 
 
 def build_items(flat: DataFrame, directors: DataFrame) -> DataFrame:
