@@ -333,3 +333,38 @@ def test_rating_dataset_refuses_repeats_and_clashes(spark):
     for bad in ((pairs.union(pairs.limit(1)), feats, users), (pairs, feats.union(feats), users), (pairs, feats, users.union(users)), (pairs, feats, users.withColumn("year", F.lit(1)))):
         with pytest.raises(ValueError):
             X.rating_dataset(*bad, prefs, ["a", "c"])
+
+
+def test_negative_draws_are_not_exploded(spark, monkeypatch):
+    plans, write = [], G.written
+
+    def told(df, name, *rest):
+        plans.append((name, df._jdf.queryExecution().optimizedPlan().toString()))
+        return write(df, name, *rest)
+
+    monkeypatch.setattr(G, "written", told)
+    index = spark.createDataFrame([(i, i + 100) for i in range(40)], "idx long, item_id long")
+    wanted = spark.createDataFrame([(u, n) for u, n in enumerate((0, 3, 20, 39, 40, 60))], "user_id long, n int")
+    seen = spark.createDataFrame([(u, 100 + i) for u in range(6) for i in range(0, 40, 7)] + [(1, 999)], "user_id long, item_id long")
+    got = [tuple(r) for r in G.sample_negatives(wanted, seen, index).collect()]
+    assert len(set(got)) == len(got) and not {i % 7 for u, i in got if (i - 100) % 7 == 0}
+    assert [sum(u == x for x, _ in got) for u in range(6)] == [0, 3, 20, 34, 34, 34]
+    assert "negatives" in [n for n, _ in plans]
+    assert not [n for n, p in plans if n == "negatives" and "Generate explode(sequence" in p]
+
+
+def test_user_vectors_have_no_row_a_component(spark):
+    import math
+
+    v = spark.createDataFrame([(1, [1.0, 0.0, 2.0]), (2, [3.0, 4.0, 0.0]), (3, [-1.0, 0.0, -2.0]), (4, None)], "item_id long, vec array<double>")
+    r = spark.createDataFrame([(7, 1, 5.0, 1), (7, 2, 3.0, 2), (7, 3, 1.0, 3), (8, 4, 5.0, 1), (9, 1, 4.0, 5), (9, 3, 4.0, 5), (9, 9, 5.0, 9)], "user_id long, item_id long, rating double, ts long")
+    mean, recent = A.mean_vectors(r, v), A.recency_weighted_vector(A.liked_rows(r, threshold=3.0), v)
+    for x in (mean, recent):
+        assert "explode" not in x._jdf.queryExecution().optimizedPlan().toString()
+    assert {x["user_id"]: x["vec"] for x in mean.collect()} == {7: [2.0, 2.0, 1.0], 9: [0.0, 0.0, 0.0]}
+    got = {x["user_id"]: x["vec"] for x in recent.collect()}
+    w = [math.exp(-0.6), 1.0]  # rank 2 of 2, rank 1
+    raw = [w[0] * a + w[1] * b for a, b in zip([1, 0, 2], [3, 4, 0], strict=True)]
+    size = math.sqrt(sum(x * x for x in raw))
+    assert all(abs(a - b / size) < 1e-9 for a, b in zip(got[7], raw, strict=True))
+    assert sorted(got) == [7, 9]
