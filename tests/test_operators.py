@@ -368,3 +368,28 @@ def test_user_vectors_have_no_row_a_component(spark):
     size = math.sqrt(sum(x * x for x in raw))
     assert all(abs(a - b / size) < 1e-9 for a, b in zip(got[7], raw, strict=True))
     assert sorted(got) == [7, 9]
+
+
+def test_bm25_candidates_of_alike_items(spark):
+    import random
+
+    r = random.Random(8)
+    post = [(i, t, c) for i in range(40) for t, c in {"abcdef"[(i // 3 + k) % 6]: 1 + k % 2 for k in range(1 + i % 3)}.items()]
+    liked = [(u, i, 5.0, r.randint(0, 9)) for u in range(12) for i in r.sample(range(40), 2 + u % 4)]
+    tokens = spark.createDataFrame(post, "item_id long, term string, tf long")
+    index = R.bm25_fit(tokens, spark.createDataFrame([(40,)], "n long"))
+    rows = spark.createDataFrame(liked, "user_id long, item_id long, rating double, ts long")
+    users = spark.createDataFrame([(u,) for u in range(13)], "user_id long")
+    out = R.bm25_candidates(rows, tokens, index, rows, users, last=3, n=7, digits=6)
+    got = {u: [] for u in range(13)}
+    for x in out.collect():
+        got[x["user_id"]].append((-x["score"], x["item_id"]))
+    weight = {}
+    for x in index.collect():
+        weight.setdefault(x["item_id"], {})[x["term"]] = x["weight"]
+    for u in range(12):
+        mine = sorted(((t, i) for v, i, _, t in liked if v == u), reverse=True)
+        words = {t for _, i in mine[:3] for j, t, _ in post if i == j}
+        want = sorted((-round(sum(w for t, w in ts.items() if t in words), 6), i) for i, ts in weight.items() if words & set(ts) and i not in {i for _, i in mine})[:7]
+        assert [(round(s, 6), i) for s, i in sorted(got[u])] == want
+    assert len(got[12]) == 7
