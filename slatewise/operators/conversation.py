@@ -19,6 +19,8 @@ TOKEN = r"[0-9]+\.[0-9]+|[\p{L}\p{M}\p{N}_]+|>=|[^\s\p{L}\p{M}\p{N}_]"
 #: Marks that end a span.
 ENDS = [".", ",", "!", "?", '"', "'", "“", "”"]
 YEARS = "(?:19|20)[0-9]{2}"
+#: A title in double quotation marks.
+TITLE = '["“”][^"“”]*["“”]'
 
 
 @dataclass(frozen=True)
@@ -216,12 +218,12 @@ def parse_critique(messages: DataFrame, *, text: str = "text", tables: Critiques
 
     A message that holds no trigger is no critique and has nulls. An exclusion takes all genres hinted at; else the first hint
     is the genre wished for. A year, or a word for newer or older, bounds the release; "diverse" is a plain wish for more. A null
-    or empty text is no critique.
+    or empty text is no critique. What stands in double quotation marks is a title and wishes for nothing, whatever its words are.
     """
     if tables is None:
         from slatewise.operators.phrases import CRITIQUES as tables
     line = F.col("_line")
-    rows = messages.withColumn("_line", spoken(F.col(text)))
+    rows = messages.withColumn("_line", spoken(F.regexp_replace(text, TITLE, ' " ')))
     rows = rows.withColumns({"is_critique": says(line, tables.triggers), "_out": says(line, tables.exclusions), "_named": named(line, tables.hints)})
     newer = F.coalesce(year(line).cast("int"), F.when(says(line, tables.newer), F.lit(tables.newer_year)))
     told = {

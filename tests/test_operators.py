@@ -393,3 +393,19 @@ def test_bm25_candidates_of_alike_items(spark):
         want = sorted((-round(sum(w for t, w in ts.items() if t in words), 6), i) for i, ts in weight.items() if words & set(ts) and i not in {i for _, i in mine})[:7]
         assert [(round(s, 6), i) for s, i in sorted(got[u])] == want
     assert len(got[12]) == 7
+
+
+def test_titles_in_quotation_marks_are_no_critique(spark):
+    texts = ['funnier than "No", please', 'moreover "No" is fine', "hài hơn “No Drama”", 'no "horror', 'without drama, "more"']
+    rows = V.parse_critique(spark.createDataFrame(list(enumerate(texts)), "n int, text string")).orderBy("n").collect()
+    assert [x["is_critique"] for x in rows] == [True, False, True, True, True]
+    assert [x["genre"] for x in rows] == ["Comedy", None, "Comedy", None, None]
+    assert [x["exclude_genres"] for x in rows] == [[], None, [], [], ["Drama"]]
+
+
+def test_unseen_totals_without_pairs(spark):
+    ids = spark.createDataFrame([(i,) for i in range(1, 9)], "item_id long")
+    seen = spark.createDataFrame([(1, 2), (1, 2), (1, 99), (2, 8)] + [(3, i) for i in range(1, 9)], "user_id long, item_id long")
+    users = spark.createDataFrame([(1,), (1,), (2,), (3,), (4,)], "user_id long")
+    want = {(r["user_id"], r["n"], r["s"]) for r in G.full_unseen_pool(users, seen, ids).groupBy("user_id").agg(F.count("*").alias("n"), F.sum("item_id").alias("s")).collect()}
+    assert {tuple(r) for r in G.unseen_totals(users, seen, ids).collect()} == want == {(1, 7, 34), (2, 7, 28), (4, 8, 36)}
