@@ -115,9 +115,9 @@ def backfill_vectors(items: DataFrame, path: str, *, size: int = 384, limit: int
     """
     chosen = items if limit is None else items.orderBy("item_id").limit(limit)
     parts = hash_embed(chosen, size=size).groupBy("item_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("pos").cast("int").alias("pos"), "x"))).alias("_m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at(F.col("_m"), i), F.lit(0.0)))
-    zeros = F.array_repeat(F.lit(0.0), size)
-    new = chosen.select("item_id").join(parts.select("item_id", dense.alias("vec")), "item_id", "left").select("item_id", F.coalesce("vec", zeros).alias("vec"))
+    # told to shuffle, and filled with zeros behind the join: by the size of the catalogue's file the planner would broadcast all vectors
+    rows = chosen.select("item_id").join(parts.hint("merge"), "item_id", "left")
+    new = rows.select("item_id", F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at(F.col("_m"), i), F.lit(0.0))).alias("vec"))
     write_vectors(new, path, buckets=buckets)
 
 

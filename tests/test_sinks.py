@@ -118,3 +118,15 @@ def test_catalogue_from_a_database(spark, tmp_path):
     assert got.count() == 50 and "popularity" in got.columns
     with pytest.raises(Exception, match="nothing"):
         S.read_catalogue_jdbc(spark, absent, "films", properties=driver)
+
+
+def test_backfilled_vectors_are_not_broadcast(spark, tmp_path, monkeypatch):
+    from slatewise.sources import files
+
+    plans, write = [], files.written
+    monkeypatch.setattr(files, "written", lambda df, *rest: plans.append(df._jdf.queryExecution().sparkPlan().toString()) or write(df, *rest))
+    spark.createDataFrame([(1, "red gear red"), (2, "!"), (3, None)], "item_id long, text string").write.parquet(f"{tmp_path}/items")
+    files.backfill_vectors(spark.read.parquet(f"{tmp_path}/items"), f"file://{tmp_path}/vectors", size=8)
+    assert plans and not [p for p in plans if "Broadcast" in p]
+    got = {r["item_id"]: r["vec"] for r in files.stored_vectors(spark, f"file://{tmp_path}/vectors")[0].collect()}
+    assert sorted(got) == [1, 2, 3] and got[2] == got[3] == [0.0] * 8 and abs(sum(x * x for x in got[1]) - 1) < 1e-9
