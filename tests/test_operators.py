@@ -409,3 +409,23 @@ def test_unseen_totals_without_pairs(spark):
     users = spark.createDataFrame([(1,), (1,), (2,), (3,), (4,)], "user_id long")
     want = {(r["user_id"], r["n"], r["s"]) for r in G.full_unseen_pool(users, seen, ids).groupBy("user_id").agg(F.count("*").alias("n"), F.sum("item_id").alias("s")).collect()}
     assert {tuple(r) for r in G.unseen_totals(users, seen, ids).collect()} == want == {(1, 7, 34), (2, 7, 28), (4, 8, 36)}
+
+
+@pytest.mark.parametrize("block", [1, 4, 4096])
+def test_asked_pairs_are_those_of_the_item(spark, block):
+    import random
+
+    r = random.Random(5)
+    rows = [(u, i, r.randint(1, 10) / 2) for u in range(14) for i in r.sample(range(9), r.randint(1, 6))]
+    asked = [(u, r.randrange(11)) for u in range(16)]
+    by = {}
+    for u, i, x in rows:
+        by.setdefault(u, {})[i] = x
+    want = set()
+    for u, i in asked:
+        for v in by:
+            both = [(by[u][k], by[v][k]) for k in by.get(u, {}) if k in by[v]]
+            if v != u and i in by[v] and both:
+                want.add((u, i, v, len(both), sum(x * y for x, y in both), sum(x for x, _ in both), sum(y for _, y in both)))
+    out = R.asked_pairs(spark.createDataFrame(rows, "user_id long, item_id long, rating double"), spark.createDataFrame(asked, "user_id long, item_id long"), block=block)
+    assert {(x["a"], x["item_id"], x["b"], x["n"], x["dot"], x["sum_a"], x["sum_b"]) for x in out.collect()} == want
