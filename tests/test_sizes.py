@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from slatewise.operators import features as X
+from slatewise.operators import retrieval as R
 
 
 def _plan(df):
@@ -32,3 +33,32 @@ def test_pairwise_pairs_need_no_join(spark, monkeypatch):
         mine = sorted((r for r in at if r["user_id"] == u), key=lambda r: (r["h"], r["item_id"]))
         expected += sum(a["label"] != b["label"] for n, a in enumerate(mine) for b in mine[n + 1 : n + 4])
     assert seen[0].count() == expected > 0
+
+
+def test_products_are_exact_with_ties_and_a_k_of_each_query(spark):
+    rng = np.random.default_rng(3)
+    vectors = np.round(rng.standard_normal((40, 4)), 1)[rng.integers(0, 40, 5000)]  # many are equal, more than one matrix holds
+    asked = [(q, [float(x) for x in vectors[q]], 1 + q % 9) for q in range(0, 5000, 97)]
+    items = spark.createDataFrame([(n, [float(x) for x in v]) for n, v in enumerate(vectors)], "item_id long, vec array<double>")
+    found = R.best_products(spark.createDataFrame(asked, "query_id long, vec array<double>, k int"), items, min_score=0.5)
+    told = {(r["query_id"], r["item_id"]) for r in found.collect()}
+    expected = set()
+    for q, v, k in asked:
+        scores = np.round(vectors @ np.array(v), 9)
+        order = [int(n) for n in np.lexsort((np.arange(5000), -scores))[:k] if scores[n] > 0.5]
+        expected |= {(q, n) for n in order}
+    assert told == expected
+
+
+def test_equal_vectors_are_multiplied_once(spark, monkeypatch):
+    vectors = [[1.0, 0.0], [0.6, 0.8], [0.0, 1.0]]
+    items = spark.createDataFrame([(n, vectors[n % 3]) for n in range(60)], "item_id long, vec array<double>")
+    sizes, real = [], R.best_products
+    monkeypatch.setattr(R, "best_products", lambda q, v, **how: sizes.append((q.count(), v.count())) or real(q, v, **how))
+    rows = {r["query_id"]: [] for r in items.select(F.col("item_id").alias("query_id")).collect()}
+    for r in sorted(R.neighbours(items, items, k=25).collect(), key=lambda r: r["rank"]):
+        rows[r["query_id"]].append(r["item_id"])
+    assert sizes == [(3, 3)]
+    for q, got in rows.items():
+        score = lambda n: round(sum(a * b for a, b in zip(vectors[q % 3], vectors[n % 3], strict=True)), 9)  # noqa: B023, E731
+        assert got == sorted((n for n in range(60) if n != q), key=lambda n: (-score(n), n))[:25]
