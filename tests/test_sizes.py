@@ -72,3 +72,23 @@ def test_detect_intent_reads_whole_messages(spark, tmp_path):
     told = {r["message_id"]: r for r in detect_intent(spark, str(tmp_path)).filter("not made").collect()}
     assert set(told) == {7000, 7001}
     assert (told[7000]["intent"], told[7000]["director"], told[7001]["intent"]) == ("director", "nolan", "fallback")
+
+
+def test_slates_are_picked_together_as_one_by_one(spark):
+    rng = np.random.default_rng(5)
+    rows = [(s, int(i), "|".join(rng.choice(list("abcdef"), rng.integers(1, 4))), float(rng.integers(0, 6)), 0.6) for s in range(40) for i in range(int(rng.integers(1, 14)))]
+    slates = spark.createDataFrame(rows, "slate_id long, item_id long, genres string, score double, lambda double")
+    made = X.mmr(slates, limit=5)
+    assert "FlatMapGroupsInPandas" not in _plan(made)
+    told = {}
+    for r in sorted(made.collect(), key=lambda r: (r["slate_id"], r["rank"])):
+        told.setdefault(r["slate_id"], []).append(r["item_id"])
+    for s in range(40):
+        mine = sorted(((r[1], set(r[2].split("|")), r[3]) for r in rows if r[0] == s), key=lambda r: (-r[2], r[0]))
+        low, high = min(r[2] for r in mine), max(r[2] for r in mine)
+        rel = [1.0 if high == low else (r[2] - low) / (high - low + 1e-6) for r in mine]
+        chosen = [0]
+        while len(chosen) < min(5, len(mine)):
+            like = lambda n: max(len(mine[n][1] & mine[c][1]) / len(mine[n][1] | mine[c][1]) for c in chosen)  # noqa: B023, E731
+            chosen.append(min((n for n in range(len(mine)) if n not in chosen), key=lambda n: (-round(0.6 * rel[n] - 0.4 * like(n), 9), n)))  # noqa: B023
+        assert told[s] == [mine[n][0] for n in chosen]
