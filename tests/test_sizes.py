@@ -92,3 +92,58 @@ def test_slates_are_picked_together_as_one_by_one(spark):
             like = lambda n: max(len(mine[n][1] & mine[c][1]) / len(mine[n][1] | mine[c][1]) for c in chosen)  # noqa: B023, E731
             chosen.append(min((n for n in range(len(mine)) if n not in chosen), key=lambda n: (-round(0.6 * rel[n] - 0.4 * like(n), 9), n)))  # noqa: B023
         assert told[s] == [mine[n][0] for n in chosen]
+
+
+def test_equal_rows_of_a_rater_are_one_row(spark):
+    from slatewise.operators import boosting as T
+
+    rows = spark.createDataFrame([(1.0, False, [1, 2])] * 50 + [(2.0, False, [2, 1])], "label double, is_valid boolean, bins array<tinyint>")
+    assert sorted(r["n"] for r in T._counted(rows).collect()) == [1, 50]
+
+
+def test_histograms_are_whole_sums(spark):
+    from slatewise.operators import boosting as T
+
+    big = (1 << 53) + 1  # more than a double tells
+    rows = spark.createDataFrame([(0, [1, 2], big, 1, 1), (0, [1, 0], -3, 2, 4), (2, [0, 2], 5, 1, 1)], "node int, bins array<tinyint>, g long, h long, n long")
+    got = rows.coalesce(1).mapInArrow(T._histograms([2, 0], 2, 3), "node int, feature int, bin int, g long, h long, n long").collect()
+    assert sorted(map(tuple, got)) == [(0, 0, 1, big - 3, 3, 5), (0, 1, 0, -3, 2, 4), (0, 1, 2, big, 1, 1), (2, 0, 0, 5, 1, 1), (2, 1, 2, 5, 1, 1)]
+
+
+def test_quantiles_write_each_value_once(spark, monkeypatch):
+    from slatewise.operators import quantiles as Q
+
+    seen, real = [], Q.written
+    monkeypatch.setattr(Q, "written", lambda df, name: seen.append(real(df, name)) or seen[-1])
+    rows = spark.range(5000).select((F.col("id") % 3).cast("double").alias("x"))
+    assert Q.exact_quantiles(rows, "x", [0.0, 0.5, 1.0]).first()["q"] == [0.0, 1.0, 2.0]
+    assert [x.count() for x in seen] == [3]
+
+
+def test_pairs_are_dealt_to_tasks_by_their_number(spark, monkeypatch):
+    from slatewise.operators import aggregates as A
+
+    monkeypatch.setattr(A, "PAIRS", 10)
+    rows = spark.createDataFrame([(u, 1, 1.0) for u in range(20)], "user_id long, item_id long, rating double")
+    made = A.co_rated(rows)
+    assert ", 20)" in _plan(made)  # 400 ordered pairs, 190 of which are kept
+    assert made.count() == 190
+
+
+def test_users_of_one_genre_set_meet_items_once(spark, monkeypatch):
+    seen, real = [], X.written
+    monkeypatch.setattr(X, "written", lambda df, name: seen.append(real(df, name)) or seen[-1])
+    users = spark.createDataFrame([(u, float(u), ["a"]) for u in range(30)], "user_id long, user_bias double, genre_set array<string>")
+    items = spark.createDataFrame([(i, 1.0, ["a"]) for i in range(100)], "item_id long, item_score double, genre_list array<string>")
+    got = X.recommend_all(users, items, k=3).collect()
+    assert seen[0].count() == 3
+    assert sorted((r["user_id"], r["item_id"]) for r in got) == [(u, i) for u in range(30) for i in range(3)]
+
+
+def test_bootstrap_draws_need_no_numbers_of_digits(spark):
+    from slatewise.operators import evaluation as E
+
+    digits = [f"{int(e * (1 << 48)) + k:012x}" for e in E.POISSON_EDGES for k in (-1, 0, 1)]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in digits], "x string").select(E._poisson(F.col("x"))).collect()]
+    assert got == [sum(int(x, 16) / float(1 << 48) >= e for e in E.POISSON_EDGES) for x in digits]
+    assert "conv(" not in _plan(E.bootstrap_ci(spark.createDataFrame([(1, 0.5)], "user_id long, m double"), "m", n=2))
