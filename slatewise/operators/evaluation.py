@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import sys
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slatewise.functions import scalars as S
-from slatewise.operators.aggregates import dense_ids, draw, paired_scores
+from slatewise.operators.aggregates import dense_ids, paired_scores
 from slatewise.operators.retrieval import item_cf_scores
 from slatewise.operators.quantiles import exact_quantiles
 from slatewise.session import written
@@ -43,16 +44,16 @@ def ranking_metrics(scored: DataFrame, *, k: int = 10, relevant: float = 4.0) ->
 POISSON_EDGES = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.999916758850712]
 
 
-def _poisson(u):
-    """Poisson(1) draw from a uniform number."""
-    return sum(((u >= e).cast("int") for e in POISSON_EDGES), F.lit(0))
+def _poisson(digits: Column) -> Column:
+    """Poisson(1) draw from the number whose hexadecimal digits behind the point these are: how many edges it passes, told by 12 digits as in `draw`."""
+    return sum(((digits >= f"{math.ceil(e * (1 << 48)):012x}").cast("int") for e in POISSON_EDGES), F.lit(0))
 
 
 def bootstrap_ci(per_user: DataFrame, metric: str, *, n: int = 200, alpha: float = 0.05, seed: int = 42) -> DataFrame:
     """(mean, low, high) over users by a Poisson bootstrap with hashed weights."""
     rows = per_user.select("user_id", F.col(metric).alias("_m"), F.explode(F.sequence(F.lit(1), F.lit(n))).alias("rep"))
-    u = draw(F.concat_ws("|", "user_id", "rep", F.lit(str(seed)))) / float(1 << 48)
-    sums = rows.withColumn("_w", _poisson(u)).groupBy("rep").agg((F.sum(F.col("_w") * F.col("_m")) / F.sum("_w")).alias("_v"))
+    digits = F.md5(F.concat_ws("|", "user_id", "rep", F.lit(str(seed))).cast("binary"))
+    sums = rows.withColumn("_w", _poisson(digits)).groupBy("rep").agg((F.sum(F.col("_w") * F.col("_m")) / F.sum("_w")).alias("_v"))
     return per_user.agg(F.avg(metric).alias("mean")).crossJoin(sums.agg(F.percentile("_v", F.lit(alpha / 2)).alias("low"), F.percentile("_v", F.lit(1 - alpha / 2)).alias("high")))
 
 
