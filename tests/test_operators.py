@@ -370,6 +370,31 @@ def test_user_vectors_have_no_row_a_component(spark):
     assert sorted(got) == [7, 9]
 
 
+def test_bm25_score_of_blocks_repeats_and_nulls(spark, monkeypatch):
+    import random
+
+    r = random.Random(7)
+    weights = {(i, t): r.random() for i in range(60) for t in r.sample("abcdefghij", r.randint(1, 6))}
+    index = spark.createDataFrame([(i, t, w) for (i, t), w in weights.items()], "item_id long, term string, weight double")
+    asked = [(q, r.choices("abcdefghijxyz", k=r.randint(0, 7))) for q in range(150)] + [(5, ["a"]), (None, ["b"]), (200, None), (201, ["zz"])]
+    sets = {}
+    for q, terms in asked:
+        sets.setdefault(q, set()).update(terms or [])
+    want = {}
+    for q, terms in sets.items():
+        for (i, t), w in weights.items():
+            if t in terms:
+                want[q, i] = want.get((q, i), 0) + w
+    monkeypatch.setattr(R, "SCORE_QUERIES", 40)  # several blocks, and products of a few documents
+    monkeypatch.setattr(R, "SCORE_CELLS", 100)
+    out = R.bm25_score(index, spark.createDataFrame(asked, "query_id long, terms array<string>"))
+    got = {(x.query_id, x.item_id): x.score for x in out.collect()}
+    assert got.keys() == want.keys() and out.count() == len(want)
+    assert all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    # no row is made of a query, a term and a document: the terms aren't exploded and joined with the index
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_bm25_candidates_of_alike_items(spark):
     import random
 
