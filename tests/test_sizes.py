@@ -137,3 +137,14 @@ def test_bootstrap_draws_need_no_numbers_of_digits(spark):
     got = [r[0] for r in spark.createDataFrame([(x,) for x in digits], "x string").select(E._poisson(F.col("x"))).collect()]
     assert got == [sum(int(x, 16) / float(1 << 48) >= e for e in E.POISSON_EDGES) for x in digits]
     assert "conv(" not in _plan(E.bootstrap_ci(spark.createDataFrame([(1, 0.5)], "user_id long, m double"), "m", n=2))
+
+
+def test_stored_lists_meet_by_bands_of_ids(spark, tmp_path):
+    from slatewise.plans.retrieval import _stored
+
+    ids = [-650, -301, -300, -1, 0, 1, 300, 301, 302, 601, 900, None]
+    spark.createDataFrame([(i, "a b", brand, "T", float(n)) for n, i in enumerate(ids) for brand in ("x", "y")], "p_partkey long, p_name string, p_brand string, p_type string, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([], "l_partkey long, l_shipdate timestamp").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = _stored(spark, str(tmp_path))
+    assert sorted((r["query_id"], r["item_id"]) for r in got.collect()) == sorted(2 * [(a, b) for a in ids[:-1] for b in ids[:-1] if a != b and abs(a - b) <= 300])
+    assert "_band" in _plan(got).split("Join ")[1].split("\n")[0]
