@@ -148,3 +148,12 @@ def test_stored_lists_meet_by_bands_of_ids(spark, tmp_path):
     got = _stored(spark, str(tmp_path))
     assert sorted((r["query_id"], r["item_id"]) for r in got.collect()) == sorted(2 * [(a, b) for a in ids[:-1] for b in ids[:-1] if a != b and abs(a - b) <= 300])
     assert "_band" in _plan(got).split("Join ")[1].split("\n")[0]
+
+
+def test_a_channel_pair_is_sorted_once(spark):
+    from slatewise.operators import aggregates as A
+
+    rows = spark.createDataFrame([(1, 2, 0.5, "b"), (1, 2, 0.5, "a"), (1, 3, 0.1, "b")], "user_id long, item_id long, score double, source string")
+    best = A.union_channels(rows, rows)
+    assert sorted(tuple(x) for x in best.collect()) == [(1, 2, 0.5, "a"), (1, 3, 0.1, "b")]
+    assert _plan(best).split("== Physical Plan ==")[1].count("Sort [") == 1
