@@ -150,6 +150,19 @@ def test_stored_lists_meet_by_bands_of_ids(spark, tmp_path):
     assert "_band" in _plan(got).split("Join ")[1].split("\n")[0]
 
 
+def test_bm25_lists_carry_numbers_of_classes(spark, monkeypatch):
+    seen = {}
+    keep = R.written
+    monkeypatch.setattr(R, "written", lambda df, name: seen.setdefault(name, df) and keep(df, name))
+    r = spark.createDataFrame([(1, 1, 5.0, 1), (1, 2, 5.0, 2), (2, 1, 5.0, 1), (3, 9, 1.0, 1)], "user_id long, item_id long, rating double, ts long")
+    tokens = spark.createDataFrame([(1, "a", 1), (2, "b", 1), (3, "a", 1), (4, "b", 1), (5, "c", 1)], "item_id long, term string, tf long")
+    index = tokens.select("item_id", "term", F.when(F.col("term") == "a", 2.0).otherwise(1.0).alias("weight"))
+    users = spark.createDataFrame([(u,) for u in (1, 2, 3)], "user_id long")
+    got = R.bm25_candidates(r.filter("rating >= 4"), tokens, index, r, users, n=2)
+    assert sorted(tuple(x) for x in got.collect()) == [(1, 3, 2.0), (1, 4, 1.0), (2, 3, 2.0), (3, 1, 2.0), (3, 2, 1.0)]
+    assert seen["bm25-lists"].columns == ["_q", "_list"]
+
+
 def test_a_channel_pair_is_sorted_once(spark):
     from slatewise.operators import aggregates as A
 
