@@ -163,6 +163,12 @@ def test_bm25_lists_carry_numbers_of_classes(spark, monkeypatch):
     assert seen["bm25-lists"].columns == ["_q", "_list"]
 
 
+def test_als_blocks_grow_with_ratings(spark, monkeypatch):
+    monkeypatch.setattr(R, "BLOCK_RATINGS", 3)
+    rows = spark.range(100)
+    assert (R.als_blocks(rows), R.als_blocks(rows.limit(5))) == (34, 10)
+
+
 def test_a_channel_pair_is_sorted_once(spark):
     from slatewise.operators import aggregates as A
 
